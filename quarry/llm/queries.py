@@ -13,13 +13,20 @@ from quarry.llm.license_scan import license_scan
 from quarry.llm.mixing import cube_mix, taken_rows
 from quarry.llm.quality_rules import quality_rules
 from quarry.llm.secret_scan import secret_scan
+from quarry.llm.sentencepiece_codec import sentencepiece_encode
 from quarry.llm.sharding import reshard
+from quarry.llm.simhash import simhash_components
 from quarry.llm.token_counts import length_histogram, token_lengths
+from quarry.llm.topk_search import topk_search
 
 #: Old shards of the resharding query: a layout by source, as uneven as the sources are.
 OLD_SHARDS = 12
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_encode(read(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
@@ -77,21 +84,45 @@ FROM c GROUP BY conv_id
 """
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read(spark, sf_dir, "documents"))
+
+
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search(read(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 50 == 0)
+
+
+#: The scores are integers, so the brute force is exact in SQL too.
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_license_scan": op2_license_scan,
         "op3_quality_rules": op3_quality_rules,
         "op4_cube_mix": op4_cube_mix,
         "op5_reshard": op5_reshard,
         "op6_token_counts": op6_token_counts,
         "op7_chat_format": op7_chat_format,
+        "op8_simhash": op8_simhash,
+        "op9_topk_search": op9_topk_search,
         "op10_secret_scan": op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": OP7_SQL}
+    return {"op7_chat_format": OP7_SQL, "op9_topk_search": OP9_SQL}
