@@ -86,7 +86,7 @@ def _packed(rows: DataFrame, pivots: dict[int, list], size: int) -> DataFrame:
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n"].iloc[0])
         v = np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), n)
-        d = pivot_distances(v.astype(np.float64), np.array(pivots.get(n, []), np.float64).reshape(-1, n))
+        d = pivot_distances(v.astype(np.float64), np.array(own := pivots.get(n, []), np.float64).reshape(len(own), n))
         return pd.DataFrame({"n": [n], "block": [int(pdf["block"].iloc[0])], "rows": [len(pdf)], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "row": [pdf["row"].to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()], "distances": [d.tobytes()]})
 
     return save(rows.groupBy("n", "block").applyInPandas(pack, "n int, block long, rows int, ids binary, row binary, vectors binary, distances binary"))
@@ -124,8 +124,8 @@ def topk_search(vectors: DataFrame, *, id_col: str = "vec_id", vector: str = "em
         i8 = lambda x: np.frombuffer(x, np.int64)
         for pdf in batches:
             for t in pdf.itertuples(index=False):
-                q, x = i8(t.qvectors).reshape(-1, t.n) if t.n else np.zeros((len(i8(t.qids)), 0), np.int64), i8(t.vectors).reshape(-1, t.n) if t.n else np.zeros((len(i8(t.ids)), 0), np.int64)
                 qids, qrow, ids, row = i8(t.qids), i8(t.qrow), i8(t.ids), i8(t.row)
+                q, x = i8(t.qvectors).reshape(len(qids), t.n), i8(t.vectors).reshape(len(ids), t.n)
                 least = np.full(len(q), np.iinfo(np.int64).min)
                 own = pivots.get(t.n, [])
                 if len(own) > k:
