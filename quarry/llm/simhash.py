@@ -36,6 +36,8 @@ ERRORS = 4
 GENERATOR = 0b101011100011
 SHINGLE_WORDS = 4
 SEED = 42
+#: Keys of large buckets (24 bytes each) that are broadcast at most; above that their members come from a shuffled join.
+BROADCAST_KEYS = 2_000_000
 
 
 # -- fingerprints ---------------------------------------------------------------------------------------------
@@ -178,8 +180,10 @@ def linked(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Call
     lo, hi = F.col("lo"), F.col("hi")
     first = buckets.select(F.explode(F.when(F.col("n") == 3, F.array(pair(lo, hi), pair(lo, third), pair(hi, third))).otherwise(F.array(pair(lo, hi)))).alias("p")).select("p.*")
     big = buckets.where("n > 3").select("key", "lo", "hi")
-    members = save(keys.join(big, "key"))
-    hubs = members.select(F.explode(F.array(pair(F.col("node"), lo), pair(F.col("node"), hi))).alias("p")).select("p.*").where("a < b")
+    few_keys = big.count() <= BROADCAST_KEYS
+    members = save(keys.join(F.broadcast(big) if few_keys else big, "key"))
+    to = lambda hub: members.select(pair(F.col("node"), hub).alias("p")).select("p.*").where("a < b").distinct()
+    hubs = to(lo).unionByName(to(hi))
     edges = save(verify(near(first.unionByName(hubs)).distinct()))
     roots = components(edges)
     # what is left: pairs of different components in a bucket; at least one of the two is outside the largest
