@@ -21,37 +21,48 @@ from quarry.llm.simhash import drop_near_copies
 REDACTED = "<SECRET>"
 
 
-def _with_text(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns col0, col1, ... so that no column's name clashes with an operator's; the names in use."""
+    at = {c: f"col{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*at.values()), at
+
+
+def _with_text(docs: DataFrame, found: DataFrame, at: dict[str, str], text: str) -> DataFrame:
     """The columns of docs from a result that kept them, with its new text; n_chars follows the text where it changes."""
     new = F.col(text)
-    changed = ~new.eqNullSafe(F.col("text"))
-    cols = {c: F.col(c) for c in docs.columns}
+    cols = {c: F.col(own).alias(c) for c, own in at.items()}
     cols["text"] = new.alias("text")
     if "n_chars" in cols:
-        cols["n_chars"] = F.when(changed, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+        kind = docs.schema["n_chars"].dataType
+        cols["n_chars"] = F.when(new.eqNullSafe(F.col(at["text"])), F.col(at["n_chars"])).otherwise(F.length(new).cast(kind)).alias("n_chars")
     return found.select(*cols.values())
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; the others lose the boilerplate lines of their host."""
-    judged = quality_rules(docs, keep=tuple(docs.columns), cleaned=True).where("kept")
-    return _with_text(docs, judged, "__cleaned")
+    d, at = _numbered(docs)
+    judged = quality_rules(d, text=at["text"], host=at["source"], doc_id=at["doc_id"], keep=tuple(at.values()), cleaned=True).where("kept")
+    return _with_text(docs, judged, at, "__cleaned")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of copies and near copies stays: the one with the smallest id."""
-    return drop_near_copies(docs)
+    d, at = _numbered(docs)
+    return drop_near_copies(d, text=at["text"], doc_id=at["doc_id"]).toDF(*at)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of a secret is replaced; all documents stay."""
-    found = secret_scan(docs, keep=tuple(docs.columns), redact=REDACTED)
-    return _with_text(docs, found, "__redacted")
+    d, at = _numbered(docs)
+    found = secret_scan(d, text=at["text"], owner=at["source"], repo=(at["source"], at["lang"]), keep=tuple(at.values()), redact=REDACTED)
+    return _with_text(docs, found, at, "__redacted")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix to the target weights takes them."""
-    return mixed_documents(docs, cube_mix(docs))
+    d, at = _numbered(docs)
+    names = {"text": at["text"], "source": at["source"], "doc_id": at["doc_id"]}
+    return mixed_documents(d, cube_mix(d, **names), **names).toDF(*at)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

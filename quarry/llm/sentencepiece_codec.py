@@ -29,9 +29,14 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNKNOWN_PENALTY = 10.0
 #: Words longer than this are cut at characters that no piece spans; words remembered by a task.
-LONG, REMEMBER = 24, 300_000
+LONG, REMEMBER = 24, 200_000
+#: Characters that are split into words at once.
+CHARS = 8_000_000
 
+#: Bits that address runs of the sorted keys, and slots of remembered pairs.
+_TOP, _SLOTS = 18, 20
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_MIX = np.uint64(0xFF51AFD7ED558CCD)  # spreads the keys of short pieces over the top bits
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -60,6 +65,7 @@ class Model:
     keys: np.ndarray = None
     checks: np.ndarray = None
     ids: np.ndarray = None
+    first: np.ndarray = None  # place of the first key with each value of the top bits, or after
     lengths: list[int] = field(default_factory=list)
     bigrams: np.ndarray = None
     rank: np.ndarray = None
@@ -94,16 +100,33 @@ def load(data: bytes) -> Model:
     for length, own in by_length.items():
         chars = _points([pieces[i] for i in own], length)
         ids += own
-        keys.append(_keys(chars, _BASES[0]))
+        keys.append(_keys(chars, _BASES[0]) * _MIX)
         checks.append(_keys(chars, _BASES[1]))
         bigrams += [_pair(chars[:, i], chars[:, i + 1]) for i in range(length - 1)]
     keys, checks = np.concatenate(keys), np.concatenate(checks)
     order = np.argsort(keys, kind="stable")
     m.keys, m.checks, m.ids = keys[order], checks[order], np.array(ids)[order]
+    m.first = np.searchsorted(m.keys, np.arange((1 << _TOP) + 1, dtype=np.float64) * 2.0 ** (64 - _TOP)).astype(np.int32)
     m.bigrams = np.unique(np.concatenate(bigrams))
     return m
 
 
+def _probe(m: Model, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, place): which keys are piece keys, and where. The top bits give a short run of the sorted keys."""
+    top = (keys >> np.uint64(64 - _TOP)).astype(np.int64)
+    at = m.first[top]
+    live = np.flatnonzero(at < m.first[top + 1])
+    found, places = [], []
+    at, end, keys = at[live], m.first[top[live] + 1], keys[live]
+    while len(live):
+        same = m.keys[at] == keys
+        found.append(live[same])
+        places.append(at[same])
+        more = np.flatnonzero(~same & (at + 1 < end))
+        live, at, end, keys = live[more], at[more] + 1, end[more], keys[more]
+    return (np.concatenate(found), np.concatenate(places)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.uint64) << np.uint64(21) | b.astype(np.uint64)
 
@@ -161,30 +184,30 @@ class Codec:
 
     def __init__(self, model: Model):
         self.m = model
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.words: dict[str, bytes] = {}  # the ids of a word, as int32
+        self.pair_keys, self.pair_ok = np.full(1 << _SLOTS, -1, np.int64), np.zeros(1 << _SLOTS, bool)
         self.surface = [(p.replace(SPACE, " ").encode("utf-8", "replace")) for p in model.pieces]
         for value, i in model.bytes_of.items():
             self.surface[i] = bytes([value])
         self.least = float(model.scores.min()) - UNKNOWN_PENALTY
 
     def _follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """may_follow, with a slot for each remembered pair; a newer pair takes the slot of an older one."""
         key = a * len(self.m.pieces) + b
-        own, back = np.unique(key, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.pair_keys, own), max(len(self.pair_keys) - 1, 0))
-        known = self.pair_keys[at] == own if len(self.pair_keys) else np.zeros(len(own), bool)
-        ok = np.zeros(len(own), bool)
-        ok[known] = self.pair_ok[at[known]]
-        new = own[~known]
+        slot = (key.astype(np.uint64) * _BASES[0] >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        ok = self.pair_ok[slot]
+        new = np.flatnonzero(self.pair_keys[slot] != key)
         if len(new):
-            ok[~known] = may_follow(self.m, new // len(self.m.pieces), new % len(self.m.pieces))
-            keys = np.concatenate([self.pair_keys, new]) if len(self.pair_keys) < 2_000_000 else new
-            oks = np.concatenate([self.pair_ok, ok[~known]]) if len(self.pair_keys) < 2_000_000 else ok[~known]
-            by = np.argsort(keys, kind="stable")
-            self.pair_keys, self.pair_ok = keys[by], oks[by]
-        return ok[back]
-
-    def _batch(self, words: list[str], length: int) -> list[tuple[int, ...]]:
+            own, back = np.unique(key[new], return_inverse=True)
+            fresh = may_follow(self.m, own // len(self.m.pieces), own % len(self.m.pieces))[back]
+            ok[new] = fresh
+            # pairs that meet in a slot: only the last one written is remembered, key and answer alike
+            into, last = np.unique(slot[new][::-1], return_index=True)
+            last = len(new) - 1 - last
+            self.pair_keys[into], self.pair_ok[into] = key[new][last], fresh[last]
+        return ok
+
+    def _batch(self, words: list[str], length: int) -> list[bytes]:
         """Viterbi over words of one length."""
         m, n = self.m, len(words)
         chars = _points(words, length)
@@ -197,7 +220,6 @@ class Codec:
         best = np.zeros((length + 1, n))
         last = np.full((length + 1, n), -1, np.int64)  # piece that ends here; -1: none, or unknown
         back = np.zeros((length + 1, n), np.int32)
-        every = np.arange(n)
         for i in range(1, length + 1):
             # an unknown character: one position, worse than any piece
             top = best[i - 1] + self.least
@@ -205,14 +227,11 @@ class Codec:
             for k in m.lengths:
                 if k > i:
                     break
-                key = sums[0][i] - sums[0][i - k] * powers[0][k]
-                at = np.minimum(np.searchsorted(m.keys, key), len(m.keys) - 1)
-                hit = np.flatnonzero(m.keys[at] == key)
+                hit, at = _probe(m, (sums[0][i] - sums[0][i - k] * powers[0][k]) * _MIX)
                 if not len(hit):
                     continue
-                check = sums[1][i][hit] - sums[1][i - k][hit] * powers[1][k]
-                hit = hit[m.checks[at[hit]] == check]
-                cand = m.ids[at[hit]]
+                true = m.checks[at] == sums[1][i][hit] - sums[1][i - k][hit] * powers[1][k]
+                hit, cand = hit[true], m.ids[at[true]]
                 if m.kind == BPE:
                     prev = last[i - k][hit]
                     ok = prev < 0  # at the start, or after a character that no merge crosses
@@ -226,19 +245,27 @@ class Codec:
                 hit = hit[win]
                 top[hit], piece[hit], step[hit] = score[win], cand[win], k
             best[i], last[i], back[i] = top if m.kind != BPE else 0, piece, step
-        out: list[list[int]] = [[] for _ in range(n)]
-        at = np.full(n, length)
-        while True:
-            live = every[at > 0]
-            if not len(live):
-                break
-            for w, p, i in zip(live.tolist(), last[at[live], live].tolist(), at[live].tolist()):
-                if p >= 0:
-                    out[w].append(p)
-                else:
-                    out[w] += reversed(self._unknown(words[w][i - 1]))
-            at[live] -= back[at[live], live]
-        return [tuple(reversed(x)) for x in out]
+        # back along the pointers, all words at once; -2 stands for nothing
+        at, every, path = np.full(n, length), np.arange(n), []
+        while at.any():
+            p = last[at, every]
+            p[at == 0] = -2
+            path.append(p)
+            at = at - back[at, every]
+        grid = np.array(path[::-1], np.int32).T
+        flat, ends = grid[grid > -2].tobytes(), np.cumsum((grid > -2).sum(1)) * 4
+        starts = np.concatenate([[0], ends[:-1]])
+        out = [flat[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        for w in np.flatnonzero((grid == -1).any(1)):
+            out[w] = self._with_unknown(words[w], last[:, w], back[:, w])
+        return out
+
+    def _with_unknown(self, word: str, last: np.ndarray, back: np.ndarray) -> bytes:
+        ids, i = [], len(word)
+        while i:
+            ids += [int(last[i])] if last[i] >= 0 else reversed(self._unknown(word[i - 1]))
+            i -= int(back[i])
+        return np.array(ids[::-1], np.int32).tobytes()
 
     def _unknown(self, char: str) -> list[int]:
         if not self.m.bytes_of:
@@ -255,42 +282,50 @@ class Codec:
         cuts = [0, *(np.flatnonzero(self.m.bigrams[at] != pair) + 1).tolist(), len(word)]
         return [word[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Texts are split and encoded a bounded number of characters at a time."""
+        out, part, size = [], [], 0
+        for t in texts:
+            if part and size + len(t) > CHARS:
+                out += self._encode(part)
+                part, size = [], 0
+            part.append(t)
+            size += len(t)
+        return out + self._encode(part)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         split = []
         for t in texts:
-            t = (SPACE * self.m.dummy_prefix + t.replace(" ", SPACE)) if t else ""
-            split.append([p for w in _WORDS.findall(t) for p in self._cut(w)] if len(t) > LONG else _WORDS.findall(t))
+            words = _WORDS.findall(SPACE * self.m.dummy_prefix + t.replace(" ", SPACE)) if t else []
+            if words and max(map(len, words)) > LONG:
+                words = [p for w in words for p in self._cut(w)]
+            split.append(words)
         if len(self.words) > REMEMBER:
             self.words.clear()
         known = self.words
         new: dict[int, list[str]] = {}
-        for w in {w for s in split for w in s} - known.keys():
+        for w in set().union(*split) - known.keys():
             new.setdefault(len(w), []).append(w)
         for length, words in new.items():
-            many = max(1, 4_000_000 // length)
+            many = max(1, 1_000_000 // length)
             for k in range(0, len(words), many):
                 part = words[k : k + many]
                 known.update(zip(part, self._batch(part, length)))
-        out = []
-        for s in split:
-            ids: list[int] = []
-            for w in s:
-                ids += known[w]
-            out.append(ids if self.m.bytes_of else self._joined(ids))
-        return out
+        out = [np.frombuffer(b"".join(map(known.__getitem__, s)), np.int32) for s in split]
+        return out if self.m.bytes_of else [self._joined(x) for x in out]
 
-    def _joined(self, ids: list[int]) -> list[int]:
+    def _joined(self, ids: np.ndarray) -> np.ndarray:
         """Without byte pieces a run of unknown characters is one piece."""
-        u = self.m.unknown
-        return [x for i, x in enumerate(ids) if x != u or not i or ids[i - 1] != u]
+        unknown = ids == self.m.unknown
+        return ids[~(unknown & np.concatenate([[False], unknown[:-1]]))] if len(ids) else ids
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
+    def decode(self, ids) -> str:
+        text = b"".join(map(self.surface.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
         return text[1:] if self.m.dummy_prefix and text.startswith(" ") else text
 
 
 def sentencepiece_encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL, with_ids: bool = True) -> DataFrame:
-    """The columns ``keep``, n_tokens, token_sha256 (of the ids, comma-joined), and round_trip: decoding gives the text again.
+    """The columns ``keep``, n_tokens, token_sha256 (of the ids as little-endian 32-bit integers), and round_trip: decoding gives the text again.
 
     With ``with_ids`` also ids, the tokens. Null and empty texts have no tokens and make the round trip (to the empty text).
     A text that holds U+2581 itself doesn't: the format can't tell it from a space. Repeated rows are encoded alike; an empty
@@ -312,7 +347,7 @@ def sentencepiece_encode(docs: DataFrame, *, text: str = "text", keep: tuple[str
             ids = codec.encode(texts)
             out = pdf[cols].copy()
             out["n_tokens"] = [len(x) for x in ids]
-            out["token_sha256"] = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
+            out["token_sha256"] = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]
             out["round_trip"] = [codec.decode(x) == t for x, t in zip(ids, texts)]
             if with_ids:
                 out["ids"] = ids

@@ -234,6 +234,8 @@ NEAR_WORDS, NEAR = 5, 0.8
 TABLES = 4
 #: Bits in which they may differ in all; pairs of the least similarity stay far below.
 NEAR_BITS = 64
+#: Keys of texts (some 60 bytes each) that are broadcast at most; above that texts are shuffled by their key.
+BROADCAST_TEXTS = 1_000_000
 
 
 def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = NEAR_WORDS, least: float = NEAR, tables: int = TABLES) -> tuple[DataFrame, DataFrame]:
@@ -241,8 +243,8 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
     Candidates share a key of one of several fingerprints of their distinct words (an edit changes a word or two of them, but
     ``words`` shingles); the exact Jaccard similarity of their shingle sets decides. Returns (texts, classes): texts has
-    (node, text_key, first) for each distinct text, classes (node, root) for those with a link. Null texts count
-    as empty; empty texts are copies of each other.
+    (node, text_key, first, rows, same) for each distinct text: its smallest id, its rows, and those with that id; classes
+    (node, root) for those with a link. Null texts count as empty; empty texts are copies of each other.
     """
     fps = [f"fp{t}" for t in range(tables)]
     df = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
@@ -256,7 +258,8 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
             yield pd.DataFrame(out)
 
     rows = df.mapInPandas(prints, "doc_id long, text_key binary, " + ", ".join(f"{c} long" for c in fps))
-    texts = rows.groupBy("text_key", *fps).agg(F.min("doc_id").alias("first"))
+    each = rows.groupBy("text_key", *fps, "doc_id").agg(F.count("*").alias("n"))
+    texts = each.groupBy("text_key", *fps).agg(F.min("doc_id").alias("first"), F.sum("n").alias("rows"), F.coalesce(F.min_by("n", "doc_id"), F.sum("n")).alias("same"))
     texts = save(texts.withColumn("node", F.monotonically_increasing_id()))
     pack = texts.select("node", *fps)
 
@@ -271,7 +274,8 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = save(pairs)
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        keyed = texts.join(wanted, "node").select("node", "text_key")
+        keyed = save(texts.join(wanted, "node").select("node", "text_key"))
+        keyed = F.broadcast(keyed) if keyed.count() <= BROADCAST_TEXTS else keyed
         # one row for each wanted text: its sorted shingle hashes
         sets = bodies.join(keyed, "text_key").mapInPandas(_shingle_sets(words), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
         sets = save(sets)
@@ -280,7 +284,7 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
         return both.mapInPandas(_similar(least), "a long, b long")
 
     keys = golay_keys(texts, fps, triple=False)
-    return texts.select("node", "text_key", "first"), linked(keys, verify, near)
+    return texts.select("node", "text_key", "first", "rows", "same"), linked(keys, verify, near)
 
 
 def text_key(t) -> bytes:
@@ -327,12 +331,22 @@ def drop_near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
     names = docs.columns
     texts, classes = near_copies(docs, text=text, doc_id=doc_id, **how)
     of = texts.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = F.min_by(F.struct("text_key", "first"), F.struct(F.col("first").isNull(), "first", "text_key"))
-    chosen = save(of.groupBy("root").agg(best.alias("b")).select(F.col("b.text_key").alias("__key"), _id_key(F.col("b.first")).alias("__id")))
-    # joined by text and id, so that many copies of one text are many keys
+    best = of.groupBy("root").agg(F.min_by("node", F.struct(F.col("first").isNull(), "first", "text_key")).alias("best"))
+    # texts that have one row and no class stay as they are; only the others take part in the join
+    others = of.join(best, "root").select(F.col("text_key").alias("__key"), (F.col("node") == F.col("best")).alias("__stays"), _id_key(F.col("first")).alias("__first"), (F.col("same") > 1).alias("__again"), ((F.col("rows") > 1) | (F.col("node") != F.col("best"))).alias("__special"))
+    others = save(others.where("__special").drop("__special"))
     d = docs.withColumn("__key", text_key_of(docs[text])).withColumn("__id", _id_key(docs[doc_id].cast("long")))
-    again = Window.partitionBy("__key", "__id").orderBy(F.lit(1))  # rows that repeat id and text
-    return d.join(chosen, ["__key", "__id"]).withColumn("__n", F.row_number().over(again)).where("__n = 1").select(*names)
+    if others.count() <= BROADCAST_TEXTS:
+        joined = d.join(F.broadcast(others), "__key", "left").where("__stays is null or (__stays and __id = __first)")
+    else:
+        # joined by text and id, so that many copies of one text are many keys
+        stay = others.where("__stays").withColumnRenamed("__first", "__id").select("__key", "__id", "__again", F.lit(True).alias("__stays"))
+        alone = d.join(others.select("__key").distinct(), "__key", "left_anti").withColumn("__again", F.lit(False))
+        joined = d.join(stay, ["__key", "__id"]).drop("__stays").unionByName(alone)
+    # rows that repeat id and text
+    again = F.coalesce("__again", F.lit(False))
+    repeats = joined.where(again).withColumn("__n", F.row_number().over(Window.partitionBy("__key", "__id").orderBy(F.lit(1)))).where("__n = 1")
+    return joined.where(~again).select(*names).unionByName(repeats.select(*names))
 
 
 def _id_key(col: Column) -> Column:

@@ -137,6 +137,16 @@ def test_near_copies(spark, edge, none):
     assert drop_near_copies(edge).columns == edge.columns and drop_near_copies(none).count() == 0
 
 
+def test_near_copies_without_broadcast(spark, edge, monkeypatch):
+    from quarry.llm import simhash
+
+    df = spark.createDataFrame(planted(spark, 15), "doc_id long, text string")
+    want = [sorted(map(str, drop_near_copies(x).collect())) for x in (df, edge)]
+    monkeypatch.setattr(simhash, "BROADCAST_TEXTS", -1)
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", -1)
+    assert [sorted(map(str, drop_near_copies(x).collect())) for x in (df, edge)] == want
+
+
 def test_near_copies_keeps_different(docs):
     texts, classes = near_copies(docs)
     body = {r.node: r.text for r in texts.join(docs, texts["first"] == docs.doc_id).select("node", "text").collect()}
