@@ -39,6 +39,22 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of texts that go to a Python worker at once, unless the session asks for fewer.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the rows of its session's Arrow batches: a batch of whole texts must fit beside the executor's heap.
+
+    Spark bounds a batch's bytes too, so a few very long texts are a batch of their own.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def host_key(col: Column | str) -> Column:
     """A source as a non-null key: null and '' stay apart."""
     col = F.col(col) if isinstance(col, str) else col

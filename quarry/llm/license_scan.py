@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quarry.llm.common import bounded_batches
+
 # Phrases and labels of the exact base search.
 BASE = (
     ("mit license", "mit"),
@@ -152,7 +154,7 @@ def license_scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] =
     Other columns of docs are not read.
     """
     cols = [c for c in keep]
-    df = docs.select(*(docs[c] for c in cols), docs[text].alias("__text"))
+    df = bounded_batches(docs).select(*(docs[c] for c in cols), docs[text].alias("__text"))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import save
+from quarry.llm.common import bounded_batches, save
 
 # Base kinds in order, their patterns, the group that has the value and its least length.
 BASE = (
@@ -129,7 +129,7 @@ def secret_scan(docs: DataFrame, *, text: str = "text", owner: str = "source", r
     cols = list(keep)
     owner_key = F.coalesce(F.concat(F.lit("="), docs[owner].cast("string")), F.lit("-"))
     repo_key = F.concat_ws("\x01", *(F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit("-")) for c in repo))
-    df = docs.select(*(docs[c] for c in cols), docs[text].alias("__text"), owner_key.alias("owner"), repo_key.alias("repo"))
+    df = bounded_batches(docs).select(*(docs[c] for c in cols), docs[text].alias("__text"), owner_key.alias("owner"), repo_key.alias("repo"))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name in cols)
     with_text = "`__text` string, " * (redact is not None)
     schema = f"{kept}{with_text}owner string, repo string, text_key binary, base array<struct<a:int,k:int,b:int>>, cands array<struct<value:binary,a:int,k:int,b:int>>"

@@ -22,6 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quarry.llm.common import bounded_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Fixed values of the model format.
@@ -29,9 +31,9 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNKNOWN_PENALTY = 10.0
 #: Words longer than this are cut at characters that no piece spans; words remembered by a task.
-LONG, REMEMBER = 24, 200_000
+LONG, REMEMBER = 24, 150_000
 #: Characters that are split into words at once.
-CHARS = 8_000_000
+CHARS = 4_000_000
 
 #: Bits that address runs of the sorted keys, and slots of remembered pairs.
 _TOP, _SLOTS = 18, 20
@@ -336,7 +338,7 @@ def sentencepiece_encode(docs: DataFrame, *, text: str = "text", keep: tuple[str
     with open(model, "rb") as f:
         tables = docs.sparkSession.sparkContext.broadcast(load(f.read()))
     cols = list(keep)
-    df = docs.select(*(docs[c] for c in cols), docs[text].alias("__text"))
+    df = bounded_batches(docs).select(*(docs[c] for c in cols), docs[text].alias("__text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name != "__text")
     schema += "n_tokens long, token_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import save, signed
+from quarry.llm.common import bounded_batches, save, signed
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 ERRORS = 4
@@ -211,7 +211,7 @@ def simhash_components(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     Null and wordless texts have fingerprint zero, linked like any other. component_id is the smallest id that links reach;
     null ids are no candidates for it (null if all are). Repeated rows are kept. An empty table gives an empty result.
     """
-    df = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    df = bounded_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -247,7 +247,7 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     (node, root) for those with a link. Null texts count as empty; empty texts are copies of each other.
     """
     fps = [f"fp{t}" for t in range(tables)]
-    df = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    df = bounded_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import bounded_batches
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokeniser pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -40,7 +42,7 @@ def token_lengths(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...]
     """The columns ``keep`` and n_tokens of every whole text; null and empty: 0. Texts are ordinary text, never special tokens."""
     data = docs.sparkSession.sparkContext.broadcast(ranks_of(tokenizer))  # one vocabulary: a megabyte, whatever the corpus
     cols = list(keep)
-    df = docs.select(*(docs[c] for c in cols), docs[text].alias("__text"))
+    df = bounded_batches(docs).select(*(docs[c] for c in cols), docs[text].alias("__text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name != "__text") + "n_tokens long"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
