@@ -40,7 +40,7 @@ def save(df: DataFrame) -> DataFrame:
 
 
 #: Rows of texts that go to a Python worker at once, unless the session asks for fewer.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:

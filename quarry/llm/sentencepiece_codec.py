@@ -33,7 +33,7 @@ UNKNOWN_PENALTY = 10.0
 #: Words longer than this are cut at characters that no piece spans; words remembered by a task.
 LONG, REMEMBER = 24, 150_000
 #: Characters that are split into words at once.
-CHARS = 4_000_000
+CHARS = 2_000_000
 
 #: Bits that address runs of the sorted keys, and slots of remembered pairs.
 _TOP, _SLOTS = 18, 20

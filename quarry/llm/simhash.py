@@ -277,11 +277,14 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
         keyed = save(texts.join(wanted, "node").select("node", "text_key"))
         keyed = F.broadcast(keyed) if keyed.count() <= BROADCAST_TEXTS else keyed
         # one row for each wanted text: its sorted shingle hashes
-        sets = bodies.join(keyed, "text_key").mapInPandas(_shingle_sets(words), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        sets = bodies.join(keyed, "text_key").mapInPandas(_shingle_sets(words), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
         sets = save(sets)
         side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return both.mapInPandas(_similar(least), "a long, b long")
+        # inside the JVM, a pair at a time: a batch of long texts' shingles wouldn't fit a Python worker
+        common = F.size(F.array_intersect("sa", "sb"))
+        union = F.size("sa") + F.size("sb") - common
+        return both.where((union == 0) | (common >= least * union)).select("a", "b")
 
     keys = golay_keys(texts, fps, triple=False)
     return texts.select("node", "text_key", "first", "rows", "same"), linked(keys, verify, near)
@@ -303,29 +306,14 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in own), np.uint64, len(own)))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
-
-
 def _shingle_sets(words: int):
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "shingles": [shingle_set(t if isinstance(t, str) else None, words).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"node": pdf["node"], "shingles": [shingle_set(t if isinstance(t, str) else None, words).view(np.int64) for t in pdf["text"]]})
 
     return sets
 
 
-def _similar(least: float):
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = lambda x: np.frombuffer(x, np.uint64)
-        for pdf in batches:
-            ok = [jaccard(of(x), of(y)) >= least for x, y in zip(pdf["sa"], pdf["sb"])]
-            yield pdf.loc[ok, ["a", "b"]]
-
-    return pairs
-
-
 def drop_near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """The rows of docs without copies and near copies: of each class the row with the smallest id stays (null ids last)."""
     names = docs.columns
