@@ -150,16 +150,21 @@ def tokens(norm: Column | str) -> Column:
     return F.regexp_extract_all(col(norm), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def similarity(q: Column, s: Column) -> Column:
-    """The exactness ladder of two normalised texts: equal 1, prefix either way 0.85, inside either way 0.75, else 0; null if
-    either is empty. Separator-free forms are compared first, then the texts."""
+def forms(texts: Column) -> Column:
+    """Distinct normalised texts of an array, each with its separator-free form: array of struct(t, b)."""
+    given = F.filter(F.array_distinct(F.transform(texts, normalize_text)), lambda x: x.isNotNull())
+    return F.transform(given, lambda x: F.struct(x.alias("t"), F.coalesce(compact(x), F.replace(x, F.lit(" "), F.lit(""))).alias("b")))
 
-    def bare(x: Column) -> Column:
-        return F.coalesce(compact(x), F.replace(x, F.lit(" "), F.lit("")))
 
-    a, b = bare(q), bare(s)
-    steps = F.when((q.isNull()) | (s.isNull()) | (q == "") | (s == ""), F.lit(None).cast("double"))
-    steps = steps.when((a == b) | (q == s), F.lit(1.0))
-    for x, y in ((a, b), (q, s)):
+def ladder(q: Column, s: Column) -> Column:
+    """The exactness ladder of two forms: equal 1, prefix either way 0.85, inside either way 0.75, else 0. The separator-free
+    forms are compared first, then the texts."""
+    steps = F.when((q.b == s.b) | (q.t == s.t), F.lit(1.0))
+    for x, y in ((q.b, s.b), (q.t, s.t)):
         steps = steps.when(x.startswith(y) | y.startswith(x), F.lit(0.85)).when(x.contains(y) | y.contains(x), F.lit(0.75))
     return steps.otherwise(F.lit(0.0))
+
+
+def best_similarity(queries: Column, sources: Column) -> Column:
+    """The best step over all pairs of two arrays of forms; null if either is empty."""
+    return F.array_max(F.flatten(F.transform(queries, lambda a: F.transform(sources, lambda b: ladder(a, b)))))

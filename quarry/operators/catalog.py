@@ -12,10 +12,14 @@ CANDIDATE = "struct<article_norm:string,article:string,name:string,url:string,dn
 
 
 def source_rows(rows: DataFrame) -> DataFrame:
-    """One typed, normalised row for each distinct mapping row."""
-    r = rows.dropDuplicates()
+    """One typed, normalised row for each distinct mapping row.
+
+    Rows are normalised before they are made distinct, so the branches that build documents share that exchange and its work.
+    """
     article = normalize_text("steel_article")
-    return r.select(
+    raw = F.struct(*rows.columns).alias("raw")
+    return rows.select(
+        raw,
         F.col("steel_article").alias("article"),
         F.coalesce(article, F.lit("")).alias("article_norm"),
         F.coalesce(compact(article), F.lit("")).alias("article_compact"),
@@ -43,7 +47,7 @@ def source_rows(rows: DataFrame) -> DataFrame:
             normalize_length("ld_length").alias("length_mm"),
             F.col("price_ld").cast("double").alias("price"),
         ).alias("ld"),
-    )
+    ).distinct()
 
 
 def python_text(v: Column, numeric: bool) -> Column:

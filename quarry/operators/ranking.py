@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import normalize_alias, normalize_dn, normalize_pn_bar, normalize_text, number_text, similarity
+from quarry.functions.text import best_similarity, forms, normalize_alias, normalize_text, number_text
 from quarry.operators.query_parse import PARSED
 from quarry.operators.retrieval import max_normalised
 
@@ -32,13 +32,12 @@ def query_columns(parsed: DataFrame) -> DataFrame:
     return parsed.select("query_id", *(F.col(c).alias(f"q_{c}") for c in PARSED))
 
 
-def text_exactness() -> Column:
-    """The best similarity of the query's forms (text, compact, brand, article tokens) and the document's (article forms,
-    name, brand); null if there is nothing to compare."""
-    q = F.concat(F.array("q_normalized", "q_compact", "q_brand"), F.col("q_possible_article_tokens"))
-    q = F.filter(F.array_distinct(F.transform(q, normalize_text)), lambda x: x.isNotNull())
-    s = F.filter(F.array_distinct(F.transform(F.array("article", "article_norm", "article_compact", "name", "brand"), normalize_text)), lambda x: x.isNotNull())
-    return F.array_max(F.flatten(F.transform(q, lambda a: F.transform(s, lambda b: similarity(a, b)))))
+def with_exactness(df: DataFrame) -> DataFrame:
+    """df with text_exactness: the best similarity of the query's forms (text, compact, brand, article tokens) and the
+    document's (article forms, name, brand); null if there is nothing to compare."""
+    q = forms(F.concat(F.array("q_normalized", "q_compact", "q_brand"), F.col("q_possible_article_tokens")))
+    s = forms(F.array("article", "article_norm", "article_compact", "name", "brand"))
+    return df.withColumns({"__q": q, "__s": s}).withColumn("text_exactness", best_similarity(F.col("__q"), F.col("__s"))).drop("__q", "__s")
 
 
 def mean_of_asked(checks: list[tuple[Column, Column]]) -> Column:
@@ -70,7 +69,7 @@ def rank_sources(hits: DataFrame, w: Weights = Weights(), *, unit_id: str = "doc
     Of rows with the same steel_id the best counts, the first by hit id among equals.
     """
     df = hits.withColumn("hybrid_score", max_normalised(F.col("raw_score"), ["query_id"]))
-    df = df.withColumns({"text_exactness": text_exactness(), "source_field_score": source_field_score()})
+    df = with_exactness(df).withColumn("source_field_score", source_field_score())
     df = df.withColumn("source_score", F.round(weighted([(F.col("hybrid_score"), w.hybrid), (F.col("text_exactness"), w.exactness), (F.col("source_field_score"), w.fields)]), 9))
     key = F.coalesce(F.nullif("steel_id", F.lit("")), F.nullif(F.col(unit_id).cast("string"), F.lit("")), F.col("article"))
     best = Window.partitionBy("query_id", "__key").orderBy(F.desc("source_score"), F.desc_nulls_last("raw_score"), F.col(unit_id))

@@ -27,15 +27,11 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def small(df: DataFrame, rows: int) -> bool:
+def small(df: DataFrame, rows: int = BROADCAST_TERMS) -> bool:
     """Whether df has at most so many rows."""
     return df.count() <= rows
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
-    return F.broadcast(df) if small(df, rows) else df
-
-
 # -- lexical --------------------------------------------------------------------------------------------------
 
 
@@ -51,6 +47,11 @@ def build_postings(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame,
     return postings, t.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("dl"))
 
 
+def document_frequency(tf: DataFrame) -> DataFrame:
+    """(term, df). The count reads tf, so that its exchange is the one that the scores read, and is reused."""
+    return tf.groupBy("term").agg(F.sum(F.least(F.col("tf"), F.lit(1))).alias("df"))
+
+
 def bm25_scores(matches: DataFrame, stats: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) from matches (query_id, term, doc_id, tf, dl, df) and stats (n, avgdl: one row)."""
     m = matches.join(F.broadcast(stats))
@@ -65,13 +66,12 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", te
     Tokens that no query has are dropped right after the split; what is left is counted per document. Scores have six places.
     """
     terms = query_terms(queries, query_id, query)
-    wanted = maybe_broadcast(terms.select("term").distinct())
+    few = small(terms)  # the joins below give no more rows than terms has
+    near = F.broadcast if few else lambda df: df
     t = docs.select(F.col(doc_id).alias("doc_id"), tokens(normalize_text(text)).alias("tokens")).withColumn("dl", F.coalesce(F.size("tokens"), F.lit(0)).cast("long"))
     stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = t.select("doc_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df, "term")
-    scores = bm25_scores(tf.join(maybe_broadcast(weighted), "term"), stats, k1=k1, b=b)
+    tf = t.select("doc_id", "dl", F.explode("tokens").alias("term")).join(near(terms.select("term").distinct()), "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    scores = bm25_scores(tf.join(near(terms.join(document_frequency(tf), "term")), "term"), stats, k1=k1, b=b)
     scores = scores.withColumn("score", F.round("score", 6))
     return top(scores, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
@@ -79,9 +79,9 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", te
 def bm25_index_topk(postings: DataFrame, lengths: DataFrame, terms: DataFrame, *, k: int = PREFETCH, k1: float = K1, b: float = B) -> DataFrame:
     """The same from a stored index: postings are filtered by the query terms before anything else."""
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hit = postings.join(maybe_broadcast(terms.select("term").distinct()), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    matches = hit.join(maybe_broadcast(terms.join(df, "term")), "term").join(lengths, "doc_id")
+    near = F.broadcast if small(terms) else lambda df: df
+    hit = postings.join(near(terms.select("term").distinct()), "term", "left_semi")
+    matches = hit.join(near(terms.join(document_frequency(hit), "term")), "term").join(lengths, "doc_id")
     scores = bm25_scores(matches, stats, k1=k1, b=b).withColumn("score", F.round("score", 6))
     return top(scores, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
@@ -115,7 +115,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id"
         if not rows and i:
             continue
         names = [r.query_id for r in rows]
-        matrix = unit(np.array([r.v for r in rows], np.float64).reshape(len(rows), -1))
+        matrix = unit(np.array([r.v for r in rows], np.float64).reshape(len(rows), width))
         sent = sc.broadcast((names, matrix))
 
         def score(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:

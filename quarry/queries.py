@@ -170,9 +170,16 @@ def query_parse(spark, sf_dir):
     return p.select("query_id", "normalized", "compact", "semantic_text", "lexical_text", F.array_join("possible_article_tokens", "|").alias("tokens"), "brand", "dn", "pn_bar", "connection", "medium", "control")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder, as an index has it."""
+    path = _shared(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _hits(spark, sf_dir) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    parsed = parse_queries(inline_queries(spark))
+    docs = stored(documents(spark, sf_dir))
+    parsed = stored(parse_queries(inline_queries(spark)))
     hits = retrieval.bm25_topk(docs.select("steel_id", "lexical_text"), parsed.select("query_id", "lexical_text"), doc_id="steel_id", text="lexical_text", query="lexical_text")
     return engine.attach(hits, parsed, docs, doc_id="steel_id")
 
@@ -182,7 +189,7 @@ def _sources(spark, sf_dir) -> DataFrame:
 
 
 def text_exactness(spark, sf_dir):
-    return _hits(spark, sf_dir).select("query_id", "doc_id", ranking.text_exactness().alias("text_exactness"))
+    return ranking.with_exactness(_hits(spark, sf_dir)).select("query_id", "doc_id", "text_exactness")
 
 
 def field_score(spark, sf_dir):
