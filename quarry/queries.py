@@ -333,6 +333,7 @@ ide AS (SELECT i AS size, sum(1.0::DOUBLE / log2(i + 1)) OVER (ORDER BY i) AS id
 pq AS (SELECT sz.query_id, category, sz.size, coalesce(hits, 0) / sz.size::DOUBLE AS recall, coalesce(hits, 0) / 20.0::DOUBLE AS precision, coalesce(dcg, 0) / ideal AS ndcg, coalesce(1.0::DOUBLE / first, 0) AS rr, EXISTS (SELECT 1 FROM bm WHERE bm.query_id = sz.query_id) AS answered
   FROM sz LEFT JOIN hit USING (query_id) LEFT JOIN ide ON ide.size = least(sz.size, 20))"""
 _reasons, _wrong = S.messages()
+_source_reasons, _source_wrong = S.source_messages()
 _ALIAS = lambda c, d: f"WITH {S.CAT} SELECT {c} AS value, count(*)::BIGINT AS n, {S.alias(S.norm(c), d)} AS canonical FROM cat GROUP BY 1"
 
 ORACLE: dict[str, str] = {
@@ -345,6 +346,7 @@ SELECT count(*)::BIGINT AS rows, 20::INTEGER AS columns, (count(*) - (SELECT cou
   array_to_string(list_sort(list(DISTINCT ld_name))[:5], '|') AS ld_names FROM cat GROUP BY 1) SELECT * FROM t WHERE distinct_ld_articles > 1 ORDER BY steel_article LIMIT 20""",
     "profile_conflict_count": f"WITH {S.CAT} SELECT count(*)::BIGINT AS conflicting_steel_articles FROM (SELECT steel_article FROM cat GROUP BY 1 HAVING count(DISTINCT ld_article) > 1)",
     "norm_text": f"SELECT doc_id, sha1({S.norm('text')}) AS text_sha1 FROM documents",
+    "norm_text_exact": f"SELECT doc_id, sha1({S.norm('text')}) AS text_sha1 FROM documents",
     "norm_article": f"WITH {S.CAT} SELECT DISTINCT steel_article AS raw, {_N} AS norm, {S.bare(_N)} AS compact FROM cat",
     "norm_brand": _ALIAS("steel_name", "brand"),
     "norm_connection": _ALIAS("steel_connection", "connection"),
@@ -373,6 +375,7 @@ SELECT steel_id, article, article_norm, article_compact, name, array_to_string(n
     "ld_rank": f"WITH {S.HITS}, {S.SOURCES}, {S.CANDS} SELECT query_id, rank, ld_key, final_score AS score, source_score FROM best WHERE rank <= 20",
     "ld_evidence": f"WITH {S.HITS}, {S.SOURCES}, {S.CANDS}, {S.EVIDENCE} SELECT query_id, ld_key, source_rank, article AS source_article, source_score FROM ev WHERE place <= 3",
     "match_reasons": f"WITH {S.HITS}, {S.SOURCES}, {S.CANDS} SELECT query_id, ld_key, {_reasons} AS reasons, {_wrong} AS mismatches FROM best",
+    "source_reasons": f"WITH {S.HITS}, {S.SOURCES} SELECT query_id, doc_id, {_source_reasons} AS reasons, {_source_wrong} AS mismatches FROM sources",
     "eval_dataset": _EVAL,
     "eval_metrics": f"""{_JUDGED} SELECT count(*)::BIGINT AS query_count, count(*) FILTER (size > 0)::BIGINT AS evaluated_retrieval_queries, round(coalesce(avg(recall) FILTER (size > 0), 0), 9) AS recall, round(coalesce(avg(precision) FILTER (size > 0), 0), 9) AS precision,
   round(coalesce(avg(ndcg) FILTER (size > 0), 0), 9) AS ndcg, round(coalesce(avg(rr) FILTER (size > 0), 0), 9) AS mrr, round(coalesce(avg(answered::INTEGER::DOUBLE) FILTER (size = 0), 0), 9) AS no_match_fp_rate FROM pq""",

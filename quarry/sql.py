@@ -254,3 +254,21 @@ def messages() -> tuple[str, str]:
     join = lambda xs: f"array_to_string(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL), '; ')"
     only = f"CASE WHEN ld_field_score IS NULL AND {join(reasons)} = '' THEN 'LD-кандидат ' || {norm('ld_article')} ELSE {join(reasons)} END"
     return only, join(wrong)
+
+
+def source_messages() -> tuple[str, str]:
+    reasons = [
+        f"CASE WHEN text_exactness >= 1.0 THEN 'Найден товар с артикулом ' || {norm('article')} WHEN text_exactness >= 0.85 THEN 'Есть сильное текстовое совпадение с артикулом ' || {norm('article')} WHEN text_exactness >= 0.75 THEN 'Есть текстовое совпадение с наименованием ' || {norm('name')} END",
+        "CASE WHEN brand = q_brand THEN 'Совпадает бренд ' || q_brand END",
+    ]
+    wrong = ["CASE WHEN q_brand IS NOT NULL AND brand IS DISTINCT FROM q_brand THEN 'Бренд: ожидался ' || q_brand || ', найден ' || coalesce(brand, 'не указан') END"]
+    for f, label in (("dn", "DN"), ("pn_bar", "PN")):
+        q = f"q_{f}"
+        reasons.append(f"CASE WHEN {f} = {q} THEN 'Совпадает {label} ' || {g(q)} END")
+        wrong.append(f"CASE WHEN {q} IS NULL THEN NULL WHEN {f} IS NULL THEN '{label}: ожидался ' || {g(q)} || ', но поле не указано' WHEN {f} <> {q} THEN '{label}: ожидался ' || {g(q)} || ', найден ' || {g(f)} END")
+    for f, label, start, word, none in (("connection", "присоединение", "Присоединение: ожидалось ", "найден", "не указано"), ("medium", "среда", "Среда: ожидалась ", "найден", "не указана"), ("control", "управление", "Управление: ожидалось ", "найдено", "не указано")):
+        q = f"q_{f}"
+        reasons.append(f"CASE WHEN {f} = {q} THEN 'Совпадает {label} ' || {q} END")
+        wrong.append(f"CASE WHEN {q} IS NOT NULL AND {f} IS DISTINCT FROM {q} THEN '{start}' || {q} || ', {word} ' || coalesce({f}, '{none}') END")
+    join = lambda xs: f"array_to_string(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL), '; ')"
+    return join(reasons), f"CASE WHEN source_field_score < 1.0 AND {join(wrong)} = '' THEN 'Часть структурных полей не совпадает' ELSE {join(wrong)} END"

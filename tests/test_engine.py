@@ -228,3 +228,25 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(3, "c")], "doc_id long, text string").write.mode("append").parquet(f"{tmp_path}/in")
     assert ingest_once(spark, f"{tmp_path}/in", f"{tmp_path}/index").count() == 3
     assert spark.read.parquet(f"{tmp_path}/index/postings").count() == 3
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    import csv
+    import json
+
+    from quarry.__main__ import main
+
+    with open(tmp_path / "m.csv", "w", newline="") as f:
+        w = csv.writer(f)
+        w.writerow(mapping.COLUMNS)
+        w.writerows([(BASE | x)[c] for c in mapping.COLUMNS] for x in GROUPED)
+    where = str(tmp_path)
+    assert main(["profile", "--csv", f"{where}/m.csv", "--output", f"{where}/profile.json"]) == 0
+    assert json.loads((tmp_path / "profile.json").read_text())["rows"] == 5
+    assert main(["eval-set", "--csv", f"{where}/m.csv", "--output", f"{where}/queries"]) == 0
+    assert mapping.read_queries(spark, f"{where}/queries").count() == 24
+    assert main(["evaluate", "--csv", f"{where}/m.csv", "--queries", f"{where}/queries", "--root", f"{where}/root", "--output", f"{where}", "--dimension", "32", "0"]) == 0
+    results = json.loads((tmp_path / "results.json").read_text())
+    assert results["selected_model"] == "hashing-32" and [r["status"] for r in results["results"]] == ["completed", "failed"]
+    assert results["results"][0]["recall"] > 0.5 and results["results"][0]["per_category_recall"]["exact_article"] == 1.0
+    assert "Winner: hashing-32" in (tmp_path / "comparison.md").read_text()
