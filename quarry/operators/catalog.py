@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import blank_to_null, compact, distinct_parts, from_alias, labelled, normalize_alias, normalize_dn, normalize_length, normalize_pn_bar, normalize_text, number_text
+from quarry.functions.text import compact, distinct_parts, from_alias, labelled, normalize_alias, normalize_dn, normalize_length, normalize_pn_bar, normalize_text, number_text
 
 KEY = ("article_compact", "name_norm", "dn", "pn_bar", "connection", "control")
 CANDIDATE = "struct<article_norm:string,article:string,name:string,url:string,dn:double,pn_bar:double,connection:string,medium:string,control:string,temperature:string,length_mm:double,price:double>"
@@ -68,9 +68,14 @@ def _pick(v: Column, n: Column, numeric: bool) -> Column:
     return F.min_by(v, F.when(v.isNotNull(), F.struct(-n, python_text(v, numeric))))
 
 
-def _canonical_all(df: DataFrame, by: list[str], fields: dict[str, tuple[Column, bool]]) -> DataFrame:
-    """Canonical values of many fields in two aggregations: rows are unpivoted to (field, value), counted, and picked."""
+def _canonical_all(df: DataFrame, by: list[str], fields: dict[str, tuple[Column, bool]], *, variants_of: str | None = None) -> DataFrame:
+    """Canonical values of many fields in two aggregations: rows are unpivoted to (field, value), counted, and picked.
+
+    With ``variants_of`` also ``variants``: all distinct non-empty values of that field, sorted.
+    """
     names = list(fields)
+    # a value that is never picked keeps groups whose fields are all null
+    fields = fields | {"": (F.lit(""), False)}
     entries = [F.struct(F.lit(i).alias("f"), (c.cast("string")).alias("v"), (c if numeric else F.lit(None)).cast("double").alias("d")) for i, (c, numeric) in enumerate(fields.values())]
     long = df.select(*by, F.explode(F.array(*entries)).alias("e")).where("e.v is not null").select(*by, "e.f", "e.v", "e.d")
     counts = long.groupBy(*by, "f", "v", "d").agg(F.count("*").alias("n"))
@@ -79,6 +84,8 @@ def _canonical_all(df: DataFrame, by: list[str], fields: dict[str, tuple[Column,
         numeric = fields[name][1]
         v = F.col("d") if numeric else F.col("v")
         out.append(F.min_by(v, F.when(F.col("f") == i, F.struct(-F.col("n"), python_text(v, numeric)))).alias(name))
+    if variants_of:
+        out.append(F.array_sort(F.collect_list(F.when((F.col("f") == names.index(variants_of)) & (F.col("v") != ""), F.col("v")))).alias("variants"))
     return counts.groupBy(*by).agg(*out)
 
 
@@ -145,14 +152,13 @@ def source_documents(rows: DataFrame) -> DataFrame:
         "c_temperature": (F.col("temperature"), False),
         "c_length": (F.col("length_mm"), True),
     }
-    head = _canonical_all(src, by, fields)
-    names = src.groupBy(*by).agg(F.array_sort(F.collect_set(blank_to_null(F.col("name")))).alias("variants"))
+    head = _canonical_all(src, by, fields, variants_of="c_name")
     cand = ld_candidates(src)
     entry = F.struct(F.col("ld_article_norm").alias("article_norm"), *(F.col(f"ld_{n}").alias(n) for n in ("article", "name", "url", "dn", "pn_bar", "connection", "medium", "control", "temperature", "length_mm", "price")))
     nested = cand.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("ld_candidates"))
     nulls = [F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in by]
     key = F.concat_ws("\x01", *nulls).alias("__k")
-    d = names.select(key, "*").join(head.select(key, *fields), "__k", "left").join(nested.select(key, "ld_candidates"), "__k", "left")
+    d = head.select(key, "*").join(nested.select(key, "ld_candidates"), "__k", "left")
     name = F.coalesce("c_name", F.lit(""))
     d = d.withColumns({"c_name": name, "brand": from_alias(normalize_text(name), "brand"), "norm": normalize_text("c_article")})
     variants = F.when(F.size("variants") > 0, F.col("variants")).otherwise(F.array("c_name"))
