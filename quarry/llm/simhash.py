@@ -168,11 +168,13 @@ def components(edges: DataFrame) -> DataFrame:
     return save(e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
 
 
-def linked(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+def linked(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, *, sketches: Callable[[], DataFrame] | None = None, likely: Callable[[Column, Column], Column] | None = None, random_nodes: bool = False) -> DataFrame:
     """(node, root) of the components that verified pairs of nodes with a common key form.
 
     verify keeps the true ones of distinct pairs (a, b); near is a cheap condition that true pairs always meet, applied inside
-    joins. Nodes without a link are left out.
+    joins. sketches gives (node, sketch) after the first verification, and likely compares two of them inside the join of
+    what is left; a node without a sketch passes. With random_nodes (ids spread over all 64 bits) large buckets of equal
+    members, told by their number, ends and exclusive or, are one bucket. Nodes without a link are left out.
     """
     buckets = save(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor("node").alias("x")).where("lo < hi"))
     third = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
@@ -180,6 +182,8 @@ def linked(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Call
     lo, hi = F.col("lo"), F.col("hi")
     first = buckets.select(F.explode(F.when(F.col("n") == 3, F.array(pair(lo, hi), pair(lo, third), pair(hi, third))).otherwise(F.array(pair(lo, hi)))).alias("p")).select("p.*")
     big = buckets.where("n > 3").select("key", "lo", "hi")
+    if random_nodes:
+        big = save(buckets.where("n > 3").groupBy("n", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "lo", "hi"))
     few_keys = big.count() <= BROADCAST_KEYS
     members = save(keys.join(F.broadcast(big) if few_keys else big, "key"))
     to = lambda hub: members.select(pair(F.col("node"), hub).alias("p")).select("p.*").where("a < b").distinct()
@@ -193,7 +197,14 @@ def linked(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Call
     mixed = sizes.groupBy("key").agg(F.count("*").alias("roots")).where("roots > 1").select("key")
     minor = sizes.join(mixed, "key").withColumn("r", F.row_number().over(top)).where("r > 1").select("key", F.col("root").alias("ra"))
     few = m.join(minor, (m.key == minor.key) & (m.root == minor.ra)).select(m.key, F.col("node").alias("na"), "ra")
-    cross = few.join(m.select(F.col("key").alias("kb"), F.col("node").alias("nb"), F.col("root").alias("rb")), F.col("key") == F.col("kb")).where("ra <> rb")
+    every = m.join(mixed, "key").select(F.col("key").alias("kb"), F.col("node").alias("nb"), F.col("root").alias("rb"))
+    on = (F.col("key") == F.col("kb")) & (F.col("ra") != F.col("rb"))
+    if sketches is not None:
+        known = sketches()
+        few = few.join(known.select(F.col("node").alias("na"), F.col("sketch").alias("sa")), "na", "left")
+        every = every.join(known.select(F.col("node").alias("nb"), F.col("sketch").alias("sb")), "nb", "left")
+        on = on & F.coalesce(likely(F.col("sa"), F.col("sb")), F.lit(True))
+    cross = few.join(every, on)
     rest = save(verify(near(cross.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))).distinct()))
     return components(edges.unionByName(rest)) if rest.limit(1).count() else roots
 
@@ -260,7 +271,8 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     rows = df.mapInPandas(prints, "doc_id long, text_key binary, " + ", ".join(f"{c} long" for c in fps))
     each = rows.groupBy("text_key", *fps, "doc_id").agg(F.count("*").alias("n"))
     texts = each.groupBy("text_key", *fps).agg(F.min("doc_id").alias("first"), F.sum("n").alias("rows"), F.coalesce(F.min_by("n", "doc_id"), F.sum("n")).alias("same"))
-    texts = save(texts.withColumn("node", F.monotonically_increasing_id()))
+    # an id is mixed over all bits by XXH64, which is one to one on eight bytes
+    texts = save(texts.withColumn("node", F.xxhash64(F.monotonically_increasing_id())))
     pack = texts.select("node", *fps)
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -269,6 +281,7 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
         bits = sum((distance(F.col(f"fa.{c}"), F.col(f"fb.{c}")) for c in fps[1:]), distance(F.col(f"fa.{fps[0]}"), F.col(f"fb.{fps[0]}")))
         return both.where(bits <= NEAR_BITS).select("a", "b")
 
+    compared: list[DataFrame] = []
     bodies = df.select("text", text_key_of(F.col("text")).alias("text_key"))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -277,8 +290,9 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
         keyed = save(texts.join(wanted, "node").select("node", "text_key"))
         keyed = F.broadcast(keyed) if keyed.count() <= BROADCAST_TEXTS else keyed
         # one row for each wanted text: its sorted shingle hashes
-        sets = bodies.join(keyed, "text_key").mapInPandas(_shingle_sets(words), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        sets = bodies.join(keyed, "text_key").mapInPandas(_shingle_sets(words), "node long, shingles array<long>, sketch array<byte>").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
         sets = save(sets)
+        compared.append(sets)
         side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         # inside the JVM, a pair at a time: a batch of long texts' shingles wouldn't fit a Python worker
@@ -287,7 +301,23 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
         return both.where((union == 0) | (common >= least * union)).select("a", "b")
 
     keys = golay_keys(texts, fps, triple=False)
-    return texts.select("node", "text_key", "first", "rows", "same"), linked(keys, verify, near)
+    return texts.select("node", "text_key", "first", "rows", "same"), linked(keys, verify, near, sketches=lambda: compared[0].select("node", "sketch"), likely=lambda a, b: likely(a, b, least), random_nodes=True)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """One-permutation minimum hashing of sorted distinct hashes: for each value of the top byte the smallest hash, as a byte; 0 for none."""
+    out = np.zeros(256, np.uint8)
+    bins, first = np.unique(hashes >> np.uint64(56), return_index=True)
+    out[bins] = hashes[first] % np.uint64(255) + np.uint64(1)
+    return out.view(np.int8)
+
+
+def likely(a: Column, b: Column, least: float) -> Column:
+    """Whether two sketches allow a similarity of ``least``: four standard deviations of its estimate are granted."""
+    true = lambda x: x
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != 0) & (x == y)), true))
+    either = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != 0) | (y != 0)), true))
+    return same >= least * either - 4 * F.sqrt(least * (1 - least) * either)
 
 
 def text_key(t) -> bytes:
@@ -309,7 +339,8 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 def _shingle_sets(words: int):
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "shingles": [shingle_set(t if isinstance(t, str) else None, words).view(np.int64) for t in pdf["text"]]})
+            own = [shingle_set(t if isinstance(t, str) else None, words) for t in pdf["text"]]
+            yield pd.DataFrame({"node": pdf["node"], "shingles": [x.view(np.int64) for x in own], "sketch": [sketch(x) for x in own]})
 
     return sets
 

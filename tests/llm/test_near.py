@@ -180,3 +180,22 @@ def test_topk(spark, monkeypatch):
             monkeypatch.setattr(t, name, x)
         assert Counter(map(tuple, topk_search(df, is_query=F.col("vec_id") % 50 == 0).collect())) == brute_topk(rows)
     assert topk_search(df.limit(0), is_query=F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_sketches(spark):
+    from quarry.llm.simhash import likely, sketch
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(300):
+        n = int(rng.integers(1, 600))
+        both = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        own = [np.unique(np.concatenate([both, rng.integers(0, 2**64, int(rng.integers(0, n // 9 + 1)), dtype=np.uint64)])) for _ in range(2)]
+        far = np.unique(np.concatenate([both, rng.integers(0, 2**64, 2 * n, dtype=np.uint64)]))
+        j = len(np.intersect1d(*own)) / len(np.union1d(*own))
+        rows.append((i, sketch(own[0]).tolist(), sketch(own[1]).tolist(), sketch(far).tolist(), j, n))
+    df = spark.createDataFrame(rows, "i long, a array<byte>, b array<byte>, far array<byte>, j double, n int").withColumns({"near": likely(F.col("a"), F.col("b"), 0.8), "out": likely(F.col("a"), F.col("far"), 0.8)})
+    got = df.collect()
+    assert all(r.near for r in got if r.j >= 0.8) and not any(r.out for r in got if r.n > 100)
+    empty = np.zeros(0, np.uint64)
+    assert not sketch(empty).any()
