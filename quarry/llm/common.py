@@ -26,12 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def save(df: DataFrame) -> DataFrame:
+def save(df: DataFrame, *, compact: bool = False) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back.
 
-    The files survive the loss of an executor; they are removed when the driver's JVM ends.
+    The files survive the loss of an executor; they are removed when the driver's JVM ends. ``compact`` is for tables of few bytes
+    a row: their rows are dealt to two tasks a core first, since each file costs an executor the start of a few processes where
+    the file system sets permissions by a shell.
     """
     spark = df.sparkSession
+    if compact:
+        df = df.repartition(2 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -86,7 +86,7 @@ def source_targets(rows: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most:
     """(source, source_size, n, place, target) from rows (source, size): min(most x size, level x weight), all targets together the corpus."""
     stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     order = [F.col("source").asc_nulls_last()]
-    placed = save(stats.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mid", F.monotonically_increasing_id()))
+    placed = save(stats.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mid", F.monotonically_increasing_id()), compact=True)
     # place in code point order: rows before in the partition, plus those of the partitions before (one row for each)
     part = F.shiftright("mid", 33)
     parts = sorted((r.part, r.n) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
@@ -126,9 +126,9 @@ def cube_mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc
     """
     of = n_words(docs[text]) if size is None else size
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[source].alias("source"), of.cast("long").alias("size"))
-    units = save(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("c")))
+    units = save(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("c")), compact=True)
     stats = source_targets(units.select("source", (F.col("size") * F.col("c")).alias("size"), "c"), weights=weights, most=most)
-    stats = save(stats)
+    stats = save(stats, compact=True)
     few = stats.count() <= BROADCAST_SOURCES
     joined = units.join(F.broadcast(stats) if few else stats, units.source.eqNullSafe(stats.source)).drop(stats.source)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -146,7 +146,7 @@ def cube_mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc
     blocks_left = int(stats.agg(F.max(blocks)).first()[0] or 0)
     done, level = None, 0
     while True:
-        flown = save(_flights(u, seed, level, blocks_left <= 1))
+        flown = save(_flights(u, seed, level, blocks_left <= 1), compact=True)
         decided = flown if blocks_left <= 1 else flown.where("pi <= 0 or pi >= 1")
         done = decided if done is None else done.unionByName(decided)
         if blocks_left <= 1:

@@ -113,7 +113,7 @@ def quality_rules(docs: DataFrame, *, text: str = "text", host: str = "source",
     A line stays in the documents whose id is the smallest one that holds it in the host; where all ids of a line are
     null it stays everywhere. Rows that repeat are judged alike; an empty table gives an empty result.
     """
-    lines = save(boilerplate(bounded_batches(docs), text=text, host=host, doc_id=doc_id, least_docs=least_docs, share=share))
+    lines = save(boilerplate(bounded_batches(docs), text=text, host=host, doc_id=doc_id, least_docs=least_docs, share=share), compact=True)
     few = lines.count() <= BROADCAST_LINES
     by_host = lines.groupBy("host").agg(F.collect_list("line").alias("__lines"), F.collect_list(F.coalesce("first", F.lit(-(2**63)))).alias("__firsts"))
     cols = list(keep)

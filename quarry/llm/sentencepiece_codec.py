@@ -309,7 +309,7 @@ class Codec:
         for w in set().union(*split) - known.keys():
             new.setdefault(len(w), []).append(w)
         for length, words in new.items():
-            many = max(1, 1_000_000 // length)
+            many = max(1, 500_000 // length)
             for k in range(0, len(words), many):
                 part = words[k : k + many]
                 known.update(zip(part, self._batch(part, length)))

@@ -36,6 +36,8 @@ ERRORS = 4
 GENERATOR = 0b101011100011
 SHINGLE_WORDS = 4
 SEED = 42
+#: Edges that are written by a task, while components are formed.
+COMPONENT_ROWS = 1_000_000
 #: Keys of large buckets (24 bytes each) that are broadcast at most; above that their members come from a shuffled join.
 BROADCAST_KEYS = 2_000_000
 
@@ -152,7 +154,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds until nothing changes; each round is written to the shared folder.
     """
-    e = save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    files = lambda n: max(1, -(-n // COMPONENT_ROWS))
+    parts = files(edges.count())
+    e = save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().coalesce(parts))
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -160,12 +164,12 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = save(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        e = save(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct().coalesce(parts))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark = now
-    return save(e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+        mark, parts = now, files(now[0])
+    return save(e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()).coalesce(parts))
 
 
 def linked(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, *, sketches: Callable[[], DataFrame] | None = None, likely: Callable[[Column, Column], Column] | None = None, random_nodes: bool = False) -> DataFrame:
@@ -176,23 +180,23 @@ def linked(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Call
     what is left; a node without a sketch passes. With random_nodes (ids spread over all 64 bits) large buckets of equal
     members, told by their number, ends and exclusive or, are one bucket. Nodes without a link are left out.
     """
-    buckets = save(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor("node").alias("x")).where("lo < hi"))
+    buckets = save(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor("node").alias("x")).where("lo < hi"), compact=True)
     third = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
     pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     lo, hi = F.col("lo"), F.col("hi")
     first = buckets.select(F.explode(F.when(F.col("n") == 3, F.array(pair(lo, hi), pair(lo, third), pair(hi, third))).otherwise(F.array(pair(lo, hi)))).alias("p")).select("p.*")
     big = buckets.where("n > 3").select("key", "lo", "hi")
     if random_nodes:
-        big = save(buckets.where("n > 3").groupBy("n", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "lo", "hi"))
+        big = save(buckets.where("n > 3").groupBy("n", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "lo", "hi"), compact=True)
     few_keys = big.count() <= BROADCAST_KEYS
-    members = save(keys.join(F.broadcast(big) if few_keys else big, "key"))
+    members = save(keys.join(F.broadcast(big) if few_keys else big, "key"), compact=True)
     to = lambda hub: members.select(pair(F.col("node"), hub).alias("p")).select("p.*").where("a < b").distinct()
     hubs = to(lo).unionByName(to(hi))
-    edges = save(verify(near(first.unionByName(hubs)).distinct()))
+    edges = save(verify(near(first.unionByName(hubs)).distinct()), compact=True)
     roots = components(edges)
     # what is left: pairs of different components in a bucket; at least one of the two is outside the largest
     m = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    sizes = save(m.groupBy("key", "root").agg(F.count("*").alias("n")))
+    sizes = save(m.groupBy("key", "root").agg(F.count("*").alias("n")), compact=True)
     top = Window.partitionBy("key").orderBy(F.desc("n"), "root")
     mixed = sizes.groupBy("key").agg(F.count("*").alias("roots")).where("roots > 1").select("key")
     minor = sizes.join(mixed, "key").withColumn("r", F.row_number().over(top)).where("r > 1").select("key", F.col("root").alias("ra"))
@@ -205,7 +209,7 @@ def linked(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Call
         every = every.join(known.select(F.col("node").alias("nb"), F.col("sketch").alias("sb")), "nb", "left")
         on = on & F.coalesce(likely(F.col("sa"), F.col("sb")), F.lit(True))
     cross = few.join(every, on)
-    rest = save(verify(near(cross.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))).distinct()))
+    rest = save(verify(near(cross.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))).distinct()), compact=True)
     return components(edges.unionByName(rest)) if rest.limit(1).count() else roots
 
 
@@ -229,8 +233,8 @@ def simhash_components(docs: DataFrame, *, text: str = "text", doc_id: str = "do
             fp = [fingerprint(shingles(t if isinstance(t, str) else None, shingle_words)) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array(fp, np.int64)})
 
-    rows = save(df.mapInPandas(prints, "doc_id long, fp long"))
-    nodes = save(rows.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("first")))
+    rows = save(df.mapInPandas(prints, "doc_id long, fp long"), compact=True)
+    nodes = save(rows.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("first")), compact=True)
     true = lambda pairs: pairs.where(distance(F.col("a"), F.col("b")) <= ERRORS)
     roots = linked(golay_keys(nodes.withColumn("fp", F.col("node")), ["fp"]), lambda pairs: pairs, true)
     of = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
@@ -272,6 +276,7 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     each = rows.groupBy("text_key", *fps, "doc_id").agg(F.count("*").alias("n"))
     texts = each.groupBy("text_key", *fps).agg(F.min("doc_id").alias("first"), F.sum("n").alias("rows"), F.coalesce(F.min_by("n", "doc_id"), F.sum("n")).alias("same"))
     # an id is mixed over all bits by XXH64, which is one to one on eight bytes
+    texts = texts.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
     texts = save(texts.withColumn("node", F.xxhash64(F.monotonically_increasing_id())))
     pack = texts.select("node", *fps)
 
@@ -285,9 +290,9 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     bodies = df.select("text", text_key_of(F.col("text")).alias("text_key"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = save(pairs)
+        pairs = save(pairs, compact=True)
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        keyed = save(texts.join(wanted, "node").select("node", "text_key"))
+        keyed = save(texts.join(wanted, "node").select("node", "text_key"), compact=True)
         keyed = F.broadcast(keyed) if keyed.count() <= BROADCAST_TEXTS else keyed
         # one row for each wanted text: its sorted shingle hashes
         sets = bodies.join(keyed, "text_key").mapInPandas(_shingle_sets(words), "node long, shingles array<long>, sketch array<byte>").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
@@ -353,7 +358,7 @@ def drop_near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
     best = of.groupBy("root").agg(F.min_by("node", F.struct(F.col("first").isNull(), "first", "text_key")).alias("best"))
     # texts that have one row and no class stay as they are; only the others take part in the join
     others = of.join(best, "root").select(F.col("text_key").alias("__key"), (F.col("node") == F.col("best")).alias("__stays"), _id_key(F.col("first")).alias("__first"), (F.col("same") > 1).alias("__again"), ((F.col("rows") > 1) | (F.col("node") != F.col("best"))).alias("__special"))
-    others = save(others.where("__special").drop("__special"))
+    others = save(others.where("__special").drop("__special"), compact=True)
     d = docs.withColumn("__key", text_key_of(docs[text])).withColumn("__id", _id_key(docs[doc_id].cast("long")))
     if others.count() <= BROADCAST_TEXTS:
         joined = d.join(F.broadcast(others), "__key", "left").where("__stays is null or (__stays and __id = __first)")
