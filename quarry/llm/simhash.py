@@ -21,6 +21,7 @@ folder after each round.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ ERRORS = 4
 GENERATOR = 0b101011100011
 SHINGLE_WORDS = 4
 SEED = 42
+#: Turns in which what the first hubs leave is tried against another member, before all pairs of it are.
+HUB_TURNS = 2
 #: Edges that are written by a task, while components are formed.
 COMPONENT_ROWS = 1_000_000
 #: Keys of large buckets (24 bytes each) that are broadcast at most; above that their members come from a shuffled join.
@@ -194,23 +197,39 @@ def linked(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Call
     hubs = to(lo).unionByName(to(hi))
     edges = save(verify(near(first.unionByName(hubs)).distinct()), compact=True)
     roots = components(edges)
-    # what is left: pairs of different components in a bucket; at least one of the two is outside the largest
-    m = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    sizes = save(m.groupBy("key", "root").agg(F.count("*").alias("n")), compact=True)
-    top = Window.partitionBy("key").orderBy(F.desc("n"), "root")
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("roots")).where("roots > 1").select("key")
-    minor = sizes.join(mixed, "key").withColumn("r", F.row_number().over(top)).where("r > 1").select("key", F.col("root").alias("ra"))
-    few = m.join(minor, (m.key == minor.key) & (m.root == minor.ra)).select(m.key, F.col("node").alias("na"), "ra")
-    every = m.join(mixed, "key").select(F.col("key").alias("kb"), F.col("node").alias("nb"), F.col("root").alias("rb"))
-    on = (F.col("key") == F.col("kb")) & (F.col("ra") != F.col("rb"))
-    if sketches is not None:
-        known = sketches()
-        few = few.join(known.select(F.col("node").alias("na"), F.col("sketch").alias("sa")), "na", "left")
-        every = every.join(known.select(F.col("node").alias("nb"), F.col("sketch").alias("sb")), "nb", "left")
-        on = on & F.coalesce(likely(F.col("sa"), F.col("sb")), F.lit(True))
-    cross = few.join(every, on)
-    rest = save(verify(near(cross.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))).distinct()), compact=True)
-    return components(edges.unionByName(rest)) if rest.limit(1).count() else roots
+    turn = 0
+    while True:
+        # what is left: pairs of different components in a bucket; at least one of the two is outside the largest
+        m = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        sizes = save(m.groupBy("key", "root").agg(F.count("*").alias("n")), compact=True)
+        mixed = sizes.groupBy("key").agg(F.count("*").alias("roots")).where("roots > 1").select("key")
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "root"))
+        ranked = save(sizes.join(mixed, "key").select("key", F.col("root").alias("ra"), place.alias("place")), compact=True)
+        if not ranked.limit(1).count():
+            return roots
+        of = lambda which: m.join(ranked.where(which).select(F.col("key").alias("kr"), "ra"), (m.key == F.col("kr")) & (m.root == F.col("ra"))).select("key", "node", "ra")
+        few = of("place > 1").withColumnRenamed("node", "na")
+        if turn < HUB_TURNS:
+            # first against one more member of the largest component, another one each turn: rows, not pairs
+            hub = of("place = 1").groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("nb"))
+            found = few.join(hub, "key")
+        else:
+            every = m.join(mixed, "key").select(F.col("key").alias("kb"), F.col("node").alias("nb"), F.col("root").alias("rb"))
+            on = (F.col("key") == F.col("kb")) & (F.col("ra") != F.col("rb"))
+            if sketches is not None:
+                known = sketches()
+                few = few.join(known.select(F.col("node").alias("na"), F.col("sketch").alias("sa")), "na", "left")
+                every = every.join(known.select(F.col("node").alias("nb"), F.col("sketch").alias("sb")), "nb", "left")
+                on = on & F.coalesce(likely(F.col("sa"), F.col("sb")), F.lit(True))
+            found = few.join(every, on)
+        rest = save(verify(near(found.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))).distinct()), compact=True)
+        some = rest.limit(1).count()
+        if some:
+            edges = edges.unionByName(rest)
+            roots = components(edges)
+        if turn >= HUB_TURNS:
+            return roots
+        turn = turn + 1 if some else HUB_TURNS
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -292,12 +311,16 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = save(pairs, compact=True)
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        for known in compared:
+            wanted = wanted.join(known.select("node"), "node", "left_anti")
         keyed = save(texts.join(wanted, "node").select("node", "text_key"), compact=True)
-        keyed = F.broadcast(keyed) if keyed.count() <= BROADCAST_TEXTS else keyed
-        # one row for each wanted text: its sorted shingle hashes
-        sets = bodies.join(keyed, "text_key").mapInPandas(_shingle_sets(words), "node long, shingles array<long>, sketch array<byte>").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
-        sets = save(sets)
-        compared.append(sets)
+        n = keyed.count()
+        if n or not compared:
+            near_by = F.broadcast(keyed) if n <= BROADCAST_TEXTS else keyed
+            # one row for each wanted text: its sorted shingle hashes
+            new = bodies.join(near_by, "text_key").mapInPandas(_shingle_sets(words), "node long, shingles array<long>, sketch array<byte>")
+            compared.append(save(new.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))))
+        sets = reduce(DataFrame.unionByName, compared)
         side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         # inside the JVM, a pair at a time: a batch of long texts' shingles wouldn't fit a Python worker
@@ -306,7 +329,7 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
         return both.where((union == 0) | (common >= least * union)).select("a", "b")
 
     keys = golay_keys(texts, fps, triple=False)
-    return texts.select("node", "text_key", "first", "rows", "same"), linked(keys, verify, near, sketches=lambda: compared[0].select("node", "sketch"), likely=lambda a, b: likely(a, b, least), random_nodes=True)
+    return texts.select("node", "text_key", "first", "rows", "same"), linked(keys, verify, near, sketches=lambda: reduce(DataFrame.unionByName, compared).select("node", "sketch"), likely=lambda a, b: likely(a, b, least), random_nodes=True)
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
