@@ -70,15 +70,14 @@ def normalize_article(c: Column | str) -> Column:
 
 
 def from_alias(norm: Column, dimension: str) -> Column:
-    """The canonical value of the first alias (in dictionary order) in a normalised text, else the text itself."""
-    aliases = DIMENSIONS[dimension]
-    words = list(aliases)
-    pattern = r"(?U)\b(?:" + "|".join(words) + r")\b"
-    place = F.create_map(*[F.lit(x) for i, w in enumerate(words) for x in (w, i)])
-    canonical = F.array(*map(F.lit, aliases.values()))
-    found = F.regexp_extract_all(norm, F.lit(pattern), F.lit(0))
-    first = F.array_min(F.transform(found, lambda w: F.element_at(place, w)))
-    return F.when(norm.rlike(pattern), F.get(canonical, first)).otherwise(norm)
+    """The canonical value of the first alias (in dictionary order) in a normalised text, else the text itself.
+
+    A chain of cases in generated code; the plain search before each word match keeps it cheap.
+    """
+    chain = F
+    for word, value in DIMENSIONS[dimension].items():
+        chain = chain.when(norm.contains(word) & norm.rlike(rf"(?U)\b{word}\b"), F.lit(value))
+    return chain.otherwise(norm)
 
 
 def normalize_alias(c: Column | str, dimension: str) -> Column:
@@ -89,24 +88,34 @@ def _first_number(norm: Column) -> Column:
     return blank_to_null(F.regexp_extract(F.replace(norm, F.lit(","), F.lit(".")), NUMBER, 0)).cast("double")
 
 
+def dn_of(norm: Column) -> Column:
+    return _first_number(norm)
+
+
+def pn_bar_of(norm: Column) -> Column:
+    n = _first_number(norm)
+    return F.when(norm.contains("мпа") | norm.contains("mpa"), n * 10).otherwise(n)
+
+
+def length_of(norm: Column) -> Column:
+    n = _first_number(norm)
+    metres = (norm.endswith("m") | norm.endswith("м")) & ~norm.contains("мм") & ~norm.endswith("mm")
+    return F.when(norm.contains("см") | (norm.contains("cm") & norm.rlike(r"(?U)\bcm\b")), n * 10).when(metres, n * 1000).otherwise(n)
+
+
 def normalize_dn(c: Column | str) -> Column:
     """The first signed decimal of a text (comma or dot)."""
-    return _first_number(normalize_text(c))
+    return dn_of(normalize_text(c))
 
 
 def normalize_pn_bar(c: Column | str) -> Column:
     """As normalize_dn; ten times that if the text speaks of megapascals."""
-    norm = normalize_text(c)
-    n = _first_number(norm)
-    return F.when(norm.contains("мпа") | norm.contains("mpa"), n * 10).otherwise(n)
+    return pn_bar_of(normalize_text(c))
 
 
 def normalize_length(c: Column | str) -> Column:
     """Millimetres: centimetres by ten, metres by a thousand."""
-    norm = normalize_text(c)
-    n = _first_number(norm)
-    metres = (norm.endswith("m") | norm.endswith("м")) & ~norm.contains("мм") & ~norm.endswith("mm")
-    return F.when(norm.contains("см") | norm.rlike(r"(?U)\bcm\b"), n * 10).when(metres, n * 1000).otherwise(n)
+    return length_of(normalize_text(c))
 
 
 def number_text(v: Column | str) -> Column:

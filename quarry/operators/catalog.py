@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import compact, distinct_parts, from_alias, labelled, normalize_alias, normalize_dn, normalize_length, normalize_pn_bar, normalize_text, number_text
+from quarry.functions.text import compact, distinct_parts, dn_of, from_alias, labelled, length_of, normalize_text, number_text, pn_bar_of
 
 KEY = ("article_compact", "name_norm", "dn", "pn_bar", "connection", "control")
 CANDIDATE = "struct<article_norm:string,article:string,name:string,url:string,dn:double,pn_bar:double,connection:string,medium:string,control:string,temperature:string,length_mm:double,price:double>"
@@ -14,40 +14,36 @@ CANDIDATE = "struct<article_norm:string,article:string,name:string,url:string,dn
 def source_rows(rows: DataFrame) -> DataFrame:
     """One typed, normalised row for each distinct mapping row.
 
-    Rows are normalised before they are made distinct, so the branches that build documents share that exchange and its work.
+    Rows are made distinct first: the exchange carries raw cells only, and what repeats is normalised once.
     """
-    article = normalize_text("steel_article")
-    raw = F.struct(*rows.columns).alias("raw")
-    return rows.select(
-        raw,
-        F.col("steel_article").alias("article"),
-        F.coalesce(article, F.lit("")).alias("article_norm"),
-        F.coalesce(compact(article), F.lit("")).alias("article_compact"),
-        F.col("steel_name").alias("name"),
-        F.coalesce(normalize_text("steel_name"), F.lit("")).alias("name_norm"),
-        F.col("steel_url").alias("url"),
-        normalize_dn("steel_dn").alias("dn"),
-        normalize_pn_bar("steel_pn_bar").alias("pn_bar"),
-        normalize_alias("steel_connection", "connection").alias("connection"),
-        normalize_alias("steel_medium", "medium").alias("medium"),
-        normalize_alias("steel_control", "control").alias("control"),
-        normalize_text("steel_temp").alias("temperature"),
-        normalize_length("steel_length").alias("length_mm"),
-        F.coalesce(normalize_text("ld_article"), F.lit("")).alias("ld_article_norm"),
+    texts = [c for c in rows.columns if c.startswith(("ld_", "steel_")) and not c.endswith("_url")]
+    n = rows.distinct().select(F.struct(*rows.columns).alias("raw"), *(normalize_text(c).alias(c) for c in texts))  # the normalised texts, once
+    c = F.col
+    return n.select(
+        c("raw.steel_article").alias("article"),
+        F.coalesce("steel_article", F.lit("")).alias("article_norm"),
+        F.coalesce(compact("steel_article"), F.lit("")).alias("article_compact"),
+        c("raw.steel_name").alias("name"),
+        F.coalesce("steel_name", F.lit("")).alias("name_norm"),
+        c("raw.steel_url").alias("url"),
+        dn_of(c("steel_dn")).alias("dn"),
+        pn_bar_of(c("steel_pn_bar")).alias("pn_bar"),
+        *(from_alias(c(f"steel_{d}"), d).alias(d) for d in ("connection", "medium", "control")),
+        c("steel_temp").alias("temperature"),
+        length_of(c("steel_length")).alias("length_mm"),
+        F.coalesce("ld_article", F.lit("")).alias("ld_article_norm"),
         F.struct(
-            F.col("ld_article").alias("article"),
-            F.col("ld_name").alias("name"),
-            F.col("ld_url").alias("url"),
-            normalize_dn("ld_dn").alias("dn"),
-            normalize_pn_bar("ld_pn_mpa").alias("pn_bar"),
-            normalize_alias("ld_connection", "connection").alias("connection"),
-            normalize_alias("ld_medium", "medium").alias("medium"),
-            normalize_alias("ld_control", "control").alias("control"),
-            normalize_text("ld_temp").alias("temperature"),
-            normalize_length("ld_length").alias("length_mm"),
-            F.col("price_ld").cast("double").alias("price"),
+            c("raw.ld_article").alias("article"),
+            c("raw.ld_name").alias("name"),
+            c("raw.ld_url").alias("url"),
+            dn_of(c("ld_dn")).alias("dn"),
+            pn_bar_of(c("ld_pn_mpa")).alias("pn_bar"),
+            *(from_alias(c(f"ld_{d}"), d).alias(d) for d in ("connection", "medium", "control")),
+            c("ld_temp").alias("temperature"),
+            length_of(c("ld_length")).alias("length_mm"),
+            c("raw.price_ld").cast("double").alias("price"),
         ).alias("ld"),
-    ).distinct()
+    )
 
 
 def python_text(v: Column, numeric: bool) -> Column:
