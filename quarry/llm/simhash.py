@@ -193,11 +193,15 @@ def linked(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Call
         big = save(buckets.where("n > 3").groupBy("n", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "lo", "hi"), compact=True)
     few_keys = big.count() <= BROADCAST_KEYS
     members = save(keys.join(F.broadcast(big) if few_keys else big, "key"), compact=True)
-    to = lambda hub: members.select(pair(F.col("node"), hub).alias("p")).select("p.*").where("a < b").distinct()
-    hubs = to(lo).unionByName(to(hi))
+    if sketches is None:
+        to = lambda hub: members.select(pair(F.col("node"), hub).alias("p")).select("p.*").where("a < b").distinct()
+        hubs = to(lo).unionByName(to(hi))
+    else:  # a true test is dear here: two hubs for each member, of all its buckets'
+        ends = members.groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        hubs = ends.select(pair(F.col("node"), lo).alias("p")).unionByName(ends.select(pair(F.col("node"), hi).alias("p"))).select("p.*").where("a < b")
     edges = save(verify(near(first.unionByName(hubs)).distinct()), compact=True)
     roots = components(edges)
-    turn = 0
+    turn, turns = 0, HUB_TURNS if sketches is None else 2 * HUB_TURNS
     while True:
         # what is left: pairs of different components in a bucket; at least one of the two is outside the largest
         m = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -209,10 +213,13 @@ def linked(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Call
             return roots
         of = lambda which: m.join(ranked.where(which).select(F.col("key").alias("kr"), "ra"), (m.key == F.col("kr")) & (m.root == F.col("ra"))).select("key", "node", "ra")
         few = of("place > 1").withColumnRenamed("node", "na")
-        if turn < HUB_TURNS:
+        if turn < turns:
             # first against one more member of the largest component, another one each turn: rows, not pairs
             hub = of("place = 1").groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("nb"))
             found = few.join(hub, "key")
+            if sketches is not None:
+                both = found.groupBy("na").agg(F.min("nb").alias("lo"), F.max("nb").alias("hi"))
+                found = both.select("na", F.col("lo").alias("nb")).unionByName(both.select("na", F.col("hi").alias("nb")))
         else:
             every = m.join(mixed, "key").select(F.col("key").alias("kb"), F.col("node").alias("nb"), F.col("root").alias("rb"))
             on = (F.col("key") == F.col("kb")) & (F.col("ra") != F.col("rb"))
@@ -227,9 +234,9 @@ def linked(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Call
         if some:
             edges = edges.unionByName(rest)
             roots = components(edges)
-        if turn >= HUB_TURNS:
+        if turn >= turns:
             return roots
-        turn = turn + 1 if some else HUB_TURNS
+        turn = turn + 1 if some else turns
 
 
 def distance(a: Column, b: Column) -> Column:
