@@ -1,6 +1,6 @@
 """Incremental lexical index: new documents arrive as a stream, each micro-batch adds postings once.
 
-The reference flow rebuilds in batch; this is an extension of it. A batch is written under its number, so a batch that is run again
+The index is rebuilt in batch otherwise; this is an extension. A batch is written under its number, so a batch that is run again
 after a failure overwrites its own files and nothing is counted twice.
 """
 
