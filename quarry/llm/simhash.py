@@ -37,8 +37,8 @@ ERRORS = 4
 GENERATOR = 0b101011100011
 SHINGLE_WORDS = 4
 SEED = 42
-#: Turns in which what the first hubs leave is tried against another member, before all pairs of it are.
-HUB_TURNS = 2
+#: Turns in which what the first hubs leave is tried against another member, before all pairs of it are. Only where tests are dear.
+HUB_TURNS = 4
 #: Edges that are written by a task, while components are formed.
 COMPONENT_ROWS = 1_000_000
 #: Keys of large buckets (24 bytes each) that are broadcast at most; above that their members come from a shuffled join.
@@ -201,14 +201,15 @@ def linked(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Call
         hubs = ends.select(pair(F.col("node"), lo).alias("p")).unionByName(ends.select(pair(F.col("node"), hi).alias("p"))).select("p.*").where("a < b")
     edges = save(verify(near(first.unionByName(hubs)).distinct()), compact=True)
     roots = components(edges)
-    turn, turns = 0, HUB_TURNS if sketches is None else 2 * HUB_TURNS
+    turn, turns = 0, 0 if sketches is None else HUB_TURNS
     while True:
         # what is left: pairs of different components in a bucket; at least one of the two is outside the largest
         m = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         sizes = save(m.groupBy("key", "root").agg(F.count("*").alias("n")), compact=True)
-        mixed = sizes.groupBy("key").agg(F.count("*").alias("roots")).where("roots > 1").select("key")
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "root"))
-        ranked = save(sizes.join(mixed, "key").select("key", F.col("root").alias("ra"), place.alias("place")), compact=True)
+        roots_in = F.count("*").over(Window.partitionBy("key"))
+        ranked = save(sizes.select("key", F.col("root").alias("ra"), place.alias("place"), roots_in.alias("roots")).where("roots > 1"), compact=True)
+        mixed = ranked.where("place = 1").select("key")
         if not ranked.limit(1).count():
             return roots
         of = lambda which: m.join(ranked.where(which).select(F.col("key").alias("kr"), "ra"), (m.key == F.col("kr")) & (m.root == F.col("ra"))).select("key", "node", "ra")
