@@ -20,6 +20,7 @@ folder after each round.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -276,6 +277,10 @@ NEAR_WORDS, NEAR = 5, 0.8
 TABLES = 4
 #: Bits in which they may differ in all; pairs of the least similarity stay far below.
 NEAR_BITS = 64
+#: One text of so many is read to tell common shingles; so many of the commonest (16 bytes each) go to the workers.
+SAMPLE, COMMON = 16, 200_000
+#: Texts that a task remembers, so that copies are not cut into shingles again.
+REMEMBERED = 100_000
 #: Keys of texts (some 60 bytes each) that are broadcast at most; above that texts are shuffled by their key.
 BROADCAST_TEXTS = 1_000_000
 
@@ -283,8 +288,8 @@ BROADCAST_TEXTS = 1_000_000
 def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = NEAR_WORDS, least: float = NEAR, tables: int = TABLES) -> tuple[DataFrame, DataFrame]:
     """Classes of copies and near copies of whole texts.
 
-    Candidates share a key of one of several fingerprints of their distinct words (an edit changes a word or two of them, but
-    ``words`` shingles); the exact Jaccard similarity of their shingle sets decides. Returns (texts, classes): texts has
+    Candidates share a hash in the prefixes of their shingle sets, which no pair of similarity ``least`` misses; the exact Jaccard
+    similarity of the sets decides. Returns (texts, classes): texts has
     (node, text_key, first, rows, same) for each distinct text: its smallest id, its rows, and those with that id; classes
     (node, root) for those with a link. Null texts count as empty; empty texts are copies of each other.
     """
@@ -315,6 +320,9 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
     compared: list[DataFrame] = []
     bodies = df.select("text", text_key_of(F.col("text")).alias("text_key"))
+    own = bodies.mapInPandas(_prefixes(words, least, *common_shingles(bodies, words)), "text_key binary, size long, prefix array<long>")
+    own = own.groupBy("text_key").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    drawn = save(texts.join(own, "text_key").select("node", "size", "prefix"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = save(pairs, compact=True)
@@ -336,7 +344,7 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
         union = F.size("sa") + F.size("sb") - common
         return both.where((union == 0) | (common >= least * union)).select("a", "b")
 
-    keys = golay_keys(texts, fps, triple=False)
+    keys = drawn.select(F.explode("prefix").alias("key"), "node")
     return texts.select("node", "text_key", "first", "rows", "same"), linked(keys, verify, near, sketches=lambda: reduce(DataFrame.unionByName, compared).select("node", "sketch"), likely=lambda a, b: likely(a, b, least), random_nodes=True)
 
 
@@ -372,6 +380,61 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in own), np.uint64, len(own)))
 
 
+def prefix(hashes: np.ndarray, least: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first hashes of a sorted set in the order (count, hash), so many that two sets of similarity ``least`` share one of them.
+
+    Such sets have at least ``least`` times the size of either in common, so that one which lacks all of a prefix of
+    size - ceil(least * size) + 1 hashes has too few left. Any order does that is the same for all sets; rare ones first leave
+    few sets to a hash. common is sorted; what isn't in it counts 0. An empty set has the prefix 0.
+    """
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, np.uint64)
+    cost = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        cost = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.argsort(cost, kind="stable")[: n - math.ceil(least * n - 1e-9) + 1]]
+
+
+def _once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches without most copies of texts."""
+    known: set[bytes] = set()
+    for pdf in batches:
+        if len(known) > REMEMBERED:
+            known.clear()
+        pdf = pdf.drop_duplicates("text_key")
+        pdf = pdf[[k not in known for k in pdf["text_key"]]]
+        known.update(pdf["text_key"])
+        yield pdf
+
+
+def common_shingles(bodies: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingle hashes in a sample of (text, text_key), sorted, and their texts in it."""
+
+    def every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _once(batches):
+            own = [shingle_set(t if isinstance(t, str) else None, words) for t in pdf["text"]]
+            yield pd.DataFrame({"shingle": np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)})
+
+    sample = bodies.where(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLE)) == 0).mapInPandas(every, "shingle long")
+    counted = sample.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    top = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()  # bounded by COMMON
+    hashes, counts = (top[c].to_numpy() for c in ("shingle", "n"))
+    hashes = hashes.view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _prefixes(words: int, least: float, common: np.ndarray, counts: np.ndarray):
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _once(batches):
+            own = [shingle_set(t if isinstance(t, str) else None, words) for t in pdf["text"]]
+            yield pd.DataFrame({"text_key": pdf["text_key"], "size": np.array([len(x) for x in own], np.int64), "prefix": [prefix(x, least, common, counts).view(np.int64) for x in own]})
+
+    return prefixes
+
+
 def _shingle_sets(words: int):
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

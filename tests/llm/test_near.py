@@ -137,6 +137,55 @@ def test_near_copies(spark, edge, none):
     assert drop_near_copies(edge).columns == edge.columns and drop_near_copies(none).count() == 0
 
 
+def with_blocks(word, n, seed):
+    """Texts, and copies with a block of new words appended, inserted or put before, or with a block cut, at similarities around 0.8 to 0.95."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        w = [word(rng) for _ in range(rng.randrange(300, 1000))]
+        rows.append(w)
+        for j in (0.8, 0.81, 0.87, 0.95):
+            m, at = int(len(w) * (1 / j - 1)), rng.randrange(len(w))
+            block = ["".join(rng.choice("klmnop") for _ in range(9)) for _ in range(m)]
+            rows += [w + block, block + w, w[:at] + block + w[at:], w[: int(len(w) * j)], w[int(len(w) * (1 - j)) :]]
+    # copies of one text would be linked by one another: a text and one of them at a time
+    out, at = [], 0
+    for k in range(0, len(rows), 21):
+        for v in rows[k + 1 : k + 21]:
+            mark = {x: f"{x}{at}" for x in rows[k]}
+            out += [(at, " ".join(mark[x] for x in rows[k])), (at + 1, " ".join(mark.get(x, x) for x in v))]
+            at += 2
+    return out
+
+
+def kept_by_brute_force(rows):
+    """Of pairs (2k, 2k + 1) of texts: the ids that stay."""
+    sets = [shingle_set(t) for _, t in rows]
+    return {i for i, s in enumerate(sets) if i % 2 == 0 or len(s & sets[i - 1]) < 0.8 * len(s | sets[i - 1])}
+
+
+def test_near_copies_with_blocks(spark):
+    rows = with_blocks(lambda rng: "".join(rng.choice("abcdefghij") for _ in range(8)), 8, 11)
+    want = kept_by_brute_force(rows)
+    assert {r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    assert 0.2 * len(rows) < len(rows) - len(want)
+
+
+def test_prefixes_of_near_sets_meet():
+    from quarry.llm.simhash import prefix
+
+    rng = np.random.default_rng(5)
+    common = np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64))
+    counts = rng.integers(2, 50, len(common))
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        both = np.unique(np.concatenate([rng.choice(common, n // 2), rng.integers(0, 2**64, n - n // 2, dtype=np.uint64)]))
+        more = rng.integers(0, 2**64, int(len(both) / 0.8) - len(both), dtype=np.uint64)
+        cut = int(rng.integers(0, len(more) + 1))
+        a, b = (np.unique(np.concatenate([both, x])) for x in (more[:cut], more[cut:]))
+        assert np.intersect1d(*(prefix(x, 0.8, common, counts) for x in (a, b))).size
+
+
 def test_near_copies_without_broadcast(spark, edge, monkeypatch):
     from quarry.llm import simhash
 
