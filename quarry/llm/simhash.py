@@ -273,10 +273,6 @@ def simhash_components(docs: DataFrame, *, text: str = "text", doc_id: str = "do
 
 #: Near copies of whole documents: words of a shingle, least Jaccard similarity of the shingle sets.
 NEAR_WORDS, NEAR = 5, 0.8
-#: Fingerprints of the set of distinct words, each with its own seed: a near copy collides in one of them at least.
-TABLES = 4
-#: Bits in which they may differ in all; pairs of the least similarity stay far below.
-NEAR_BITS = 64
 #: One text of so many is read to tell common shingles; so many of the commonest (16 bytes each) go to the workers.
 SAMPLE, COMMON = 16, 200_000
 #: Texts that a task remembers, so that copies are not cut into shingles again.
@@ -285,7 +281,7 @@ REMEMBERED = 100_000
 BROADCAST_TEXTS = 1_000_000
 
 
-def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = NEAR_WORDS, least: float = NEAR, tables: int = TABLES) -> tuple[DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = NEAR_WORDS, least: float = NEAR) -> tuple[DataFrame, DataFrame]:
     """Classes of copies and near copies of whole texts.
 
     Candidates share a hash in the prefixes of their shingle sets, which no pair of similarity ``least`` misses; the exact Jaccard
@@ -293,36 +289,24 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     (node, text_key, first, rows, same) for each distinct text: its smallest id, its rows, and those with that id; classes
     (node, root) for those with a link. Null texts count as empty; empty texts are copies of each other.
     """
-    fps = [f"fp{t}" for t in range(tables)]
     df = bounded_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-
-    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = {"doc_id": pdf["doc_id"], "text_key": [text_key(t) for t in pdf["text"]]}
-            sets = [list(dict.fromkeys((t if isinstance(t, str) else "").encode("utf-8", "replace").lower().split())) for t in pdf["text"]]
-            for t, c in enumerate(fps):
-                out[c] = np.array([fingerprint(s, SEED + t) for s in sets], np.int64)
-            yield pd.DataFrame(out)
-
-    rows = df.mapInPandas(prints, "doc_id long, text_key binary, " + ", ".join(f"{c} long" for c in fps))
-    each = rows.groupBy("text_key", *fps, "doc_id").agg(F.count("*").alias("n"))
-    texts = each.groupBy("text_key", *fps).agg(F.min("doc_id").alias("first"), F.sum("n").alias("rows"), F.coalesce(F.min_by("n", "doc_id"), F.sum("n")).alias("same"))
+    bodies = df.select("text", text_key_of(F.col("text")).alias("text_key"))
+    each = df.select("doc_id", text_key_of(F.col("text")).alias("text_key")).groupBy("text_key", "doc_id").agg(F.count("*").alias("n"))
+    texts = each.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.sum("n").alias("rows"), F.coalesce(F.min_by("n", "doc_id"), F.sum("n")).alias("same"))
     # an id is mixed over all bits by XXH64, which is one to one on eight bytes
     texts = texts.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
     texts = save(texts.withColumn("node", F.xxhash64(F.monotonically_increasing_id())))
-    pack = texts.select("node", *fps)
+    own = bodies.mapInPandas(_prefixes(words, least, *common_shingles(bodies, words)), "text_key binary, size long, prefix array<long>")
+    own = own.groupBy("text_key").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    drawn = save(texts.join(own, "text_key").select("node", "size", "prefix"))
 
     def near(pairs: DataFrame) -> DataFrame:
-        side = lambda s: pack.select(F.col("node").alias(s), F.struct(*fps).alias(f"f{s}"))
+        # sets of this similarity have sizes of this ratio at least; the exact check decides on the others
+        side = lambda s: drawn.select(F.col("node").alias(s), F.col("size").alias(f"n{s}"))
         both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-        bits = sum((distance(F.col(f"fa.{c}"), F.col(f"fb.{c}")) for c in fps[1:]), distance(F.col(f"fa.{fps[0]}"), F.col(f"fb.{fps[0]}")))
-        return both.where(bits <= NEAR_BITS).select("a", "b")
+        return both.where(F.least("na", "nb") >= F.floor(least * F.greatest("na", "nb"))).select("a", "b")
 
     compared: list[DataFrame] = []
-    bodies = df.select("text", text_key_of(F.col("text")).alias("text_key"))
-    own = bodies.mapInPandas(_prefixes(words, least, *common_shingles(bodies, words)), "text_key binary, size long, prefix array<long>")
-    own = own.groupBy("text_key").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    drawn = save(texts.join(own, "text_key").select("node", "size", "prefix"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = save(pairs, compact=True)
@@ -349,25 +333,17 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """One-permutation minimum hashing of sorted distinct hashes: for each value of the top byte the smallest hash, as a byte; 0 for none."""
-    out = np.zeros(256, np.uint8)
-    bins, first = np.unique(hashes >> np.uint64(56), return_index=True)
-    out[bins] = hashes[first] % np.uint64(255) + np.uint64(1)
-    return out.view(np.int8)
+    """The number of distinct hashes with each value of the top byte; 127 stands for any above."""
+    return np.minimum(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256), 127).astype(np.int8)
 
 
 def likely(a: Column, b: Column, least: float) -> Column:
-    """Whether two sketches allow a similarity of ``least``: four standard deviations of its estimate are granted."""
-    true = lambda x: x
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != 0) & (x == y)), true))
-    either = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != 0) | (y != 0)), true))
-    return same >= least * either - 4 * F.sqrt(least * (1 - least) * either)
-
-
-def text_key(t) -> bytes:
-    import hashlib
-
-    return hashlib.md5((t if isinstance(t, str) else "").encode("utf-8", "replace")).digest()
+    """Whether two sketches allow a similarity of ``least``: no more hashes than the lesser number are common to a top byte."""
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda at, n: at + n)
+    full = (1 << 40) * (F.size(F.array_intersect(F.filter(a, lambda x: x == 127), F.filter(b, lambda x: x == 127))) > 0).cast("long")
+    both = F.zip_with(a, b, lambda x, y: F.least(x, y))
+    common = total(both) + full  # a byte that is full in both, or in a place of each, rules nothing out
+    return common >= least * (total(a) + total(b) - common) - 1e-9
 
 
 def text_key_of(col: Column) -> Column:

@@ -158,6 +158,18 @@ def with_blocks(word, n, seed):
     return out
 
 
+def with_few_words(n, seed):
+    """Pairs of a text of 1000 words out of 100 and the same with 240 new words: similarity 0.806, but most of the words are new."""
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        own = [f"{k}x{i}" for i in range(100)]
+        w = [rng.choice(own) for _ in range(1000)]
+        block = [f"{k}y{i}" for i in range(240)]
+        out += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + block))]
+    return out
+
+
 def kept_by_brute_force(rows):
     """Of pairs (2k, 2k + 1) of texts: the ids that stay."""
     sets = [shingle_set(t) for _, t in rows]
@@ -171,6 +183,13 @@ def test_near_copies_with_blocks(spark):
     assert 0.2 * len(rows) < len(rows) - len(want)
 
 
+def test_near_copies_of_few_words(spark):
+    rows = with_few_words(40, 12)
+    want = kept_by_brute_force(rows)
+    assert want == set(range(0, 80, 2))
+    assert {r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_prefixes_of_near_sets_meet():
     from quarry.llm.simhash import prefix
 
