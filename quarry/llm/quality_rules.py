@@ -6,9 +6,9 @@ than the limit is boilerplate: it is removed from all of them but the first (sma
 too much that way is rejected.
 
 Plan: one pass emits (host, line, text, id) for the distinct lines of a text; two aggregations with map-side
-combine count them, so that a hot host, text or line costs each task a row for each of its keys. Lines over the limit
-are few: a host has at most (mean lines of its documents) / share of them. They go back to the documents by a join on
-(host, bucket of rows), broadcast only if their counted number is small.
+combine count them, so that a hot host, text or line costs each task a row for each of its keys. A counted small number of
+lines over the limit goes to the workers; more of them are joined with the lines of each text, and come back to the documents as
+a list for each text.
 """
 
 from __future__ import annotations
@@ -23,19 +23,21 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import bounded_batches, host_key, save, signed
 
-#: A line is boilerplate in a host if more distinct documents than both of these hold it.
+#: A line is boilerplate in a host, however large, if more distinct documents hold it.
 LEAST_DOCS = 20
+#: Below that number, where a caller sets a smaller one, also this share of the host's documents must be exceeded.
 SHARE = 0.05
 #: A document that loses at least this share of its words is rejected.
 DEPLETED = 0.6
-#: Rows of over-limit lines that are broadcast at most (24 bytes each); above that they are joined.
+#: Rows of over-limit lines that go to the workers at most (24 bytes each); above that they are joined.
 BROADCAST_LINES = 100_000
-#: Parts into which the rows of each host are dealt for that join.
-SALT = 64
 
 # The symbols that are counted.
 SYMBOLS = "#*$%&|<>"
 
+#: Stands for the smallest of ids that are all null.
+NO_ID = -(2**63)
+
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _NOT_SYMBOLS = bytes(c for c in range(256) if chr(c) not in SYMBOLS)
@@ -78,30 +80,34 @@ def lines_of(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def boilerplate(docs: DataFrame, *, text: str, host: str, doc_id: str, least_docs: int, share: float) -> DataFrame:
-    """(host, line, first): the lines over the limit of each host, and the smallest id that holds each."""
-    df = docs.select(docs[doc_id].cast("long").alias("id"), host_key(docs[host]).alias("host"), docs[text].alias("text"))
+def held_lines(docs: DataFrame, *, text: str, host: str, doc_id: str) -> DataFrame:
+    """(host, line, doc, first): the distinct lines of each distinct text of a host, and its smallest id; line 0 is in every text."""
+    df = docs.select(docs[doc_id].cast("long").alias("id"), host_key(docs[host]).alias("host"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("doc"))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, hosts, keys, lines = [], [], [], []
-            for i, h, t in zip(pdf["id"], pdf["host"], pdf["text"]):
+            for i, h, t, d in zip(pdf["id"], pdf["host"], pdf["text"], pdf["doc"]):
                 if not isinstance(t, str):
                     continue
                 # line 0 stands for the document itself
                 own = {0} | {x for x, n in lines_of(t) if n}
                 ids += [i] * len(own)
                 hosts += [h] * len(own)
-                keys += [signed(xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")))] * len(own)
+                keys += [d] * len(own)
                 lines += own
             yield pd.DataFrame({"id": pd.array(ids, "Int64") if ids else pd.array([], "Int64"), "host": hosts, "doc": keys, "line": lines})
 
     seen = df.mapInPandas(emit, "id long, host string, doc long, line long")
-    once = seen.groupBy("host", "line", "doc").agg(F.min("id").alias("first"))
-    counted = once.groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") > least_docs)
+    return seen.groupBy("host", "line", "doc").agg(F.min("id").alias("first"))
+
+
+def boilerplate(held: DataFrame, *, least_docs: int, share: float) -> DataFrame:
+    """(host, line, first): the lines over the limit of each host, and the smallest id that holds each."""
+    counted = held.groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") > least_docs)
     totals = counted.where("line = 0").select("host", F.col("docs").alias("all"))
-    over = counted.where("line <> 0").join(totals, "host").where(F.col("docs") > share * F.col("all"))
-    return over.select("host", "line", "first")
+    over = counted.where("line <> 0").join(totals, "host").where(F.col("docs") > F.least(share * F.col("all"), F.lit(float(max(least_docs, LEAST_DOCS)))))
+    return over.select("host", "line", F.coalesce("first", F.lit(NO_ID)).alias("first"))
 
 
 def quality_rules(docs: DataFrame, *, text: str = "text", host: str = "source", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), cleaned: bool = False, least_docs: int = LEAST_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
@@ -113,21 +119,23 @@ def quality_rules(docs: DataFrame, *, text: str = "text", host: str = "source",
     A line stays in the documents whose id is the smallest one that holds it in the host; where all ids of a line are
     null it stays everywhere. Rows that repeat are judged alike; an empty table gives an empty result.
     """
-    lines = save(boilerplate(bounded_batches(docs), text=text, host=host, doc_id=doc_id, least_docs=least_docs, share=share), compact=True)
+    held = held_lines(bounded_batches(docs), text=text, host=host, doc_id=doc_id)
+    lines = save(boilerplate(held, least_docs=least_docs, share=share), compact=True)
     few = lines.count() <= BROADCAST_LINES
-    by_host = lines.groupBy("host").agg(F.collect_list("line").alias("__lines"), F.collect_list(F.coalesce("first", F.lit(-(2**63)))).alias("__firsts"))
     cols = list(keep)
     df = docs.select(*(docs[c] for c in cols), docs[text].alias("__text"), docs[doc_id].cast("long").alias("__id"), host_key(docs[host]).alias("host"))
+    hosts: dict[str, dict[int, int]] = {}
     if few:
-        df = df.join(F.broadcast(by_host), "host", "left")
+        for r in lines.toArrow().to_pylist():
+            hosts.setdefault(r["host"], {})[r["line"]] = r["first"]
+        df = df.withColumns({"__lines": F.lit(None).cast("array<long>"), "__firsts": F.lit(None).cast("array<long>")})
     else:
-        dealt = by_host.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
-        df = df.withColumn("__salt", F.pmod(F.xxhash64("__text", "__id"), F.lit(SALT)).cast("int")).join(dealt, ["host", "__salt"], "left").drop("__salt")
+        own = held.drop("first").join(lines, ["host", "line"]).groupBy("host", F.col("doc").alias("__doc")).agg(F.collect_list("line").alias("__lines"), F.collect_list("first").alias("__firsts"))
+        df = df.withColumn("__doc", F.xxhash64("__text")).join(own, ["host", "__doc"], "left").drop("__doc")
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*cols).schema)
     schema = kept + ", ".join(f"{m} long" for m in METRICS) + ", base_failed boolean, n_boiler_words long, kept boolean" + ", `__cleaned` string" * cleaned
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, dict[int, int]] = {}
         for pdf in batches:
             rows = []
             for t, i, h, ls, fs in zip(pdf["__text"], pdf["__id"], pdf["host"], pdf["__lines"], pdf["__firsts"]):
@@ -135,13 +143,9 @@ def quality_rules(docs: DataFrame, *, text: str = "text", host: str = "source",
                 m = metrics(t or "")
                 failed = m[0] < 50 or 100 * m[4] > 50 * m[0]
                 lost, left = 0, t
-                if ls is not None and t:
-                    over = known.get(h)
-                    if over is None:
-                        if len(known) > 64:
-                            known.clear()
-                        over = known[h] = dict(zip(ls, fs))
-                    own = [(x, n, n > 0 and x in over and over[x] != -(2**63) and over[x] != i) for x, n in lines_of(t)]
+                over = hosts.get(h) if few else None if ls is None else dict(zip(ls, fs))
+                if over and t:
+                    own = [(x, n, n > 0 and x in over and over[x] != NO_ID and over[x] != i) for x, n in lines_of(t)]
                     lost = sum(n for _, n, out in own if out)
                     if lost and cleaned:
                         left = "\n".join(raw for raw, (_, _, out) in zip(t.split("\n"), own) if not out)

@@ -159,6 +159,26 @@ def test_quality_boilerplate(spark):
         assert r.n_words - r.n_boiler_words == len(r["__cleaned"].split())
 
 
+def test_quality_limit_does_not_grow_with_the_host(spark, monkeypatch):
+    from quarry.llm import quality_rules as q
+
+    passage = " ".join(f"p{k}" for k in range(100))
+    rows = []
+    for host, n in (("small", 300), ("large", 3000)):
+        for i in range(n):
+            own = " ".join(f"{host}{i}w{k}" for k in range(60))
+            rows.append((len(rows), own + ("\n" + passage if i % (n // 60) == 0 else "\nin twenty documents" if i % (n // 60) == 1 and i < n // 3 else ""), host))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    holds = {host: [i for i, t, h in rows if h == host and passage in t] for host in ("small", "large")}
+    assert {len(x) for x in holds.values()} == {60} and sum("twenty" in t for _, t, _ in rows) == 40
+    lost = {i: 100 for x in holds.values() for i in x[1:]}
+    for most in (q.BROADCAST_LINES, -1):
+        monkeypatch.setattr(q, "BROADCAST_LINES", most)
+        got = quality_rules(df).collect()
+        assert {r.doc_id: r.n_boiler_words for r in got if r.n_boiler_words} == lost
+        assert {r.doc_id for r in got if not r.kept} == set(lost)
+
+
 def test_quality_join_without_broadcast(docs, monkeypatch):
     from quarry.llm import quality_rules as q
 
