@@ -139,17 +139,26 @@ def reshard(docs: DataFrame, *, text: str = "text", old_shard: Column, doc_id: s
     return placed.withColumn("slot", F.col("__before") + F.row_number().over(inside) - 1).select(*keep, "size", "text_crc32", "old_shard", "shard", "slot")
 
 
-def rewrite(spark: SparkSession, old: str, new: str, placed: DataFrame, *, shards: int = SHARDS, doc_id: str = "doc_id") -> list[int]:
+def rewrite(spark: SparkSession, old: str, new: str, placed: DataFrame, *, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> list[int]:
     """Write the new layout of a table stored as old/shard=N. Returns the shards that had to be rewritten.
 
     A shard that neither gains nor loses rows keeps its files: they are not read here, and the caller goes on using them.
-    The others are written to new/shard=N, sorted by slot. ids must be unique.
+    The others are written to new/shard=N, sorted by slot. Every row is written once: rows find their place by id, size, CRC and old
+    shard, nulls included, and rows that agree in all of these are numbered, since any of their places does for any of them.
     """
     moved = placed.where("old_shard <> shard").agg(F.collect_set("old_shard").alias("a"), F.collect_set("shard").alias("b")).first()
     touched = sorted({*moved.a, *moved.b} & set(range(shards)))
     lost = sorted({*moved.a, *touched})
-    rows = spark.read.parquet(old).where(F.col("shard").isin(lost)).drop("shard")
-    to = placed.where(F.col("shard").isin(touched)).select(doc_id, "shard", "slot")
-    out = rows.join(to, doc_id).repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot").drop("slot")
+    stored = spark.read.parquet(old).where(F.col("shard").isin(lost))
+    names = [c for c in stored.columns if c != "shard"]
+    body = F.coalesce(F.col(text), F.lit(""))
+    key = {"__id": F.col(doc_id), "__size": (F.octet_length(body) + 1).cast("long"), "__crc": F.crc32(body.cast("binary")), "__old": F.col("shard").cast("int")}
+    own = Window.partitionBy(*key).orderBy(F.xxhash64(*(c for c in names if "map<" not in stored.schema[c].dataType.simpleString())))
+    rows = stored.withColumns(key).drop("shard").withColumn("__n", F.row_number().over(own))
+    at = {"id": doc_id, "size": "size", "crc": "text_crc32", "old": "old_shard"}
+    place = Window.partitionBy(*at.values()).orderBy("shard", "slot")
+    to = placed.where(F.col("old_shard").isin(lost)).select(*(F.col(c).alias(f"__to_{k}") for k, c in at.items()), F.row_number().over(place).alias("__to_n"), "shard", F.col("slot").alias("__slot"))
+    same = [F.col(f"__{k}").eqNullSafe(F.col(f"__to_{k}")) for k in (*at, "n")]
+    out = rows.join(to, same).repartition("shard", F.floor(F.col("__slot") / 1_000_000)).sortWithinPartitions("shard", "__slot").select(*names, "shard")
     out.write.mode("overwrite").partitionBy("shard").parquet(new)
     return touched

@@ -125,6 +125,20 @@ def test_rewrite(spark, docs, tmp_path):
     assert new.count() + kept.count() == docs.count()
 
 
+def test_rewrite_writes_every_row_once(spark, edge, tmp_path):
+    """Null ids, repeated rows, an id of many rows, and rows that differ in other columns only."""
+    more = [(None, f"no id {i}", "en", "a", i, "1", "y", 1) for i in range(40)] + [(9, f"text {i % 30}", "en", "b", i % 7, "1", "y", 1) for i in range(300)]
+    old = edge.unionByName(spark.createDataFrame(more + [(None, None, "fr", "a", 1, "1", "y", 1)] * 5, edge.schema)).withColumn("shard", F.when(F.xxhash64("text", "n_chars") % 4 == 0, 2).otherwise(0))
+    old.write.partitionBy("shard").parquet(f"{tmp_path}/old")
+    placed = reshard(old, old_shard=F.col("shard"), shards=3).cache()
+    touched = rewrite(spark, f"{tmp_path}/old", f"{tmp_path}/new", placed, shards=3)
+    new = spark.read.parquet(f"{tmp_path}/new")
+    kept = spark.read.parquet(f"{tmp_path}/old").where(~F.col("shard").isin(touched))
+    assert touched and Counter(tuple(r)[:-1] for r in new.unionByName(kept).collect()) == Counter(tuple(r)[:-1] for r in old.collect())
+    count = lambda df: {r.shard: r["count"] for r in df.groupBy("shard").count().collect()}
+    assert count(new) == count(placed.where(F.col("shard").isin(touched)))
+
+
 def test_token_counts(docs, edge, none):
     import base64
 
