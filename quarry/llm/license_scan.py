@@ -115,10 +115,10 @@ class Scanner:
                 else:
                     own.append([lo, hi])
         for i, spans in windows.items():
-            n, label, _, pattern, _ = self.notices[i]
+            n, label, k, pattern, _ = self.notices[i]
             seen = set()
             for lo, hi in spans:
-                for m in pattern.finditer(words, lo, hi):
+                for m in every_match(pattern, words, lo, hi, len(n) - k):
                     edits = sum(m.fuzzy_counts)
                     first = words.count(" ", 0, m.start() + (words[m.start()] == " ")) - 1
                     end = words.count(" ", 0, m.end() - (words[m.end() - 1] == " "))
@@ -128,6 +128,17 @@ class Scanner:
         return hits
 
 
+def every_match(pattern, words: str, lo: int, hi: int, least: int) -> Iterator:
+    """The best match of words[lo:hi], and likewise those before and after it; none is shorter than ``least``."""
+    left = [(lo, hi)]
+    while left:
+        lo, hi = left.pop()
+        m = pattern.search(words, lo, hi) if hi - lo >= least else None
+        if m:
+            yield m
+            left += [(lo, m.start()), (m.end(), hi)]
+
+
 def scan_row(scanner: Scanner, text: str | None) -> tuple:
     words, n = normalised(text)
     hits = scanner.scan(words)

@@ -108,6 +108,15 @@ def rules(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside), failed
 
 
+def test_license_finds_a_worse_match_before_a_better_one():
+    scanner = Scanner()
+    worse, good = "released under the mit licence", "released under the mit license"
+    for text in (f"{worse} {good}", f"{good} {worse}", f"{worse} {good} {worse} {worse} {good}"):
+        n = len(text.split()) // 5
+        got = sorted((h.start, h.end, h.edits) for h in scanner.scan(normalised(text)[0]) if not h.base)
+        assert got == [(5 * i, 5 * i + 5, int(text.split()[5 * i + 4] == "licence")) for i in range(n)]
+
+
 def test_quality_metrics(docs, edge, none):
     for df in (docs, edge):
         want = Counter((r.doc_id, *rules(r.text)) for r in df.collect())
