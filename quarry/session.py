@@ -1,13 +1,37 @@
-"""A session with the settings that the engine wants; on a cluster they come from its own configuration."""
+"""A session with the settings that the engine wants, the folder that all executors share, and tasks for small inputs."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quarry", **conf: str) -> SparkSession:
+    """On a cluster the settings come from its own configuration."""
     b = SparkSession.builder.appName(app)
     wanted = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", **conf}
     for k, v in wanted.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Where none is set, a temporary one, but only if all tasks run on this machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="quarry-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a scan, dealt to all cores where its files make fewer tasks than there are cores.
+
+    Such an input is small, however much work its rows are; one with more tasks than cores isn't touched. For scans alone: the number
+    of tasks of a plan with exchanges is known only after they ran.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
