@@ -8,29 +8,23 @@ errors next to one with at most two, or no segment with more than two. So these
     exact bits of segment i and an index of segment j, for i != j        (33 bits, about 32 keys)
     an index of each segment                                             (36 bits, about 150 keys)
 
-Fingerprints, not documents, get keys: copies are one fingerprint. A bucket is never expanded into all its pairs: its
-smallest and largest member are tried against the others, components are formed, and only members outside a
-bucket's largest component are compared with the rest of it. Components need no more links than that, and none that
-joins two of them is lost.
-
-Plan: one shuffle of (key, node) with map-side combine; buckets of up to three members are solved from the aggregates alone;
-the members of larger ones come from a join on the key. Components by alternating star contractions, written to the shared
-folder after each round.
+Fingerprints, not documents, get keys: copies are one fingerprint. One shuffle deals (key, node) by key; the workers compare the
+members of a bucket with one another by their differing bits and give a forest of links, in which links that a task has
+told already are left out; components come from the links. No row leaves a worker for a pair, nor for a member of a bucket.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, save, signed
+from quarry.llm.buckets import bucket_pairs, components, with_roots
+from quarry.llm.common import forget, map_rows, save
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 ERRORS = 4
@@ -38,12 +32,6 @@ ERRORS = 4
 GENERATOR = 0b101011100011
 SHINGLE_WORDS = 4
 SEED = 42
-#: Turns in which what the first hubs leave is tried against another member, before all pairs of it are. Only where tests are dear.
-HUB_TURNS = 4
-#: Edges that are written by a task, while components are formed.
-COMPONENT_ROWS = 1_000_000
-#: Keys of large buckets (24 bytes each) that are broadcast at most; above that their members come from a shuffled join.
-BROADCAST_KEYS = 2_000_000
 
 
 # -- fingerprints ---------------------------------------------------------------------------------------------
@@ -63,16 +51,18 @@ def shingles(text: str | None, k: int) -> list[bytes]:
     return [joined[starts[i] : ends[i + k - 1]] for i in range(len(words) - k + 1)]
 
 
-def fingerprint(features: list[bytes], seed: int = SEED) -> int:
-    """Bit b is 1 if it is set in over half of the features' XXH64; 0 without features. Signed."""
-    if not features:
-        return 0
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is 1 if it is set in over half of the 64-bit hashes; 0 without any. Signed."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(features), 1 << 16):
-        part = features[at : at + (1 << 16)]
-        h = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in part), np.uint64, len(part))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(features), bitorder="little").view("<i8")[0])
+    for at in range(0, len(hashes), 1 << 16):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(features: list[bytes], seed: int = SEED) -> int:
+    """The majority of the features' XXH64."""
+    return majority(np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in features), np.uint64, len(features)))
 
 
 # -- Golay keys -----------------------------------------------------------------------------------------------
@@ -111,8 +101,8 @@ class Golay:
         return np.where(e < 0, -1, (v[:, None] ^ e) >> 11)
 
 
-def keys_of(fps: np.ndarray, golay: Golay, table: int = 0, triple: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all keys of signed fingerprints. table keeps the keys of several fingerprints of a row apart."""
+def keys_of(fps: np.ndarray, golay: Golay, triple: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all keys of signed fingerprints; without ``triple`` those of a segment's exact bits with an index alone."""
     u = fps.astype(np.int64).view(np.uint64)
     parts = [((u >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
     index = [golay.indices(p) for p in parts]
@@ -123,129 +113,37 @@ def keys_of(fps: np.ndarray, golay: Golay, table: int = 0, triple: bool = True)
             if i != j:
                 r, m = np.nonzero(index[j] >= 0)
                 rows.append(r)
-                keys.append((table * 8 + family) << 40 | parts[i][r] << 12 | index[j][r, m])
+                keys.append(family << 40 | parts[i][r] << 12 | index[j][r, m])
                 family += 1
     if triple:
         ok = (index[0][:, :, None, None] >= 0) & (index[1][:, None, :, None] >= 0) & (index[2][:, None, None, :] >= 0)
         r, a, b, c = np.nonzero(ok)
         rows.append(r)
-        keys.append((table * 8 + 6) << 40 | index[0][r, a] << 24 | index[1][r, b] << 12 | index[2][r, c])
+        keys.append(6 << 40 | index[0][r, a] << 24 | index[1][r, b] << 12 | index[2][r, c])
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def golay_keys(nodes: DataFrame, fps: list[str], *, triple: bool = True) -> DataFrame:
-    """(key, node) of a table (node, fingerprints...)."""
+def golay_keys(nodes: DataFrame, fp: str = "node", *, triple: bool = True) -> DataFrame:
+    """(key, node) of rows with a node and a fingerprint."""
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay()
-        for pdf in batches:
-            for at in range(0, len(pdf), 2000):  # a few hundred keys a row
-                part = pdf.iloc[at : at + 2000]
-                node = part["node"].to_numpy()
-                for t, c in enumerate(fps):
-                    r, k = keys_of(part[c].to_numpy(), golay, t, triple)
-                    yield pd.DataFrame({"key": k, "node": node[r]})
+        for b in batches:
+            node, prints = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for at in range(0, len(node), 2000):  # a few hundred keys a row
+                r, k = keys_of(prints[at : at + 2000], golay, triple)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(node[at + r])], ["key", "node"])
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return nodes.select("node", *fps).repartition(parts).mapInPandas(emit, "key long, node long")
+    return nodes.select("node", F.col(fp).alias("fp")).repartition(parts).mapInArrow(emit, "key long, node long")
 
 
-# -- components -----------------------------------------------------------------------------------------------
+def close(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Whether fingerprints link."""
+    return np.bitwise_count((x[0] ^ y[0]).view(np.uint64)) <= ERRORS
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): root is the smallest node of its component.
-
-    Alternating large-star and small-star rounds until nothing changes; each round is written to the shared folder.
-    """
-    files = lambda n: max(1, -(-n // COMPONENT_ROWS))
-    parts = files(edges.count())
-    e = save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().coalesce(parts))
-    mark = None
-    while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = save(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct().coalesce(parts))
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark, parts = now, files(now[0])
-    return save(e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()).coalesce(parts))
-
-
-def linked(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, *, sketches: Callable[[], DataFrame] | None = None, likely: Callable[[Column, Column], Column] | None = None, random_nodes: bool = False) -> DataFrame:
-    """(node, root) of the components that verified pairs of nodes with a common key form.
-
-    verify keeps the true ones of distinct pairs (a, b); near is a cheap condition that true pairs always meet, applied inside
-    joins. sketches gives (node, sketch) after the first verification, and likely compares two of them inside the join of
-    what is left; a node without a sketch passes. With random_nodes (ids spread over all 64 bits) large buckets of equal
-    members, told by their number, ends and exclusive or, are one bucket. Nodes without a link are left out.
-    """
-    buckets = save(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor("node").alias("x")).where("lo < hi"), compact=True)
-    third = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
-    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    lo, hi = F.col("lo"), F.col("hi")
-    first = buckets.select(F.explode(F.when(F.col("n") == 3, F.array(pair(lo, hi), pair(lo, third), pair(hi, third))).otherwise(F.array(pair(lo, hi)))).alias("p")).select("p.*")
-    big = buckets.where("n > 3").select("key", "lo", "hi")
-    if random_nodes:
-        big = save(buckets.where("n > 3").groupBy("n", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "lo", "hi"), compact=True)
-    few_keys = big.count() <= BROADCAST_KEYS
-    members = save(keys.join(F.broadcast(big) if few_keys else big, "key"), compact=True)
-    if sketches is None:
-        to = lambda hub: members.select(pair(F.col("node"), hub).alias("p")).select("p.*").where("a < b").distinct()
-        hubs = to(lo).unionByName(to(hi))
-    else:  # a true test is dear here: two hubs for each member, of all its buckets'
-        ends = members.groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        hubs = ends.select(pair(F.col("node"), lo).alias("p")).unionByName(ends.select(pair(F.col("node"), hi).alias("p"))).select("p.*").where("a < b")
-    edges = save(verify(near(first.unionByName(hubs)).distinct()), compact=True)
-    roots = components(edges)
-    turn, turns = 0, 0 if sketches is None else HUB_TURNS
-    while True:
-        # what is left: pairs of different components in a bucket; at least one of the two is outside the largest
-        m = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        sizes = save(m.groupBy("key", "root").agg(F.count("*").alias("n")), compact=True)
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "root"))
-        roots_in = F.count("*").over(Window.partitionBy("key"))
-        ranked = save(sizes.select("key", F.col("root").alias("ra"), place.alias("place"), roots_in.alias("roots")).where("roots > 1"), compact=True)
-        mixed = ranked.where("place = 1").select("key")
-        if not ranked.limit(1).count():
-            return roots
-        of = lambda which: m.join(ranked.where(which).select(F.col("key").alias("kr"), "ra"), (m.key == F.col("kr")) & (m.root == F.col("ra"))).select("key", "node", "ra")
-        few = of("place > 1").withColumnRenamed("node", "na")
-        if turn < turns:
-            # first against one more member of the largest component, another one each turn: rows, not pairs
-            hub = of("place = 1").groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("nb"))
-            found = few.join(hub, "key")
-            if sketches is not None:
-                both = found.groupBy("na").agg(F.min("nb").alias("lo"), F.max("nb").alias("hi"))
-                found = both.select("na", F.col("lo").alias("nb")).unionByName(both.select("na", F.col("hi").alias("nb")))
-        else:
-            every = m.join(mixed, "key").select(F.col("key").alias("kb"), F.col("node").alias("nb"), F.col("root").alias("rb"))
-            on = (F.col("key") == F.col("kb")) & (F.col("ra") != F.col("rb"))
-            if sketches is not None:
-                known = sketches()
-                few = few.join(known.select(F.col("node").alias("na"), F.col("sketch").alias("sa")), "na", "left")
-                every = every.join(known.select(F.col("node").alias("nb"), F.col("sketch").alias("sb")), "nb", "left")
-                on = on & F.coalesce(likely(F.col("sa"), F.col("sb")), F.lit(True))
-            found = few.join(every, on)
-        rest = save(verify(near(found.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))).distinct()), compact=True)
-        some = rest.limit(1).count()
-        if some:
-            edges = edges.unionByName(rest)
-            roots = components(edges)
-        if turn >= turns:
-            return roots
-        turn = turn + 1 if some else turns
-
-
-def distance(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
-# -- operators ------------------------------------------------------------------------------------------------
+# -- the operator ---------------------------------------------------------------------------------------------
 
 
 def simhash_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -253,195 +151,19 @@ def simhash_components(docs: DataFrame, *, text: str = "text", doc_id: str = "do
 
     Null and wordless texts have fingerprint zero, linked like any other. component_id is the smallest id that links reach;
     null ids are no candidates for it (null if all are). Repeated rows are kept. An empty table gives an empty result.
+    Other columns, whatever their names, are not read.
     """
-    df = bounded_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    df = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
 
-    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = [fingerprint(shingles(t if isinstance(t, str) else None, shingle_words)) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array(fp, np.int64)})
+    def prints():
+        return lambda texts: [[fingerprint(shingles(t, shingle_words)) for t in texts]]
 
-    rows = save(df.mapInPandas(prints, "doc_id long, fp long"), compact=True)
+    rows = save(map_rows(df, [df["text"]], ["doc_id"], "fp long", prints), compact=True)
     nodes = save(rows.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("first")), compact=True)
-    true = lambda pairs: pairs.where(distance(F.col("a"), F.col("b")) <= ERRORS)
-    roots = linked(golay_keys(nodes.withColumn("fp", F.col("node")), ["fp"]), lambda pairs: pairs, true)
-    of = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    links = bucket_pairs(golay_keys(nodes), close, true=True)
+    roots = components(links)
+    of = with_roots(nodes, roots)
     smallest = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = of.join(smallest, "root").select("node", "component_id")
+    ids = save(of.join(smallest, "root").select("node", "component_id"), compact=True)
+    forget(links, roots, nodes)
     return rows.join(ids, rows.fp == ids.node).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Near copies of whole documents: words of a shingle, least Jaccard similarity of the shingle sets.
-NEAR_WORDS, NEAR = 5, 0.8
-#: One text of so many is read to tell common shingles; so many of the commonest (16 bytes each) go to the workers.
-SAMPLE, COMMON = 16, 200_000
-#: Texts that a task remembers, so that copies are not cut into shingles again.
-REMEMBERED = 100_000
-#: Keys of texts (some 60 bytes each) that are broadcast at most; above that texts are shuffled by their key.
-BROADCAST_TEXTS = 1_000_000
-
-
-def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = NEAR_WORDS, least: float = NEAR) -> tuple[DataFrame, DataFrame]:
-    """Classes of copies and near copies of whole texts.
-
-    Candidates share a hash in the prefixes of their shingle sets, which no pair of similarity ``least`` misses; the exact Jaccard
-    similarity of the sets decides. Returns (texts, classes): texts has
-    (node, text_key, first, rows, same) for each distinct text: its smallest id, its rows, and those with that id; classes
-    (node, root) for those with a link. Null texts count as empty; empty texts are copies of each other.
-    """
-    df = bounded_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    bodies = df.select("text", text_key_of(F.col("text")).alias("text_key"))
-    each = df.select("doc_id", text_key_of(F.col("text")).alias("text_key")).groupBy("text_key", "doc_id").agg(F.count("*").alias("n"))
-    texts = each.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.sum("n").alias("rows"), F.coalesce(F.min_by("n", "doc_id"), F.sum("n")).alias("same"))
-    # an id is mixed over all bits by XXH64, which is one to one on eight bytes
-    texts = texts.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
-    texts = save(texts.withColumn("node", F.xxhash64(F.monotonically_increasing_id())))
-    own = bodies.mapInPandas(_prefixes(words, least, *common_shingles(bodies, words)), "text_key binary, size long, prefix array<long>")
-    own = own.groupBy("text_key").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    drawn = save(texts.join(own, "text_key").select("node", "size", "prefix"))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        # sets of this similarity have sizes of this ratio at least; the exact check decides on the others
-        side = lambda s: drawn.select(F.col("node").alias(s), F.col("size").alias(f"n{s}"))
-        both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-        return both.where(F.least("na", "nb") >= F.floor(least * F.greatest("na", "nb"))).select("a", "b")
-
-    compared: list[DataFrame] = []
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = save(pairs, compact=True)
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        for known in compared:
-            wanted = wanted.join(known.select("node"), "node", "left_anti")
-        keyed = save(texts.join(wanted, "node").select("node", "text_key"), compact=True)
-        n = keyed.count()
-        if n or not compared:
-            near_by = F.broadcast(keyed) if n <= BROADCAST_TEXTS else keyed
-            # one row for each wanted text: its sorted shingle hashes
-            new = bodies.join(near_by, "text_key").mapInPandas(_shingle_sets(words), "node long, shingles array<long>, sketch array<byte>")
-            compared.append(save(new.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))))
-        sets = reduce(DataFrame.unionByName, compared)
-        side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        # inside the JVM, a pair at a time: a batch of long texts' shingles wouldn't fit a Python worker
-        common = F.size(F.array_intersect("sa", "sb"))
-        union = F.size("sa") + F.size("sb") - common
-        return both.where((union == 0) | (common >= least * union)).select("a", "b")
-
-    keys = drawn.select(F.explode("prefix").alias("key"), "node")
-    return texts.select("node", "text_key", "first", "rows", "same"), linked(keys, verify, near, sketches=lambda: reduce(DataFrame.unionByName, compared).select("node", "sketch"), likely=lambda a, b: likely(a, b, least), random_nodes=True)
-
-
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The number of distinct hashes with each value of the top byte; 127 stands for any above."""
-    return np.minimum(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256), 127).astype(np.int8)
-
-
-def likely(a: Column, b: Column, least: float) -> Column:
-    """Whether two sketches allow a similarity of ``least``: no more hashes than the lesser number are common to a top byte."""
-    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda at, n: at + n)
-    full = (1 << 40) * (F.size(F.array_intersect(F.filter(a, lambda x: x == 127), F.filter(b, lambda x: x == 127))) > 0).cast("long")
-    both = F.zip_with(a, b, lambda x, y: F.least(x, y))
-    common = total(both) + full  # a byte that is full in both, or in a place of each, rules nothing out
-    return common >= least * (total(a) + total(b) - common) - 1e-9
-
-
-def text_key_of(col: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(col, F.lit(""))))
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The sorted distinct hashes of the text's shingles."""
-    own = shingles(text, words)
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in own), np.uint64, len(own)))
-
-
-def prefix(hashes: np.ndarray, least: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first hashes of a sorted set in the order (count, hash), so many that two sets of similarity ``least`` share one of them.
-
-    Such sets have at least ``least`` times the size of either in common, so that one which lacks all of a prefix of
-    size - ceil(least * size) + 1 hashes has too few left. Any order does that is the same for all sets; rare ones first leave
-    few sets to a hash. common is sorted; what isn't in it counts 0. An empty set has the prefix 0.
-    """
-    n = len(hashes)
-    if not n:
-        return np.zeros(1, np.uint64)
-    cost = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        cost = np.where(common[at] == hashes, counts[at], 0)
-    return hashes[np.argsort(cost, kind="stable")[: n - math.ceil(least * n - 1e-9) + 1]]
-
-
-def _once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The batches without most copies of texts."""
-    known: set[bytes] = set()
-    for pdf in batches:
-        if len(known) > REMEMBERED:
-            known.clear()
-        pdf = pdf.drop_duplicates("text_key")
-        pdf = pdf[[k not in known for k in pdf["text_key"]]]
-        known.update(pdf["text_key"])
-        yield pdf
-
-
-def common_shingles(bodies: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest shingle hashes in a sample of (text, text_key), sorted, and their texts in it."""
-
-    def every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _once(batches):
-            own = [shingle_set(t if isinstance(t, str) else None, words) for t in pdf["text"]]
-            yield pd.DataFrame({"shingle": np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)})
-
-    sample = bodies.where(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLE)) == 0).mapInPandas(every, "shingle long")
-    counted = sample.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    top = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()  # bounded by COMMON
-    hashes, counts = (top[c].to_numpy() for c in ("shingle", "n"))
-    hashes = hashes.view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
-
-
-def _prefixes(words: int, least: float, common: np.ndarray, counts: np.ndarray):
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _once(batches):
-            own = [shingle_set(t if isinstance(t, str) else None, words) for t in pdf["text"]]
-            yield pd.DataFrame({"text_key": pdf["text_key"], "size": np.array([len(x) for x in own], np.int64), "prefix": [prefix(x, least, common, counts).view(np.int64) for x in own]})
-
-    return prefixes
-
-
-def _shingle_sets(words: int):
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            own = [shingle_set(t if isinstance(t, str) else None, words) for t in pdf["text"]]
-            yield pd.DataFrame({"node": pdf["node"], "shingles": [x.view(np.int64) for x in own], "sketch": [sketch(x) for x in own]})
-
-    return sets
-
-
-def drop_near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs without copies and near copies: of each class the row with the smallest id stays (null ids last)."""
-    names = docs.columns
-    texts, classes = near_copies(docs, text=text, doc_id=doc_id, **how)
-    of = texts.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = of.groupBy("root").agg(F.min_by("node", F.struct(F.col("first").isNull(), "first", "text_key")).alias("best"))
-    # texts that have one row and no class stay as they are; only the others take part in the join
-    others = of.join(best, "root").select(F.col("text_key").alias("__key"), (F.col("node") == F.col("best")).alias("__stays"), _id_key(F.col("first")).alias("__first"), (F.col("same") > 1).alias("__again"), ((F.col("rows") > 1) | (F.col("node") != F.col("best"))).alias("__special"))
-    others = save(others.where("__special").drop("__special"), compact=True)
-    d = docs.withColumn("__key", text_key_of(docs[text])).withColumn("__id", _id_key(docs[doc_id].cast("long")))
-    if others.count() <= BROADCAST_TEXTS:
-        joined = d.join(F.broadcast(others), "__key", "left").where("__stays is null or (__stays and __id = __first)")
-    else:
-        # joined by text and id, so that many copies of one text are many keys
-        stay = others.where("__stays").withColumnRenamed("__first", "__id").select("__key", "__id", "__again", F.lit(True).alias("__stays"))
-        alone = d.join(others.select("__key").distinct(), "__key", "left_anti").withColumn("__again", F.lit(False))
-        joined = d.join(stay, ["__key", "__id"]).drop("__stays").unionByName(alone)
-    # rows that repeat id and text
-    again = F.coalesce("__again", F.lit(False))
-    repeats = joined.where(again).withColumn("__n", F.row_number().over(Window.partitionBy("__key", "__id").orderBy(F.lit(1)))).where("__n = 1")
-    return joined.where(~again).select(*names).unionByName(repeats.select(*names))
-
-
-def _id_key(col: Column) -> Column:
-    return F.coalesce(col.cast("string"), F.lit("-"))

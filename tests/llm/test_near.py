@@ -7,7 +7,9 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from quarry.llm.simhash import Golay, components, drop_near_copies, golay_keys, keys_of, linked, near_copies, simhash_components
+from quarry.llm.buckets import bucket_pairs, components
+from quarry.llm.near_copies import drop_near_copies, near_copies
+from quarry.llm.simhash import Golay, close, golay_keys, keys_of, simhash_components
 from quarry.llm.topk_search import topk_search
 
 
@@ -57,32 +59,67 @@ def test_golay_tables_and_guarantee():
         assert all(x & y for x, y in zip(*keys))
 
 
-def test_components(spark):
-    rng = random.Random(2)
-    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(100)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+def graph(seed):
+    rng = random.Random(seed)
+    return [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(100)]
+
+
+def test_components(spark, monkeypatch):
+    from quarry.llm import buckets
+
+    pairs = graph(2)
+    edges = spark.createDataFrame(pairs, "a long, b long")
     want = find_roots({x for p in pairs for x in p}, pairs)
-    linked_nodes = {x for a, b in pairs if a != b for x in (a, b)}
-    assert got == {n: r for n, r in want.items() if n in linked_nodes}
+    for most in (buckets.COMPONENT_ROWS, -1):
+        monkeypatch.setattr(buckets, "COMPONENT_ROWS", most)
+        assert {r.node: r.root for r in components(edges).collect()} == want
+        assert components(edges.limit(0)).count() == 0
 
 
-def test_linked_dense_clusters(spark):
-    """Clusters far denser than a bucket's hubs can settle, chains, and lone values."""
-    rng = random.Random(4)
+def clusters(seed, groups=4, members=150, bits=12):
+    """Clusters far denser than a bucket's first member can settle, chains, and lone values."""
+    rng = random.Random(seed)
     fps = {rng.getrandbits(64) for _ in range(150)}
-    for _ in range(4):
+    for _ in range(groups):
         base = rng.getrandbits(64)
-        bits = rng.sample(range(64), 12)
-        fps |= {base ^ sum(1 << b for b in rng.sample(bits, rng.randrange(7))) for _ in range(150)}
-    fps = [x - (1 << 64) if x >> 63 else x for x in fps]
-    nodes = spark.createDataFrame([(x, x) for x in fps], "node long, fp long")
-    near = lambda p: p.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 4)
-    got = {r.node: r.root for r in linked(golay_keys(nodes, ["fp"]), lambda p: p, near).collect()}
+        own = rng.sample(range(64), bits)
+        fps |= {base ^ sum(1 << b for b in rng.sample(own, rng.randrange(7))) for _ in range(members)}
+    return [x - (1 << 64) if x >> 63 else x for x in fps]
+
+
+def test_dense_clusters(spark):
+    fps = clusters(4)
     u = [x & (2**64 - 1) for x in fps]
     of = find_roots(u, near_pairs(u))
-    groups = lambda m: {frozenset(n for n in m if m[n] == r) for r in set(m.values())}
-    want = {g for g in groups(of) if len(g) > 1}
-    assert groups({n & (2**64 - 1): r for n, r in got.items()}) == want and len(want) >= 4
+    want = {n: r for n, r in of.items() if list(of.values()).count(r) > 1}
+    nodes = spark.createDataFrame([(x,) for x in fps], "node long")
+    for part in (4096, 16, 3):  # whole buckets, and buckets in parts
+        links = bucket_pairs(golay_keys(nodes), close, true=True, part=part)
+        pairs = [(r.a & (2**64 - 1), r.b & (2**64 - 1)) for r in links.collect()]
+        assert all((a ^ b).bit_count() <= 4 for a, b in pairs)
+        assert find_roots({x for p in pairs for x in p}, pairs) == want and len(set(want.values())) >= 4
+
+
+def test_links_grow_with_members_only(spark):
+    """What leaves the workers for a group of near copies: links, in proportion to its members."""
+    seen = {}
+    for n in (300, 600, 1200):
+        nodes = spark.createDataFrame([(x,) for x in clusters(9, 1, n, 16)], "node long")
+        seen[n] = (nodes.count(), bucket_pairs(golay_keys(nodes), close, true=True).count(), golay_keys(nodes).groupBy("key").count().agg(F.max("count")).first()[0])
+    print("members, links, largest bucket:", seen)
+    assert all(links < 4 * members for members, links, _ in seen.values()) and seen[1200][2] > 100
+
+
+def test_all_pairs_of_other_roots(spark):
+    """Not links but all matches: pairs of different roots only, the same from whole buckets and from parts."""
+    rng = random.Random(1)
+    rows = [(rng.randrange(4), i, rng.randrange(6), rng.randrange(40)) for i in range(200)]
+    match = lambda x, y: (x[1] != y[1]) & (np.abs(x[2] - y[2]) <= 3)
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and abs(a[3] - b[3]) <= 3}
+    df = spark.createDataFrame(rows, "key long, node long, root long, at long")
+    for part in (4096, 20, 7):
+        got = [tuple(r) for r in bucket_pairs(df, match, true=False, part=part).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_simhash_query(docs, edge, none):
@@ -191,7 +228,7 @@ def test_near_copies_of_few_words(spark):
 
 
 def test_prefixes_of_near_sets_meet():
-    from quarry.llm.simhash import prefix
+    from quarry.llm.near_copies import prefix
 
     rng = np.random.default_rng(5)
     common = np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64))
@@ -206,15 +243,30 @@ def test_prefixes_of_near_sets_meet():
 
 
 def test_near_copies_without_broadcast(spark, edge, monkeypatch):
-    from quarry.llm import simhash
+    from quarry.llm import buckets, near_copies as n
 
     df = spark.createDataFrame(planted(spark, 15), "doc_id long, text string")
     want = [sorted(map(str, drop_near_copies(x).collect())) for x in (df, edge)]
-    monkeypatch.setattr(simhash, "BROADCAST_TEXTS", -1)
-    monkeypatch.setattr(simhash, "BROADCAST_KEYS", -1)
+    monkeypatch.setattr(n, "BROADCAST_TEXTS", -1)
+    monkeypatch.setattr(buckets, "BROADCAST_ROOTS", -1)
+    monkeypatch.setattr(buckets, "COMPONENT_ROWS", -1)
     assert [sorted(map(str, drop_near_copies(x).collect())) for x in (df, edge)] == want
 
 
+def test_hubs_of_large_buckets(spark):
+    """The same hub for a bucket that comes in parts."""
+    from quarry.llm.near_copies import hub_pairs
+
+    rng = random.Random(6)
+    rows = [(k, 1000 * k + i, rng.randrange(5) << 32 | rng.randrange(90, 110)) for k in range(3) for i in range((1, 2, 60)[k])]
+    df = spark.createDataFrame(rows, "key long, node long, at long")
+    whole, parts = hub_pairs(df, 0.8), hub_pairs(df, 0.8, part=7)
+    assert {tuple(r) for r in whole[2].collect()} == {tuple(r) for r in parts[2].collect()} == {r for r in rows if r[0]}
+    hub = min(rows[3:], key=lambda r: r[2])[1]
+    of = lambda x: {tuple(sorted(r)) for r in x[1].collect() if hub in tuple(r)}
+    assert of(whole) == of(parts) and len(of(whole)) > 30
+
+
 def test_near_copies_keeps_different(docs):
     texts, classes = near_copies(docs)
     body = {r.node: r.text for r in texts.join(docs, texts["first"] == docs.doc_id).select("node", "text").collect()}
@@ -250,20 +302,16 @@ def test_topk(spark, monkeypatch):
     assert topk_search(df.limit(0), is_query=F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_sketches(spark):
-    from quarry.llm.simhash import likely, sketch
+def test_sketches():
+    from quarry.llm.near_copies import most_common, sketch
 
     rng = np.random.default_rng(1)
-    rows = []
-    for i in range(300):
+    for k in range(600):
         n = int(rng.integers(1, 600))
-        both = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-        own = [np.unique(np.concatenate([both, rng.integers(0, 2**64, int(rng.integers(0, n // 9 + 1)), dtype=np.uint64)])) for _ in range(2)]
-        far = np.unique(np.concatenate([both, rng.integers(0, 2**64, 2 * n, dtype=np.uint64)]))
-        j = len(np.intersect1d(*own)) / len(np.union1d(*own))
-        rows.append((i, sketch(own[0]).tolist(), sketch(own[1]).tolist(), sketch(far).tolist(), j, n))
-    df = spark.createDataFrame(rows, "i long, a array<byte>, b array<byte>, far array<byte>, j double, n int").withColumns({"near": likely(F.col("a"), F.col("b"), 0.8), "out": likely(F.col("a"), F.col("far"), 0.8)})
-    got = df.collect()
-    assert all(r.near for r in got if r.j >= 0.8) and not any(r.out for r in got if r.n > 100)
-    empty = np.zeros(0, np.uint64)
-    assert not sketch(empty).any()
+        both = rng.integers(0, 2**64, n, dtype=np.uint64)
+        if k % 3 == 0:
+            both >>= np.uint64(int(rng.integers(0, 12)))  # crowded: counts beyond what a sketch can say
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**64, int(rng.integers(0, 2 * n)), dtype=np.uint64)])) for _ in range(2))
+        assert len(np.intersect1d(a, b)) <= most_common(sketch(a), sketch(b), len(a), len(b)) <= min(len(a), len(b))
+    a, b = (np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64)) for _ in range(2))
+    assert most_common(sketch(a), sketch(b), 500, 500) < 350 and sketch(a[:0]) == b"" and most_common(b"", sketch(a), 0, 500) == 0
