@@ -15,7 +15,7 @@ from quarry.llm.mixing import cube_mix, mixed_documents
 from quarry.llm.quality_rules import quality_rules
 from quarry.llm.secret_scan import secret_scan
 from quarry.llm.sentencepiece_codec import sentencepiece_encode
-from quarry.llm.simhash import drop_near_copies
+from quarry.llm.near_copies import drop_near_copies
 
 #: What takes the place of a secret.
 REDACTED = "<SECRET>"
