@@ -9,13 +9,13 @@ A text is seen as its lower-cased words joined by single spaces. No shuffle: one
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import bounded_batches
+from quarry.llm.common import map_rows
 
 # Phrases and labels of the exact base search.
 BASE = (
@@ -99,13 +99,15 @@ class Scanner:
     def scan(self, words: str) -> list[Hit]:
         """All hits in normalised words, by notice and place."""
         windows: dict[int, list[list[int]]] = {}
-        hits = []
+        hits, spaces = [], None
         for last, (length, where) in self.seeds.iter(words):
+            if spaces is None:  # places of the spaces, to number words: a text without a seed needs none
+                spaces = [i for i, c in enumerate(words) if c == " "]
             for i, at in where:
                 n, label, k, _, exact = self.notices[i]
                 start = last + 1 - length - at
                 if exact:
-                    first = words.count(" ", 0, start + 1) - 1
+                    first = bisect_right(spaces, start) - 1
                     hits.append(Hit(label, first, first + n.count(" ") - 1, 0, 1.0, True))
                     continue
                 lo, hi = max(0, start - k), min(len(words), start + len(n) + k)
@@ -118,24 +120,31 @@ class Scanner:
             n, label, k, pattern, _ = self.notices[i]
             seen = set()
             for lo, hi in spans:
-                for m in every_match(pattern, words, lo, hi, len(n) - k):
-                    edits = sum(m.fuzzy_counts)
-                    first = words.count(" ", 0, m.start() + (words[m.start()] == " ")) - 1
-                    end = words.count(" ", 0, m.end() - (words[m.end() - 1] == " "))
+                for start, stop, edits in every_match(n, pattern, words, lo, hi, len(n) - k):
+                    first = bisect_right(spaces, start + (words[start] == " ") - 1) - 1
+                    end = bisect_right(spaces, stop - (words[stop - 1] == " ") - 1)
                     if (first, end) not in seen:
                         seen.add((first, end))
                         hits.append(Hit(label, max(first, 0), end, edits, 1 - edits / len(n), False))
         return hits
 
 
-def every_match(pattern, words: str, lo: int, hi: int, least: int) -> Iterator:
-    """The best match of words[lo:hi], and likewise those before and after it; none is shorter than ``least``."""
-    left = [(lo, hi)]
+def every_match(notice: str, pattern, words: str, lo: int, hi: int, least: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, edits) of the best match of words[lo:hi], and likewise of those before and after it; none is shorter than ``least``.
+
+    No match is better than the notice itself, so its literal places come first and cost no search with errors.
+    """
+    left, at = [], lo
+    while (found := words.find(notice, at, hi)) >= 0:
+        left.append((at, found))
+        at = found + len(notice)
+        yield found, at, 0
+    left.append((at, hi))
     while left:
         lo, hi = left.pop()
         m = pattern.search(words, lo, hi) if hi - lo >= least else None
         if m:
-            yield m
+            yield m.start(), m.end(), sum(m.fuzzy_counts)
             left += [(lo, m.start()), (m.end(), hi)]
 
 
@@ -162,18 +171,11 @@ def license_scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] =
     notices has label:start:end:edits of every verified fuzzy match, in words, end exclusive. score is the
     best 1 - edits / length of any match, 0 without one. Null and empty texts: no words, no labels, score 0,
     null first_word and last_word. Rows that repeat are scanned each; an empty table gives an empty result.
-    Other columns of docs are not read.
+    Other columns of docs are not read; a kept one whose name is a result's gets underscores at its end.
     """
-    cols = [c for c in keep]
-    df = bounded_batches(docs).select(*(docs[c] for c in cols), docs[text].alias("__text"))
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows():
         scanner = Scanner(base, notices)
-        for pdf in batches:
-            found = [scan_row(scanner, t if isinstance(t, str) else None) for t in pdf["__text"]]
-            out = pd.DataFrame(found, columns=names).astype({"first_word": "Int64", "last_word": "Int64"})
-            yield pd.concat([pdf[cols].reset_index(drop=True), out], axis=1)
+        return lambda texts: list(zip(*(scan_row(scanner, t) for t in texts))) or [[]] * len(SCHEMA.split(", "))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "__text")
-    return df.mapInPandas(rows, f"{schema}, {SCHEMA}")
+    return map_rows(docs, [docs[text]], list(keep), SCHEMA, rows)

@@ -15,7 +15,7 @@ a source are dealt by a hash of the unit, so a source with a third of all rows i
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,13 +108,13 @@ def source_targets(rows: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most:
 
 
 def _flights(units: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
-    def fly(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "doc_id", "size"], na_position="last", kind="stable")
-        rng = np.random.default_rng([seed, level, int(key[0]), int(key[1])])
-        pdf["pi"] = flight(pdf["pi"].to_numpy(float), pdf["size"].to_numpy(float), rng, last)
-        return pdf
+    def fly(key: tuple, block: pa.Table) -> pa.Table:
+        block = block.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])  # nulls last
+        rng = np.random.default_rng([seed, level, key[0].as_py(), key[1].as_py()])
+        pi = flight(block["pi"].to_numpy(), block["size"].to_numpy().astype(float), rng, last)
+        return block.set_column(block.schema.get_field_index("pi"), "pi", pa.array(pi, pa.float64()))
 
-    return units.groupBy("place", "bucket").applyInPandas(fly, units.schema)
+    return units.groupBy("place", "bucket").applyInArrow(fly, units.schema)
 
 
 def cube_mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
@@ -157,13 +157,20 @@ def cube_mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc
 
 
 def taken_rows(mix: DataFrame) -> DataFrame:
-    """One row for each document row, with taken: the words the mix takes from it, repeats counted."""
+    """One row for each document row, with taken: the words the mix takes from it, repeats counted.
+
+    Rows that repeat are as many as in the documents; null ids and sources are kept; an empty mix gives an empty result.
+    """
     each = mix.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("k"))
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + (F.col("k") <= F.col("more")).cast("long"))).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, mix: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Repeated rows are numbered; single ones, the rule, aren't sorted."""
+    """The rows of docs, each as often as the mix takes it. Repeated rows are numbered; single ones, the rule, aren't sorted.
+
+    Null ids, sources and texts match their own units of the mix. Columns may have any names but the operator's own (c, copies, more and
+    names that begin with two underscores). An empty table gives an empty result.
+    """
     names = docs.columns
     d = docs.select("*", n_words(docs[text]).alias("__size"))
     m = mix.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"), "c", "copies", "more")

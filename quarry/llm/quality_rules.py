@@ -16,12 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, host_key, save, signed
+from quarry.llm.common import bounded_batches, clear_of, host_key, lean, map_rows, save, signed
 
 #: A line is boilerplate in a host, however large, if more distinct documents hold it.
 LEAST_DOCS = 20
@@ -84,21 +84,20 @@ def held_lines(docs: DataFrame, *, text: str, host: str, doc_id: str) -> DataFra
     """(host, line, doc, first): the distinct lines of each distinct text of a host, and its smallest id; line 0 is in every text."""
     df = docs.select(docs[doc_id].cast("long").alias("id"), host_key(docs[host]).alias("host"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("doc"))
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, hosts, keys, lines = [], [], [], []
-            for i, h, t, d in zip(pdf["id"], pdf["host"], pdf["text"], pdf["doc"]):
-                if not isinstance(t, str):
-                    continue
-                # line 0 stands for the document itself
-                own = {0} | {x for x, n in lines_of(t) if n}
-                ids += [i] * len(own)
-                hosts += [h] * len(own)
-                keys += [d] * len(own)
-                lines += own
-            yield pd.DataFrame({"id": pd.array(ids, "Int64") if ids else pd.array([], "Int64"), "host": hosts, "doc": keys, "line": lines})
-
-    seen = df.mapInPandas(emit, "id long, host string, doc long, line long")
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for b in batches:
+            at, lines = [], []
+            for i, t in enumerate(b.column(2).to_pylist()):
+                if t is not None:
+                    # line 0 stands for the document itself
+                    own = {0} | {x for x, n in lines_of(t) if n}
+                    at += [i] * len(own)
+                    lines += own
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(rows) for i in (0, 1, 3)), pa.array(lines, pa.int64())], ["id", "host", "doc", "line"])
+
+    seen = bounded_batches(df).mapInArrow(emit, "id long, host string, doc long, line long")
     return seen.groupBy("host", "line", "doc").agg(F.min("id").alias("first"))
 
 
@@ -110,20 +109,23 @@ def boilerplate(held: DataFrame, *, least_docs: int, share: float) -> DataFrame:
     return over.select("host", "line", F.coalesce("first", F.lit(NO_ID)).alias("first"))
 
 
-def quality_rules(docs: DataFrame, *, text: str = "text", host: str = "source", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), cleaned: bool = False, least_docs: int = LEAST_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
+def quality_rules(docs: DataFrame, *, text: str = "text", host: str = "source", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), cleaned: bool = False, least_docs: int = LEAST_DOCS, share: float = SHARE, depleted: float = DEPLETED, spare_first: bool = True) -> DataFrame:
     """The columns ``keep``, the in-document metrics, and the verdict on every row.
 
     base_failed: fewer than 50 words, or over half of the words in repeated windows. kept: not base_failed, and
     the document isn't depleted by the removal of boilerplate lines (n_boiler_words of its words). With ``cleaned``
     also ``__cleaned``: the text without those lines. Null text: no words, not kept. A null host is a host of its own.
-    A line stays in the documents whose id is the smallest one that holds it in the host; where all ids of a line are
-    null it stays everywhere. Rows that repeat are judged alike; an empty table gives an empty result.
+    With ``spare_first`` a line stays in the documents whose id is the smallest one that holds it in the host (where all ids of a line
+    are null it stays everywhere), so that of a group of near copies one remains; without, it goes from all of them. Rows that repeat are
+    judged alike; an empty table gives an empty result. A kept column whose name is a result's gets underscores at its end.
     """
-    held = held_lines(bounded_batches(docs), text=text, host=host, doc_id=doc_id)
+    held = held_lines(docs, text=text, host=host, doc_id=doc_id)
     lines = save(boilerplate(held, least_docs=least_docs, share=share), compact=True)
     few = lines.count() <= BROADCAST_LINES
-    cols = list(keep)
-    df = docs.select(*(docs[c] for c in cols), docs[text].alias("__text"), docs[doc_id].cast("long").alias("__id"), host_key(docs[host]).alias("host"))
+    kept = {c: f"__k{i}" for i, c in enumerate(keep)}
+    body = kept.get(text, "__text")
+    own_body = [docs[text].alias(body)] * (text not in kept)
+    df = docs.select(*(docs[c].alias(k) for c, k in kept.items()), *own_body, docs[doc_id].cast("long").alias("__id"), host_key(docs[host]).alias("host"))
     hosts: dict[str, dict[int, int]] = {}
     if few:
         for r in lines.toArrow().to_pylist():
@@ -131,26 +133,28 @@ def quality_rules(docs: DataFrame, *, text: str = "text", host: str = "source",
         df = df.withColumns({"__lines": F.lit(None).cast("array<long>"), "__firsts": F.lit(None).cast("array<long>")})
     else:
         own = held.drop("first").join(lines, ["host", "line"]).groupBy("host", F.col("doc").alias("__doc")).agg(F.collect_list("line").alias("__lines"), F.collect_list("first").alias("__firsts"))
-        df = df.withColumn("__doc", F.xxhash64("__text")).join(own, ["host", "__doc"], "left").drop("__doc")
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*cols).schema)
-    schema = kept + ", ".join(f"{m} long" for m in METRICS) + ", base_failed boolean, n_boiler_words long, kept boolean" + ", `__cleaned` string" * cleaned
+        df = df.withColumn("__doc", F.xxhash64(body)).join(own, ["host", "__doc"], "left").drop("__doc")
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def judge():
+        def each(texts: list, ids: list, of: list, some: list, firsts: list) -> list:
             rows = []
-            for t, i, h, ls, fs in zip(pdf["__text"], pdf["__id"], pdf["host"], pdf["__lines"], pdf["__firsts"]):
-                t = t if isinstance(t, str) else None
+            for t, i, h, ls, fs in zip(texts, ids, of, some, firsts):
                 m = metrics(t or "")
                 failed = m[0] < 50 or 100 * m[4] > 50 * m[0]
                 lost, left = 0, t
                 over = hosts.get(h) if few else None if ls is None else dict(zip(ls, fs))
                 if over and t:
-                    own = [(x, n, n > 0 and x in over and over[x] != NO_ID and over[x] != i) for x, n in lines_of(t)]
-                    lost = sum(n for _, n, out in own if out)
+                    mine = lines_of(t)
+                    out = [n > 0 and x in over and not (spare_first and over[x] in (NO_ID, i)) for x, n in mine]
+                    lost = sum(n for (_, n), gone in zip(mine, out) if gone)
                     if lost and cleaned:
-                        left = "\n".join(raw for raw, (_, _, out) in zip(t.split("\n"), own) if not out)
-                rows.append((*m, failed, lost, not failed and lost < depleted * m[0], left))
-            found = pd.DataFrame(rows, columns=[*METRICS, "base_failed", "n_boiler_words", "kept", "__cleaned"])
-            yield pd.concat([pdf[cols].reset_index(drop=True), found if cleaned else found.drop(columns="__cleaned")], axis=1)
+                        left = "\n".join(raw for raw, gone in zip(t.split("\n"), out) if not gone)
+                rows.append((*m, failed, lost, not failed and lost < depleted * m[0], left)[: len(METRICS) + 3 + cleaned])
+            return list(zip(*rows)) or [[]] * (len(METRICS) + 3 + cleaned)
 
-    return df.mapInPandas(judge, schema)
+        return each
+
+    fields = ", ".join(f"{m} long" for m in METRICS) + ", base_failed boolean, n_boiler_words long, kept boolean" + ", `__cleaned` string" * cleaned
+    out = clear_of(list(keep), [*METRICS, "base_failed", "n_boiler_words", "kept", "__cleaned"])
+    found = map_rows(df, [body if text in kept else df[body], *(df[c] for c in ("__id", "host", "__lines", "__firsts"))], list(kept.values()), fields, judge)
+    return found.select(*(F.col(k).alias(out[c]) for c, k in kept.items()), *found.columns[len(kept) :])

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.chat_format import chat_format, loss_text
-from quarry.llm.common import read
+from quarry.llm.common import read, shared_dir
 from quarry.llm.license_scan import license_scan
 from quarry.llm.mixing import cube_mix, taken_rows
 from quarry.llm.quality_rules import quality_rules
 from quarry.llm.secret_scan import secret_scan
 from quarry.llm.sentencepiece_codec import sentencepiece_encode
-from quarry.llm.sharding import reshard
+from quarry.llm.sharding import reshard, rewrite
 from quarry.llm.simhash import simhash_components
 from quarry.llm.token_counts import length_histogram, token_lengths
 from quarry.llm.topk_search import topk_search
@@ -45,6 +46,18 @@ def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def reshard_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a resharding: documents stored by old shard, the affected shards written anew, and all shards read back."""
+    old, new = (f"{shared_dir(spark)}/quarry-shards-{uuid.uuid4().hex}" for _ in range(2))
+    docs = read(spark, sf_dir, "documents").withColumn("shard", F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS)).cast("int"))
+    docs.write.partitionBy("shard").parquet(old)
+    stored = spark.read.parquet(old)
+    touched = rewrite(spark, old, new, reshard(stored, old_shard=F.col("shard")))
+    kept = stored.where(~F.col("shard").isin(touched)).select("doc_id", "text", "shard")
+    both = spark.read.parquet(new).select("doc_id", "text", "shard").unionByName(kept)
+    return both.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.col("shard").cast("int").alias("shard"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(token_lengths(read(spark, sf_dir, "documents"), keep=()))
 
@@ -116,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_cube_mix": op4_cube_mix,
         "op5_reshard": op5_reshard,
+        "reshard_rewrite": reshard_rewrite,
         "op6_token_counts": op6_token_counts,
         "op7_chat_format": op7_chat_format,
         "op8_simhash": op8_simhash,

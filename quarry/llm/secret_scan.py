@@ -15,14 +15,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, save
+from quarry.llm.common import clear_of, map_rows, save
 
 # Base kinds in order, their patterns, the group that has the value and its least length.
 BASE = (
@@ -71,18 +70,39 @@ def bits(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+class Taken:
+    """Disjoint spans in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def add(self, a: int, b: int) -> bool:
+        """Take [a, b) unless something in it is taken."""
+        i = bisect_right(self.ends, a)
+        if i < len(self.starts) and self.starts[i] < b:
+            return False
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+        return True
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Wider matches that no base span and no earlier kind overlaps."""
-    taken, found = [(a, b) for a, _, b in base], []
+    taken, found = Taken([(a, b) for a, _, b in base]), []
     for i, (kind, pattern) in enumerate(_WIDER, len(BASE)):
         for m in pattern.finditer(text):
-            a, b = m.span()
             v = m[0]
             if kind == "blob" and not (any(c.isdigit() for c in v) and v.lower() != v and v.upper() != v and bits(v) >= BLOB_BITS):
                 continue
-            if not any(x < b and a < y for x, y in taken):
-                taken.append((a, b))
-                found.append((a, i, b))
+            if taken.add(*m.span()):
+                found.append((m.start(), i, m.end()))
     return sorted(found)
 
 
@@ -100,14 +120,6 @@ def redacted(text: str, spans, by: str) -> str:
     return "".join([*parts, text[at:]])
 
 
-def _redactor(by: str):
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([redacted(t, [(x["a"], x["b"]) for x in s], by) if len(s) and isinstance(t, str) else t for t, s in zip(texts, spans)], dtype=object)
-
-    return cut
-
-
 def live_spans(found: DataFrame, *, most_owners: int, most_repos: int) -> DataFrame:
     """(text_key, live array<struct<a, k, b>>) of each distinct text with owner-specific candidates."""
     each = found.where(F.size("cands") > 0).select("text_key", "owner", "repo", F.explode("cands").alias("c"))
@@ -124,31 +136,35 @@ def secret_scan(docs: DataFrame, *, text: str = "text", owner: str = "source", r
 
     With ``redact`` the result also has ``__redacted``: the text with every span replaced by that string.
     Null and empty texts have no spans, and an empty digest input; a null owner or repository counts as one of
-    its own. Documents with equal texts get equal spans. An empty table gives an empty result.
+    its own. Documents with equal texts get equal spans. An empty table gives an empty result. A kept column whose name is a
+    result's gets underscores at its end.
     """
-    cols = list(keep)
+    own = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "__redacted"]
+    cols = clear_of(list(keep), own)
+    kept = {c: f"__k{i}" for i, c in enumerate(cols)}
     owner_key = F.coalesce(F.concat(F.lit("="), docs[owner].cast("string")), F.lit("-"))
     repo_key = F.concat_ws("\x01", *(F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit("-")) for c in repo))
-    df = bounded_batches(docs).select(*(docs[c] for c in cols), docs[text].alias("__text"), owner_key.alias("owner"), repo_key.alias("repo"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name in cols)
-    with_text = "`__text` string, " * (redact is not None)
-    schema = f"{kept}{with_text}owner string, repo string, text_key binary, base array<struct<a:int,k:int,b:int>>, cands array<struct<value:binary,a:int,k:int,b:int>>"
+    body = kept.get(text, "__text")
+    own_body = [docs[text].alias(body)] * (text not in kept)
+    df = docs.select(*(docs[c].alias(k) for c, k in kept.items()), owner_key.alias("owner"), repo_key.alias("repo"), *own_body)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def scan():
+        def each(texts: list) -> list:
             keys, base, wider = [], [], []
-            for t in pdf["__text"]:
-                t = t if isinstance(t, str) else ""
+            for t in texts:
+                t = t or ""
                 found = base_spans(t)
                 more = candidates(t, found)
                 base.append([{"a": a, "k": k, "b": b} for a, k, b in found])
                 wider.append([{"value": hashlib.blake2b(t[a:b].encode("utf-8", "replace"), digest_size=16).digest(), "a": a, "k": k, "b": b} for a, k, b in more])
                 keys.append(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest() if more else None)
-            out = pdf[[*cols, *["__text"] * (redact is not None), "owner", "repo"]].copy()
-            out["text_key"], out["base"], out["cands"] = keys, base, wider
-            yield out
+            return [keys, base, wider]
+
+        return each
 
-    found = save(df.mapInPandas(scan, schema))
+    with_body = redact is not None or text in kept
+    found = map_rows(df, [body if with_body else df[body]], [c for c in df.columns if with_body or c != body], "text_key binary, base array<struct<a:int,k:int,b:int>>, cands array<struct<value:binary,a:int,k:int,b:int>>", scan)
+    found = save(found)
     live = live_spans(found, most_owners=most_owners, most_repos=most_repos)
     without = found.where(F.col("text_key").isNull()).withColumn("live", F.lit(None).cast("array<struct<a:int,k:int,b:int>>"))
     joined = found.where(F.col("text_key").isNotNull()).join(live, "text_key", "left")
@@ -158,8 +174,7 @@ def secret_scan(docs: DataFrame, *, text: str = "text", owner: str = "source", r
     line = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s.k), s.a, s.b)), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s.k == k)).cast("long")
     spans = F.concat("base", "live")
-    cols_out = [
-        *(F.col(c) for c in cols),
+    results = [
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
@@ -167,6 +182,14 @@ def secret_scan(docs: DataFrame, *, text: str = "text", owner: str = "source", r
         line(spans).alias("spans"),
         F.size("live").cast("long").alias("n_live"),
     ]
-    if redact is not None:
-        cols_out.append(_redactor(redact)("__text", spans).alias("__redacted"))
-    return both.select(*cols_out)
+    named = [F.col(k).alias(cols[c]) for c, k in kept.items()]
+    if redact is None:
+        return both.select(*named, *results)
+
+    def cut():
+        return lambda texts, spans: [[redacted(t, [(x["a"], x["b"]) for x in s], redact) if t and s else t for t, s in zip(texts, spans)]]
+
+    rows = both.select(*kept.values(), *([body] * (text not in kept)), *results, spans.alias("__spans"))
+    names = [*kept.values(), *own[:-1]]
+    done = map_rows(rows, [body if text in kept else F.col(body), F.col("__spans")], names, "`__redacted` string", cut)
+    return done.select(*named, *own)

@@ -15,14 +15,12 @@ pass over the rows, no shuffle; the model (bounded by its vocabulary) is broadca
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import bounded_batches
+from quarry.llm.common import map_rows
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -32,8 +30,12 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNKNOWN_PENALTY = 10.0
 #: Words longer than this are cut at characters that no piece spans; words remembered by a task.
 LONG, REMEMBER = 24, 150_000
+#: Words longer than this that can't be cut advance alone, so many of their characters being probed at once.
+ALONE, STRETCH = 512, 100_000
 #: Characters that are split into words at once.
 CHARS = 2_000_000
+#: Characters of words that advance together.
+MANY = 500_000
 
 #: Bits that address runs of the sorted keys, and slots of remembered pairs.
 _TOP, _SLOTS = 18, 20
@@ -181,12 +183,34 @@ def may_follow(m: Model, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
+def may_follow_one(m: Model):
+    """may_follow for a pair at a time, from tables for it."""
+    merge = {divmod(k, len(m.pieces)): r for k, r in zip(m.merge_keys.tolist(), m.merge_rank.tolist())}
+    rank, left, right = m.rank.tolist(), m.left.tolist(), m.right.tolist()
+
+    def ask(a: int, b: int) -> bool:
+        limit = float("inf")
+        while True:
+            if merge.get((a, b), limit) < limit:
+                return False
+            ra, rb = rank[a], rank[b]
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                a, limit = right[a], ra
+            else:
+                b, limit = left[b], rb + 1
+
+    return ask
+
+
 class Codec:
     """Encodes and decodes with a model; one in each task."""
 
     def __init__(self, model: Model):
         self.m = model
         self.words: dict[str, bytes] = {}  # the ids of a word, as int32
+        self.ask = None
         self.pair_keys, self.pair_ok = np.full(1 << _SLOTS, -1, np.int64), np.zeros(1 << _SLOTS, bool)
         self.surface = [(p.replace(SPACE, " ").encode("utf-8", "replace")) for p in model.pieces]
         for value, i in model.bytes_of.items():
@@ -262,6 +286,48 @@ class Codec:
             out[w] = self._with_unknown(words[w], last[:, w], back[:, w])
         return out
 
+    def _alone(self, word: str) -> bytes:
+        """Viterbi over one long word: the substrings that end in a stretch of it are probed together, then the maxima run over the hits."""
+        m, n = self.m, len(word)
+        longest = max(m.lengths)
+        last, back, best = [-1] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
+        bpe, least = m.kind == BPE, self.least
+        if bpe and self.ask is None:
+            self.ask = may_follow_one(m)
+        for at in range(0, n, STRETCH):
+            start, end = max(0, at - longest), min(n, at + STRETCH)
+            chars = _points([word[start:end]], end - start)[0].astype(np.uint64) + np.uint64(1)
+            # h[i] = sum of c[j] b^(i - 1 - j), by sums of c[j] b^-(j + 1); all bases are odd, so they have inverses modulo 2^64
+            sums = []
+            for base in _BASES:
+                up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(chars), base))])
+                down = np.cumprod(np.full(len(chars), np.uint64(pow(int(base), -1, 1 << 64))))
+                sums.append((up * np.concatenate([[np.uint64(0)], np.cumsum(chars * down)]), up))
+            (h0, p0), (h1, p1) = sums
+            hits: list[list[tuple[int, int]]] = [[] for _ in range(end - at)]
+            for k in m.lengths:
+                i = np.arange(max(at - start + 1, k), end - start + 1)
+                found, place = _probe(m, (h0[i] - h0[i - k] * p0[k]) * _MIX) if len(i) else ((), ())
+                if len(found):
+                    true = m.checks[place] == h1[i[found]] - h1[i[found] - k] * p1[k]
+                    for j, c in zip((i[found[true]] - (at - start) - 1).tolist(), m.ids[place[true]].tolist()):
+                        hits[j].append((k, c))
+            for j, own in enumerate(hits):
+                i = at + j + 1
+                top, piece, step = best[i - 1] + least, -1, 1
+                for k, c in sorted(own):
+                    if bpe:
+                        prev = last[i - k]
+                        if prev >= 0 and not self.ask(prev, c):
+                            continue
+                        score = 0.0
+                    else:
+                        score = best[i - k] + float(m.scores[c])
+                    if score > top:
+                        top, piece, step = score, c, k
+                best[i], last[i], back[i] = 0.0 if bpe else top, piece, step
+        return self._with_unknown(word, last, back)
+
     def _with_unknown(self, word: str, last: np.ndarray, back: np.ndarray) -> bytes:
         ids, i = [], len(word)
         while i:
@@ -309,7 +375,10 @@ class Codec:
         for w in set().union(*split) - known.keys():
             new.setdefault(len(w), []).append(w)
         for length, words in new.items():
-            many = max(1, 500_000 // length)
+            if length > ALONE:
+                known.update((w, self._alone(w)) for w in words)
+                continue
+            many = max(1, MANY // length)
             for k in range(0, len(words), many):
                 part = words[k : k + many]
                 known.update(zip(part, self._batch(part, length)))
@@ -331,28 +400,22 @@ def sentencepiece_encode(docs: DataFrame, *, text: str = "text", keep: tuple[str
 
     With ``with_ids`` also ids, the tokens. Null and empty texts have no tokens and make the round trip (to the empty text).
     A text that holds U+2581 itself doesn't: the format can't tell it from a space. Repeated rows are encoded alike; an empty
-    table gives an empty result.
+    table gives an empty result. A kept column whose name is a result's gets underscores at its end.
     """
     import hashlib
 
     with open(model, "rb") as f:
         tables = docs.sparkSession.sparkContext.broadcast(load(f.read()))
-    cols = list(keep)
-    df = bounded_batches(docs).select(*(docs[c] for c in cols), docs[text].alias("__text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name != "__text")
-    schema += "n_tokens long, token_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode():
         codec = Codec(tables.value)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["__text"]]
+
+        def each(texts: list) -> list:
+            texts = [t or "" for t in texts]
             ids = codec.encode(texts)
-            out = pdf[cols].copy()
-            out["n_tokens"] = [len(x) for x in ids]
-            out["token_sha256"] = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]
-            out["round_trip"] = [codec.decode(x) == t for x, t in zip(ids, texts)]
-            if with_ids:
-                out["ids"] = ids
-            yield out
-
-    return df.mapInPandas(encode, schema)
+            out = [[len(x) for x in ids], [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], [codec.decode(x) == t for x, t in zip(ids, texts)]]
+            return [*out, ids] if with_ids else out
+
+        return each
+
+    return map_rows(docs, [docs[text]], list(keep), "n_tokens long, token_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids, encode)

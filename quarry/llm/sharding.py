@@ -16,6 +16,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import clear_of, save
+
 SHARDS = 16
 BLOCKS = 256
 
@@ -110,19 +112,24 @@ def reshard(docs: DataFrame, *, text: str = "text", old_shard: Column, doc_id: s
     """The columns ``keep``, and for each row its size, old shard, new shard and slot; the sizes of new shards are near equal.
 
     old_shard gives small integers: at most ``shards`` x 16 of them, else it raises. Size is UTF-8 bytes + 1 (null text: 1).
-    Slots count from 0 without gaps in each shard. Equal rows share a block, and get adjacent slots. Null ids are
-    allowed. An empty table gives an empty result.
+    Slots count from 0 without gaps in each shard. Equal rows are dealt to all blocks of their old shard by their place in the input, so
+    that a text or row that repeats fills no block by itself; reruns over the same files agree. Null ids are
+    allowed. An empty table gives an empty result. A kept column whose name is a result's gets underscores at its end.
     """
     spark = docs.sparkSession
     body = F.coalesce(docs[text], F.lit(""))
+    out = clear_of(list(keep), ["size", "text_crc32", "old_shard", "shard", "slot"])
+    kept = {c: f"__k{i}" for i, c in enumerate(keep)}
     rows = docs.select(
-        *(docs[c] for c in keep),
+        *(docs[c].alias(k) for c, k in kept.items()),
         docs[doc_id].alias("__id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         old_shard.cast("int").alias("old_shard"),
-        F.pmod(F.xxhash64(docs[doc_id], body), F.lit(blocks)).cast("int").alias("block"),
+        F.monotonically_increasing_id().alias("__row"),
     )
+    rows = save(rows)  # the texts are read once, and a row keeps its number
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("__id", "text_crc32", "__row"), F.lit(blocks)).cast("int"))
     sizes = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     got = sizes.limit(shards * 16 * blocks + 1).collect()  # bounded by the two parameters
     if len(got) > shards * 16 * blocks:
@@ -135,8 +142,9 @@ def reshard(docs: DataFrame, *, text: str = "text", old_shard: Column, doc_id: s
         at[j] += counts[o, k]
     plan = spark.createDataFrame(offset, "old_shard int, block int, shard int, __before long")
     placed = rows.join(F.broadcast(plan), ["old_shard", "block"])
-    inside = Window.partitionBy("old_shard", "block").orderBy("__id", "text_crc32", "size")
-    return placed.withColumn("slot", F.col("__before") + F.row_number().over(inside) - 1).select(*keep, "size", "text_crc32", "old_shard", "shard", "slot")
+    inside = Window.partitionBy("old_shard", "block").orderBy("__id", "text_crc32", "size", "__row")
+    placed = placed.withColumn("slot", F.col("__before") + F.row_number().over(inside) - 1)
+    return placed.select(*(F.col(k).alias(out[c]) for c, k in kept.items()), "size", "text_crc32", "old_shard", "shard", "slot")
 
 
 def rewrite(spark: SparkSession, old: str, new: str, placed: DataFrame, *, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> list[int]:

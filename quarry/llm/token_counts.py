@@ -10,13 +10,10 @@ task gets the whole histogram unless it fits one block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches
+from quarry.llm.common import map_rows, save
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokeniser pattern of the vocabulary.
@@ -39,21 +36,17 @@ def encoder(data: bytes, pattern: str = PATTERN):
 
 
 def token_lengths(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), tokenizer: str = TOKENIZER) -> DataFrame:
-    """The columns ``keep`` and n_tokens of every whole text; null and empty: 0. Texts are ordinary text, never special tokens."""
+    """The columns ``keep`` and n_tokens of every whole text; null and empty: 0. Texts are ordinary text, never special tokens.
+
+    Rows that repeat are counted each; an empty table gives an empty result. A kept column named n_tokens becomes n_tokens_.
+    """
     data = docs.sparkSession.sparkContext.broadcast(ranks_of(tokenizer))  # one vocabulary: a megabyte, whatever the corpus
-    cols = list(keep)
-    df = bounded_batches(docs).select(*(docs[c] for c in cols), docs[text].alias("__text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name != "__text") + "n_tokens long"
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count():
         own = encoder(data.value)
-        for pdf in batches:
-            n = [len(own.encode_ordinary(t)) if isinstance(t, str) else 0 for t in pdf["__text"]]
-            out = pdf[cols].copy()
-            out["n_tokens"] = n
-            yield out
+        return lambda texts: [[len(own.encode_ordinary(t)) if t else 0 for t in texts]]
 
-    return df.mapInPandas(count, schema)
+    return map_rows(docs, [docs[text]], list(keep), "n_tokens long", count)
 
 
 def length_histogram(lengths: DataFrame, *, block: int = BLOCK) -> DataFrame:
@@ -63,7 +56,7 @@ def length_histogram(lengths: DataFrame, *, block: int = BLOCK) -> DataFrame:
     document; n_truncated are the documents that lose tokens; quantile is the share of documents of at most L tokens.
     An empty table gives an empty result.
     """
-    hist = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    hist = save(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), compact=True)  # two plans read it, and the texts are encoded once
     hist = hist.withColumn("block", F.floor(F.col("n_tokens") / block)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of lengths

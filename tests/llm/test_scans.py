@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
+
 from quarry.llm.license_scan import NOTICES, Scanner, edits_allowed, license_scan, normalised, scan_row
 from quarry.llm.quality_rules import quality_rules
 from quarry.llm.secret_scan import redacted, secret_scan
@@ -40,18 +42,68 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def least_distance(notice, text):
+    """The least edit distance of the notice and any part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(notice, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(text, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
+def test_least_distance():
+    import random
+
+    rng = random.Random(0)
+    for _ in range(50):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(2))
+        assert least_distance(a, b) == min(edit_distance(a, b[i:j]) for i in range(len(b) + 1) for j in range(i, len(b) + 1))
+
+
+def edited(rng, notice, k):
+    s = list(notice)
+    for _ in range(k):
+        i = rng.randrange(len(s))
+        s[i] = rng.choice(["", "q", s[i] + "q", " "])
+    return "".join(s)
+
+
 def test_license_finds_every_notice_with_edits():
+    """Every notice whose normalised text is within the allowed edits. Dropping a letter between two spaces or the like may put an edited
+    notice one edit further off than were drawn, since words are joined by single spaces: those beyond the bound are no cases."""
     import random
 
-    rng, scanner = random.Random(1), Scanner()
+    rng, scanner, cases = random.Random(1), Scanner(), 0
     for notice, label in NOTICES:
         for _ in range(5):
-            s = list(notice)
-            for _ in range(edits_allowed(notice)):
-                i = rng.randrange(len(s))
-                s[i] = rng.choice(["", "q", s[i] + "q"])
-            hits = scanner.scan(normalised(f"Some text before. {''.join(s)} and after it")[0])
-            assert label in {h.label for h in hits if not h.base}, (notice, "".join(s))
+            words = normalised(f"Some text before. {edited(rng, notice, edits_allowed(notice))} and after it")[0]
+            if least_distance(notice, words) <= edits_allowed(notice):
+                cases += 1
+                assert label in {h.label for h in scanner.scan(words) if not h.base}, (notice, words)
+    assert cases > 4 * len(NOTICES)
+
+
+def test_license_labels_by_brute_force():
+    """Labels of fuzzy notices in random texts, from the distance of every notice to every part of the text."""
+    import random
+
+    rng, scanner = random.Random(2), Scanner()
+    words = sorted({w for n, _ in NOTICES for w in n.split()})
+    seen = Counter()
+    for k in range(200):
+        parts = [rng.choice(words) for _ in range(rng.randrange(4))]
+        for _ in range(rng.randrange(3)):
+            notice, _ = rng.choice(NOTICES)
+            parts.insert(rng.randrange(len(parts) + 1), edited(rng, notice, rng.randrange(edits_allowed(notice) + 3)))
+        text = normalised(" ".join(parts))[0]
+        want = {label for n, label in NOTICES if least_distance(n, text) <= edits_allowed(n)}
+        hits = [h for h in scanner.scan(text) if not h.base]
+        assert {h.label for h in hits} == want, text
+        for h in hits:
+            assert h.edits <= max(edits_allowed(n) for n, label in NOTICES if label == h.label)
+        seen[len(want)] += 1
+    assert seen[0] > 20 and seen[1] > 40 and sum(seen[n] for n in seen if n > 1) > 20
 
 
 def test_license_spans_and_clean():
@@ -98,6 +150,47 @@ def test_secret_ownership(spark):
     assert redacted("abcdefgh", [(1, 4), (3, 5), (6, 7)], "_") == "a_f_h"
 
 
+def spans_by_brute_force(rows):
+    """doc row -> all spans, from the patterns and the owners and repositories of every candidate value."""
+    from quarry.llm import secret_scan as m
+
+    found, owners, repos = [], {}, {}
+    for _, text, lang, source in rows:
+        text = text or ""
+        own = [(int(x.split(":")[1]), x.split(":")[0], int(x.split(":")[2])) for x in secret_base(text)[4]]
+        taken, more = [(a, b) for a, _, b in own], []
+        for kind, pattern in m.WIDER:
+            for x in re.finditer(pattern, text):
+                v = x[0]
+                if kind == "blob":
+                    n = Counter(v)
+                    bits = -sum(c / len(v) * np.log2(c / len(v)) for c in n.values())
+                    if not re.search("[0-9]", v) or not re.search("[a-z]", v) or not re.search("[A-Z]", v) or bits < 3.5:
+                        continue
+                if all(b <= x.start() or x.end() <= a for a, b in taken):
+                    taken.append(x.span())
+                    more.append((x.start(), kind, x.end()))
+                    owners.setdefault(v, set()).add(source)
+                    repos.setdefault(v, set()).add((source, lang))
+        found.append((own, more))
+    order = [k for k, *_ in m.BASE] + [k for k, _ in m.WIDER]
+    out = []
+    for (i, text, *_), (own, more) in zip(rows, found):
+        live = [x for x in more if len(owners[text[x[0] : x[2]]]) <= 1 and len(repos[text[x[0] : x[2]]]) <= 2]
+        out.append((i, ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(own + live, key=lambda x: (x[0], order.index(x[1])))), len(live)))
+    return Counter(out)
+
+
+def test_secret_spans_by_brute_force(spark, docs, edge):
+    key = lambda n: "ghp_" + f"aB{n}xY9zQ7wE5rT1uI0oP2sD4fG6hJ8kLmNpQ"
+    planted = [(10_000 + i, f"see {key(i % 7)} and Bearer abcdefghijklmnop{i % 3}xyz, {key(i % 7)[4:]}/{i}", "en" if i % 2 else "fr", f"s{i % 7 if i % 7 < 4 else i}") for i in range(60)]
+    df = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(planted, "doc_id long, text string, lang string, source string"))
+    for x in (df, edge):
+        rows = [(r.doc_id, r.text, r.lang, r.source) for r in x.collect()]
+        got = Counter((r.doc_id, r.spans, r.n_live) for r in secret_scan(x).collect())
+        assert got == spans_by_brute_force(rows)
+
+
 def rules(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
