@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.buckets import PART, bucket_pairs, components, parts, with_roots
@@ -304,10 +304,10 @@ def drop_near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
         stay = others.where("__stays").withColumnRenamed("__first", "__id").select("__key", "__id", "__again", F.lit(True).alias("__stays"))
         alone = d.join(others.select("__key").distinct(), "__key", "left_anti").withColumn("__again", F.lit(False))
         joined = d.join(stay, ["__key", "__id"]).drop("__stays").unionByName(alone)
-    # rows that repeat id and text
+    # of rows that repeat id and text one stays: each task keeps one before they meet, however many there are
     again = F.coalesce("__again", F.lit(False))
-    repeats = joined.where(again).withColumn("__n", F.row_number().over(Window.partitionBy("__key", "__id").orderBy(F.lit(1)))).where("__n = 1")
-    return joined.where(~again).select(*names).unionByName(repeats.select(*names))
+    one = joined.where(again).groupBy("__key", "__id").agg(F.first(F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)))).alias("one"))
+    return joined.where(~again).select(*names).unionByName(one.select(*(F.col(f"one.c{i}").alias(c) for i, c in enumerate(names))))
 
 
 def _id_key(col: Column) -> Column:
