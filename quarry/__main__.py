@@ -1,10 +1,11 @@
-"""python -m quarry profile|index|eval-set|evaluate|search ..."""
+"""python -m quarry profile|index|eval-set|evaluate|search|serve ..."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+from dataclasses import asdict
 
 from quarry.functions.encode import HashingEncoder
 from quarry.operators import evaluation, profile
@@ -31,10 +32,16 @@ def main(argv: list[str] | None = None) -> int:
         if name == "evaluate":
             c.add_argument("--queries", required=True)
             c.add_argument("--limit", type=int, default=evaluation.LIMIT)
+            c.add_argument("--timed", type=int, default=evaluate.TIMED, help="queries that are also timed one by one")
+        if name == "index":
+            c.add_argument("--report", help="write the metadata as JSON")
     c = sub.add_parser("search", help="answer a query from an index")
     c.add_argument("query")
     c.add_argument("--root", required=True)
     c.add_argument("--limit", type=int, default=20)
+    c = sub.add_parser("serve", help="answer queries over HTTP; settings come from the environment")
+    c.add_argument("--host", default="127.0.0.1")
+    c.add_argument("--port", type=int, default=8000)
     a = p.parse_args(argv)
     spark = session()
     if a.command == "search":
@@ -42,6 +49,13 @@ def main(argv: list[str] | None = None) -> int:
         for row in engine.search_one(spark, a.query, idx, HashingEncoder(idx.meta.embedding_dimension), limit=a.limit):
             print(json.dumps(row, ensure_ascii=False, default=str))
         return 0
+    if a.command == "serve":
+        from quarry.service import Service, server
+        from quarry.settings import from_environment
+
+        s = from_environment()
+        server(Service(spark, index.open_index(spark, s.index_root, model=s.model), HashingEncoder(s.dimension), s), a.host, a.port).serve_forever()
+        return 0
     rows = mapping.read_csv(spark, a.csv)
     if a.command == "profile":
         report = profile.profile(rows, a.csv)
@@ -49,12 +63,14 @@ def main(argv: list[str] | None = None) -> int:
         print(f"rows: {report['rows']}, duplicates: {report['full_duplicates']}, conflicts: {report['conflicting_steel_articles_count']}")
     elif a.command == "index":
         meta = index.build_index(rows, a.root, HashingEncoder(a.dimension[0]), model=f"hashing-{a.dimension[0]}", checksum=mapping.checksum(spark, a.csv), recreate=a.recreate)
+        if a.report:
+            mapping.write_report(asdict(meta), a.report)
         print(meta.collection_name)
     elif a.command == "eval-set":
         mapping.write_queries(evaluation.eval_dataset(source_documents(rows), documents=a.documents), a.output)
     else:
         gold = evaluate.gold_of(mapping.read_queries(spark, a.queries)).cache()
-        results = evaluate.compare({f"hashing-{d}": lambda d=d: HashingEncoder(d) for d in a.dimension}, rows, gold, a.root, limit=a.limit)
+        results = evaluate.compare({f"hashing-{d}": lambda d=d: HashingEncoder(d) for d in a.dimension}, rows, gold, a.root, limit=a.limit, timed=a.timed)
         evaluate.write_results(results, f"{a.output}/results.json")
         with open(f"{a.output}/comparison.md", "w", encoding="utf-8") as f:
             f.write(evaluate.markdown(results))

@@ -6,16 +6,24 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 
 class Encoder(Protocol):
+    """Texts to vectors. An encoder that tells queries from documents also has encode_query and encode_document."""
+
     dimension: int
 
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+def encoding(encoder: Encoder, role: str):
+    """The encoder's method for a role (query or document), else the one for any text."""
+    return getattr(encoder, f"encode_{role}", None) or encoder.encode
+
+
 class HashingEncoder:
     """Signed hashes of words and character trigrams, L2-normalised. It needs no model files."""
 
@@ -49,20 +57,19 @@ def checked(vectors, rows: int, dimension: int) -> np.ndarray:
     return v
 
 
-def encode(df: DataFrame, encoder: Encoder, *, text: str, out: str = "vector", batch: int = 32) -> DataFrame:
-    """df with the vector of each text in place of the text."""
+def encode(df: DataFrame, encoder: Encoder, *, text: str, out: str = "vector", batch: int = 32, role: str = "document") -> DataFrame:
+    """df with the vector of each text in place of the text. The other columns pass as Arrow columns, untouched."""
     keep = [c for c in df.columns if c != text]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf[text]]
-            vectors: list = []
-            for k in range(0, len(texts), batch):
-                part = texts[k : k + batch]
-                vectors.extend(checked(encoder.encode(part), len(part), encoder.dimension))
-            res = pdf[keep].copy()
-            res[out] = vectors
-            yield res
-
-    return df.mapInPandas(run, f"{schema}, `{out}` array<float>")
+    rows = df.select(*keep, text)
+    schema = StructType([*rows.schema.fields[:-1], StructField(out, ArrayType(FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = encoding(encoder, role)
+        for b in batches:
+            texts = [t or "" for t in b.column(len(keep)).to_pylist()]
+            vectors = [checked(call(texts[k : k + batch]), len(texts[k : k + batch]), encoder.dimension) for k in range(0, len(texts), batch)]
+            flat = np.concatenate([v.reshape(-1) for v in vectors]) if vectors else np.zeros(0, np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * encoder.dimension), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lists], names=[*keep, out])
+
+    return rows.mapInArrow(run, schema)

@@ -8,10 +8,14 @@ Arrow UDF.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from quarry.functions.vocabulary import DIMENSIONS
 
@@ -41,21 +45,46 @@ def normalize_text(c: Column | str) -> Column:
     return collapse(F.translate(F.replace(c, F.lit("ß"), F.lit("ss")), "ёς\xa0", "еσ "))
 
 
-def exact_text_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Add, for each {new: old}, the normalised text with NFKC and full case folding.
+def fold_text(text: str) -> str:
+    """NFKC and full case folding."""
+    return unicodedata.normalize("NFKC", text).casefold()
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _folded_all(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: [None if x is None else fold_text(x) for x in xs], na_action="ignore")
+
 
-    Rows without unusual characters take the built-in path; only the others go through Python.
+def folded(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with these texts folded by NFKC and case where that may matter: ``normalize_text`` of them is exact then.
+
+    Rows pass as Arrow batches; a search in Arrow finds the texts with unusual characters, and only those are seen by Python. (A filter on
+    many columns that keeps the other rows out of the way would be a constraint that Spark derives anew for every choice of the columns
+    that a projection renames, 2 to the power of their number.)
     """
-    @F.pandas_udf("string")
-    def fold(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+    at = [df.columns.index(c) for c in columns]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            arrays = list(b.columns)
+            for i in at:
+                odd = pc.match_substring_regex(arrays[i], NEEDS_FOLDING)
+                if pc.any(odd).as_py():
+                    texts = pc.filter(arrays[i], odd).to_pylist()
+                    arrays[i] = pc.replace_with_mask(arrays[i], pc.fill_null(odd, False), pa.array(map(fold_text, texts), arrays[i].type))
+            yield pa.RecordBatch.from_arrays(arrays, b.schema.names)
+
+    return df.mapInArrow(fold, df.schema)
 
-    odd = F.lit(False)
-    for old in columns.values():
-        odd = odd | F.coalesce(F.col(old).rlike(NEEDS_FOLDING), F.lit(False))
-    plain = df.where(~odd).withColumns({new: normalize_text(old) for new, old in columns.items()})
-    strange = df.where(odd).withColumns({new: normalize_text(fold(F.col(old))) for new, old in columns.items()})
-    return plain.unionByName(strange)
+
+def fold_texts(texts: Column) -> Column:
+    """An array of texts, folded. For tables of few rows, such as queries: all of them go through Python."""
+    return _folded_all(texts)
+
+
+def exact_text_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add, for each {new: old}, the normalised text with NFKC and full case folding."""
+    return folded(df.withColumns({new: F.col(old) for new, old in columns.items()}), list(columns)).withColumns({new: normalize_text(new) for new in columns})
 
 
 def compact(norm: Column | str) -> Column:
@@ -72,12 +101,14 @@ def normalize_article(c: Column | str) -> Column:
 def from_alias(norm: Column, dimension: str) -> Column:
     """The canonical value of the first alias (in dictionary order) in a normalised text, else the text itself.
 
-    A chain of cases in generated code; the plain search before each word match keeps it cheap.
+    One search finds all aliases of the text; the least of their places in the dictionary decides. No alias holds another as a word, so
+    the search misses none.
     """
-    chain = F
-    for word, value in DIMENSIONS[dimension].items():
-        chain = chain.when(norm.contains(word) & norm.rlike(rf"(?U)\b{word}\b"), F.lit(value))
-    return chain.otherwise(norm)
+    words = DIMENSIONS[dimension]
+    found = F.regexp_extract_all(norm, F.lit(rf"(?U)\b(?:{'|'.join(words)})\b"), F.lit(0))
+    places = F.transform(found, lambda w: F.array_position(F.array(*map(F.lit, words)), w))
+    first = F.array_min(places).cast("int")
+    return F.coalesce(F.get(F.array(*map(F.lit, words.values())), first - 1), norm)
 
 
 def normalize_alias(c: Column | str, dimension: str) -> Column:
@@ -119,10 +150,15 @@ def normalize_length(c: Column | str) -> Column:
 
 
 def number_text(v: Column | str) -> Column:
-    """A number as short text: 80.0 is 80, 1.6 is 1.6 (C's %g up to six significant digits)."""
-    t = F.regexp_replace(col(v).cast("decimal(24,6)").cast("string"), r"\.?0+$", "")
-    # a whole number that ends in zeros has no point after the cut: "80.000000" only loses its fraction
-    return F.when(col(v).isNotNull(), t)
+    """A number as C's %g writes it: 80.0 is 80, 1.6 is 1.6; six significant digits, an exponent from a million on and below 0.0001.
+
+    Digits that end in a five after the sixth are rounded up.
+    """
+    v = col(v)
+    short = F.format_string("%.6g", v)  # Java keeps the zeros at the end of a fraction
+    short = F.regexp_replace(F.regexp_replace(short, r"(\.[0-9]*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
+    small = F.when((v == F.floor(v)) & (F.abs(v) < 100_000), F.floor(v).cast("string")).otherwise(F.when(v == 0, F.lit("0")).otherwise(short))
+    return F.when(v.isNotNull(), small)
 
 
 def distinct_parts(parts: list[Column] | Column) -> Column:

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import compact, distinct_parts, dn_of, from_alias, labelled, length_of, normalize_text, number_text, pn_bar_of
+from quarry.functions.text import compact, distinct_parts, dn_of, folded, from_alias, labelled, length_of, normalize_text, number_text, pn_bar_of
 
 KEY = ("article_compact", "name_norm", "dn", "pn_bar", "connection", "control")
 CANDIDATE = "struct<article_norm:string,article:string,name:string,url:string,dn:double,pn_bar:double,connection:string,medium:string,control:string,temperature:string,length_mm:double,price:double>"
 
 
+#: The group of a row: 128 bits of its key. Groups travel and are compared by these, not by the key's texts.
+GROUP = ("k1", "k2")
+
+
 def source_rows(rows: DataFrame) -> DataFrame:
-    """One typed, normalised row for each distinct mapping row.
+    """One typed, normalised row for each distinct mapping row, with its group; all rows of a group in one task.
 
-    Rows are made distinct first: the exchange carries raw cells only, and what repeats is normalised once.
+    This is the only exchange of a catalogue: what is counted, picked, nested and joined by group afterwards stays where it is. Making rows
+    distinct after it keeps every column, so the plans that read it share it.
     """
     texts = [c for c in rows.columns if c.startswith(("ld_", "steel_")) and not c.endswith("_url")]
-    n = rows.distinct().select(F.struct(*rows.columns).alias("raw"), *(normalize_text(c).alias(c) for c in texts))  # the normalised texts, once
+    n = folded(rows.select(F.struct(*rows.columns).alias("raw"), *texts), texts)
+    n = n.select("raw", *(normalize_text(c).alias(c) for c in texts))  # the normalised texts, once
     c = F.col
-    return n.select(
+    typed = n.select(
         c("raw.steel_article").alias("article"),
         F.coalesce("steel_article", F.lit("")).alias("article_norm"),
         F.coalesce(compact("steel_article"), F.lit("")).alias("article_compact"),
@@ -43,7 +49,13 @@ def source_rows(rows: DataFrame) -> DataFrame:
             length_of(c("ld_length")).alias("length_mm"),
             c("raw.price_ld").cast("double").alias("price"),
         ).alias("ld"),
+        F.xxhash64("raw").alias("__row"),
+        F.xxhash64(F.lit("row"), "raw").alias("__row2"),
     )
+    # null and empty are apart in a key; a hash of columns skips nulls, so each says whether it is there
+    key = [x for k in KEY for x in (F.col(k).isNull(), F.col(k))]
+    typed = typed.select("*", F.xxhash64(*key).alias("k1"), F.xxhash64(F.lit("group"), *key).alias("k2"))
+    return typed.repartition(*GROUP).distinct()
 
 
 def python_text(v: Column, numeric: bool) -> Column:
@@ -64,30 +76,39 @@ def _pick(v: Column, n: Column, numeric: bool) -> Column:
     return F.min_by(v, F.when(v.isNotNull(), F.struct(-n, python_text(v, numeric))))
 
 
-def _canonical_all(df: DataFrame, by: list[str], fields: dict[str, tuple[Column, bool]], *, variants_of: str | None = None) -> DataFrame:
+def _canonical_all(df: DataFrame, by: list[str], fields: dict[str, tuple[Column, bool]], *, variants_of: str | None = None, beside: dict[str, Column] | None = None) -> DataFrame:
     """Canonical values of many fields in two aggregations: rows are unpivoted to (field, value), counted, and picked.
 
-    With ``variants_of`` also ``variants``: all distinct non-empty values of that field, sorted.
+    With ``variants_of`` also ``variants``: all distinct non-empty values of that field, sorted. beside: a text that follows from a field's value,
+    picked with it as <field>_beside.
     """
-    names = list(fields)
+    names, beside = list(fields), beside or {}
+    none = F.lit(None)
     # a value that is never picked keeps groups whose fields are all null
-    fields = fields | {"": (F.lit(""), False)}
-    entries = [F.struct(F.lit(i).alias("f"), (c.cast("string")).alias("v"), (c if numeric else F.lit(None)).cast("double").alias("d")) for i, (c, numeric) in enumerate(fields.values())]
-    long = df.select(*by, F.explode(F.array(*entries)).alias("e")).where("e.v is not null").select(*by, "e.f", "e.v", "e.d")
-    counts = long.groupBy(*by, "f", "v", "d").agg(F.count("*").alias("n"))
+    entries = [
+        F.struct(F.lit(i).alias("f"), python_text(c, numeric).cast("string").alias("v"), (c if numeric else none).cast("double").alias("d"), beside.get(name, none).cast("string").alias("w"))
+        for i, (name, (c, numeric)) in enumerate((fields | {"": (F.lit(""), False)}).items())
+    ]
+    long = df.select(*by, F.explode(F.array(*entries)).alias("e")).where("e.v is not null").select(*by, "e.f", "e.v", "e.d", "e.w")
+    counts = long.groupBy(*by, "f", "v", "d", "w").agg(F.count("*").alias("n"))
+    # sorted once: a field's values by count, and the picked ones as they lie, group by group
+    best = counts.withColumn("r", F.row_number().over(Window.partitionBy(*by, "f").orderBy(F.desc("n"), "v")))
+    all_of = variants_of and names.index(variants_of)
+    kept = best.where((F.col("r") == 1) | (F.col("f") == all_of) if variants_of else F.col("r") == 1)
     out = []
     for i, name in enumerate(names):
-        numeric = fields[name][1]
-        v = F.col("d") if numeric else F.col("v")
-        out.append(F.min_by(v, F.when(F.col("f") == i, F.struct(-F.col("n"), python_text(v, numeric)))).alias(name))
+        own = (F.col("f") == i) & (F.col("r") == 1)
+        out.append(F.max(F.when(own, F.col("d") if fields[name][1] else F.col("v"))).alias(name))
+        if name in beside:
+            out.append(F.max(F.when(own, F.col("w"))).alias(f"{name}_beside"))
     if variants_of:
-        out.append(F.array_sort(F.collect_list(F.when((F.col("f") == names.index(variants_of)) & (F.col("v") != ""), F.col("v")))).alias("variants"))
-    return counts.groupBy(*by).agg(*out)
+        out.append(F.array_sort(F.collect_set(F.when((F.col("f") == all_of) & (F.col("v") != ""), F.col("v")))).alias("variants"))
+    return kept.groupBy(*by).agg(*out)
 
 
 def ld_candidates(src: DataFrame) -> DataFrame:
-    """(key..., ld_article_norm, canonical fields): the candidates of each document; those without an article are left out."""
-    by = [*KEY, "ld_article_norm"]
+    """(group, ld_article_norm, canonical fields): the candidates of each document; those without an article are left out."""
+    by = [*GROUP, "ld_article_norm"]
     s = src.where("ld_article_norm <> ''")
     numbers = {"dn", "pn_bar", "length_mm", "price"}
     names = ["article", "name", "url", "dn", "pn_bar", "connection", "medium", "control", "temperature", "length_mm", "price"]
@@ -139,7 +160,7 @@ def source_documents(rows: DataFrame) -> DataFrame:
     The document's article forms come from its most frequent spelling, so the result doesn't depend on row order.
     """
     src = source_rows(rows)
-    by = list(KEY)
+    by = list(GROUP)
     fields = {
         "c_article": (F.col("article"), False),
         "c_name": (F.col("name"), False),
@@ -148,24 +169,23 @@ def source_documents(rows: DataFrame) -> DataFrame:
         "c_temperature": (F.col("temperature"), False),
         "c_length": (F.col("length_mm"), True),
     }
-    head = _canonical_all(src, by, fields, variants_of="c_name")
-    cand = ld_candidates(src)
+    head = _canonical_all(src, by, fields, variants_of="c_name", beside={"c_article": F.col("article_norm")})
+    keys = src.select(*by, *KEY).distinct()
     entry = F.struct(F.col("ld_article_norm").alias("article_norm"), *(F.col(f"ld_{n}").alias(n) for n in ("article", "name", "url", "dn", "pn_bar", "connection", "medium", "control", "temperature", "length_mm", "price")))
-    nested = cand.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("ld_candidates"))
-    nulls = [F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in by]
-    key = F.concat_ws("\x01", *nulls).alias("__k")
-    d = head.select(key, "*").join(nested.select(key, "ld_candidates"), "__k", "left")
-    name = F.coalesce("c_name", F.lit(""))
-    d = d.withColumns({"c_name": name, "brand": from_alias(normalize_text(name), "brand"), "norm": normalize_text("c_article")})
+    nested = ld_candidates(src).groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("ld_candidates"))
+    d = keys.join(head, by).join(nested, by, "left")
+    # names of a group are equal once they are normalised: that text is in its key
+    d = d.withColumns({"c_name": F.coalesce("c_name", F.lit("")), "brand": from_alias(F.nullif("name_norm", F.lit("")), "brand")})
     variants = F.when(F.size("variants") > 0, F.col("variants")).otherwise(F.array("c_name"))
-    d = d.withColumns({"article_norm": F.coalesce("norm", F.lit("")), "name_variants": variants})
+    d = d.withColumns({"article_norm": F.coalesce("c_article_beside", F.lit("")), "name_variants": variants})
     c = {k: F.col(k) for k in ("brand", "dn", "pn_bar", "connection", "control", "article_norm", "article_compact", "name_variants")} | {"name": F.col("c_name"), "medium": F.col("c_medium"), "temperature": F.col("c_temperature"), "length_mm": F.col("c_length"), "article": F.col("c_article")}
     return d.select(
-        steel_id(F.col("article_compact"), F.coalesce(normalize_text("c_name"), F.lit("")), F.col("dn"), F.col("pn_bar"), F.col("connection"), F.col("control")).alias("steel_id"),
+        steel_id(F.col("article_compact"), F.col("name_norm"), F.col("dn"), F.col("pn_bar"), F.col("connection"), F.col("control")).alias("steel_id"),
         F.coalesce("c_article", F.lit("")).alias("article"),
         "article_norm",
         "article_compact",
         F.col("c_name").alias("name"),
+        "name_norm",
         "name_variants",
         "brand",
         "dn",
@@ -189,5 +209,3 @@ def point_id(steel: Column, prefix: str = "quarry:") -> Column:
     variant = F.substring(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)), -1, 1)
     part = lambda a, n: F.substring(h, a, n)
     return F.lower(F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12)))
-
-

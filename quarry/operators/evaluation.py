@@ -59,9 +59,12 @@ def eval_dataset(docs: DataFrame, *, documents: int = DOCUMENTS) -> DataFrame:
 
 
 def query_metrics(gold: DataFrame, results: DataFrame, *, limit: int = LIMIT) -> DataFrame:
-    """A row for each query. gold: query_id, category, expected array; results: query_id, article, rank (each article once)."""
+    """A row for each query. gold: query_id, category, expected array; results: query_id, article, rank.
+
+    Of an article that a list holds more than once the best rank counts.
+    """
     asked = gold.select("query_id", "category", F.array_distinct("expected").alias("expected"))
-    found = results.where(F.col("rank") <= limit)
+    found = results.where(F.col("rank") <= limit).groupBy("query_id", "article").agg(F.min("rank").alias("rank"))
     hits = found.join(asked.select("query_id", F.explode("expected").alias("article")), ["query_id", "article"]).groupBy("query_id")
     hits = hits.agg(F.count("*").alias("hits"), F.sum(F.lit(1.0) / F.log2(F.col("rank") + F.lit(1.0))).alias("dcg"), F.min("rank").alias("first"))
     n = found.groupBy("query_id").agg(F.count("*").alias("results"))

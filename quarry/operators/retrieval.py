@@ -8,15 +8,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarry.functions.text import normalize_text, tokens
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 PREFETCH = 300
+#: Numbers by which an index stores its postings.
+TERM_BUCKETS = 64
 #: Rows of query terms or query vectors that are broadcast at most; above that the plan joins, or takes blocks.
 BROADCAST_TERMS = 500_000
 BROADCAST_FLOATS = 4_000_000
@@ -40,11 +43,21 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     return queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(normalize_text(text)))).alias("term"))
 
 
+def term_bucket(term: Column | str, buckets: int = TERM_BUCKETS) -> Column:
+    """Where an index has a term: postings are stored by this number, and a query reads those of its own terms."""
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
 def build_postings(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The inverted index: postings (term, doc_id, tf) and lengths (doc_id, dl)."""
-    t = docs.select(F.col(doc_id).alias("doc_id"), tokens(normalize_text(text)).alias("tokens"))
-    postings = t.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return postings, t.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("dl"))
+    """The inverted index: postings (bucket, term, doc_id, tf, dl) and lengths (doc_id, dl). A posting has its document's length."""
+    t = docs.select(F.col(doc_id).alias("doc_id"), tokens(normalize_text(text)).alias("tokens")).withColumn("dl", F.coalesce(F.size("tokens"), F.lit(0)).cast("long"))
+    postings = t.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    return postings.select(term_bucket("term").alias("bucket"), "term", "doc_id", "tf", "dl"), t.select("doc_id", "dl")
+
+
+def corpus_stats(lengths: DataFrame) -> DataFrame:
+    """One row (n, avgdl): documents, and their mean length."""
+    return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
@@ -63,25 +76,32 @@ def bm25_scores(matches: DataFrame, stats: DataFrame, *, k1: float = K1, b: floa
 def bm25_topk(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query: str = "query", k: int = PREFETCH, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score, rank) without an index: one pass over the documents.
 
-    Tokens that no query has are dropped right after the split; what is left is counted per document. Scores have six places.
+    Tokens that no query has are dropped right after the split; what is left is counted per document. The empty term stands in every
+    document for the document itself, so that its number and mean length come from the same exchange. Scores have six places.
     """
     terms = query_terms(queries, query_id, query)
     few = small(terms)  # the joins below give no more rows than terms has
     near = F.broadcast if few else lambda df: df
     t = docs.select(F.col(doc_id).alias("doc_id"), tokens(normalize_text(text)).alias("tokens")).withColumn("dl", F.coalesce(F.size("tokens"), F.lit(0)).cast("long"))
-    stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = t.select("doc_id", "dl", F.explode("tokens").alias("term")).join(near(terms.select("term").distinct()), "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    asked = terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    every = F.concat(F.array(F.lit("")), F.coalesce("tokens", F.array().cast("array<string>")))
+    tf = t.select("doc_id", "dl", F.explode(every).alias("term")).join(near(asked), "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    itself = F.when(F.col("term") == "", F.col("tf"))  # one for each row of the document's id
+    stats = tf.agg(F.sum(itself).alias("n"), (F.sum(F.col("dl") * itself) / F.sum(itself)).alias("avgdl"))
     scores = bm25_scores(tf.join(near(terms.join(document_frequency(tf), "term")), "term"), stats, k1=k1, b=b)
     scores = scores.withColumn("score", F.round("score", 6))
     return top(scores, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
-def bm25_index_topk(postings: DataFrame, lengths: DataFrame, terms: DataFrame, *, k: int = PREFETCH, k1: float = K1, b: float = B) -> DataFrame:
-    """The same from a stored index: postings are filtered by the query terms before anything else."""
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def bm25_index_topk(postings: DataFrame, stats: DataFrame, terms: DataFrame, *, k: int = PREFETCH, k1: float = K1, b: float = B, buckets: int = TERM_BUCKETS) -> DataFrame:
+    """The same from a stored index: only the buckets of the queries' terms are read, and postings carry all that a score needs.
+
+    stats is the stored row (n, avgdl).
+    """
     near = F.broadcast if small(terms) else lambda df: df
-    hit = postings.join(near(terms.select("term").distinct()), "term", "left_semi")
-    matches = hit.join(near(terms.join(document_frequency(hit), "term")), "term").join(lengths, "doc_id")
+    wanted = sorted(r.b for r in terms.select(term_bucket("term", buckets).alias("b")).distinct().collect())  # ``buckets`` numbers at most
+    hit = postings.where(F.col("bucket").isin(wanted)).join(near(terms.select("term").distinct()), "term", "left_semi").select("term", "doc_id", "tf", "dl")
+    matches = hit.join(near(terms.join(document_frequency(hit), "term")), "term")
     scores = bm25_scores(matches, stats, k1=k1, b=b).withColumn("score", F.round("score", 6))
     return top(scores, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
@@ -96,49 +116,71 @@ def dot(a: Column, b: Column) -> Column:
 def dense_topk(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector", k: int = PREFETCH) -> DataFrame:
     """(query_id, doc_id, score, rank): exact cosine top-k of each query.
 
-    Queries go to the workers in blocks of a bounded number of floats; a block is one pass over the vectors: a matrix product for
-    each Arrow batch, its k best rows kept before the shuffle. Scores have six places; zero vectors score 0.
+    A bounded number of query floats goes to the workers, and the vectors are read where they lie: a matrix product for each Arrow
+    batch, whose k best rows a query leave the worker. More queries stay a table of packed blocks, which meet packed blocks of vectors
+    by an equality join; the driver holds none of them. Scores have six places; zero vectors score 0.
     """
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v"))
-    width = q.agg(F.max(F.size("v"))).first()[0] or 1
-    block = max(1, BROADCAST_FLOATS // width)
-    total = q.count()
-    blocks = -(-total // block) or 1
-    kind = q.schema["query_id"].dataType.simpleString()
-    key = vectors.schema[id_col].dataType.simpleString()
-    v = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
-    sc = vectors.sparkSession.sparkContext
-    found = None
-    for i in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        rows = part.collect()  # one block
-        if not rows and i:
-            continue
-        names = [r.query_id for r in rows]
-        matrix = unit(np.array([r.v for r in rows], np.float64).reshape(len(rows), width))
-        sent = sc.broadcast((names, matrix))
-
-        def score(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+    v = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    out = StructType([StructField("query_id", q.schema["query_id"].dataType), StructField("doc_id", v.schema["doc_id"].dataType), StructField("score", DoubleType())])
+    floats = q.agg(F.sum(F.size("v"))).first()[0] or 0
+    if floats <= BROADCAST_FLOATS:
+        asked = q.toArrow()  # BROADCAST_FLOATS at most
+        sent = vectors.sparkSession.sparkContext.broadcast((asked.column("query_id").combine_chunks(), unit(rows_of(asked.column("v").combine_chunks()))))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, matrix = sent.value
-            for pdf in batches:
-                if not len(pdf) or not names:
-                    continue
-                x = unit(np.array(pdf["v"].tolist(), np.float64))
-                s = np.round(x @ matrix.T, 6)
-                ids = pdf["doc_id"].to_numpy()
-                for j, name in enumerate(names):
-                    own = s[:, j]
-                    if len(own) > k:  # all rows that reach the k-th score: ties are settled later
-                        keep = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k])
-                    else:
-                        keep = np.arange(len(own))
-                    yield pd.DataFrame({"query_id": [name] * len(keep), "doc_id": ids[keep], "score": own[keep]})
-
-        one = v.mapInPandas(score, f"query_id {kind}, doc_id {key}, score double")
-        found = one if found is None else found.unionByName(one)
+            for b in batches:
+                if b.num_rows and len(names):
+                    yield best_of(names, matrix, b.column(0), unit(rows_of(b.column(1))), k)
+
+        found = v.mapInArrow(score, out)
+    else:
+        found = _dense_blocks(v, q, floats, out, k)
     return top(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
+def _dense_blocks(v: DataFrame, q: DataFrame, floats: int, out: StructType, k: int) -> DataFrame:
+    """The k best rows of each pair of a query block and a vector block. A vector block is one Arrow batch, packed where it lies."""
+    blocks, slots = -(-floats // BROADCAST_FLOATS), v.sparkSession.sparkContext.defaultParallelism * 4
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one = lambda c: pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), c)
+            yield pa.RecordBatch.from_arrays([one(b.column(0)), pa.array([rows_of(b.column(1)).tobytes()])], ["ids", "packed"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    packed = v.mapInArrow(pack, f"ids array<{kind(v, 'doc_id')}>, packed binary").withColumn("slot", F.pmod(F.monotonically_increasing_id(), F.lit(slots)))
+    asked = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "v")).alias("qs"))
+    spread = asked.select("qs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"))
+    pairs = packed.join(spread, "slot").select("ids", "packed", "qs")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, rows, qs in zip(b.column("ids"), b.column("packed"), b.column("qs")):
+                names, matrix = qs.values.flatten()
+                x = np.frombuffer(rows.as_py(), np.float64).reshape(len(ids.values), -1)
+                yield best_of(names, unit(rows_of(matrix)), ids.values, unit(x), k)
+
+    return pairs.mapInArrow(score, out)
+
+
+def rows_of(lists: pa.Array) -> np.ndarray:
+    """Equally long lists of numbers as a matrix."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
+
+
+def best_of(names: pa.Array, matrix: np.ndarray, ids: pa.Array, x: np.ndarray, k: int) -> pa.RecordBatch:
+    """For each query all rows that reach its k-th best score here: ties are settled later."""
+    s = np.round(matrix @ x.T, 6)
+    if s.shape[1] > k:
+        q, d = np.nonzero(s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None])
+    else:
+        q, d = (i.ravel() for i in np.indices(s.shape))
+    return pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(d)), pa.array(s[q, d])], ["query_id", "doc_id", "score"])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     n = np.sqrt((x * x).sum(1, keepdims=True))
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
@@ -155,13 +197,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 def rrf(rankings: list[DataFrame], *, k: int = PREFETCH, rrf_k: int = RRF_K) -> DataFrame:
     """(query_id, doc_id, score, rank) from rankings (query_id, doc_id, rank): the sum of 1 / (rrf_k + rank)."""
-    # Spark 4.1 may hand the partitioning of a union's children on although AQE gave them different numbers of partitions
-    rankings[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     both = None
     for r in rankings:
         one = r.select("query_id", "doc_id", (F.lit(1.0) / (F.lit(rrf_k) + F.col("rank"))).alias("part"))
         both = one if both is None else both.unionByName(one)
-    scores = both.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
+    # dealt anew by name: Spark 4.1 may hand on the partitioning of a union's children although AQE gave them different numbers of partitions
+    scores = both.repartition("query_id", "doc_id").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
     return top(scores, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 

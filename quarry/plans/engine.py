@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import encoder_text
-from quarry.functions.encode import Encoder, encode
-from quarry.operators.query_parse import parse_queries
-from quarry.operators.ranking import Weights, query_columns, rank_candidates, rank_sources
-from quarry.operators.retrieval import PREFETCH, RRF_K, bm25_index_topk, dense_topk, query_terms, rrf
-
-
-@dataclass(frozen=True)
-class Settings:
-    model: str = "hashing-256"
-    prefetch: int = PREFETCH
-    limit: int = 20
-    limit_max: int = 100
-    query_chars: int = 512
-    rrf_k: int = RRF_K
-    min_score: float | None = None
-    weights: Weights = field(default_factory=Weights)
+from quarry.functions.encode import Encoder, checked, encode, encoding
+from quarry.operators.query_parse import PARSED, parse_queries
+from quarry.operators.ranking import query_columns, rank_candidates, rank_sources
+from quarry.operators.retrieval import bm25_index_topk, dense_topk, query_terms, rrf
+from quarry.settings import Settings
 
 
 def validate(query: str, limit: int, s: Settings = Settings()) -> None:
@@ -34,12 +24,13 @@ def validate(query: str, limit: int, s: Settings = Settings()) -> None:
         raise ValueError(f"limit must be from 1 to {s.limit_max}")
 
 
-def retrieve(parsed: DataFrame, index, encoder: Encoder, s: Settings = Settings()) -> DataFrame:
-    """(query_id, doc_id, score, rank): the fused candidates of both retrievers."""
-    texts = parsed.select("query_id", encoder_text("semantic_text", s.model, "query").alias("text"))
-    vectors = encode(texts, encoder, text="text", out="query_vector")
+def retrieve(parsed: DataFrame, index, encoder: Encoder, s: Settings = Settings(), *, vectors: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the fused candidates of both retrievers. vectors: (query_id, query_vector), if they are known."""
+    if vectors is None:
+        texts = parsed.select("query_id", encoder_text("semantic_text", s.model, "query").alias("text"))
+        vectors = encode(texts, encoder, text="text", out="query_vector", batch=s.dense_batch_size, role="query")
     dense = dense_topk(index.vectors, vectors, id_col="doc_id", vector="vector", k=s.prefetch)
-    sparse = bm25_index_topk(index.postings, index.lengths, query_terms(parsed, "query_id", "lexical_text"), k=s.prefetch)
+    sparse = bm25_index_topk(index.postings, index.stats, query_terms(parsed, "query_id", "lexical_text"), k=s.prefetch)
     return rrf([dense, sparse], k=s.prefetch, rrf_k=s.rrf_k)
 
 
@@ -64,9 +55,51 @@ def response(result: DataFrame) -> DataFrame:
     return result.select("query_id", "rank", F.to_json(F.struct("rank", "relevance_rating", "product", "source_evidence", "match_reasons", "mismatches", "score_breakdown")).alias("result"))
 
 
-def search_one(spark, query: str, index, encoder: Encoder, s: Settings = Settings(), *, limit: int | None = None, top_k: int | None = None) -> list[dict]:
-    """A single query, as the service answers it; top_k is the older name of limit and comes first."""
-    n = top_k or limit or s.limit
+@dataclass
+class Answer:
+    """What the service answers a query with."""
+
+    query: str
+    processed: dict
+    results: list[dict]
+    timing_ms: dict[str, float] = field(default_factory=dict)
+
+
+def answer(spark, query: str, index, encoder: Encoder, s: Settings = Settings(), *, limit: int | None = None) -> Answer:
+    """One query, stage by stage, each timed: normalize, embedding, retrieval, ranking, and their total.
+
+    What lies between two stages is small: the parsed query, its vector, and prefetch ids with their scores.
+    """
+    n = s.limit if limit is None else limit
     validate(query, n, s)
-    rows = search(spark.createDataFrame([(0, query)], "query_id long, query string"), index, encoder, s, limit=n)
-    return [r.asDict(recursive=True) for r in rows.orderBy("rank").collect()]
+    timing: dict[str, float] = {}
+    began = time.perf_counter()
+
+    def lap(stage: str) -> None:
+        nonlocal began
+        now = time.perf_counter()
+        timing[stage] = (now - began) * 1000
+        began = now
+
+    one = parse_queries(spark.createDataFrame([(0, query)], "query_id long, query string"))
+    row = one.withColumn("__text", encoder_text("semantic_text", s.model, "query")).first()
+    parsed = spark.createDataFrame([tuple(row[c] for c in one.columns)], one.schema)
+    lap("normalize")
+    vector = checked(encoding(encoder, "query")([row["__text"]]), 1, encoder.dimension)[0]
+    vectors = spark.createDataFrame([(0, vector.tolist())], "query_id long, query_vector array<float>")
+    lap("embedding")
+    found = retrieve(parsed, index, encoder, s, vectors=vectors)
+    hits = spark.createDataFrame(found.collect(), found.schema)  # prefetch rows at most
+    lap("retrieval")
+    sources = rank_sources(attach(hits, parsed, index.docs), s.weights)
+    out = rank_candidates(sources, s.weights, limit=n)
+    out = out if s.min_score is None else out.where(F.col("score") >= s.min_score)
+    results = [r.asDict(recursive=True) for r in out.orderBy("rank").collect()]
+    lap("ranking")
+    timing["total"] = sum(timing.values())
+    return Answer(query, {c: row[c] for c in PARSED}, results, timing)
+
+
+def search_one(spark, query: str, index, encoder: Encoder, s: Settings = Settings(), *, limit: int | None = None, top_k: int | None = None) -> list[dict]:
+    """The results of a single query; top_k is the older name of limit and comes first."""
+    return answer(spark, query, index, encoder, s, limit=top_k or limit or s.limit).results

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import time
+import tracemalloc
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
@@ -16,6 +18,9 @@ from quarry.functions.text import normalize_text
 from quarry.operators import evaluation
 from quarry.plans import engine, index
 
+#: Queries that are also sent one after another, for the latency of one.
+TIMED = 20
+
 
 @dataclass
 class Result:
@@ -35,6 +40,11 @@ class Result:
     no_match_fp_rate: float = 0.0
     batch_ms: float = 0.0
     queries_per_second: float = 0.0
+    cold_query_latency_ms: float | None = None
+    warm_query_latency_ms: float | None = None
+    latency_p50_ms: float = 0.0
+    latency_p95_ms: float = 0.0
+    ram_peak_mb: float | None = None
     per_category_recall: dict[str, float] = field(default_factory=dict)
 
 
@@ -45,35 +55,65 @@ def gold_of(dataset: DataFrame) -> DataFrame:
     return d.select("query_id", "query", "category", F.array_distinct(F.transform("expected_ld_articles", norm)).alias("expected"))
 
 
-def evaluate_model(name: str, make: Callable[[], Encoder], rows: DataFrame, gold: DataFrame, root: str, *, limit: int = evaluation.LIMIT) -> Result:
-    """Build the model's own version, search all queries at once, and measure. gold is read more than once: give it stored."""
+def nearest_rank(values: list[float], percent: float) -> float:
+    """The smallest value that so many percent of all don't exceed; 0 without any."""
+    return sorted(values)[max(0, math.ceil(percent / 100 * len(values)) - 1)] if values else 0.0
+
+
+def latencies(queries: list[str], idx, encoder: Encoder, settings: engine.Settings, spark) -> dict:
+    """Cold (first) and warm latency of queries that are sent one after another, and the peak of Python's memory meanwhile."""
+    tracemalloc.start()
+    try:
+        took = [engine.answer(spark, q, idx, encoder, settings).timing_ms["total"] for q in queries if 1 <= len(q) <= settings.query_chars]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    warm = took[1:]
+    return {
+        "cold_query_latency_ms": took[0] if took else None,
+        "warm_query_latency_ms": sum(warm) / len(warm) if warm else None,
+        "latency_p50_ms": nearest_rank(warm, 50),
+        "latency_p95_ms": nearest_rank(warm, 95),
+        "ram_peak_mb": peak / 2**20 if peak else None,
+    }
+
+
+def evaluate_model(name: str, make: Callable[[], Encoder], rows: DataFrame, gold: DataFrame, root: str, *, limit: int = evaluation.LIMIT, timed: int = TIMED) -> Result:
+    """Build the model's own version, search all queries at once, and measure. gold is read more than once: give it stored.
+
+    Quality and throughput come from all queries, as one batch; the latency of a query alone from the first ``timed`` of them.
+    """
+    spark = rows.sparkSession
     encoder = make()
+    settings = engine.Settings(model=name, dimension=encoder.dimension, limit=limit)
     began = time.perf_counter()
     meta = index.build_index(rows, root, encoder, model=name, smoke=())
     built = time.perf_counter()
-    idx = index.open_version(rows.sparkSession, root, meta.collection_name)
+    idx = index.open_version(spark, root, meta.collection_name)
     where = f"{root}/{meta.collection_name}/results"
-    engine.search(gold.select("query_id", "query"), idx, encoder, engine.Settings(model=name, limit=limit)).select("query_id", F.col("id").alias("article"), "rank").write.parquet(where)
+    engine.search(gold.select("query_id", "query"), idx, encoder, settings).select("query_id", F.col("id").alias("article"), "rank").write.parquet(where)
     searched = time.perf_counter()
-    found = rows.sparkSession.read.parquet(where)
+    found = spark.read.parquet(where)
     if evaluation.duplicates(found).limit(1).count():
         raise RuntimeError("a ranked list holds an article twice")
     per_query = evaluation.query_metrics(gold, found, limit=limit)
     s = evaluation.summary(per_query).first().asDict()
     by = {r.category: r.recall for r in evaluation.category_recall(per_query).orderBy("category").collect()}
     took = searched - built
-    return Result(name, collection_name=meta.collection_name, document_count=meta.document_count, embedding_dimension=encoder.dimension, indexing_time_ms=(built - began) * 1000, batch_ms=took * 1000, queries_per_second=s["query_count"] / took, per_category_recall=by, **s)
+    alone = [r["query"] for r in gold.orderBy("query_id").limit(timed).collect()] if timed else []
+    return Result(name, collection_name=meta.collection_name, document_count=meta.document_count, embedding_dimension=encoder.dimension, indexing_time_ms=(built - began) * 1000, batch_ms=took * 1000, queries_per_second=s["query_count"] / took, per_category_recall=by, **s, **latencies(alone, idx, encoder, settings, spark))
 
 
-def compare(models: dict[str, Callable[[], Encoder]], rows: DataFrame, gold: DataFrame, root: str, *, limit: int = evaluation.LIMIT) -> list[Result]:
+def compare(models: dict[str, Callable[[], Encoder]], rows: DataFrame, gold: DataFrame, root: str, *, limit: int = evaluation.LIMIT, timed: int = TIMED) -> list[Result]:
     """All models, best first; one that fails is reported, and stops nothing."""
     out = []
     for name, make in models.items():
         try:
-            out.append(evaluate_model(name, make, rows, gold, root, limit=limit))
+            out.append(evaluate_model(name, make, rows, gold, root, limit=limit, timed=timed))
         except Exception as e:  # noqa: BLE001
             out.append(Result(name, status="failed", error=f"{type(e).__name__}: {e}"[:500]))
-    return sorted(out, key=lambda r: (r.status != "completed", -r.ndcg, -r.recall, r.batch_ms, r.document_count))
+    unknown = float("inf")
+    return sorted(out, key=lambda r: (r.status != "completed", -r.ndcg, -r.recall, r.latency_p95_ms, unknown if r.ram_peak_mb is None else r.ram_peak_mb, r.document_count))
 
 
 def write_results(results: list[Result], path: str | Path, run_id: str = "") -> Path:
@@ -86,9 +126,9 @@ def write_results(results: list[Result], path: str | Path, run_id: str = "") ->
 
 def markdown(results: list[Result]) -> str:
     """A ranked table, the winner, and what failed."""
-    lines = ["# Model comparison", "", "| place | model | nDCG | recall | MRR | precision | no-match FP | queries/s | index ms | documents |", "|" + "---|" * 10]
+    lines = ["# Model comparison", "", "| place | model | nDCG | recall | MRR | precision | no-match FP | p50 ms | p95 ms | RAM MiB | queries/s | index ms | documents |", "|" + "---|" * 13]
     done = [r for r in results if r.status == "completed"]
-    lines += [f"| {i} | {r.model_name} | {r.ndcg:.4f} | {r.recall:.4f} | {r.mrr:.4f} | {r.precision:.4f} | {r.no_match_fp_rate:.4f} | {r.queries_per_second:.1f} | {r.indexing_time_ms:.1f} | {r.document_count} |" for i, r in enumerate(done, 1)]
+    lines += [f"| {i} | {r.model_name} | {r.ndcg:.4f} | {r.recall:.4f} | {r.mrr:.4f} | {r.precision:.4f} | {r.no_match_fp_rate:.4f} | {r.latency_p50_ms:.1f} | {r.latency_p95_ms:.1f} | {'-' if r.ram_peak_mb is None else f'{r.ram_peak_mb:.1f}'} | {r.queries_per_second:.1f} | {r.indexing_time_ms:.1f} | {r.document_count} |" for i, r in enumerate(done, 1)]
     lines += ["", f"Winner: {done[0].model_name}" if done else "No model completed."]
     failed = [r for r in results if r.status != "completed"]
     return "\n".join([*lines, *(["", "Failed:", *(f"- {r.model_name}: {r.error}" for r in failed)] if failed else [])]) + "\n"

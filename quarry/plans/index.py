@@ -1,14 +1,15 @@
 """The versioned index: immutable tables in a folder of their own, checks before publication, and a pointer that is switched last.
 
-    root/steel_<model>_<UTC time>/   docs, vectors, postings, lengths, meta
-    root/_active                     the name of the published version
+    root/steel_<model>_<UTC time>/   docs, vectors, postings (by term bucket), stats, meta
+    root/_active/000000000001        the name of a published version; the greatest number counts
 
 All paths go through Hadoop's file system, so any store that Spark writes works.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+import uuid
+from dataclasses import asdict, dataclass, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from quarry.functions.encode import Encoder, encode
 from quarry.functions.text import encoder_text
 from quarry.operators.catalog import source_documents
-from quarry.operators.retrieval import bm25_index_topk, build_postings, dense_topk, query_terms, rrf
+from quarry.operators.retrieval import bm25_index_topk, build_postings, corpus_stats, dense_topk, query_terms, rrf
 
 # The queries that a new index must answer.
 SMOKE = ("1184399", "а0486", "Temper DN80 PN16", "Broen Ду80 Ру16", "фланцевый кран Ду50 Ру40")
@@ -45,7 +46,7 @@ class Index:
     docs: DataFrame
     vectors: DataFrame
     postings: DataFrame
-    lengths: DataFrame
+    stats: DataFrame
     meta: Meta
 
 
@@ -92,19 +93,40 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def pointers(spark: SparkSession, root: str) -> list[str]:
+    """The pointer files' names, in order."""
+    fs, p = _fs(spark, f"{root}/{POINTER}")
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().isdigit()) if fs.exists(p) else []
+
+
+def active(spark: SparkSession, root: str) -> str | None:
+    """The published version's name."""
+    for name in reversed(pointers(spark, root)):
+        if text := read_text(spark, f"{root}/{POINTER}/{name}"):
+            return text
+    return None
+
+
 def publish(spark: SparkSession, root: str, name: str) -> bool:
-    """Point the alias at a version: written aside, then renamed. False if it points there already."""
-    if read_text(spark, f"{root}/{POINTER}") == name:
+    """Point the alias at a version. False if it points there already.
+
+    A pointer is written aside and renamed to the next number, so a reader sees the old one or the new one, never none; of two writers one
+    fails. Of the older pointers the last is kept, for readers that have listed it.
+    """
+    if active(spark, root) == name:
         return False
-    fs, p = _fs(spark, f"{root}/{POINTER}")
-    _, aside = _fs(spark, f"{root}/{POINTER}.new")
-    out = fs.create(aside, True)
+    known = pointers(spark, root)
+    number = int(known[-1]) + 1 if known else 1
+    fs, p = _fs(spark, f"{root}/{POINTER}/{number:012d}")
+    _, aside = _fs(spark, f"{root}/{POINTER}/.{number:012d}-{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
     out.write(bytearray(name.encode("utf-8")))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(aside, p):
-        raise RuntimeError("the pointer couldn't be switched")
+    if fs.exists(p) or not fs.rename(aside, p):
+        fs.delete(aside, False)
+        raise RuntimeError("another writer has published meanwhile")
+    for old in known[:-1]:
+        fs.delete(_fs(spark, f"{root}/{POINTER}/{old}")[1], False)
     return True
 
 
@@ -113,12 +135,12 @@ def open_version(spark: SparkSession, root: str, name: str) -> Index:
     if not exists(spark, f"{where}/meta/_SUCCESS"):
         raise Missing(name)
     t = lambda n: spark.read.parquet(f"{where}/{n}")
-    return Index(t("docs"), t("vectors"), t("postings"), t("lengths"), Meta(**t("meta").first().asDict()))
+    return Index(t("docs"), t("vectors"), t("postings"), t("stats"), Meta(**t("meta").first().asDict()))
 
 
-def open_index(spark: SparkSession, root: str, *, name: str | None = None, model: str | None = None) -> Index:
-    """A named version, else the published one, else the newest one of the model; Missing if there is none."""
-    for candidate in (name, read_text(spark, f"{root}/{POINTER}")):
+def open_index(spark: SparkSession, root: str, *, name: str | None = None, model: str | None = None, report: dict | None = None) -> Index:
+    """A named version, else the published one, else the one that a build report names, else the newest one of the model; Missing if there is none."""
+    for candidate in (name, active(spark, root), (report or {}).get("collection_name")):
         if candidate:
             try:
                 return open_version(spark, root, candidate)
@@ -138,15 +160,15 @@ def open_index(spark: SparkSession, root: str, *, name: str | None = None, model
 
 
 def write_tables(docs: DataFrame, encoder: Encoder, where: str, model: str) -> None:
-    """docs, vectors, postings (clustered by term, so a query reads few row groups) and lengths under a folder."""
+    """docs, vectors, postings (stored by term bucket, sorted by term, so a query reads few files and row groups) and stats under a folder."""
     spark = docs.sparkSession
     docs.withColumn("doc_id", F.col("steel_id")).write.mode("errorifexists").parquet(f"{where}/docs")
     stored = spark.read.parquet(f"{where}/docs")
     texts = stored.select("doc_id", encoder_text("semantic_text", model, "passage").alias("text"))
-    encode(texts, encoder, text="text").write.mode("errorifexists").parquet(f"{where}/vectors")
+    encode(texts, encoder, text="text", role="document").write.mode("errorifexists").parquet(f"{where}/vectors")
     postings, lengths = build_postings(stored, "doc_id", "lexical_text")
-    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("errorifexists").parquet(f"{where}/postings")
-    lengths.write.mode("errorifexists").parquet(f"{where}/lengths")
+    postings.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("errorifexists").partitionBy("bucket").parquet(f"{where}/postings")
+    corpus_stats(lengths).write.mode("errorifexists").parquet(f"{where}/stats")
 
 
 def build_index(rows: DataFrame, root: str, encoder: Encoder, *, model: str = "hashing-256", revision: str = "", checksum: str = "", recreate: bool = False, smoke: tuple[str, ...] = SMOKE, now: datetime | None = None) -> Meta:
@@ -154,17 +176,21 @@ def build_index(rows: DataFrame, root: str, encoder: Encoder, *, model: str = "h
     spark = rows.sparkSession
     name = version_name(spark, root, model, now)
     where = f"{root}/{name}"
-    write_tables(source_documents(rows), encoder, where, model)
+    distinct = rows.groupBy(*rows.columns).agg(F.count("*").alias("__rows"))
+    distinct.write.mode("errorifexists").parquet(f"{where}/rows")  # read once: the documents and both counts come from here
+    distinct = spark.read.schema(distinct.schema).parquet(f"{where}/rows")
+    n_rows, n_distinct = distinct.agg(F.coalesce(F.sum("__rows"), F.lit(0)), F.count("*")).first()
+    write_tables(source_documents(distinct.drop("__rows")), encoder, where, model)
     docs, vectors = spark.read.parquet(f"{where}/docs"), spark.read.parquet(f"{where}/vectors")
-    n = docs.count()
-    if vectors.count() != n or docs.select("doc_id").distinct().count() != n:
+    n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if vectors.count() != n or ids != n:
         raise RuntimeError("documents and vectors don't correspond, or two groups have one id")
     if n and docs.select("doc_id", "ld_candidates").limit(1).count() != 1:
         raise RuntimeError("the index has no sample document")
-    index = Index(docs, vectors, spark.read.parquet(f"{where}/postings"), spark.read.parquet(f"{where}/lengths"), None)
+    index = Index(docs, vectors, spark.read.parquet(f"{where}/postings"), spark.read.parquet(f"{where}/stats"), None)
     if n and smoke:
         smoke_check(index, encoder, model, smoke)
-    meta = Meta(checksum, model, revision, encoder.dimension, "float32", 512, utc_stamp(now), n, rows.count(), rows.dropDuplicates().count(), name, POINTER)
+    meta = Meta(checksum, model, revision, encoder.dimension, "float32", 512, utc_stamp(now), n, n_rows, n_distinct, name, POINTER)
     spark.createDataFrame([asdict(meta)], ", ".join(f"{k} {'long' if isinstance(v, int) else 'string'}" for k, v in asdict(meta).items())).coalesce(1).write.parquet(f"{where}/meta")
     if recreate:
         publish(spark, root, name)
@@ -175,14 +201,20 @@ def smoke_check(index: Index, encoder: Encoder, model: str, queries: tuple[str,
     """Raw queries through both retrievers: each must find something."""
     spark = index.docs.sparkSession
     q = spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
-    vectors = encode(q.select("query_id", encoder_text("query", model, "query").alias("text")), encoder, text="text", out="query_vector")
+    vectors = encode(q.select("query_id", encoder_text("query", model, "query").alias("text")), encoder, text="text", out="query_vector", role="query")
     dense = dense_topk(index.vectors, vectors, id_col="doc_id", vector="vector", k=k)
-    hits = rrf([dense, bm25_index_topk(index.postings, index.lengths, query_terms(q, "query_id", "query"), k=k)], k=k)
+    hits = rrf([dense, bm25_index_topk(index.postings, index.stats, query_terms(q, "query_id", "query"), k=k)], k=k)
     found = {r.query_id for r in hits.select("query_id").distinct().collect()}
     if none := [x for i, x in enumerate(queries) if i not in found]:
         raise RuntimeError(f"smoke queries without results: {none}")
 
 
+def filled(meta: Meta, report: dict | None) -> Meta:
+    """The metadata, with what it lacks about the model taken from a build report."""
+    known = {k: (report or {}).get(k) for k in ("embedding_model", "embedding_revision", "embedding_dimension")}
+    return replace(meta, **{k: v for k, v in known.items() if v is not None and getattr(meta, k) is None})
+
+
 def readiness(index: Index, encoder: Encoder, *, model: str, revision: str = "", dimension: int | None = None) -> list[str]:
     """The codes of what is wrong, in order; empty if the index can serve."""
     problems = []

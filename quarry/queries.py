@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
+import unicodedata
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import sql as S
 from quarry.functions import text as T
-from quarry.functions.encode import HashingEncoder
 from quarry.operators import catalog, evaluation, profile, ranking, retrieval
 from quarry.operators.query_parse import parse_queries
 from quarry.plans import engine, index
+from quarry.session import shared_dir, spread
 from quarry.sources.mapping import COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
+COMPATIBLE = ("№ 12½ Ｄn80", "ﬁtting Ⅳ ㎜", "x²+Å", "Ёлка ẞ", "Ａ－０４８６／２", "ẛ̣ Ǆ", "ﷺ", "e\u0301 é", "plain", "  \u3000wide  space ", "ΣΑΣ", "\u212a\u2126")
 PRICES = ("price_ld", "ld_length", "steel_length")
 LEXICAL_QUERY = "the and of there with inging tionly"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def cat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +89,18 @@ def norm_numeric(spark, sf_dir):
     return c.withColumns({"dn_text": T.number_text("dn"), "length_text": T.number_text(F.col("length_mm") / 16)})
 
 
+def number_texts(spark, sf_dir):
+    """Numbers of all sizes as text."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice").cast("double") * F.pow(F.lit(10.0), F.pmod("p_partkey", F.lit(16)) - 8)).alias("v"))
+    return p.select("p_partkey", T.number_text("v").alias("text"))
+
+
+def norm_compatible(spark, sf_dir):
+    """Texts with compatibility characters, as articles and names have them."""
+    rows = spark.createDataFrame(list(enumerate(COMPATIBLE)), "id long, text string")
+    return T.exact_text_columns(rows, {"norm": "text"})
+
+
 def title_brand(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.title_brand(F.col("p_name")).alias("title"), T.model_slug("p_brand").alias("slug"), T.encoder_text("p_name", "intfloat/multilingual-e5-base", "passage").alias("passage"))
 
@@ -261,31 +276,46 @@ def model_leaderboard(spark, sf_dir):
 # -- whole engine ---------------------------------------------------------------------------------------------
 
 
-def _index(spark: SparkSession, sf_dir: str):
+class LetterEncoder:
+    """How often a text has each letter and digit. Its vectors are whole numbers, so SQL gives the same scores."""
+
+    dimension = len(S.LETTERS)
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        return np.array([[t.lower().count(c) for c in S.LETTERS] for t in texts], np.float32).reshape(len(texts), self.dimension)
+
+
+def _index(spark: SparkSession, sf_dir: str, encoder=None) -> index.Index:
+    """A new index of the synthetic rows, published and opened."""
     root = _shared(spark)
-    meta = index.build_index(cat(spark, sf_dir), root, HashingEncoder(), smoke=("hot gear DN 25 PN16",), recreate=True)
-    return root, meta
+    index.build_index(cat(spark, sf_dir), root, encoder or LetterEncoder(), model="letters", smoke=("hot gear DN 25 PN16",), recreate=True)
+    return index.open_index(spark, root)
 
 
 def _shared(spark: SparkSession) -> str:
-    import uuid
-
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
-    return f"{where.rstrip('/')}/index-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
 
 
 def search_full(spark, sf_dir):
-    root, _ = _index(spark, sf_dir)
-    out = engine.search(inline_queries(spark), index.open_index(spark, root), HashingEncoder())
-    return out.select("query_id", "rank", "id", "score", "relevance_rating", F.to_json("product").alias("product"), F.to_json("source_evidence").alias("evidence"), F.array_join("match_reasons", "; ").alias("reasons"), F.array_join("mismatches", "; ").alias("mismatches"), F.to_json("score_breakdown").alias("score_breakdown"))
+    """The whole program from a stored index: parse, both retrievers, fusion, ranking, candidates, evidence."""
+    out = engine.search(inline_queries(spark), _index(spark, sf_dir), LetterEncoder(), engine.Settings(model="letters"))
+    part = lambda c: F.element_at("score_breakdown", c)
+    return out.select(
+        "query_id", "rank", F.col("id").alias("ld_key"), "score", "relevance_rating", F.round("hybrid_score", 9).alias("hybrid_score"), part("source_score").alias("source_score"), part("text_exactness").alias("text_exactness"),
+        F.col("product.name").alias("ld_name"), F.col("product.dn").alias("ld_dn"), F.col("product.price").alias("ld_price"),
+        F.array_join(F.transform("source_evidence", lambda e: F.concat_ws(":", e.source_rank, e.source_article)), "|").alias("evidence"),
+        F.array_join("match_reasons", "; ").alias("reasons"), F.array_join("mismatches", "; ").alias("mismatches"),
+    )
 
 
 def index_build(spark, sf_dir):
-    from dataclasses import asdict
-
-    root, meta = _index(spark, sf_dir)
-    problems = index.readiness(index.open_index(spark, root), HashingEncoder(), model=meta.embedding_model)
-    return spark.createDataFrame([(str(k), str(v)) for k, v in asdict(meta).items()] + [("readiness", ",".join(problems) or "ready")], "field string, value string")
+    """What a new index holds: its documents, vectors, postings and counts, and whether it can serve."""
+    idx = _index(spark, sf_dir)
+    problems = index.readiness(idx, LetterEncoder(), model="letters")
+    m = idx.meta
+    counts = idx.postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens")).join(idx.vectors.agg(F.count("*").alias("vectors"))).join(idx.stats.select("n", F.round("avgdl", 6).alias("avgdl")))
+    kept = {"documents": m.document_count, "source_rows": m.source_row_count, "distinct_rows": m.deduplicated_row_count, "dimension": m.embedding_dimension, "readiness": ",".join(problems) or "ready"}
+    return counts.select("*", *(F.lit(v).cast("long" if isinstance(v, int) else "string").alias(k) for k, v in kept.items()))
 
 
 def stream_index(spark, sf_dir):
@@ -297,7 +327,7 @@ def stream_index(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        profile_counts, profile_nulls, profile_distribution, profile_conflicts, profile_conflict_count, norm_text, norm_text_exact, norm_article, norm_numeric, title_brand,
+        profile_counts, profile_nulls, profile_distribution, profile_conflicts, profile_conflict_count, norm_text, norm_text_exact, norm_compatible, norm_article, norm_numeric, number_texts, title_brand,
         source_documents, ld_candidates, canonical_value, semantic_text, lexical_text, point_ids, dense_topk, dense_topk_batch, bm25_topk, bm25_topk_batch, rrf_hybrid,
         hybrid_normalise, query_parse, text_exactness, field_score, weighted_source_score, source_reasons, ld_rank, ld_evidence, match_reasons, eval_dataset, eval_metrics,
         eval_category_recall, latency_percentiles, model_leaderboard, search_full, index_build, stream_index,
@@ -347,6 +377,8 @@ SELECT count(*)::BIGINT AS rows, 20::INTEGER AS columns, (count(*) - (SELECT cou
     "profile_conflict_count": f"WITH {S.CAT} SELECT count(*)::BIGINT AS conflicting_steel_articles FROM (SELECT steel_article FROM cat GROUP BY 1 HAVING count(DISTINCT ld_article) > 1)",
     "norm_text": f"SELECT doc_id, sha1({S.norm('text')}) AS text_sha1 FROM documents",
     "norm_text_exact": f"SELECT doc_id, sha1({S.norm('text')}) AS text_sha1 FROM documents",
+    "norm_compatible": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{t}', '{' '.join(unicodedata.normalize('NFKC', t).casefold().replace('ё', 'е').split())}')" for i, t in enumerate(COMPATIBLE)) + ") t(id, text, norm)",
+    "number_texts": f"SELECT p_partkey, {S.g('p_retailprice::DOUBLE * power(10.0::DOUBLE, p_partkey % 16 - 8)')} AS text FROM part",
     "norm_article": f"WITH {S.CAT} SELECT DISTINCT steel_article AS raw, {_N} AS norm, {S.bare(_N)} AS compact FROM cat",
     "norm_brand": _ALIAS("steel_name", "brand"),
     "norm_connection": _ALIAS("steel_connection", "connection"),
@@ -362,6 +394,16 @@ SELECT steel_id, article, article_norm, article_compact, name, array_to_string(n
     "canonical_value": f"WITH t AS (SELECT p_brand, p_size::DOUBLE AS size FROM part), {S.canon('c', 'p_brand', 'size', 't')} SELECT * FROM c",
     "semantic_text": f"WITH {S.CAT}, {S.DOCS} SELECT steel_id, {S.SEMANTIC} AS semantic_text FROM docs",
     "lexical_text": f"WITH {S.CAT}, {S.DOCS} SELECT steel_id, lexical_text FROM lex",
+    "point_ids": f"""WITH {S.CAT}, {S.DOCS}, h AS (SELECT steel_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('quarry:' || steel_id)) AS h FROM docs)
+SELECT steel_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', 1 + ('0x' || h[17])::INTEGER % 4, 1) || h[18:20] || '-' || h[21:32] AS point_id FROM h""",
+    "stream_index": f"WITH t AS (SELECT doc_id, {S.TOKENS.format(S.norm('text'))} AS toks FROM documents) SELECT doc_id, coalesce(len(toks), 0)::BIGINT AS dl, coalesce(len(list_distinct(toks)), 0)::BIGINT AS terms, coalesce(len(toks), 0)::BIGINT AS tokens FROM t",
+    "index_build": f"""WITH {S.CAT}, {S.DOCS}, {S.bm25('lex', 'steel_id', 'lexical_text', "(SELECT 0 AS query_id, 'x' AS query)", 'query')}
+SELECT (SELECT count(*) FROM bm_f)::BIGINT AS postings, (SELECT sum(tf) FROM bm_f)::BIGINT AS tokens, (SELECT count(*) FROM docs)::BIGINT AS vectors, n::BIGINT AS n, round(avgdl, 6) AS avgdl,
+  (SELECT count(*) FROM docs)::BIGINT AS documents, (SELECT count(*) FROM cat)::BIGINT AS source_rows, (SELECT count(*) FROM src0)::BIGINT AS distinct_rows, {LetterEncoder.dimension}::BIGINT AS dimension, 'ready' AS readiness FROM bm_s""",
+    "search_full": f"""WITH {S.FUSED_HITS}, {S.SOURCES}, {S.CANDS}, {S.EVIDENCE},
+evs AS (SELECT query_id, ld_key, string_agg(source_rank::VARCHAR || ':' || article, '|' ORDER BY source_rank) AS evidence FROM ev WHERE place <= 3 GROUP BY 1, 2)
+SELECT query_id, rank, ld_key, final_score AS score, round(final_score * 100, 1) AS relevance_rating, round(hybrid_score, 9) AS hybrid_score, source_score, text_exactness, ld_name, ld_dn, ld_price::DOUBLE AS ld_price, evidence, {_reasons} AS reasons, {_wrong} AS mismatches
+FROM best JOIN evs USING (query_id, ld_key) WHERE rank <= 20""",
     "dense_topk": f"WITH vv AS (SELECT vec_id AS doc_id, embedding AS v FROM embeddings), vq AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id = 0), {S.dense('vv', 'vq', 20)} SELECT * FROM dn",
     "dense_topk_batch": f"WITH vv AS (SELECT vec_id AS doc_id, embedding AS v FROM embeddings), vq AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), {S.dense('vv', 'vq', 20)} SELECT * FROM dn",
     "bm25_topk": f"WITH bq AS (SELECT 0::BIGINT AS query_id, '{LEXICAL_QUERY}' AS query), {S.bm25('documents', 'doc_id', 'text', 'bq', 'query', 50)} SELECT * FROM bm",

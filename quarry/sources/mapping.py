@@ -56,11 +56,23 @@ def write_report(record: dict, path: str | Path) -> Path:
 
 
 def checksum(spark: SparkSession, path: str) -> str:
-    """sha256 over the files of a path, in the order of their names. Each file is hashed where it is read."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha"))
-    rows = sorted((r.path, r.sha) for r in files.collect())  # a row for each file
-    if len(rows) == 1:
-        return rows[0][1]
+    """sha256 over the files of a path, in the order of their names; each is streamed through the digest, whatever its size."""
     import hashlib
 
-    return hashlib.sha256("".join(s for _, s in rows).encode()).hexdigest()
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.globStatus(where) or []:
+        listed = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [f.getPath() for f in listed if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    if not found:
+        raise FileNotFoundError(path)
+    sums = []
+    for p in sorted(found, key=lambda p: p.toString()):
+        stream = fs.open(p)
+        try:
+            sums.append(jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream))
+        finally:
+            stream.close()
+    return sums[0] if len(sums) == 1 else hashlib.sha256("".join(sums).encode()).hexdigest()

@@ -5,6 +5,8 @@ Identifiers, literals and functions here are understood by DuckDB; CATALOG also
 
 from __future__ import annotations
 
+from quarry.functions.vocabulary import DIMENSIONS
+
 CATALOG = """
 SELECT l.l_orderkey, l.l_linenumber,
   s.s_name AS ld_name,
@@ -34,13 +36,8 @@ FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey JOIN {supplier} s O
 """
 CAT = "cat AS (" + CATALOG.format(lineitem="lineitem", part="part", supplier="supplier") + ")"
 
-# The ASCII aliases of each dimension, in order.
-ALIASES = {
-    "brand": {"temper": "Temper", "broen": "Broen", "also": "ALSO", "marshal": "MARSHAL", "bival": "Бивал", "forteca": "FORTECA"},
-    "connection": {"flanged": "фланцевое", "threaded": "резьбовое", "welded": "сварное", "coupling": "муфтовое"},
-    "medium": {"water": "жидкость", "gas": "газ", "steam": "пар", "oil": "нефть"},
-    "control": {"manual": "ручное", "electric": "электропривод", "pneumatic": "пневмопривод", "gear": "редуктор"},
-}
+# The synthetic rows are in ASCII, so only such aliases can occur.
+ALIASES = {d: {a: v for a, v in words.items() if a.isascii()} for d, words in DIMENSIONS.items()}
 FIELDS = ("dn", "pn_bar", "connection", "medium", "control")
 
 
@@ -71,7 +68,7 @@ def length(x: str) -> str:
 
 
 def g(x: str) -> str:
-    return rf"regexp_replace(CAST(CAST({x} AS DECIMAL(24,6)) AS VARCHAR), '\.?0+$', '')"
+    return f"format('{{:g}}', {x}::DOUBLE)"
 
 
 def lab(prefix: str, x: str, suffix: str = "") -> str:
@@ -147,10 +144,18 @@ def bm25(docs: str, doc_id: str, doc_text: str, queries: str, query_text: str, k
 {name} AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM {name}_x) WHERE rank <= {k})"""
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def letters(text: str) -> str:
+    """How often a text has each letter and digit: an encoder that SQL can say."""
+    return f"list_transform(string_split('{LETTERS}', ''), lambda c: (length(lower({text})) - length(replace(lower({text}), c, '')))::DOUBLE)"
+
+
 def dense(vectors: str, queries: str, k: int, name: str = "dn") -> str:
-    """vectors(doc_id, v), queries(query_id, qv)."""
+    """vectors(doc_id, v), queries(query_id, qv). A zero vector scores 0."""
     return f"""
-{name}_x AS (SELECT query_id, doc_id, round(list_inner_product(v::DOUBLE[], qv::DOUBLE[]) / (sqrt(list_inner_product(v::DOUBLE[], v::DOUBLE[])) * sqrt(list_inner_product(qv::DOUBLE[], qv::DOUBLE[]))), 6) AS score FROM {vectors}, {queries}),
+{name}_x AS (SELECT query_id, doc_id, CASE WHEN list_max(list_transform(v, lambda x: abs(x))) > 0 AND list_max(list_transform(qv, lambda x: abs(x))) > 0 THEN round(list_inner_product(v::DOUBLE[], qv::DOUBLE[]) / (sqrt(list_inner_product(v::DOUBLE[], v::DOUBLE[])) * sqrt(list_inner_product(qv::DOUBLE[], qv::DOUBLE[]))), 6) ELSE 0.0::DOUBLE END AS score FROM {vectors}, {queries}),
 {name} AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM {name}_x) WHERE rank <= {k})"""
 
 
@@ -210,10 +215,19 @@ def _similar(a: str, b: str) -> str:
     return f"CASE WHEN {A} = {B} OR {a} = {b} THEN 1.0::DOUBLE{steps} ELSE 0.0::DOUBLE END"
 
 
-# hits: the lexical candidates of the inline queries in the catalogue, with the parsed query (q_...) and the document.
-HITS = f"""{CAT}, {DOCS}, {parsed()}, {bm25('lex', 'steel_id', 'lexical_text', 'q', 'lexical_text')},
-hits AS (SELECT bm.query_id, bm.doc_id, bm.score AS raw_score, lex.*, {', '.join(f'q.{c} AS q_{c}' for c in ('normalized', 'compact', 'toks', 'brand', *FIELDS))}
-  FROM bm JOIN lex ON bm.doc_id = lex.steel_id JOIN q ON bm.query_id = q.query_id)"""
+# hits: the candidates of the inline queries in the catalogue, with the parsed query (q_...) and the document.
+def hits(ranking: str) -> str:
+    return f"""
+hits AS (SELECT r.query_id, r.doc_id, r.score AS raw_score, lex.*, {', '.join(f'q.{c} AS q_{c}' for c in ('normalized', 'compact', 'toks', 'brand', *FIELDS))}
+  FROM {ranking} r JOIN lex ON r.doc_id = lex.steel_id JOIN q ON r.query_id = q.query_id)"""
+
+
+_LEXICAL = f"{CAT}, {DOCS}, {parsed()}, {bm25('lex', 'steel_id', 'lexical_text', 'q', 'lexical_text')}"
+HITS = f"{_LEXICAL}, {hits('bm')}"
+# the same with both retrievers, fused
+FUSED_HITS = f"""{_LEXICAL},
+vv AS (SELECT steel_id AS doc_id, {letters('st')} AS v FROM (SELECT steel_id, {SEMANTIC} AS st FROM docs)),
+vq AS (SELECT query_id, {letters('semantic_text')} AS qv FROM q), {dense('vv', 'vq', 300)}, {rrf(['bm', 'dn'])}, {hits('rf')}"""
 EXACT = f"""
 ex AS (SELECT query_id, doc_id, max({_similar('a', 'b')}) AS text_exactness FROM (
   SELECT query_id, doc_id, a, unnest(s) AS b FROM (

@@ -7,6 +7,7 @@ after a failure overwrites its own files and nothing is counted twice.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.operators.retrieval import build_postings
 
@@ -23,13 +24,16 @@ def ingest(spark: SparkSession, source: DataFrame, root: str, **columns):
 
 
 def ingest_once(spark: SparkSession, path: str, root: str) -> DataFrame:
-    """All documents of a Parquet path through the stream; returns (doc_id, dl) as the index has it."""
+    """All documents of a Parquet path through the stream; returns (doc_id, dl, terms, tokens) as the index has it: the lengths, and what the postings add up to."""
     schema = spark.read.parquet(path).schema
     # a file source wants a folder; a single file is one through its own name
     source = spark.readStream.schema(schema).parquet(path) if _is_folder(spark, path) else spark.readStream.schema(schema).option("pathGlobFilter", path.rsplit("/", 1)[1]).parquet(path.rsplit("/", 1)[0])
     query = ingest(spark, source, root)
     query.awaitTermination()
-    return spark.read.parquet(f"{root}/lengths").select("doc_id", "dl")
+    lengths, postings = (spark.read.parquet(f"{root}/{t}") for t in ("lengths", "postings"))
+    of = postings.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"))
+    zero = {"terms": 0, "tokens": 0}
+    return lengths.select("doc_id", "dl").join(of, "doc_id", "left").fillna(zero)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

@@ -73,6 +73,13 @@ def test_csv(spark, tmp_path):
         w.writerow(["007" if c == "ld_article" else "NaN" if c == "ld_url" else "say \"x\",\ny" if c == "ld_name" else 7 if c in mapping.NUMERIC else "v" for c in mapping.COLUMNS] + [""])
     r = mapping.read_csv(spark, str(tmp_path / "m.csv")).first()
     assert (r.ld_article, r.ld_url, r.ld_name, r.match_score, r.price_ld, r.extra) == ("007", None, 'say "x",\ny', 7, 7.0, None)
+    (tmp_path / "parts").mkdir()
+    for name in ("b", "a", "_SUCCESS"):
+        (tmp_path / "parts" / name).write_text(name)
+    of = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert mapping.checksum(spark, str(tmp_path / "parts")) == of(of("a") + of("b"))
+    with pytest.raises(FileNotFoundError):
+        mapping.checksum(spark, str(tmp_path / "none"))
     assert mapping.checksum(spark, str(tmp_path / "m.csv")) == hashlib.sha256((tmp_path / "m.csv").read_bytes()).hexdigest()
 
 
@@ -152,8 +159,16 @@ def test_retrieval_against_brute_force(spark):
     got = sorted((r.query_id, r.doc_id, r.score, r.rank) for r in retrieval.bm25_topk(docs, queries, k=10).collect())
     assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in sorted(want)] and [x[2] for x in got] == pytest.approx([x[2] for x in sorted(want)], abs=2e-6)
     postings, lengths = retrieval.build_postings(docs, "doc_id", "text")
-    stored = retrieval.bm25_index_topk(postings, lengths, retrieval.query_terms(queries, "query_id", "query"), k=10)
+    stats, terms = retrieval.corpus_stats(lengths), retrieval.query_terms(queries, "query_id", "query")
+    stored = retrieval.bm25_index_topk(postings, stats, terms, k=10)
     assert sorted((r.query_id, r.doc_id, r.score, r.rank) for r in stored.collect()) == got
+    before, retrieval.BROADCAST_TERMS = retrieval.BROADCAST_TERMS, -1
+    try:  # more terms than are broadcast
+        monkey = [retrieval.bm25_index_topk(postings, stats, terms, k=10), retrieval.bm25_topk(docs, queries, k=10)]
+    finally:
+        retrieval.BROADCAST_TERMS = before
+    for df in monkey:
+        assert sorted((r.query_id, r.doc_id, r.score, r.rank) for r in df.collect()) == got
     x = rng.normal(size=(200, 6))
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
     q = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rng.normal(size=(3, 6)))], "query_id long, query_vector array<double>")
@@ -166,12 +181,28 @@ def test_retrieval_against_brute_force(spark):
     assert [(r.doc_id, r.score) for r in sorted(fused, key=lambda r: r.rank)] == [(2, round(1 / 62 + 1 / 61, 9)), (1, round(1 / 61, 9))]
 
 
+def test_stored_postings_are_pruned(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i} w{i + 1} common") for i in range(200)], "doc_id long, text string")
+    postings, lengths = retrieval.build_postings(docs, "doc_id", "text")
+    postings.write.partitionBy("bucket").parquet(f"{tmp_path}/postings")
+    terms = retrieval.query_terms(spark.createDataFrame([(0, "w5 nothing")], "query_id long, query string"), "query_id", "query")
+    out = retrieval.bm25_index_topk(spark.read.parquet(f"{tmp_path}/postings"), retrieval.corpus_stats(lengths), terms)
+    plan = out._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert sorted(r.doc_id for r in out.collect()) == [4, 5]
+
+
 def test_dense_blocks(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "vec_id long, embedding array<double>")
     q = v.where("vec_id < 9").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     one = sorted(map(tuple, retrieval.dense_topk(v, q, k=4).collect()))
-    monkeypatch.setattr(retrieval, "BROADCAST_FLOATS", 6)
-    assert sorted(map(tuple, retrieval.dense_topk(v, q, k=4).collect())) == one
+    monkeypatch.setattr(retrieval, "BROADCAST_FLOATS", 9)  # three blocks
+    blocks = retrieval.dense_topk(v.repartition(3), q, k=4)
+    assert "collect" not in blocks._jdf.queryExecution().logical().toString().replace("collect_list", "")
+    assert sorted(map(tuple, blocks.collect())) == one
+    names = q.select(F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query_id"), "query_vector")
+    assert sorted((int(r.query_id[1:]), r.doc_id, r.score, r["rank"]) for r in retrieval.dense_topk(v, names, k=4).collect()) == one
+    assert retrieval.dense_topk(v, q.limit(0), k=4).count() == 0 == retrieval.dense_topk(v.limit(0), q, k=4).count()
 
 
 def test_metrics(spark):
@@ -187,6 +218,8 @@ def test_metrics(spark):
     r = evaluation.latencies(lat, F.col("v"), ["m"], F.col("i")).first()
     assert (r.cold, r.warm_mean, r.p50, r.p95) == (9.0, 3.0, 3.0, 5.0)
     assert evaluation.duplicates(found).count() == 0
+    twice = found.unionByName(spark.createDataFrame([(0, "a", 3)], "query_id long, article string, rank int"))
+    assert evaluation.duplicates(twice).count() == 1 and sorted(map(str, evaluation.query_metrics(gold, twice).collect())) == sorted(map(str, evaluation.query_metrics(gold, found).collect()))
 
 
 def test_index_and_search(spark, tmp_path):
@@ -224,7 +257,7 @@ def test_stream(spark, tmp_path):
     from quarry.streaming.ingest import ingest_once
 
     spark.createDataFrame([(1, "a b a"), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/in")
-    assert {r.doc_id: r.dl for r in ingest_once(spark, f"{tmp_path}/in", f"{tmp_path}/index").collect()} == {1: 3, 2: 0}
+    assert {r.doc_id: (r.dl, r.terms, r.tokens) for r in ingest_once(spark, f"{tmp_path}/in", f"{tmp_path}/index").collect()} == {1: (3, 2, 3), 2: (0, 0, 0)}
     spark.createDataFrame([(3, "c")], "doc_id long, text string").write.mode("append").parquet(f"{tmp_path}/in")
     assert ingest_once(spark, f"{tmp_path}/in", f"{tmp_path}/index").count() == 3
     assert spark.read.parquet(f"{tmp_path}/index/postings").count() == 3
@@ -245,8 +278,10 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert json.loads((tmp_path / "profile.json").read_text())["rows"] == 5
     assert main(["eval-set", "--csv", f"{where}/m.csv", "--output", f"{where}/queries"]) == 0
     assert mapping.read_queries(spark, f"{where}/queries").count() == 24
-    assert main(["evaluate", "--csv", f"{where}/m.csv", "--queries", f"{where}/queries", "--root", f"{where}/root", "--output", f"{where}", "--dimension", "32", "0"]) == 0
+    assert main(["evaluate", "--csv", f"{where}/m.csv", "--queries", f"{where}/queries", "--root", f"{where}/root", "--output", f"{where}", "--dimension", "32", "0", "--timed", "3"]) == 0
     results = json.loads((tmp_path / "results.json").read_text())
     assert results["selected_model"] == "hashing-32" and [r["status"] for r in results["results"]] == ["completed", "failed"]
     assert results["results"][0]["recall"] > 0.5 and results["results"][0]["per_category_recall"]["exact_article"] == 1.0
+    first = results["results"][0]
+    assert first["cold_query_latency_ms"] > 0 and 0 < first["latency_p50_ms"] <= first["latency_p95_ms"] and first["ram_peak_mb"] > 0
     assert "Winner: hashing-32" in (tmp_path / "comparison.md").read_text()
