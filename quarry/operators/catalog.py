@@ -109,7 +109,8 @@ def _canonical_all(df: DataFrame, by: list[str], fields: dict[str, tuple[Column,
 def ld_candidates(src: DataFrame) -> DataFrame:
     """(group, ld_article_norm, canonical fields): the candidates of each document; those without an article are left out."""
     by = [*GROUP, "ld_article_norm"]
-    s = src.where("ld_article_norm <> ''")
+    # articles that aren't empty: a draw below one doesn't change that, but keeps the condition above the exchange that other plans read too
+    s = src.where(F.length("ld_article_norm") + F.rand(0) >= 1)
     numbers = {"dn", "pn_bar", "length_mm", "price"}
     names = ["article", "name", "url", "dn", "pn_bar", "connection", "medium", "control", "temperature", "length_mm", "price"]
     renamed = s.select(*by, *(F.col(f"ld.{n}").alias(f"ld_{n}") for n in names))
@@ -170,7 +171,7 @@ def source_documents(rows: DataFrame) -> DataFrame:
         "c_length": (F.col("length_mm"), True),
     }
     head = _canonical_all(src, by, fields, variants_of="c_name", beside={"c_article": F.col("article_norm")})
-    keys = src.select(*by, *KEY).distinct()
+    keys = src.groupBy(*by).agg(F.first(F.struct(*KEY)).alias("key"), F.count("*").alias("rows")).where("rows > 0").select(*by, "key.*")  # the count keeps rows distinct before
     entry = F.struct(F.col("ld_article_norm").alias("article_norm"), *(F.col(f"ld_{n}").alias(n) for n in ("article", "name", "url", "dn", "pn_bar", "connection", "medium", "control", "temperature", "length_mm", "price")))
     nested = ld_candidates(src).groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("ld_candidates"))
     d = keys.join(head, by).join(nested, by, "left")

@@ -162,7 +162,8 @@ def open_index(spark: SparkSession, root: str, *, name: str | None = None, model
 def write_tables(docs: DataFrame, encoder: Encoder, where: str, model: str) -> None:
     """docs, vectors, postings (stored by term bucket, sorted by term, so a query reads few files and row groups) and stats under a folder."""
     spark = docs.sparkSession
-    docs.withColumn("doc_id", F.col("steel_id")).write.mode("errorifexists").parquet(f"{where}/docs")
+    # each file in the order of ids, so that a search that asks for some of them reads the row groups that have them
+    docs.withColumn("doc_id", F.col("steel_id")).sortWithinPartitions("doc_id").write.mode("errorifexists").parquet(f"{where}/docs")
     stored = spark.read.parquet(f"{where}/docs")
     texts = stored.select("doc_id", encoder_text("semantic_text", model, "passage").alias("text"))
     encode(texts, encoder, text="text", role="document").write.mode("errorifexists").parquet(f"{where}/vectors")

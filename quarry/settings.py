@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
+from pathlib import Path
 
 from quarry.operators.ranking import Weights
 from quarry.operators.retrieval import PREFETCH, RRF_K
@@ -110,3 +111,17 @@ def from_environment(env: Mapping[str, str] | None = None) -> Settings:
     if s.limit > s.limit_max:
         raise ValueError("RESULT_LIMIT_DEFAULT is above RESULT_LIMIT_MAX")
     return s
+
+
+def cached_model(name: str, revision: str | None = None, root: str | Path | None = None) -> Path | None:
+    """The folder of a model's files in the local model cache, None if there is none; nothing is fetched.
+
+    Looked for in this order: the revision asked for, the one that the cache calls main, the last one by name. A revision counts
+    if its files have been fetched (config.json is there).
+    """
+    root = Path(root or Path(os.environ.get("HF_HOME") or Path.home() / ".cache" / "huggingface") / "hub")
+    home = root / f"models--{name.replace('/', '--')}"
+    main = home / "refs" / "main"
+    known = sorted(p.parent.name for p in home.glob("snapshots/*/config.json"))
+    wanted = [revision, main.read_text(encoding="utf-8").strip() if main.is_file() else None, *reversed(known)]
+    return next((home / "snapshots" / r for r in wanted if r and r in known), None)

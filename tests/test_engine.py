@@ -48,6 +48,13 @@ def test_grouping(spark):
     assert all(r.p == str(uuid.uuid5(uuid.NAMESPACE_URL, prefix + r.steel_id)) for r in got)
 
 
+def test_catalogue_deals_its_rows_once(spark):
+    docs = catalog.source_documents(mapping_rows(spark, GROUPED))
+    docs.collect()
+    plan = docs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len([x for x in plan.split("\n") if "- Exchange hashpartitioning(k1" in x]) == 1 and plan.count("ReusedExchange") == 2
+
+
 def test_canonical(spark):
     rows = [("a", 50.0)] * 2 + [("a", 100.0)] * 2 + [("a", 9.0), ("b", None), ("c", 9.0), ("c", None), ("c", None)]
     got = {r.k: r.v for r in catalog.canonical(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", numeric=True).collect()}

@@ -10,7 +10,7 @@ import pytest
 from quarry.functions.encode import HashingEncoder
 from quarry.plans import engine, evaluate, index
 from quarry.service import Invalid, Service, request_of, server, without_nulls
-from quarry.settings import Settings, from_environment
+from quarry.settings import Settings, cached_model, from_environment
 from test_engine import GROUPED, mapping_rows
 
 
@@ -25,6 +25,21 @@ def test_settings():
             from_environment({name: value})
 
 
+def test_cached_models(tmp_path):
+    assert cached_model("a/b", root=tmp_path) is None
+    home = tmp_path / "models--a--b"
+    for r in ("r1", "r2", "r3"):
+        (home / "snapshots" / r).mkdir(parents=True)
+    assert cached_model("a/b", root=tmp_path) is None
+    for r in ("r1", "r2"):
+        (home / "snapshots" / r / "config.json").write_text("{}")
+    of = lambda **x: getattr(cached_model("a/b", root=tmp_path, **x), "name", None)
+    assert of() == "r2" and of(revision="r1") == "r1" and of(revision="r3") == "r2"
+    (home / "refs").mkdir()
+    (home / "refs" / "main").write_text("r1\n")
+    assert of() == "r1" and of(revision="r2") == "r2" and of(revision="gone") == "r1"
+
+
 def test_requests():
     ask = lambda legacy=False, **x: request_of(json.dumps(x).encode(), Settings(), legacy=legacy)
     assert ask(query="valve") == ("valve", 20, False)
