@@ -220,6 +220,57 @@ def test_near_copies_with_blocks(spark):
     assert 0.2 * len(rows) < len(rows) - len(want)
 
 
+def edits_of(rng, w, kind, share):
+    n, at = max(1, int(share * len(w))), rng.randrange(len(w))
+    new = lambda k: [f"n{rng.randrange(10**6)}" for _ in range(k)]
+    if kind == "words":
+        v = list(w)
+        for i in rng.sample(range(len(w)), max(1, n // 5)):
+            v[i] = new(1)[0]
+        return v
+    if kind == "cut":
+        return w[:at] + w[at + n :]
+    return w[:at] + new(n) + w[at:]
+
+
+def test_near_copies_by_band(spark):
+    """2000 documents, short ones and long ones, with words changed, blocks cut and inserted: every pair of 0.8 or more is found, in each band."""
+    rng = random.Random(21)
+    rows = []
+    while len(rows) < 2000:
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([3, 6, 12, 40, 150, 500]))]
+        group = [w] + [edits_of(rng, w, rng.choice(["words", "cut", "insert"]), rng.uniform(0.01, 0.25)) for _ in range(rng.randrange(5))]
+        rows += [(len(rows) + i, " ".join(v)) for i, v in enumerate(group)]
+    sets = {i: shingle_set(t) for i, t in rows}
+    holders = {}
+    for i, own in sets.items():
+        for x in own:
+            holders.setdefault(x, []).append(i)
+    common = Counter((a, b) for ids in holders.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    bands, pairs = Counter(), []
+    for (a, b), n in common.items():
+        j = n / (len(sets[a]) + len(sets[b]) - n)
+        if j >= 0.8:
+            pairs.append((a, b))
+            bands[min(int(j * 20) / 20, 0.9), min(len(sets[a]), len(sets[b])) < 20] += 1
+    assert all(bands[x, short] > 20 for x in (0.8, 0.85, 0.9) for short in (False,)) and bands[0.8, True] + bands[0.85, True] + bands[0.9, True] > 20, bands
+    texts, classes = near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    first = {r.node: r["first"] for r in texts.collect()}
+    got = {}
+    for r in classes.collect():
+        got.setdefault(r.root, set()).add(first[r.node])
+    of = find_roots(sets, pairs)
+    want = {}
+    for i, r in of.items():
+        want.setdefault(r, set()).add(i)
+    alike = {}  # copies of one text are one node, named by its smallest id
+    for i, t in rows:
+        alike.setdefault(t, i)
+    names = dict(rows)
+    want = {frozenset(alike[names[i]] for i in own) for own in want.values()}
+    assert {frozenset(x) for x in got.values()} == {x for x in want if len(x) > 1}
+
+
 def test_near_copies_of_few_words(spark):
     rows = with_few_words(40, 12)
     want = kept_by_brute_force(rows)
