@@ -45,6 +45,42 @@ class HashingEncoder:
         return np.divide(out, n, out=out, where=n > 0)
 
 
+def mean_pool(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """(n, dimension) means of the token states (n, tokens, dimension) over the tokens that the mask has; zero without any."""
+    weight = np.asarray(mask, np.float32)[:, :, None]
+    return (np.asarray(states, np.float32) * weight).sum(1) / np.maximum(weight.sum(1), 1e-9)
+
+
+class PooledEncoder:
+    """A token model as an encoder: mean-pooled states, L2-normalised unless that is turned off.
+
+    tokenize(texts, max_length) gives (ids, mask), model(ids, mask) the token states; both are given, since no model weights are at hand.
+    """
+
+    def __init__(self, tokenize, model, dimension: int, *, normalize: bool = True, max_length: int = 512, query_prefix: str = "", document_prefix: str = ""):
+        self.tokenize, self.model, self.dimension = tokenize, model, dimension
+        self.normalize, self.max_length = normalize, max_length
+        self.prefix = {"query": query_prefix, "document": document_prefix}
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        if not texts:
+            return np.zeros((0, self.dimension), np.float32)
+        ids, mask = self.tokenize(texts, self.max_length)
+        out = mean_pool(self.model(ids, mask), mask)
+        n = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, n, out=np.zeros_like(out), where=n > 0) if self.normalize else out
+
+    def _as(self, role: str, texts: list[str]) -> np.ndarray:
+        p = self.prefix[role]
+        return self.encode([t if not t or t.startswith(p) else p + t for t in texts])
+
+    def encode_query(self, texts: list[str]) -> np.ndarray:
+        return self._as("query", texts)
+
+    def encode_document(self, texts: list[str]) -> np.ndarray:
+        return self._as("document", texts)
+
+
 def checked(vectors, rows: int, dimension: int) -> np.ndarray:
     """The encoder's answer as (rows, dimension) finite float32, else an error."""
     v = np.asarray(vectors, np.float32)

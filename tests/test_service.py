@@ -161,3 +161,22 @@ def test_encoders_with_roles(spark):
     e = roles(8)
     got = {r.doc_id: r.vector for r in encode(df, e, text="text", role="query").collect()}
     assert set(got) == {2**60 + 1, None} and np.allclose(got[2**60 + 1], e.encode(["a b asked"])[0])
+
+
+def test_pooled_encoder():
+    from quarry.functions.encode import PooledEncoder, mean_pool
+
+    states = np.arange(12, dtype=np.float32).reshape(1, 4, 3)
+    assert mean_pool(states, np.array([[1, 1, 0, 0]])).tolist() == [[1.5, 2.5, 3.5]] and not mean_pool(states, np.zeros((1, 4))).any()
+
+    def tokenize(texts, most):
+        rows = [[ord(c) for c in t][:most] for t in texts]
+        width = max(map(len, rows), default=0) or 1
+        return np.array([r + [0] * (width - len(r)) for r in rows]), np.array([[1] * len(r) + [0] * (width - len(r)) for r in rows])
+
+    model = lambda ids, mask: np.stack([ids % 7, ids % 5, np.ones_like(ids)], 2)
+    e = PooledEncoder(tokenize, model, 3, max_length=4, query_prefix="q: ")
+    one, both = e.encode(["abc"]), e.encode(["abc", "a much longer text", ""])
+    assert np.allclose(one[0], both[0]) and np.allclose(np.linalg.norm(both, axis=1), [1, 1, 0]) and e.encode([]).shape == (0, 3)
+    assert np.allclose(e.encode_query(["abc"]), e.encode(["q: abc"])) and np.allclose(e.encode_query(["q: abc"]), e.encode(["q: abc"])) and np.allclose(e.encode_document(["abc"]), one)
+    assert np.allclose(PooledEncoder(tokenize, model, 3, normalize=False).encode(["ab"]), [[(97 % 7 + 98 % 7) / 2, (97 % 5 + 98 % 5) / 2, 1]])
