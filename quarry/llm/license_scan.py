@@ -39,6 +39,20 @@ NOTICES = (
     ("permission to use copy modify and or distribute this software for any purpose with or without fee", "isc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("eclipse public license", "epl"),
+    ("distributed under the boost software license version 1 0", "boost"),
+    ("in no event will the authors be held liable for any damages arising from the use of this software", "zlib"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "bsd"),
+    ("distributed under the terms of the artistic license", "artistic"),
+    ("under the terms of the gnu free documentation license", "gfdl"),
+    ("dedicated to the public domain under the creative commons zero", "cc0"),
+    ("common development and distribution license", "cddl"),
+    ("licensed under the microsoft public license", "ms-pl"),
+    ("python software foundation license version 2", "psf"),
+    ("licensed under the european union public licence", "eupl"),
+    ("this font software is licensed under the sil open font license", "ofl"),
+    ("as a special exception the copyright holders of this library give you permission to link this library", "classpath-exception"),
+    ("licensed under the apache license v2 0 with llvm exceptions", "llvm-exception"),
+    ("spdx license identifier", "spdx"),
 )
 
 #: One edit is allowed for so many characters of a notice, up to MOST_EDITS.
