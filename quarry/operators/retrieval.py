@@ -118,9 +118,10 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id"
 
     A bounded number of query floats goes to the workers, and the vectors are read where they lie: a matrix product for each Arrow
     batch, whose k best rows a query leave the worker. More queries stay a table of packed blocks, which meet packed blocks of vectors
-    by an equality join; the driver holds none of them. Scores have six places; zero vectors score 0.
+    by an equality join; the driver holds none of them. Scores have six places; zero vectors score 0. Rows and queries without a
+    vector take no part.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v"))
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
     v = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
     out = StructType([StructField("query_id", q.schema["query_id"].dataType), StructField("doc_id", v.schema["doc_id"].dataType), StructField("score", DoubleType())])
     floats = q.agg(F.sum(F.size("v"))).first()[0] or 0

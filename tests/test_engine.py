@@ -207,6 +207,8 @@ def test_dense_blocks(spark, monkeypatch):
     blocks = retrieval.dense_topk(v.repartition(3), q, k=4)
     assert "collect" not in blocks._jdf.queryExecution().logical().toString().replace("collect_list", "")
     assert sorted(map(tuple, blocks.collect())) == one
+    more = q.unionByName(spark.createDataFrame([(99, None)], q.schema))
+    assert sorted(map(tuple, retrieval.dense_topk(v, more, k=4).collect())) == one
     names = q.select(F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query_id"), "query_vector")
     assert sorted((int(r.query_id[1:]), r.doc_id, r.score, r["rank"]) for r in retrieval.dense_topk(v, names, k=4).collect()) == one
     assert retrieval.dense_topk(v, q.limit(0), k=4).count() == 0 == retrieval.dense_topk(v.limit(0), q, k=4).count()
