@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from quarry.llm.chat_format import chat_format, loss_text
 from quarry.llm.common import read, shared_dir
+from quarry.llm.fill_middle import fill_in_middle, restored
 from quarry.llm.license_scan import license_scan
+from quarry.llm.merkle import FIELDS, fold, leaf_digest, manifest, proof_digest
 from quarry.llm.mixing import cube_mix, taken_rows
+from quarry.llm.packing import pack
 from quarry.llm.quality_rules import quality_rules
 from quarry.llm.secret_scan import secret_scan
 from quarry.llm.sentencepiece_codec import sentencepiece_encode
@@ -122,6 +125,80 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read(spark, sf_dir, "documents"))
 
 
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = manifest(docs, more={"now": leaf_digest(text if f == "text" else F.col(f) for f in FIELDS)})
+    found = found.withColumn("folded_root", fold(F.col("now"), F.col("proof")))
+    return found.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _sql_value(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x} END"
+
+
+def _sql_leaf(text: str) -> str:
+    return f"sha256({' || '.join(_sql_value(text if f == 'text' else f) for f in FIELDS)})"
+
+
+#: crc32 bit by bit: every eighth step takes a byte in. Its lowest bit is inverted at the end, so an even crc32 is an odd register.
+_SQL_CRC = """list_reduce(flatten([[ascii(c), 0, 0, 0, 0, 0, 0, 0] for c in string_split(id, '')]),
+  lambda r, x: xor(xor(r, x) >> 1, 3988292384 * (xor(r, x) & 1)), 4294967295::BIGINT)"""
+
+
+def _sql_tree(name: str, leaves: str) -> str:
+    """All nodes (k, lvl, i, d, n) above leaves (k, i, d, n), their families, and each leaf's way up."""
+    return f"""{name} AS (SELECT k, 0 AS lvl, i, d, n FROM {leaves} UNION ALL
+  SELECT k, lvl + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM {name} WHERE n > 1 GROUP BY k, lvl, i // 3),
+{name}_f AS (SELECT k, lvl, i // 3 AS p, any_value(d) FILTER (i % 3 = 0) AS d0, coalesce(any_value(d) FILTER (i % 3 = 1), '') AS d1, coalesce(any_value(d) FILTER (i % 3 = 2), '') AS d2 FROM {name} WHERE n > 1 GROUP BY k, lvl, i // 3)"""
+
+
+def _sql_way(name: str, tree: str, start: str) -> str:
+    return f"""{name} AS (SELECT rid, k, 0 AS lvl, i, now, proof FROM {start} UNION ALL
+  SELECT rid, k, lvl + 1, i // 3, sha256(CASE WHEN i % 3 = 0 THEN now ELSE d0 END || CASE WHEN i % 3 = 1 THEN now ELSE d1 END || CASE WHEN i % 3 = 2 THEN now ELSE d2 END),
+    proof || CASE WHEN i % 3 = 0 THEN '' ELSE d0 END || CASE WHEN i % 3 = 1 THEN '' ELSE d1 END || CASE WHEN i % 3 = 2 THEN '' ELSE d2 END
+  FROM {name} w JOIN {tree}_f f USING (k, lvl) WHERE w.i // 3 = f.p)"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE c AS (SELECT *, coalesce(doc_id::VARCHAR, '') AS id, row_number() OVER () AS rid, coalesce('=' || source, '-') AS k FROM documents),
+c1 AS (SELECT *, CASE WHEN id = '' OR {_SQL_CRC} & 1 = 1 THEN replace(text, chr(10), '') ELSE text END AS text_now FROM c),
+l AS (SELECT rid, k, doc_id, {_sql_leaf('text')} AS leaf, {_sql_leaf('text_now')} AS now FROM c1),
+leaves AS (SELECT *, leaf AS d, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS n, '' AS proof FROM l),
+{_sql_tree('t', 'leaves')}, {_sql_way('w', 't', 'leaves')},
+subs AS (SELECT k AS source_key, 0 AS k, d, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+{_sql_tree('s', 'subs')},
+half AS (SELECT w.rid, 0 AS k, subs.i, w.now, w.proof, subs.d AS subroot FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY rid ORDER BY lvl DESC) = 1) w JOIN subs ON w.k = subs.source_key),
+{_sql_way('x', 's', 'half')},
+folded AS (SELECT rid, now, proof FROM x QUALIFY row_number() OVER (PARTITION BY rid ORDER BY lvl DESC) = 1)
+SELECT doc_id, leaf, half.subroot, root.d AS root, sha256(folded.proof) AS proof_sha256, folded.now AS folded_root, folded.now = root.d AS verified
+FROM l JOIN half USING (rid) JOIN folded USING (rid), (SELECT d FROM s WHERE n = 1) root
+"""
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(read(spark, sf_dir, "documents"))
+    chars = lambda c: F.length(c).cast("long").alias(f"{c}_chars")
+    return out.select("doc_id", "n", "form", chars("prefix"), chars("middle"), F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+_SQL_H = lambda i: f"('0x' || h[{8 * i - 7}:{8 * i}])::BIGINT"
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (SELECT *, len(u)::BIGINT AS n, least({_SQL_H(1)} % (len(u) + 1), {_SQL_H(2)} % (len(u) + 1)) AS a, greatest({_SQL_H(1)} % (len(u) + 1), {_SQL_H(2)} % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_SQL_H(3)} % 100 >= 90 THEN 'plain' WHEN {_SQL_H(4)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, CASE WHEN form <> 'plain' THEN array_to_string(u[:a], '') END AS prefix, CASE WHEN form <> 'plain' THEN array_to_string(u[a + 1:b], '') END AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, length(prefix)::BIGINT AS prefix_chars, length(middle)::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -135,8 +212,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_topk_search": op9_topk_search,
         "op10_secret_scan": op10_secret_scan,
+        "op11_pack": op11_pack,
+        "op12_merkle": op12_merkle,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": OP7_SQL, "op9_topk_search": OP9_SQL}
+    return {"op7_chat_format": OP7_SQL, "op9_topk_search": OP9_SQL, "op12_merkle": OP12_SQL, "op13_fill_middle": OP13_SQL}
