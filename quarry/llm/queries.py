@@ -54,10 +54,11 @@ def reshard_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = (f"{shared_dir(spark)}/quarry-shards-{uuid.uuid4().hex}" for _ in range(2))
     docs = read(spark, sf_dir, "documents").withColumn("shard", F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS)).cast("int"))
     docs.write.partitionBy("shard").parquet(old)
-    stored = spark.read.parquet(old)
-    touched = rewrite(spark, old, new, reshard(stored, old_shard=F.col("shard")))
+    files = spark.read.schema(docs.schema)
+    stored = files.parquet(old)
+    touched = rewrite(spark, old, new, reshard(stored, old_shard=F.col("shard")), schema=docs.schema)
     kept = stored.where(~F.col("shard").isin(touched)).select("doc_id", "text", "shard")
-    both = spark.read.parquet(new).select("doc_id", "text", "shard").unionByName(kept)
+    both = files.parquet(new).select("doc_id", "text", "shard").unionByName(kept)
     return both.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.col("shard").cast("int").alias("shard"))
 
 

@@ -15,6 +15,7 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.llm.common import clear_of, save
 
@@ -147,17 +148,19 @@ def reshard(docs: DataFrame, *, text: str = "text", old_shard: Column, doc_id: s
     return placed.select(*(F.col(k).alias(out[c]) for c, k in kept.items()), "size", "text_crc32", "old_shard", "shard", "slot")
 
 
-def rewrite(spark: SparkSession, old: str, new: str, placed: DataFrame, *, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> list[int]:
+def rewrite(spark: SparkSession, old: str, new: str, placed: DataFrame, *, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", schema: StructType | None = None) -> list[int]:
     """Write the new layout of a table stored as old/shard=N. Returns the shards that had to be rewritten.
 
     A shard that neither gains nor loses rows keeps its files: they are not read here, and the caller goes on using them.
     The others are written to new/shard=N, sorted by slot. Every row is written once: rows find their place by id, size, CRC and old
     shard, nulls included, and rows that agree in all of these are numbered, since any of their places does for any of them.
+    An empty table, for which ``schema`` must be given (its files have none), and a layout that stays make a new layout without files.
     """
     moved = placed.where("old_shard <> shard").agg(F.collect_set("old_shard").alias("a"), F.collect_set("shard").alias("b")).first()
     touched = sorted({*moved.a, *moved.b} & set(range(shards)))
     lost = sorted({*moved.a, *touched})
-    stored = spark.read.parquet(old).where(F.col("shard").isin(lost))
+    reader = spark.read.schema(schema) if schema else spark.read
+    stored = reader.parquet(old).where(F.col("shard").isin(lost))
     names = [c for c in stored.columns if c != "shard"]
     body = F.coalesce(F.col(text), F.lit(""))
     key = {"__id": F.col(doc_id), "__size": (F.octet_length(body) + 1).cast("long"), "__crc": F.crc32(body.cast("binary")), "__old": F.col("shard").cast("int")}

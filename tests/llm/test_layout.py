@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.llm import queries as q
@@ -132,6 +133,18 @@ def test_rewrite_query(spark, sf):
     assert got == Counter((r.doc_id, zlib.crc32((r.text or "").encode())) for r in docs.collect())
 
 
+def test_rewrite_of_nothing(spark, tmp_path):
+    """An empty table, and one that has its layout already."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert q.reshard_rewrite(spark, str(tmp_path)).collect() == []
+    even = docs.limit(100).withColumns({"text": F.lit("same"), "shard": (F.row_number().over(Window.orderBy("doc_id")) % 2).cast("int")})
+    even.write.partitionBy("shard").parquet(f"{tmp_path}/old")
+    stored = spark.read.parquet(f"{tmp_path}/old")
+    assert rewrite(spark, f"{tmp_path}/old", f"{tmp_path}/new", reshard(stored, old_shard=F.col("shard"), shards=2), shards=2) == []
+    assert spark.read.schema(stored.schema).parquet(f"{tmp_path}/new").collect() == []
+
+
 def test_mix_without_broadcast(docs, edge, monkeypatch):
     from quarry.llm import mixing
 
