@@ -83,20 +83,21 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: boo
 
 
 def source_targets(rows: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(source, source_size, n, place, target) from rows (source, size): min(most x size, level x weight), all targets together the corpus."""
+    """(source, source_size, n, place, target) from rows (source, size): min(most x size, level x weight), all targets together the corpus.
+
+    Rows that repeat count each; a null source is a source, the last; an empty table gives an empty result.
+    """
     stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     order = [F.col("source").asc_nulls_last()]
     placed = save(stats.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mid", F.monotonically_increasing_id()), compact=True)
     # place in code point order: rows before in the partition, plus those of the partitions before (one row for each)
     part = F.shiftright("mid", 33)
-    parts = sorted((r.part, r.n) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
-    before, at = F.lit(0), 0
-    for q, n in parts:
-        before = F.when(part == q, F.lit(at)).otherwise(before)
-        at += n
-    place = (before + F.col("mid") - F.shiftleft(part, 33)).cast("long")
-    weight = F.get(F.array(*map(F.lit, weights)), (place % len(weights)).cast("int"))
-    w = placed.select("source", "source_size", "n", place.alias("place"), weight.cast("double").alias("weight"))
+    parts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
+    parts = parts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))
+    placed = placed.withColumn("part", part).join(F.broadcast(parts), "part")
+    place = F.col("before") + F.col("mid") - F.shiftleft("part", 33)
+    weight = F.get(F.array(*map(F.lit, weights)), (F.col("place") % len(weights)).cast("int"))
+    w = save(placed.withColumn("place", place).select("source", "source_size", "n", "place", weight.cast("double").alias("weight")), compact=True)
     level, capped = 0.0, -1
     while True:  # water-filling; the level only rises, and each turn caps at least one more source
         cap = F.col("weight") * level >= most * F.col("source_size")

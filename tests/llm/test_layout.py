@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import queries as q
 from quarry.llm.chat_format import chat_format, loss_spans, loss_text
-from quarry.llm.mixing import cube_mix, flight, mixed_documents, taken_rows
+from quarry.llm.mixing import cube_mix, flight, mixed_documents, source_targets, taken_rows
 from quarry.llm.sharding import min_cost_flow, plan_transfers, reshard, rewrite
 from quarry.llm.token_counts import at_limit, length_histogram, quantiles, token_lengths
 
@@ -153,6 +153,26 @@ def test_mix_without_broadcast(docs, edge, monkeypatch):
     assert [sorted(map(str, cube_mix(x).collect())) for x in (docs, edge)] == want
 
 
+def test_places_over_many_partitions(spark):
+    """Sources over 1500 ranges keep their places in the order of their code points."""
+    rows = spark.range(3000).selectExpr("concat(char(97 + id % 26), id) AS source", "id + 1 AS size").unionByName(spark.createDataFrame([(None, 5)], "source string, size long"))
+    conf = {"spark.sql.shuffle.partitions": "1500", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = source_targets(rows)
+        for k, v in before.items():  # the sources lie in their ranges by now
+            spark.conf.set(k, v)
+        got = {r.source: r for r in got.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    order = sorted(got, key=lambda s: (s is None, s or ""))
+    assert [got[s].place for s in order] == list(range(3001))
+    assert sum(r.target for r in got.values()) == pytest.approx(sum(r.source_size for r in got.values()))
+
+
 def test_transfers_keep_what_fits():
     blocks = [(o, k, 10) for o in range(4) for k in range(10 + o)]
     where = plan_transfers(blocks, 4)

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from quarry.llm.license_scan import NOTICES, Scanner, edits_allowed, license_scan, normalised, scan_row
 from quarry.llm.quality_rules import quality_rules
@@ -281,6 +282,34 @@ def test_quality_limit_does_not_grow_with_the_host(spark, monkeypatch):
         assert {r.doc_id for r in got if not r.kept} == set(lost)
 
 
+@pytest.mark.parametrize("least_id", [-(2**63), -(2**63) + 1, 0, None])
+def test_quality_smallest_ids(spark, monkeypatch, least_id):
+    """The first document that holds a line keeps it, whatever its id; where no id is known all keep it."""
+    from quarry.llm import quality_rules as q
+
+    shared = " ".join(f"menu{k}" for k in range(70))
+    rows = [(None if least_id is None else least_id + i, shared + "\n" + " ".join(f"d{i}w{k}" for k in range(20)), "h") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most in (q.BROADCAST_LINES, -1):
+        monkeypatch.setattr(q, "BROADCAST_LINES", most)
+        got = quality_rules(df).collect()
+        assert sum(r.n_boiler_words == 70 for r in got) == (0 if least_id is None else 39)
+        assert all(r.n_boiler_words == 0 for r in got if r.doc_id == least_id)
+
+
+def test_quality_copies(spark, monkeypatch):
+    """Documents of one text are one, or as many as their ids."""
+    from quarry.llm import quality_rules as q
+
+    text = " ".join(f"w{k}" for k in range(80))
+    df = spark.createDataFrame([(i % 30, text, "h") for i in range(60)] + [(100, "other words", "h")], "doc_id long, text string, source string")
+    for most in (q.BROADCAST_LINES, -1):
+        monkeypatch.setattr(q, "BROADCAST_LINES", most)
+        assert sum(r.n_boiler_words > 0 for r in quality_rules(df).collect()) == 0
+        assert sum(r.n_boiler_words > 0 for r in quality_rules(df, copies=True).collect()) == 58
+        assert sum(r.n_boiler_words > 0 for r in quality_rules(df, copies=True, spare_first=False).collect()) == 60
+
+
 def test_quality_join_without_broadcast(docs, monkeypatch):
     from quarry.llm import quality_rules as q
 
