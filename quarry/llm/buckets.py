@@ -21,6 +21,8 @@ from quarry.llm.common import forget, lean, save
 PART = 4096
 #: Buckets of so many rows are compared together with others, row by row at each distance.
 SMALL = 8
+#: Pairs whose columns are gathered at once for a test that needs all of them.
+SIFTED = 100_000
 #: Nodes whose links a task remembers, so that it doesn't say again what other buckets have told.
 REMEMBERED = 500_000
 #: Edges (16 bytes) whose components one task forms; more of them take distributed rounds, each task writing as many.
@@ -144,8 +146,8 @@ def parts(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[tuple[list[n
         yield rest, large is not None
 
 
-def pairs_in(cols: list[np.ndarray], match: Match, known: Known | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The matching pairs of nodes (second column) that share a key (first column); with ``known`` links that are news, a forest."""
+def pairs_in(cols: list[np.ndarray], match: Match, known: Known | None, sift: Match | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The matching pairs of nodes (second column) that share a key (first column), sifted; with ``known`` links that are news, a forest."""
     key = cols[0]
     same = key[1:] == key[:-1]
     starts = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(key)]])
@@ -156,7 +158,9 @@ def pairs_in(cols: list[np.ndarray], match: Match, known: Known | None) -> Itera
         i = np.flatnonzero(small[0][d:] == small[0][:-d])
         if not len(i):
             break
-        i = i[match([c[i] for c in small[1:]], [c[i + d] for c in small[1:]])]
+        for test in (match, sift):
+            if test and len(i):
+                i = i[test([c[i] for c in small[1:]], [c[i + d] for c in small[1:]])]
         if len(i):
             yield told(small[1][i], small[1][i + d], known)
     for k in np.flatnonzero(sizes > SMALL):
@@ -167,7 +171,16 @@ def pairs_in(cols: list[np.ndarray], match: Match, known: Known | None) -> Itera
             for at in range(0, len(own[0]), 256):
                 i, j = np.nonzero(match([c[at : at + 256, None] for c in own], [c[None, :] for c in own]))
                 i += at
-                yield own[0][i[i < j]], own[0][j[i < j]]
+                yield tuple(own[0][x] for x in sifted(own, own, i[i < j], j[i < j], sift))
+
+
+def sifted(x: list[np.ndarray], y: list[np.ndarray], i: np.ndarray, j: np.ndarray, sift: Match | None) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the rows (i of x, j of y) that the test leaves, so many at a time that their columns are a bounded amount of memory."""
+    if sift is None or not len(i):
+        return i, j
+    ok = [sift([c[i[k : k + SIFTED]] for c in x], [c[j[k : k + SIFTED]] for c in y]) for k in range(0, len(i), SIFTED)]
+    ok = np.concatenate(ok)
+    return i[ok], j[ok]
 
 
 def told(a: np.ndarray, b: np.ndarray, known: Known | None) -> tuple[np.ndarray, np.ndarray]:
@@ -207,19 +220,20 @@ def forest(own: list[np.ndarray], match: Match, known: Known) -> tuple[np.ndarra
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def bucket_pairs(keys: DataFrame, match: Match, *, true: bool, part: int = PART) -> DataFrame:
+def bucket_pairs(keys: DataFrame, match: Match, *, true: bool, part: int = PART, sift: Match | None = None) -> DataFrame:
     """Saved pairs (a, b) of nodes that share a key and match, from rows (key, node, ...) of bigints; a < b, each once.
 
     match compares rows of the columns after the key, elementwise; it must be symmetric. If matches are ``true`` links, the pairs are
     a forest with the components of all matches; else they are all matches, and match has to leave out pairs that don't
-    matter (the third column is then the node's root, and those of one root don't).
+    matter (the third column is then the node's root, and those of one root don't). ``sift`` is a dearer test of the matches, on rows
+    of one length each, before they leave the worker.
     """
     names = keys.columns
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known() if true else None
         for cols, more in parts(batches, part):
-            for a, b in pairs_in(cols, match, known):
+            for a, b in pairs_in(cols, match, known, sift):
                 if len(a):
                     yield edge_rows(a, b)
             if more:
@@ -230,7 +244,7 @@ def bucket_pairs(keys: DataFrame, match: Match, *, true: bool, part: int = PART)
     pairs = found.where("key is null").select("a", "b")
     large = found.where("key is not null").select("key", "rows")
     if large.limit(1).count():
-        pairs = pairs.unionByName(_across(large, names, pairs, match, true, part))
+        pairs = pairs.unionByName(_across(large, names, pairs, match, true, part, sift))
     out = save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), compact=True)
     forget(found)
     return out
@@ -243,7 +257,7 @@ def edge_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())], EDGE)
 
 
-def _across(large: DataFrame, names: list[str], pairs: DataFrame, match: Match, true: bool, part: int) -> DataFrame:
+def _across(large: DataFrame, names: list[str], pairs: DataFrame, match: Match, true: bool, part: int, sift: Match | None) -> DataFrame:
     """Pairs between the parts of large buckets: members outside a bucket's largest component, packed, against each part."""
     width = len(names) - 1
 
@@ -273,7 +287,8 @@ def _across(large: DataFrame, names: list[str], pairs: DataFrame, match: Match,
                 x = [c.to_numpy(zero_copy_only=False) for c in own.values.flatten()]
                 for at in range(0, len(x[0]), 256):
                     i, j = np.nonzero(match([c[at : at + 256, None] for c in x], [c[None, :] for c in y]))
-                    u, v = x[0][i + at], y[0][j]
+                    i, j = sifted(x, y, i + at, j, sift)
+                    u, v = x[0][i], y[0][j]
                     u, v = u[u != v], v[u != v]
                     if true and len(u):
                         news = [known.join(s, t) for s, t in zip(u.tolist(), v.tolist())]

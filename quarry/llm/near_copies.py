@@ -6,7 +6,8 @@ are a class. Candidates come in two steps, and the exact similarity decides on a
 1. The operator's Golay keys join texts whose SimHash fingerprints differ in a few bits, as a forest; and in each bucket of a prefix
    hash all members are tried against the one that is most like the bucket's core. That settles most of a group with a
    number of trials in proportion to its members.
-2. Buckets of prefix hashes that still hold more than one class: all pairs of different classes in them.
+2. Buckets of prefix hashes that still hold more than one class: all pairs of different classes in them. In buckets of more than a
+   few texts, as templates make them, rows carry a sketch of their set, and only pairs that it leaves possible get out of the worker.
 
 Sets of similarity ``least`` share one of their size - ceil(least * size) + 1 first hashes in any common order, so step 2 misses no
 pair. In the order, shingles that a sample of texts has often come last, which keeps buckets small and changes no
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.buckets import PART, bucket_pairs, components, parts, with_roots
+from quarry.llm.buckets import PART, SMALL, bucket_pairs, components, parts, with_roots
 from quarry.llm.common import bounded_batches, forget, lean, save
 from quarry.llm.simhash import close, golay_keys, majority, shingles
 
@@ -39,6 +40,8 @@ REMEMBERED = 100_000
 BROADCAST_TEXTS = 1_000_000
 #: Top bits of hashes that a sketch tells apart at most, and the number that stands for itself and more.
 SKETCH_BITS, FULL = 24, 15
+#: Counts of a byte each in the small sketch that goes with the rows of large buckets.
+CELLS = 128
 
 
 # -- sets -----------------------------------------------------------------------------------------------------
@@ -80,6 +83,25 @@ def sketch(hashes: np.ndarray) -> bytes:
     return (n[0::2] | n[1::2] << 4).tobytes()
 
 
+def cells(hashes: np.ndarray) -> np.ndarray:
+    """The small sketch of a set: hashes by their top bits, CELLS counts of a byte each (255: that or more) as CELLS / 8 numbers."""
+    n = np.bincount((hashes >> np.uint64(65 - CELLS.bit_length())).astype(np.int64), minlength=CELLS)
+    return np.minimum(n, 255).astype(np.uint8).view(np.int64)
+
+
+def may_share(least: float):
+    """Whether two sets can be similar by their small sketches: rows (node, root, cells..., place << 32 | size)."""
+
+    def test(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+        a, b = (np.stack(z[2:-1], 1).view(np.uint8) for z in (x, y))
+        least_of = np.minimum(a, b).astype(np.int32)
+        least_of[least_of == 255] = 1 << 20  # may stand for more
+        sx, sy = x[-1] & 0xFFFFFFFF, y[-1] & 0xFFFFFFFF
+        return similar(np.minimum(least_of.sum(1), np.minimum(sx, sy)), sx, sy, least)
+
+    return test
+
+
 def most_common(a: bytes, b: bytes, na: int, nb: int) -> int:
     """As many hashes as two sets of these sketches and sizes can have in common."""
     if not a or not b:
@@ -145,7 +167,7 @@ def common_shingles(bodies: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def drawn_sets(bodies: DataFrame, words: int, least: float) -> DataFrame:
-    """(text_key, size, fp, sketch, prefix) of each distinct text."""
+    """(text_key, size, fp, sketch, cells, prefix) of each distinct text."""
     common, counts = common_shingles(bodies, words)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +179,13 @@ def drawn_sets(bodies: DataFrame, words: int, least: float) -> DataFrame:
                 pa.array([len(x) for x in own], pa.int64()),
                 pa.array([majority(x) for x in own], pa.int64()),
                 pa.array([sketch(x) for x in own], pa.binary()),
+                pa.array([cells(x) for x in own], pa.list_(pa.int64())),
                 pa.array(first, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["text_key", "size", "fp", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays(arrays, ["text_key", "size", "fp", "sketch", "cells", "prefix"])
 
-    own = bodies.mapInArrow(draw, "text_key binary, size long, fp long, sketch binary, prefix array<long>")
-    return own.groupBy("text_key").agg(*(F.first(c).alias(c) for c in ("size", "fp", "sketch", "prefix")))
+    own = bodies.mapInArrow(draw, "text_key binary, size long, fp long, sketch binary, cells array<long>, prefix array<long>")
+    return own.groupBy("text_key").agg(*(F.first(c).alias(c) for c in ("size", "fp", "sketch", "cells", "prefix")))
 
 
 # -- candidates -----------------------------------------------------------------------------------------------
@@ -182,7 +205,7 @@ def fingerprint_pairs(drawn: DataFrame) -> DataFrame:
 
 def hub_pairs(keys: DataFrame, least: float, part: int = PART) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(saved, pairs, members) of rows (key, node, at): in each bucket the rows that may be near the first one, whose hash comes first in its
-    order, or the one before; and the rows of all buckets of two or more."""
+    order, or the one before; and the rows (key, node, at, many) of all buckets of two or more."""
     match = may_be_near(least)
     names = ["a", "b", "key", "at"]
 
@@ -204,10 +227,29 @@ def hub_pairs(keys: DataFrame, least: float, part: int = PART) -> tuple[DataFram
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), none, none], names)
             alone = start & np.concatenate([start[1:], [True]])
             kept = np.flatnonzero(~alone | more)
-            yield pa.RecordBatch.from_arrays([pa.array(node[kept]), pa.nulls(len(kept), pa.int64()), pa.array(key[kept]), pa.array(at[kept])], names)
+            ends = np.append(np.flatnonzero(start), len(key))
+            many = np.repeat((np.diff(ends) > SMALL) | more, np.diff(ends)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node[kept]), pa.array(many[kept]), pa.array(key[kept]), pa.array(at[kept])], names)
 
     found = save(keys.repartition("key").sortWithinPartitions("key", "at", "node").mapInArrow(find, "a long, b long, key long, at long"))
-    return found, found.where("key is null").select("a", "b").distinct(), found.where("key is not null").select("key", F.col("a").alias("node"), "at")
+    return found, found.where("key is null").select("a", "b").distinct(), found.where("key is not null").select("key", F.col("a").alias("node"), "at", (F.col("b") > 0).alias("many"))
+
+
+def rest_pairs(members: DataFrame, drawn: DataFrame, roots: DataFrame, tried: DataFrame, least: float) -> DataFrame:
+    """Saved pairs (a, b), not tried before, of nodes with different roots that share a bucket and may be near; those of large
+    buckets sifted by their small sketches."""
+    of = with_roots(members, roots)
+    may = may_be_near(least)
+    match = lambda x, y: (x[1] != y[1]) & may(x, y)
+    few = bucket_pairs(of.where("not many").select("key", "node", "root", "at"), match, true=False)
+    large = of.where("many").select("key", "node", "root", "at")
+    mixed = large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    own = drawn.select(F.col("drawn_node").alias("node"), *(F.get("cells", F.lit(i)).alias(f"cell{i}") for i in range(CELLS // 8)))
+    large = large.join(mixed, "key", "left_semi").join(own, "node")
+    many = bucket_pairs(large.select("key", "node", "root", *own.columns[1:], "at"), match, true=False, sift=may_share(least))
+    out = save(few.unionByName(many).distinct().join(tried, ["a", "b"], "left_anti"), compact=True)
+    forget(few, many)
+    return out
 
 
 def verified(pairs: DataFrame, drawn: DataFrame, texts: DataFrame, bodies: DataFrame, words: int, least: float) -> DataFrame:
@@ -275,10 +317,9 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     tried = save(prints.unionByName(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), compact=True)
     edges = check(tried)
     roots = components(edges)
-    may = may_be_near(least)
-    rest = bucket_pairs(with_roots(members, roots).select("key", "node", "root", "at"), lambda x, y: (x[1] != y[1]) & may(x, y), true=False)
+    rest = rest_pairs(members, drawn, roots, tried, least)
     forget(found, prints, roots)
-    more = check(rest.join(tried, ["a", "b"], "left_anti"))
+    more = check(rest)
     classes = components(save(edges.unionByName(more), compact=True))
     forget(drawn, tried, edges, rest, more)
     return texts.select("node", "text_key", "first", "rows", "same"), classes

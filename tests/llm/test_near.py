@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -318,6 +319,28 @@ def test_hubs_of_large_buckets(spark):
     assert of(whole) == of(parts) and len(of(whole)) > 30
 
 
+@pytest.mark.parametrize("n", [300, 900])
+def test_near_copies_of_templates(spark, monkeypatch, n):
+    """Texts that keep 16 of 24 sentences share much with all others; few pairs leave the buckets, and all near ones are found."""
+    from quarry.llm import near_copies as module
+
+    rng = random.Random(n)
+    sentences = [" ".join(f"s{k}w{rng.randrange(10**6)}" for _ in range(rng.randrange(8, 14))) + "." for k in range(24)]
+    rows = [(i, " ".join(sentences[k] for k in sorted(rng.sample(range(24), 16)))) for i in range(n)]
+    own = [np.array(sorted({hash(tuple(t.split()[i : i + 5])) for i in range(len(t.split()) - 4)})) for _, t in rows]
+    near = [(i, j) for i in range(n) for j in range(i) if 1.8 * (k := len(np.intersect1d(own[i], own[j], assume_unique=True))) >= 0.8 * (len(own[i]) + len(own[j])) - 1e-9]
+    rest, plain = [], module.rest_pairs
+    monkeypatch.setattr(module, "rest_pairs", lambda *a: rest.append(plain(*a)) or rest[-1].cache())
+    counts = []
+    monkeypatch.setattr(module, "forget", lambda *saved: counts.extend(r.count() for r in rest if any(r is s for s in saved)) or None)
+    roots = find_roots(range(n), near)
+    kept = {i for i, r in roots.items() if i == min(x for x in roots if roots[x] == r)}
+    got = {r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == kept
+    print(f"{n} texts: {n * (n - 1) // 2} pairs, {counts[0]} leave the buckets, {len(near)} are near")
+    assert counts[0] < 20 * n
+
+
 def test_near_copies_keeps_different(docs):
     texts, classes = near_copies(docs)
     body = {r.node: r.text for r in texts.join(docs, texts["first"] == docs.doc_id).select("node", "text").collect()}
