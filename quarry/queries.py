@@ -324,13 +324,36 @@ def stream_index(spark, sf_dir):
     return ingest_once(spark, f"{sf_dir}/documents.parquet", _shared(spark))
 
 
+REVISED = " hot gear revised edition"
+
+
+def upsert_search(spark, sf_dir):
+    """A live index after three runs of a stream: all documents, new texts for every third id, and every seventh id deleted."""
+    from quarry.operators.retrieval import query_terms
+    from quarry.plans import segments
+    from quarry.streaming.ingest import upsert_stream
+
+    root, docs = _shared(spark), table(spark, sf_dir, "documents").select("doc_id", "text")
+    steps = (
+        docs.select("*", F.lit(0).alias("version"), F.lit(False).alias("deleted")),
+        docs.where("doc_id % 3 = 0").select("doc_id", F.concat("text", F.lit(REVISED)).alias("text"), F.lit(1).alias("version"), F.lit(False).alias("deleted")),
+        docs.where("doc_id % 7 = 0").select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(2).alias("version"), F.lit(True).alias("deleted")),
+    )
+    for rows in steps:
+        rows.write.mode("append").parquet(f"{root}/in")
+        arrived = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        upsert_stream(spark, arrived, f"{root}/live", fan=2, version="version", deleted="deleted").awaitTermination()
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return segments.search(spark, f"{root}/live", query_terms(q, "query_id", "query"), k=20)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         profile_counts, profile_nulls, profile_distribution, profile_conflicts, profile_conflict_count, norm_text, norm_text_exact, norm_compatible, norm_article, norm_numeric, number_texts, title_brand,
         source_documents, ld_candidates, canonical_value, semantic_text, lexical_text, point_ids, dense_topk, dense_topk_batch, bm25_topk, bm25_topk_batch, rrf_hybrid,
         hybrid_normalise, query_parse, text_exactness, field_score, weighted_source_score, source_reasons, ld_rank, ld_evidence, match_reasons, eval_dataset, eval_metrics,
-        eval_category_recall, latency_percentiles, model_leaderboard, search_full, index_build, stream_index,
+        eval_category_recall, latency_percentiles, model_leaderboard, search_full, index_build, stream_index, upsert_search,
     )
 }
 QUERIES |= {f"norm_{d}": norm_alias(c, d) for c, d in (("steel_name", "brand"), ("steel_connection", "connection"), ("steel_medium", "medium"), ("steel_control", "control"))}
@@ -408,6 +431,8 @@ FROM best JOIN evs USING (query_id, ld_key) WHERE rank <= 20""",
     "dense_topk_batch": f"WITH vv AS (SELECT vec_id AS doc_id, embedding AS v FROM embeddings), vq AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), {S.dense('vv', 'vq', 20)} SELECT * FROM dn",
     "bm25_topk": f"WITH bq AS (SELECT 0::BIGINT AS query_id, '{LEXICAL_QUERY}' AS query), {S.bm25('documents', 'doc_id', 'text', 'bq', 'query', 50)} SELECT * FROM bm",
     "bm25_topk_batch": f"WITH {_BATCH}, {S.bm25('documents', 'doc_id', 'text', 'bq', 'query', 20)} SELECT * FROM bm",
+    "upsert_search": f"""WITH {_BATCH}, now AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN max(text) || '{REVISED}' ELSE max(text) END AS text FROM documents WHERE doc_id % 7 <> 0 GROUP BY doc_id),
+{S.bm25('now', 'doc_id', 'text', 'bq', 'query', 20)} SELECT * FROM bm""",
     "rrf_hybrid": f"{_HYBRID} SELECT * FROM rf",
     "hybrid_normalise": f"{_HYBRID} SELECT query_id, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS hybrid_score FROM rf",
     "query_parse": f"WITH {S.parsed()} SELECT query_id, normalized, compact, semantic_text, lexical_text, array_to_string(toks, '|') AS tokens, brand, dn, pn_bar, connection, medium, control FROM q",

@@ -1,6 +1,6 @@
 """Incremental lexical index: new documents arrive as a stream, each micro-batch adds postings once.
 
-The index is rebuilt in batch otherwise; this is an extension. A batch is written under its number, so a batch that is run again
+``upsert_stream`` keeps a live index where a document replaces the one of its id; ``ingest`` adds only. There a batch is written under its number, so a batch that is run again
 after a failure overwrites its own files and nothing is counted twice.
 """
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.retrieval import build_postings
+from quarry.plans import segments
 
 
 def add_batch(docs: DataFrame, root: str, batch: int, *, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -23,6 +24,16 @@ def ingest(spark: SparkSession, source: DataFrame, root: str, **columns):
     return source.writeStream.foreachBatch(lambda df, batch: add_batch(df, root, batch, **columns)).option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start()
 
 
+def upsert_stream(spark: SparkSession, source: DataFrame, root: str, *, fan: int = segments.FAN, **columns):
+    """Start a query that upserts a streaming DataFrame of documents into the live index under root, and merges its segments."""
+
+    def take(df: DataFrame, batch: int) -> None:
+        segments.upsert(spark, root, df, batch=batch, **columns)
+        segments.merge(spark, root, fan=fan)
+
+    return source.writeStream.foreachBatch(take).option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start()
+
+
 def ingest_once(spark: SparkSession, path: str, root: str) -> DataFrame:
     """All documents of a Parquet path through the stream; returns (doc_id, dl, terms, tokens) as the index has it: the lengths, and what the postings add up to."""
     schema = spark.read.parquet(path).schema
