@@ -324,6 +324,15 @@ def stream_index(spark, sf_dir):
     return ingest_once(spark, f"{sf_dir}/documents.parquet", _shared(spark))
 
 
+def bm25_blockmax(spark, sf_dir):
+    """The same as bm25_topk_batch, from blocks with their highest impacts."""
+    from quarry.operators import blockmax
+
+    index_ = blockmax.write_blocks(table(spark, sf_dir, "documents"), _shared(spark))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return blockmax.blockmax_topk(index_, retrieval.query_terms(q, "query_id", "query"), k=20, save=stored)[0]
+
+
 REVISED = " hot gear revised edition"
 
 
@@ -353,7 +362,7 @@ QUERIES: dict[str, Query] = {
         profile_counts, profile_nulls, profile_distribution, profile_conflicts, profile_conflict_count, norm_text, norm_text_exact, norm_compatible, norm_article, norm_numeric, number_texts, title_brand,
         source_documents, ld_candidates, canonical_value, semantic_text, lexical_text, point_ids, dense_topk, dense_topk_batch, bm25_topk, bm25_topk_batch, rrf_hybrid,
         hybrid_normalise, query_parse, text_exactness, field_score, weighted_source_score, source_reasons, ld_rank, ld_evidence, match_reasons, eval_dataset, eval_metrics,
-        eval_category_recall, latency_percentiles, model_leaderboard, search_full, index_build, stream_index, upsert_search,
+        eval_category_recall, latency_percentiles, model_leaderboard, search_full, index_build, stream_index, upsert_search, bm25_blockmax,
     )
 }
 QUERIES |= {f"norm_{d}": norm_alias(c, d) for c, d in (("steel_name", "brand"), ("steel_connection", "connection"), ("steel_medium", "medium"), ("steel_control", "control"))}
@@ -431,6 +440,7 @@ FROM best JOIN evs USING (query_id, ld_key) WHERE rank <= 20""",
     "dense_topk_batch": f"WITH vv AS (SELECT vec_id AS doc_id, embedding AS v FROM embeddings), vq AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), {S.dense('vv', 'vq', 20)} SELECT * FROM dn",
     "bm25_topk": f"WITH bq AS (SELECT 0::BIGINT AS query_id, '{LEXICAL_QUERY}' AS query), {S.bm25('documents', 'doc_id', 'text', 'bq', 'query', 50)} SELECT * FROM bm",
     "bm25_topk_batch": f"WITH {_BATCH}, {S.bm25('documents', 'doc_id', 'text', 'bq', 'query', 20)} SELECT * FROM bm",
+    "bm25_blockmax": f"WITH {_BATCH}, {S.bm25('documents', 'doc_id', 'text', 'bq', 'query', 20)} SELECT * FROM bm",
     "upsert_search": f"""WITH {_BATCH}, now AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN max(text) || '{REVISED}' ELSE max(text) END AS text FROM documents WHERE doc_id % 7 <> 0 GROUP BY doc_id),
 {S.bm25('now', 'doc_id', 'text', 'bq', 'query', 20)} SELECT * FROM bm""",
     "rrf_hybrid": f"{_HYBRID} SELECT * FROM rf",
