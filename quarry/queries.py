@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry import sql as S
 from quarry.functions import text as T
-from quarry.operators import catalog, evaluation, profile, ranking, retrieval
+from quarry.operators import catalog, evaluation, grouping, intervals, ordered, profile, ranking, retrieval
 from quarry.operators.query_parse import parse_queries
 from quarry.plans import engine, index
 from quarry.session import shared_dir, spread
@@ -356,13 +356,67 @@ def upsert_search(spark, sf_dir):
     return segments.search(spark, f"{root}/live", query_terms(q, "query_id", "query"), k=20)
 
 
+# -- events and orders ----------------------------------------------------------------------------------------
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("who"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_type", "value")
+
+
+def _orders(spark, sf_dir) -> DataFrame:
+    """Orders as events of the same month and users: a time in microseconds and a length that both follow from the key."""
+    o = table(spark, sf_dir, "orders")
+    at = F.lit(S.MONTH) + F.pmod(F.col("o_orderkey") * 7919, F.lit(2_592_000)) * 1_000_000
+    return o.select("o_orderkey", F.pmod("o_custkey", F.lit(150)).alias("who"), at.alias("t"), (at + (1 + F.col("o_orderkey") % 9) * 40 * 60_000_000).alias("until"), "o_totalprice")
+
+
+def asof_orders(spark, sf_dir):
+    """Each event with the last order of its user before it, no older than two days."""
+    take = ["o_orderkey", "o_totalprice"]
+    out = ordered.asof_join(_events(spark, sf_dir), _orders(spark, sf_dir), by=["who"], left_time="t", right_time="t", take=take, ties=["o_orderkey"], tolerance=F.lit(2 * 86_400_000_000))
+    return out.select("event_id", "who", "asof_t", "asof_o_orderkey", "asof_o_totalprice")
+
+
+def overlap_orders(spark, sf_dir):
+    """Windows of up to an hour after events against the windows of the same user's orders."""
+    e = _events(spark, sf_dir).select("event_id", "who", "t", (F.col("t") + (1 + F.col("event_id") % 6) * 600_000_000).alias("until"))
+    out = intervals.overlap_join(e, _orders(spark, sf_dir), by=["who"], left_span=("t", "until"), right_span=("t", "until"), least=600_000_000)
+    return out.select("event_id", "other_o_orderkey", F.least("until", "other_until").alias("until"), F.greatest("t", "other_t").alias("since"))
+
+
+def range_orders(spark, sf_dir):
+    """Events inside the windows of the same user's orders."""
+    out = intervals.range_join(_events(spark, sf_dir), _orders(spark, sf_dir), by=["who"], point="t", span=("t", "until"), least=600_000_000)
+    return out.select("event_id", "value", "other_o_orderkey", "other_o_totalprice")
+
+
+def event_frames(spark, sf_dir):
+    """Lag, lead and row frames of each type's events."""
+    values = {"before": ("value", "value", -1, -1), "after": ("value", "value", 1, 1), "last_ten": ("sum", "value", -9, 0), "around": ("avg", "value", -2, 2), "highest": ("max", "value", -50, 50), "rows": ("count", "value", -9, 0)}
+    out = ordered.framed(_events(spark, sf_dir), ["event_type"], [F.col("t"), F.col("event_id")], values)
+    return out.select("event_id", "place", "n", "before", "after", F.round("last_ten", 6).alias("last_ten"), F.round("around", 6).alias("around"), "highest", "rows")
+
+
+def event_running(spark, sf_dir):
+    """Running totals, places and sevenths of each type's events."""
+    out = ordered.running(_events(spark, sf_dir), ["event_type"], [F.col("t"), F.col("event_id")], {"total": "value"}, tiles=7)
+    return out.select("event_id", "place", "n", F.round("total", 6).alias("total"), "tile")
+
+
+def order_cube(spark, sf_dir):
+    """Counts and prices of orders by status, priority and year, over every set of the three."""
+    o = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("y"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    out = grouping.cube(o, ["o_orderstatus", "o_orderpriority", "y"], {"orders": ("count", None), "total": ("sum", "price"), "least": ("min", "price"), "most": ("max", "price")})
+    return out.withColumns({c: F.col(c).cast("double") for c in ("total", "least", "most")}).withColumn("mean", F.col("total") / F.col("orders"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         profile_counts, profile_nulls, profile_distribution, profile_conflicts, profile_conflict_count, norm_text, norm_text_exact, norm_compatible, norm_article, norm_numeric, number_texts, title_brand,
         source_documents, ld_candidates, canonical_value, semantic_text, lexical_text, point_ids, dense_topk, dense_topk_batch, bm25_topk, bm25_topk_batch, rrf_hybrid,
         hybrid_normalise, query_parse, text_exactness, field_score, weighted_source_score, source_reasons, ld_rank, ld_evidence, match_reasons, eval_dataset, eval_metrics,
-        eval_category_recall, latency_percentiles, model_leaderboard, search_full, index_build, stream_index, upsert_search, bm25_blockmax,
+        eval_category_recall, latency_percentiles, model_leaderboard, search_full, index_build, stream_index, upsert_search, bm25_blockmax, asof_orders, overlap_orders, range_orders, event_frames, event_running, order_cube,
     )
 }
 QUERIES |= {f"norm_{d}": norm_alias(c, d) for c, d in (("steel_name", "brand"), ("steel_connection", "connection"), ("steel_medium", "medium"), ("steel_control", "control"))}
@@ -440,6 +494,18 @@ FROM best JOIN evs USING (query_id, ld_key) WHERE rank <= 20""",
     "dense_topk_batch": f"WITH vv AS (SELECT vec_id AS doc_id, embedding AS v FROM embeddings), vq AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), {S.dense('vv', 'vq', 20)} SELECT * FROM dn",
     "bm25_topk": f"WITH bq AS (SELECT 0::BIGINT AS query_id, '{LEXICAL_QUERY}' AS query), {S.bm25('documents', 'doc_id', 'text', 'bq', 'query', 50)} SELECT * FROM bm",
     "bm25_topk_batch": f"WITH {_BATCH}, {S.bm25('documents', 'doc_id', 'text', 'bq', 'query', 20)} SELECT * FROM bm",
+    "asof_orders": f"""WITH {S.EVENTS}, o1 AS (SELECT who, t, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM o GROUP BY 1, 2),
+j AS (SELECT e.event_id, e.who, e.t AS now, o1.t, o1.o_orderkey, o1.o_totalprice FROM e ASOF LEFT JOIN o1 ON e.who = o1.who AND e.t >= o1.t)
+SELECT event_id, who, CASE WHEN t + 172800000000 >= now THEN t END AS asof_t, CASE WHEN t + 172800000000 >= now THEN o_orderkey END AS asof_o_orderkey, CASE WHEN t + 172800000000 >= now THEN o_totalprice END AS asof_o_totalprice FROM j""",
+    "overlap_orders": f"""WITH {S.EVENTS}, w AS (SELECT *, t + (1 + event_id % 6) * 600000000 AS until FROM e)
+SELECT event_id, o_orderkey AS other_o_orderkey, least(w.until, o.until) AS until, greatest(w.t, o.t) AS since FROM w JOIN o ON w.who = o.who AND w.t < o.until AND o.t < w.until""",
+    "range_orders": f"WITH {S.EVENTS} SELECT event_id, value, o_orderkey AS other_o_orderkey, o_totalprice AS other_o_totalprice FROM e JOIN o ON e.who = o.who AND e.t >= o.t AND e.t < o.until",
+    "event_frames": f"""WITH {S.EVENTS} SELECT event_id, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n, lag(value) OVER w AS before, lead(value) OVER w AS after, round(sum(value) OVER (w ROWS 9 PRECEDING), 6) AS last_ten,
+  round(avg(value) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS around, max(value) OVER (w ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING) AS highest, count(value) OVER (w ROWS 9 PRECEDING) AS rows FROM e WINDOW w AS (PARTITION BY event_type ORDER BY t, event_id)""",
+    "event_running": f"""WITH {S.EVENTS} SELECT event_id, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n, round(sum(value) OVER (w ROWS UNBOUNDED PRECEDING), 6) AS total, (ntile(7) OVER w)::INTEGER AS tile FROM e WINDOW w AS (PARTITION BY event_type ORDER BY t, event_id)""",
+    "order_cube": """WITH t AS (SELECT o_orderstatus, o_orderpriority, year(o_orderdate)::INTEGER AS y, o_totalprice::DECIMAL(18, 2) AS price FROM orders)
+SELECT o_orderstatus, o_orderpriority, y, grouping(o_orderstatus, o_orderpriority, y)::BIGINT AS grouping_id, count(*)::BIGINT AS orders, sum(price)::DOUBLE AS total, min(price)::DOUBLE AS least, max(price)::DOUBLE AS most, sum(price)::DOUBLE / count(*) AS mean
+FROM t GROUP BY CUBE (o_orderstatus, o_orderpriority, y)""",
     "bm25_blockmax": f"WITH {_BATCH}, {S.bm25('documents', 'doc_id', 'text', 'bq', 'query', 20)} SELECT * FROM bm",
     "upsert_search": f"""WITH {_BATCH}, now AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN max(text) || '{REVISED}' ELSE max(text) END AS text FROM documents WHERE doc_id % 7 <> 0 GROUP BY doc_id),
 {S.bm25('now', 'doc_id', 'text', 'bq', 'query', 20)} SELECT * FROM bm""",

@@ -286,3 +286,10 @@ def source_messages() -> tuple[str, str]:
         wrong.append(f"CASE WHEN {q} IS NOT NULL AND {f} IS DISTINCT FROM {q} THEN '{start}' || {q} || ', {word} ' || coalesce({f}, '{none}') END")
     join = lambda xs: f"array_to_string(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL), '; ')"
     return join(reasons), f"CASE WHEN source_field_score < 1.0 AND {join(wrong)} = '' THEN 'Часть структурных полей не совпадает' ELSE {join(wrong)} END"
+
+
+#: The first microsecond of the events' month.
+MONTH = 1_704_067_200_000_000
+EVENTS = f"""e AS (SELECT event_id, user_id AS who, epoch_us(ts) AS t, event_type, value FROM events),
+o0 AS (SELECT *, {MONTH} + (o_orderkey * 7919 % 2592000) * 1000000 AS t FROM orders),
+o AS (SELECT o_orderkey, o_custkey % 150 AS who, t, t + (1 + o_orderkey % 9) * 40 * 60000000 AS until, o_totalprice FROM o0)"""
