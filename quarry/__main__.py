@@ -7,7 +7,7 @@ import json
 import sys
 from dataclasses import asdict
 
-from quarry.functions.encode import HashingEncoder
+from quarry.functions.encode import HashingEncoder, encoder_for
 from quarry.operators import evaluation, profile
 from quarry.operators.catalog import source_documents
 from quarry.plans import engine, evaluate, index
@@ -46,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = session()
     if a.command == "search":
         idx = index.open_index(spark, a.root)
-        for row in engine.search_one(spark, a.query, idx, HashingEncoder(idx.meta.embedding_dimension), limit=a.limit):
+        for row in engine.search_one(spark, a.query, idx, encoder_for(idx.meta.embedding_model, idx.meta.embedding_dimension), limit=a.limit):
             print(json.dumps(row, ensure_ascii=False, default=str))
         return 0
     if a.command == "serve":
@@ -54,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
         from quarry.settings import from_environment
 
         s = from_environment()
-        server(Service(spark, index.open_index(spark, s.index_root, model=s.model), HashingEncoder(s.dimension), s), a.host, a.port).serve_forever()
+        server(Service(spark, index.open_index(spark, s.index_root, model=s.model), encoder_for(s.model, s.dimension), s), a.host, a.port).serve_forever()
         return 0
     rows = mapping.read_csv(spark, a.csv)
     if a.command == "profile":

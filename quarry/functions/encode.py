@@ -24,6 +24,16 @@ def encoding(encoder: Encoder, role: str):
     return getattr(encoder, f"encode_{role}", None) or encoder.encode
 
 
+def encoder_for(model: str, dimension: int = 0) -> Encoder:
+    """The encoder of a model by its name. Only hashing-<dimension> needs no files; any other name raises, rather than pass for that model."""
+    kind, _, n = model.partition("-")
+    if kind != "hashing" or not n.isdigit() or int(n) < 1:
+        raise ValueError(f"no files of the model {model!r} are at hand: give its encoder, or use hashing-<dimension>")
+    if dimension not in (0, int(n)):
+        raise ValueError(f"{model} has the dimension {n}, not {dimension}")
+    return HashingEncoder(int(n))
+
+
 class HashingEncoder:
     """Signed hashes of words and character trigrams, L2-normalised. It needs no model files."""
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import compact, distinct_parts, dn_of, folded, from_alias, labelled, length_of, normalize_text, number_text, pn_bar_of
+from quarry.session import stored
 
 KEY = ("article_compact", "name_norm", "dn", "pn_bar", "connection", "control")
 CANDIDATE = "struct<article_norm:string,article:string,name:string,url:string,dn:double,pn_bar:double,connection:string,medium:string,control:string,temperature:string,length_mm:double,price:double>"
@@ -15,12 +16,13 @@ CANDIDATE = "struct<article_norm:string,article:string,name:string,url:string,dn
 GROUP = ("k1", "k2")
 
 
-def source_rows(rows: DataFrame) -> DataFrame:
-    """One typed, normalised row for each distinct mapping row, with its group; all rows of a group in one task.
+def source_rows(rows: DataFrame, *, distinct: bool = False) -> DataFrame:
+    """One typed, normalised row for each distinct mapping row, with its group, stored: the plans of a catalogue read it.
 
-    This is the only exchange of a catalogue: what is counted, picked, nested and joined by group afterwards stays where it is. Making rows
-    distinct after it keeps every column, so the plans that read it share it.
+    Copies are combined in each task before rows travel, dealt by the whole row, so a group of any size is many tasks; texts are normalised once
+    rows are distinct. ``distinct`` says that they are already.
     """
+    rows = rows if distinct else rows.distinct()
     texts = [c for c in rows.columns if c.startswith(("ld_", "steel_")) and not c.endswith("_url")]
     n = folded(rows.select(F.struct(*rows.columns).alias("raw"), *texts), texts)
     n = n.select("raw", *(normalize_text(c).alias(c) for c in texts))  # the normalised texts, once
@@ -49,13 +51,10 @@ def source_rows(rows: DataFrame) -> DataFrame:
             length_of(c("ld_length")).alias("length_mm"),
             c("raw.price_ld").cast("double").alias("price"),
         ).alias("ld"),
-        F.xxhash64("raw").alias("__row"),
-        F.xxhash64(F.lit("row"), "raw").alias("__row2"),
     )
     # null and empty are apart in a key; a hash of columns skips nulls, so each says whether it is there
     key = [x for k in KEY for x in (F.col(k).isNull(), F.col(k))]
-    typed = typed.select("*", F.xxhash64(*key).alias("k1"), F.xxhash64(F.lit("group"), *key).alias("k2"))
-    return typed.repartition(*GROUP).distinct()
+    return stored(typed.select("*", F.xxhash64(*key).alias("k1"), F.xxhash64(F.lit("group"), *key).alias("k2")))
 
 
 def python_text(v: Column, numeric: bool) -> Column:
@@ -91,26 +90,23 @@ def _canonical_all(df: DataFrame, by: list[str], fields: dict[str, tuple[Column,
     ]
     long = df.select(*by, F.explode(F.array(*entries)).alias("e")).where("e.v is not null").select(*by, "e.f", "e.v", "e.d", "e.w")
     counts = long.groupBy(*by, "f", "v", "d", "w").agg(F.count("*").alias("n"))
-    # sorted once: a field's values by count, and the picked ones as they lie, group by group
-    best = counts.withColumn("r", F.row_number().over(Window.partitionBy(*by, "f").orderBy(F.desc("n"), "v")))
-    all_of = variants_of and names.index(variants_of)
-    kept = best.where((F.col("r") == 1) | (F.col("f") == all_of) if variants_of else F.col("r") == 1)
+    # picked from the counts, with map-side combine again
     out = []
     for i, name in enumerate(names):
-        own = (F.col("f") == i) & (F.col("r") == 1)
-        out.append(F.max(F.when(own, F.col("d") if fields[name][1] else F.col("v"))).alias(name))
+        own = F.when(F.col("f") == i, F.struct(-F.col("n"), "v"))
+        out.append(F.min_by("d" if fields[name][1] else "v", own).alias(name))
         if name in beside:
-            out.append(F.max(F.when(own, F.col("w"))).alias(f"{name}_beside"))
+            out.append(F.min_by("w", own).alias(f"{name}_beside"))
     if variants_of:
-        out.append(F.array_sort(F.collect_set(F.when((F.col("f") == all_of) & (F.col("v") != ""), F.col("v")))).alias("variants"))
-    return kept.groupBy(*by).agg(*out)
+        own = (F.col("f") == names.index(variants_of)) & (F.col("v") != "")
+        out.append(F.array_sort(F.collect_set(F.when(own, F.col("v")))).alias("variants"))
+    return counts.groupBy(*by).agg(*out)
 
 
 def ld_candidates(src: DataFrame) -> DataFrame:
     """(group, ld_article_norm, canonical fields): the candidates of each document; those without an article are left out."""
     by = [*GROUP, "ld_article_norm"]
-    # articles that aren't empty: a draw below one doesn't change that, but keeps the condition above the exchange that other plans read too
-    s = src.where(F.length("ld_article_norm") + F.rand(0) >= 1)
+    s = src.where(F.col("ld_article_norm") != "")
     numbers = {"dn", "pn_bar", "length_mm", "price"}
     names = ["article", "name", "url", "dn", "pn_bar", "connection", "medium", "control", "temperature", "length_mm", "price"]
     renamed = s.select(*by, *(F.col(f"ld.{n}").alias(f"ld_{n}") for n in names))
@@ -155,12 +151,13 @@ def steel_id(article_compact: Column, name_norm: Column, dn: Column, pn: Column,
     return F.sha1(F.concat_ws("", article_compact, name_norm, number_text(dn), number_text(pn), connection, control))
 
 
-def source_documents(rows: DataFrame) -> DataFrame:
+def source_documents(rows: DataFrame, *, distinct: bool = False) -> DataFrame:
     """One row for each document: canonical fields, texts, name variants and candidates sorted by article.
 
-    The document's article forms come from its most frequent spelling, so the result doesn't depend on row order.
+    The document's article forms come from its most frequent spelling, so the result doesn't depend on row order. ``distinct``
+    says that no row is there twice.
     """
-    src = source_rows(rows)
+    src = source_rows(rows, distinct=distinct)
     by = list(GROUP)
     fields = {
         "c_article": (F.col("article"), False),
@@ -171,7 +168,7 @@ def source_documents(rows: DataFrame) -> DataFrame:
         "c_length": (F.col("length_mm"), True),
     }
     head = _canonical_all(src, by, fields, variants_of="c_name", beside={"c_article": F.col("article_norm")})
-    keys = src.groupBy(*by).agg(F.first(F.struct(*KEY)).alias("key"), F.count("*").alias("rows")).where("rows > 0").select(*by, "key.*")  # the count keeps rows distinct before
+    keys = src.groupBy(*by).agg(F.first(F.struct(*KEY)).alias("key")).select(*by, "key.*")
     entry = F.struct(F.col("ld_article_norm").alias("article_norm"), *(F.col(f"ld_{n}").alias(n) for n in ("article", "name", "url", "dn", "pn_bar", "connection", "medium", "control", "temperature", "length_mm", "price")))
     nested = ld_candidates(src).groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("ld_candidates"))
     d = keys.join(head, by).join(nested, by, "left")

@@ -6,12 +6,10 @@ of all rows is many tasks, and what a range needs from those before it is a tabl
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import shared_dir
+from quarry.session import stored
 
 #: Rows of the small tables (one for each range and key) that are broadcast at most.
 BROADCAST_RANGES = 1_000_000
@@ -19,16 +17,6 @@ BROADCAST_RANGES = 1_000_000
 BLOCK = 100_000
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: ranges are drawn once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ordered-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def near(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_RANGES else df
 

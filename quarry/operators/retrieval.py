@@ -93,15 +93,20 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", te
     return top(scores, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
-def bm25_index_topk(postings: DataFrame, stats: DataFrame, terms: DataFrame, *, k: int = PREFETCH, k1: float = K1, b: float = B, buckets: int = TERM_BUCKETS) -> DataFrame:
+def bm25_index_topk(postings: DataFrame, stats: DataFrame, terms: DataFrame, *, k: int = PREFETCH, k1: float = K1, b: float = B, buckets: int = TERM_BUCKETS, frequencies: DataFrame | None = None) -> DataFrame:
     """The same from a stored index: only the buckets of the queries' terms are read, and postings carry all that a score needs.
 
-    stats is the stored row (n, avgdl).
+    stats is the stored row (n, avgdl); frequencies the stored (bucket, term, df), without which the postings are read twice, to count them.
     """
     near = F.broadcast if small(terms) else lambda df: df
     wanted = sorted(r.b for r in terms.select(term_bucket("term", buckets).alias("b")).distinct().collect())  # ``buckets`` numbers at most
-    hit = postings.where(F.col("bucket").isin(wanted)).join(near(terms.select("term").distinct()), "term", "left_semi").select("term", "doc_id", "tf", "dl")
-    matches = hit.join(near(terms.join(document_frequency(hit), "term")), "term")
+    hit = postings.where(F.col("bucket").isin(wanted)).select("term", "doc_id", "tf", "dl")
+    if frequencies is None:
+        hit = hit.join(near(terms.select("term").distinct()), "term", "left_semi")
+        df = document_frequency(hit)
+    else:
+        df = frequencies.where(F.col("bucket").isin(wanted)).select("term", "df")
+    matches = hit.join(near(near(terms).join(df, "term")), "term")
     scores = bm25_scores(matches, stats, k1=k1, b=b).withColumn("score", F.round("score", 6))
     return top(scores, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
@@ -151,7 +156,7 @@ def _dense_blocks(v: DataFrame, q: DataFrame, floats: int, out: StructType, k: i
             yield pa.RecordBatch.from_arrays([one(b.column(0)), pa.array([rows_of(b.column(1)).tobytes()])], ["ids", "packed"])
 
     kind = lambda df, c: df.schema[c].dataType.simpleString()
-    packed = v.mapInArrow(pack, f"ids array<{kind(v, 'doc_id')}>, packed binary").withColumn("slot", F.pmod(F.monotonically_increasing_id(), F.lit(slots)))
+    packed = v.mapInArrow(pack, f"ids array<{kind(v, 'doc_id')}>, packed binary").withColumn("slot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots)))
     asked = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "v")).alias("qs"))
     spread = asked.select("qs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"))
     pairs = packed.join(spread, "slot").select("ids", "packed", "qs")

@@ -30,7 +30,7 @@ def retrieve(parsed: DataFrame, index, encoder: Encoder, s: Settings = Settings(
         texts = parsed.select("query_id", encoder_text("semantic_text", s.model, "query").alias("text"))
         vectors = encode(texts, encoder, text="text", out="query_vector", batch=s.dense_batch_size, role="query")
     dense = dense_topk(index.vectors, vectors, id_col="doc_id", vector="vector", k=s.prefetch)
-    sparse = bm25_index_topk(index.postings, index.stats, query_terms(parsed, "query_id", "lexical_text"), k=s.prefetch)
+    sparse = bm25_index_topk(index.postings, index.stats, query_terms(parsed, "query_id", "lexical_text"), k=s.prefetch, frequencies=index.terms)
     return rrf([dense, sparse], k=s.prefetch, rrf_k=s.rrf_k)
 
 

@@ -18,8 +18,8 @@ from quarry.functions.text import normalize_text
 from quarry.operators import evaluation
 from quarry.plans import engine, index
 
-#: Queries that are also sent one after another, for the latency of one.
-TIMED = 20
+#: Queries that are also sent one after another, for the latency of one; None: all of them.
+TIMED = None
 
 
 @dataclass
@@ -78,10 +78,10 @@ def latencies(queries: list[str], idx, encoder: Encoder, settings: engine.Settin
     }
 
 
-def evaluate_model(name: str, make: Callable[[], Encoder], rows: DataFrame, gold: DataFrame, root: str, *, limit: int = evaluation.LIMIT, timed: int = TIMED) -> Result:
+def evaluate_model(name: str, make: Callable[[], Encoder], rows: DataFrame, gold: DataFrame, root: str, *, limit: int = evaluation.LIMIT, timed: int | None = TIMED) -> Result:
     """Build the model's own version, search all queries at once, and measure. gold is read more than once: give it stored.
 
-    Quality and throughput come from all queries, as one batch; the latency of a query alone from the first ``timed`` of them.
+    Quality and throughput come from all queries, as one batch; the latency of a query alone from all, or the first ``timed`` of them.
     """
     spark = rows.sparkSession
     encoder = make()
@@ -100,11 +100,11 @@ def evaluate_model(name: str, make: Callable[[], Encoder], rows: DataFrame, gold
     s = evaluation.summary(per_query).first().asDict()
     by = {r.category: r.recall for r in evaluation.category_recall(per_query).orderBy("category").collect()}
     took = searched - built
-    alone = [r["query"] for r in gold.orderBy("query_id").limit(timed).collect()] if timed else []
+    alone = [r["query"] for r in (gold.orderBy("query_id") if timed is None else gold.orderBy("query_id").limit(timed)).collect()]
     return Result(name, collection_name=meta.collection_name, document_count=meta.document_count, embedding_dimension=encoder.dimension, indexing_time_ms=(built - began) * 1000, batch_ms=took * 1000, queries_per_second=s["query_count"] / took, per_category_recall=by, **s, **latencies(alone, idx, encoder, settings, spark))
 
 
-def compare(models: dict[str, Callable[[], Encoder]], rows: DataFrame, gold: DataFrame, root: str, *, limit: int = evaluation.LIMIT, timed: int = TIMED) -> list[Result]:
+def compare(models: dict[str, Callable[[], Encoder]], rows: DataFrame, gold: DataFrame, root: str, *, limit: int = evaluation.LIMIT, timed: int | None = TIMED) -> list[Result]:
     """All models, best first; one that fails is reported, and stops nothing."""
     out = []
     for name, make in models.items():

@@ -1,6 +1,6 @@
 """The versioned index: immutable tables in a folder of their own, checks before publication, and a pointer that is switched last.
 
-    root/steel_<model>_<UTC time>/   docs, vectors, postings (by term bucket), stats, meta
+    root/steel_<model>_<UTC time>/   docs, vectors, postings (by term bucket), terms, stats, meta
     root/_active/000000000001        the name of a published version; the greatest number counts
 
 All paths go through Hadoop's file system, so any store that Spark writes works.
@@ -46,6 +46,7 @@ class Index:
     docs: DataFrame
     vectors: DataFrame
     postings: DataFrame
+    terms: DataFrame
     stats: DataFrame
     meta: Meta
 
@@ -135,12 +136,17 @@ def open_version(spark: SparkSession, root: str, name: str) -> Index:
     if not exists(spark, f"{where}/meta/_SUCCESS"):
         raise Missing(name)
     t = lambda n: spark.read.parquet(f"{where}/{n}")
-    return Index(t("docs"), t("vectors"), t("postings"), t("stats"), Meta(**t("meta").first().asDict()))
+    return Index(t("docs"), t("vectors"), t("postings"), t("terms"), t("stats"), Meta(**t("meta").first().asDict()))
 
 
 def open_index(spark: SparkSession, root: str, *, name: str | None = None, model: str | None = None, report: dict | None = None) -> Index:
-    """A named version, else the published one, else the one that a build report names, else the newest one of the model; Missing if there is none."""
-    for candidate in (name, active(spark, root), (report or {}).get("collection_name")):
+    """A named version, else the published one, else the one that a build report names, else the newest one of the model; Missing if there is none.
+
+    A report counts only if it is of this alias, and of the model that is asked for.
+    """
+    known = report or {}
+    fits = known.get("collection_alias") == POINTER and model in (None, known.get("embedding_model"))
+    for candidate in (name, active(spark, root), known.get("collection_name") if fits else None):
         if candidate:
             try:
                 return open_version(spark, root, candidate)
@@ -160,7 +166,7 @@ def open_index(spark: SparkSession, root: str, *, name: str | None = None, model
 
 
 def write_tables(docs: DataFrame, encoder: Encoder, where: str, model: str) -> None:
-    """docs, vectors, postings (stored by term bucket, sorted by term, so a query reads few files and row groups) and stats under a folder."""
+    """docs, vectors, postings (stored by term bucket, sorted by term, so a query reads few files and row groups), terms and stats under a folder."""
     spark = docs.sparkSession
     # each file in the order of ids, so that a search that asks for some of them reads the row groups that have them
     docs.withColumn("doc_id", F.col("steel_id")).sortWithinPartitions("doc_id").write.mode("errorifexists").parquet(f"{where}/docs")
@@ -168,7 +174,10 @@ def write_tables(docs: DataFrame, encoder: Encoder, where: str, model: str) -> N
     texts = stored.select("doc_id", encoder_text("semantic_text", model, "passage").alias("text"))
     encode(texts, encoder, text="text", role="document").write.mode("errorifexists").parquet(f"{where}/vectors")
     postings, lengths = build_postings(stored, "doc_id", "lexical_text")
-    postings.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("errorifexists").partitionBy("bucket").parquet(f"{where}/postings")
+    # dealt by ranges: a bucket, or a term that stands everywhere, is as many tasks and files as it needs
+    postings.repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term").write.mode("errorifexists").partitionBy("bucket").parquet(f"{where}/postings")
+    df = spark.read.parquet(f"{where}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"))
+    df.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("errorifexists").parquet(f"{where}/terms")
     corpus_stats(lengths).write.mode("errorifexists").parquet(f"{where}/stats")
 
 
@@ -181,14 +190,14 @@ def build_index(rows: DataFrame, root: str, encoder: Encoder, *, model: str = "h
     distinct.write.mode("errorifexists").parquet(f"{where}/rows")  # read once: the documents and both counts come from here
     distinct = spark.read.schema(distinct.schema).parquet(f"{where}/rows")
     n_rows, n_distinct = distinct.agg(F.coalesce(F.sum("__rows"), F.lit(0)), F.count("*")).first()
-    write_tables(source_documents(distinct.drop("__rows")), encoder, where, model)
+    write_tables(source_documents(distinct.drop("__rows"), distinct=True), encoder, where, model)
     docs, vectors = spark.read.parquet(f"{where}/docs"), spark.read.parquet(f"{where}/vectors")
     n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if vectors.count() != n or ids != n:
         raise RuntimeError("documents and vectors don't correspond, or two groups have one id")
     if n and docs.select("doc_id", "ld_candidates").limit(1).count() != 1:
         raise RuntimeError("the index has no sample document")
-    index = Index(docs, vectors, spark.read.parquet(f"{where}/postings"), spark.read.parquet(f"{where}/stats"), None)
+    index = Index(docs, vectors, *(spark.read.parquet(f"{where}/{t}") for t in ("postings", "terms", "stats")), None)
     if n and smoke:
         smoke_check(index, encoder, model, smoke)
     meta = Meta(checksum, model, revision, encoder.dimension, "float32", 512, utc_stamp(now), n, n_rows, n_distinct, name, POINTER)
@@ -204,7 +213,7 @@ def smoke_check(index: Index, encoder: Encoder, model: str, queries: tuple[str,
     q = spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
     vectors = encode(q.select("query_id", encoder_text("query", model, "query").alias("text")), encoder, text="text", out="query_vector", role="query")
     dense = dense_topk(index.vectors, vectors, id_col="doc_id", vector="vector", k=k)
-    hits = rrf([dense, bm25_index_topk(index.postings, index.stats, query_terms(q, "query_id", "query"), k=k)], k=k)
+    hits = rrf([dense, bm25_index_topk(index.postings, index.stats, query_terms(q, "query_id", "query"), k=k, frequencies=index.terms)], k=k)
     found = {r.query_id for r in hits.select("query_id").distinct().collect()}
     if none := [x for i, x in enumerate(queries) if i not in found]:
         raise RuntimeError(f"smoke queries without results: {none}")

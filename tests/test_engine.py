@@ -48,11 +48,23 @@ def test_grouping(spark):
     assert all(r.p == str(uuid.uuid5(uuid.NAMESPACE_URL, prefix + r.steel_id)) for r in got)
 
 
-def test_catalogue_deals_its_rows_once(spark):
-    docs = catalog.source_documents(mapping_rows(spark, GROUPED))
-    docs.collect()
-    plan = docs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert len([x for x in plan.split("\n") if "- Exchange hashpartitioning(k1" in x]) == 1 and plan.count("ReusedExchange") == 2
+def test_catalogue_combines_rows_before_they_travel(spark):
+    """Copies of a row, of which a group may have any number, are combined in each task; distinct rows of one group are many tasks."""
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    rows = mapping_rows(spark, [{"steel_article": None, "steel_name": None, "steel_dn": None, "steel_connection": None, "steel_control": None, "ld_article": f"L{i % 300}"} for i in range(900)]).repartition(6)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        plan = rows.distinct()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("HashAggregate") == 2 and plan.rindex("HashAggregate") > plan.index("Exchange hashpartitioning")
+        src = catalog.source_rows(rows)
+        assert src.count() == 300 and src.select(*catalog.GROUP).distinct().count() == 1
+        assert src.select(F.input_file_name()).distinct().count() == 8
+        assert len(catalog.source_documents(rows).first().ld_candidates) == 300
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_canonical(spark):
@@ -174,6 +186,7 @@ def test_retrieval_against_brute_force(spark):
         monkey = [retrieval.bm25_index_topk(postings, stats, terms, k=10), retrieval.bm25_topk(docs, queries, k=10)]
     finally:
         retrieval.BROADCAST_TERMS = before
+    monkey.append(retrieval.bm25_index_topk(postings, stats, terms, k=10, frequencies=postings.groupBy("bucket", "term").agg(F.count("*").alias("df"))))
     for df in monkey:
         assert sorted((r.query_id, r.doc_id, r.score, r.rank) for r in df.collect()) == got
     x = rng.normal(size=(200, 6))
@@ -214,6 +227,34 @@ def test_dense_blocks(spark, monkeypatch):
     assert retrieval.dense_topk(v, q.limit(0), k=4).count() == 0 == retrieval.dense_topk(v.limit(0), q, k=4).count()
 
 
+def test_dense_blocks_spread_over_slots(spark):
+    v = spark.range(640, numPartitions=8).select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(16)).alias("slot"))
+    assert v.distinct().count() == 16
+    first = spark.range(8, numPartitions=8).select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(16)).alias("slot"))
+    assert first.distinct().count() > 3  # one block a partition: their numbers agree in all low bits
+
+
+def test_a_search_reads_postings_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i % 7} common") for i in range(50)], "doc_id long, text string")
+    postings, lengths = retrieval.build_postings(docs, "doc_id", "text")
+    postings.write.parquet(f"{tmp_path}/postings")
+    postings.groupBy("bucket", "term").agg(F.count("*").alias("df")).write.parquet(f"{tmp_path}/terms")
+    terms = retrieval.query_terms(spark.createDataFrame([(0, "w5 common")], "query_id long, query string"), "query_id", "query")
+    of = [spark.read.parquet(f"{tmp_path}/{t}") for t in ("postings", "terms")]
+    out = retrieval.bm25_index_topk(of[0], spark.createDataFrame([(50, 2.0)], "n long, avgdl double"), terms, frequencies=of[1])
+    assert out._jdf.queryExecution().executedPlan().toString().count("tf:bigint,dl:bigint>") == 1  # one scan has these columns
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, retrieval.bm25_topk(docs, spark.createDataFrame([(0, "w5 common")], "query_id long, query string")).collect()))
+
+
+def test_models_without_files_are_refused():
+    from quarry.functions.encode import encoder_for
+
+    assert encoder_for("hashing-64").dimension == 64 == encoder_for("hashing-64", 64).dimension
+    for name, n in (("BAAI/bge-m3", 1024), ("hashing-x", 0), ("hashing-0", 0), ("hashing-64", 32)):
+        with pytest.raises(ValueError):
+            encoder_for(name, n)
+
+
 def test_metrics(spark):
     gold = spark.createDataFrame([(0, "x", ["a"]), (1, "x", ["a", "b"]), (2, "no_match", []), (3, "y", ["q"])], "query_id long, category string, expected array<string>")
     found = spark.createDataFrame([(0, "b", 1), (0, "a", 2), (1, "a", 1), (2, "z", 1)], "query_id long, article string, rank int")

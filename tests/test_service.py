@@ -147,6 +147,24 @@ def test_metadata_from_a_report(served):
     assert index.filled(meta, None) == meta
 
 
+def test_a_report_must_fit(spark, monkeypatch):
+    """A build report names a version only if it is of this alias and of the model asked for."""
+    monkeypatch.setattr(index, "active", lambda spark, root: None)
+    opened = []
+
+    def look(spark, root, name):
+        opened.append(name)
+        raise index.Missing(name)
+
+    monkeypatch.setattr(index, "open_version", look)
+    fits = {"collection_name": "v1", "collection_alias": index.POINTER, "embedding_model": "m"}
+    for report, model, want in ((fits, "m", ["v1"]), (fits, None, ["v1"]), (fits, "other", []), (fits | {"collection_alias": "x"}, "m", []), ({"collection_name": "v1"}, "m", []), (None, "m", [])):
+        opened.clear()
+        with pytest.raises(index.Missing):
+            index.open_index(spark, "/nowhere/at/all", model=model, report=report)
+        assert opened == want
+
+
 def test_order_of_models():
     of = lambda name, **x: evaluate.Result(name, **x)
     assert evaluate.nearest_rank([5.0, 1.0, 3.0, 2.0], 50) == 2.0 and evaluate.nearest_rank([5.0, 1.0], 95) == 5.0 and evaluate.nearest_rank([], 95) == 0.0
