@@ -98,7 +98,8 @@ def bm25_index_topk(postings: DataFrame, stats: DataFrame, terms: DataFrame, *,
 
     stats is the stored row (n, avgdl); frequencies the stored (bucket, term, df), without which the postings are read twice, to count them.
     """
-    near = F.broadcast if small(terms) else lambda df: df
+    few = small(terms)
+    near = F.broadcast if few else lambda df: df
     wanted = sorted(r.b for r in terms.select(term_bucket("term", buckets).alias("b")).distinct().collect())  # ``buckets`` numbers at most
     hit = postings.where(F.col("bucket").isin(wanted)).select("term", "doc_id", "tf", "dl")
     if frequencies is None:
@@ -106,6 +107,12 @@ def bm25_index_topk(postings: DataFrame, stats: DataFrame, terms: DataFrame, *,
         df = document_frequency(hit)
     else:
         df = frequencies.where(F.col("bucket").isin(wanted)).select("term", "df")
+    if few:
+        # dealt by document before each posting meets all queries that have its term: a term that stands everywhere is every task's
+        # work, and the scores of a document are summed where they are
+        spark = postings.sparkSession
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        hit = hit.join(near(terms.select("term").distinct()), "term", "left_semi").repartition(n, "doc_id")
     matches = hit.join(near(near(terms).join(df, "term")), "term")
     scores = bm25_scores(matches, stats, k1=k1, b=b).withColumn("score", F.round("score", 6))
     return top(scores, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
