@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 import uuid
 from collections.abc import Callable
 
@@ -19,8 +18,21 @@ from quarry.session import shared_dir, spread
 from quarry.sources.mapping import COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
-COMPATIBLE = ("№ 12½ Ｄn80", "ﬁtting Ⅳ ㎜", "x²+Å", "Ёлка ẞ", "Ａ－０４８６／２", "ẛ̣ Ǆ", "ﷺ", "e\u0301 é", "plain", "  \u3000wide  space ", "ΣΑΣ", "\u212a\u2126")
-PRICES = ("price_ld", "ld_length", "steel_length")
+# Texts, and what compatibility and case folding make of them.
+COMPATIBLE = (
+    ("№ 12½ Ｄn80", "no 121⁄2 dn80"),
+    ("ﬁtting Ⅳ ㎜", "fitting iv mm"),
+    ("x²+Å", "x2+å"),
+    ("Ёлка ẞ", "елка ss"),
+    ("Ａ－０４８６／２", "a-0486/2"),
+    ("\u1e9b\u0323 Ǆ", "ṩ dž"),
+    ("ﷺ", "صلى الله عليه وسلم"),
+    ("e\u0301 é", "é é"),
+    ("plain", "plain"),
+    ("  \u3000wide  space ", "wide space"),
+    ("ΣΑΣ", "σασ"),
+    ("\u212a\u2126", "kω"),
+)
 LEXICAL_QUERY = "the and of there with inging tionly"
 
 
@@ -45,7 +57,7 @@ def inline_queries(spark: SparkSession) -> DataFrame:
 
 
 def profile_counts(spark, sf_dir):
-    return profile.counts(cat(spark, sf_dir).drop(*PRICES))
+    return profile.counts(cat(spark, sf_dir))
 
 
 def profile_nulls(spark, sf_dir):
@@ -96,9 +108,10 @@ def number_texts(spark, sf_dir):
 
 
 def norm_compatible(spark, sf_dir):
-    """Texts with compatibility characters, as articles and names have them."""
-    rows = spark.createDataFrame(list(enumerate(COMPATIBLE)), "id long, text string")
-    return T.exact_text_columns(rows, {"norm": "text"})
+    """Documents behind texts with compatibility characters, as articles and names have them."""
+    before = F.element_at(F.array(*(F.lit(t) for t, _ in COMPATIBLE)), (F.col("doc_id") % len(COMPATIBLE) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(before, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+    return T.exact_text_columns(rows, {"norm": "text"}).select("doc_id", F.sha1("norm").alias("norm_sha1"))
 
 
 def title_brand(spark, sf_dir):
@@ -181,7 +194,7 @@ def hybrid_normalise(spark, sf_dir):
 
 
 def query_parse(spark, sf_dir):
-    p = parse_queries(inline_queries(spark))
+    p = parse_queries(spark.sql(S.ASKED.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part")))
     return p.select("query_id", "normalized", "compact", "semantic_text", "lexical_text", F.array_join("possible_article_tokens", "|").alias("tokens"), "brand", "dn", "pn_bar", "connection", "medium", "control")
 
 
@@ -453,8 +466,8 @@ _source_reasons, _source_wrong = S.source_messages()
 _ALIAS = lambda c, d: f"WITH {S.CAT} SELECT {c} AS value, count(*)::BIGINT AS n, {S.alias(S.norm(c), d)} AS canonical FROM cat GROUP BY 1"
 
 ORACLE: dict[str, str] = {
-    "profile_counts": f"""WITH {S.CAT}, c AS (SELECT * EXCLUDE (l_orderkey, l_linenumber, price_ld, ld_length, steel_length) FROM cat)
-SELECT count(*)::BIGINT AS rows, 20::INTEGER AS columns, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM c)))::BIGINT AS full_duplicates, count(DISTINCT steel_article)::BIGINT AS unique_steel_articles,
+    "profile_counts": f"""WITH {S.CAT}, c AS (SELECT * EXCLUDE (l_orderkey, l_linenumber) FROM cat)
+SELECT count(*)::BIGINT AS rows, {len(COLUMNS)}::INTEGER AS columns, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM c)))::BIGINT AS full_duplicates, count(DISTINCT steel_article)::BIGINT AS unique_steel_articles,
   count(DISTINCT ld_article)::BIGINT AS unique_ld_articles, (SELECT count(*) FROM (SELECT DISTINCT steel_article, ld_article FROM c))::BIGINT AS unique_steel_ld_pairs FROM c""",
     "profile_nulls": f"WITH {S.CAT} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL)::BIGINT AS nulls FROM cat" for c in COLUMNS),
     "profile_distribution": f"WITH {S.CAT} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, coalesce({c}::VARCHAR, 'null') AS value, count(*)::BIGINT AS n FROM cat GROUP BY 2" for c in ("match_score", "match_max")),
@@ -463,7 +476,7 @@ SELECT count(*)::BIGINT AS rows, 20::INTEGER AS columns, (count(*) - (SELECT cou
     "profile_conflict_count": f"WITH {S.CAT} SELECT count(*)::BIGINT AS conflicting_steel_articles FROM (SELECT steel_article FROM cat GROUP BY 1 HAVING count(DISTINCT ld_article) > 1)",
     "norm_text": f"SELECT doc_id, sha1({S.norm('text')}) AS text_sha1 FROM documents",
     "norm_text_exact": f"SELECT doc_id, sha1({S.norm('text')}) AS text_sha1 FROM documents",
-    "norm_compatible": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{t}', '{' '.join(unicodedata.normalize('NFKC', t).casefold().replace('ё', 'е').split())}')" for i, t in enumerate(COMPATIBLE)) + ") t(id, text, norm)",
+    "norm_compatible": f"SELECT doc_id, sha1(trim([{', '.join(repr(t) for _, t in COMPATIBLE)}][(doc_id % {len(COMPATIBLE)} + 1)::INTEGER] || ' ' || coalesce({S.norm('text')}, ''))) AS norm_sha1 FROM documents",
     "number_texts": f"SELECT p_partkey, {S.g('p_retailprice::DOUBLE * power(10.0::DOUBLE, p_partkey % 16 - 8)')} AS text FROM part",
     "norm_article": f"WITH {S.CAT} SELECT DISTINCT steel_article AS raw, {_N} AS norm, {S.bare(_N)} AS compact FROM cat",
     "norm_brand": _ALIAS("steel_name", "brand"),
@@ -511,7 +524,7 @@ FROM t GROUP BY CUBE (o_orderstatus, o_orderpriority, y)""",
 {S.bm25('now', 'doc_id', 'text', 'bq', 'query', 20)} SELECT * FROM bm""",
     "rrf_hybrid": f"{_HYBRID} SELECT * FROM rf",
     "hybrid_normalise": f"{_HYBRID} SELECT query_id, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS hybrid_score FROM rf",
-    "query_parse": f"WITH {S.parsed()} SELECT query_id, normalized, compact, semantic_text, lexical_text, array_to_string(toks, '|') AS tokens, brand, dn, pn_bar, connection, medium, control FROM q",
+    "query_parse": f"WITH asked AS ({S.ASKED}), {S.parsed(table='asked')} SELECT query_id, normalized, compact, semantic_text, lexical_text, array_to_string(toks, '|') AS tokens, brand, dn, pn_bar, connection, medium, control FROM q",
     "text_exactness": f"WITH {S.HITS}, {S.EXACT} SELECT query_id, doc_id, text_exactness FROM hits LEFT JOIN ex USING (query_id, doc_id)",
     "field_score": f"WITH {S.HITS}, {S.SOURCES} SELECT query_id, doc_id, round(source_field_score, 9) AS source_field_score FROM sources",
     "weighted_source_score": f"WITH {S.HITS}, {S.SOURCES} SELECT query_id, source_rank, doc_id, source_score, round(hybrid_score, 9) AS hybrid_score, text_exactness FROM sources",

@@ -182,13 +182,23 @@ def _trait(dim: str) -> str:
     return f"list_filter(list_transform(words, lambda w: {alias('w', dim, 'NULL')}), lambda v: v IS NOT NULL)[1]"
 
 
-def parsed(queries: tuple[str, ...] = QUERIES) -> str:
-    rows = ", ".join(f"({i}, '{q}')" for i, q in enumerate(queries))
+#: A query for each part, in SQL that Spark and DuckDB understand: words of one of the queries above, then the part's own.
+ASKED = f"""
+SELECT p_partkey AS query_id, concat(CASE p_partkey % {len(QUERIES)} {' '.join(f"WHEN {i} THEN '{q}'" for i, q in enumerate(QUERIES))} END,
+  ' ', p_name, CASE p_partkey % 3 WHEN 0 THEN ' PN16' WHEN 1 THEN ' pn 22,5' ELSE '' END, CASE p_partkey % 2 WHEN 0 THEN ' Dn ' ELSE '  DN' END, cast(p_size AS string),
+  CASE p_partkey % 5 WHEN 0 THEN concat(' ', p_type, '.', p_brand, '-', cast(p_size AS string)) WHEN 1 THEN lower(p_brand) ELSE '' END) AS query
+FROM part
+"""
+
+
+def parsed(queries: tuple[str, ...] = QUERIES, *, table: str | None = None) -> str:
+    """CTEs that end in q: the parsed queries of a list, or of a table (query_id, raw)."""
+    rows = table or "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(queries)) + ")"
     dn, p = g("dn"), g("pn_bar")
     lexical = f"list_filter(list_concat([normalized], toks, [brand, {lab('dn', dn)}, {lab('dn ', dn)}, {lab('ду', dn)}, {lab('ду ', dn)}, {lab('pn', p)}, {lab('pn ', p)}, {lab('ру', p)}, {lab('ру ', p)}, {lab('', p, ' бар')}, connection, medium, control]), lambda x: x IS NOT NULL AND x <> '')"
     tail = f"list_filter([{lab('DN ', dn)}, {lab('PN ', p)}, {lab('Соединение: ', 'connection')}, {lab('Среда: ', 'medium')}, {lab('Управление: ', 'control')}], lambda x: x IS NOT NULL)"
     return rf"""
-q0 AS (SELECT query_id::BIGINT AS query_id, raw, coalesce({norm('raw')}, '') AS normalized FROM (VALUES {rows}) AS v(query_id, raw)),
+q0 AS (SELECT query_id::BIGINT AS query_id, raw, coalesce({norm('raw')}, '') AS normalized FROM {rows} AS v(query_id, raw)),
 q1 AS (SELECT *, list_filter(string_split(normalized, ' '), lambda w: w <> '' AND NOT regexp_matches(w, '[\d./_-]')) AS words,
   flatten(list_transform(list_filter(regexp_split_to_array(raw, '\s+'), lambda w: w <> '' AND (regexp_matches(w, '[./_-]') OR (length(w) >= 5 AND regexp_matches(w, '\d')))), lambda w: [w, lower(w), regexp_replace(lower(w), '[\s./\\_-]+', '', 'g')])) AS t0,
   TRY_CAST(nullif(replace(regexp_extract(normalized, '(?i)\b(?:dn)\s*([0-9]+(?:[.,][0-9]+)?)', 1), ',', '.'), '') AS DOUBLE) AS dn,
