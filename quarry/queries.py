@@ -416,6 +416,31 @@ def event_running(spark, sf_dir):
     return out.select("event_id", "place", "n", F.round("total", 6).alias("total"), "tile")
 
 
+def stream_windows(spark, sf_dir):
+    """Tumbling and sliding windows of each type's events and sessions of each user, kept by streams that two runs have fed."""
+    from quarry.streaming import windows
+
+    root = _shared(spark)
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("who"), "event_type", "value")
+    kinds = {
+        "tumbling": (windows.Windows("ts", ("event_type",), size="6 hours"), "40 days"),
+        "sliding": (windows.Windows("ts", ("event_type",), size="24 hours", slide="8 hours"), "40 days"),
+        "session": (windows.Windows("ts", ("who",), gap="3 hours"), "1 hour"),
+    }
+    values = [F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total")]
+    cut = F.timestamp_seconds(F.lit(S.MONTH // 1_000_000 + 15 * 86_400))
+    for part in (rows.where(F.col("ts") < cut), rows.where(F.col("ts") >= cut)):
+        part.write.mode("append").parquet(f"{root}/in")
+        for kind, (w, delay) in kinds.items():
+            windows.start(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), w, values, f"{root}/{kind}", watermark=delay).awaitTermination()
+    out = None
+    for kind, (w, _) in kinds.items():
+        of = windows.result(spark, f"{root}/{kind}", w)
+        of = of.select(F.lit(kind).alias("kind"), F.col(w.by[0]).alias("key"), F.unix_micros("start").alias("since"), F.unix_micros("end").alias("until"), "n", F.col("total").cast("double").alias("total"))
+        out = of if out is None else out.unionByName(of)
+    return out
+
+
 def order_cube(spark, sf_dir):
     """Counts and prices of orders by status, priority and year, over every set of the three."""
     o = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("y"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
@@ -429,7 +454,7 @@ QUERIES: dict[str, Query] = {
         profile_counts, profile_nulls, profile_distribution, profile_conflicts, profile_conflict_count, norm_text, norm_text_exact, norm_compatible, norm_article, norm_numeric, number_texts, title_brand,
         source_documents, ld_candidates, canonical_value, semantic_text, lexical_text, point_ids, dense_topk, dense_topk_batch, bm25_topk, bm25_topk_batch, rrf_hybrid,
         hybrid_normalise, query_parse, text_exactness, field_score, weighted_source_score, source_reasons, ld_rank, ld_evidence, match_reasons, eval_dataset, eval_metrics,
-        eval_category_recall, latency_percentiles, model_leaderboard, search_full, index_build, stream_index, upsert_search, bm25_blockmax, asof_orders, overlap_orders, range_orders, event_frames, event_running, order_cube,
+        eval_category_recall, latency_percentiles, model_leaderboard, search_full, index_build, stream_index, upsert_search, bm25_blockmax, asof_orders, overlap_orders, range_orders, event_frames, event_running, order_cube, stream_windows,
     )
 }
 QUERIES |= {f"norm_{d}": norm_alias(c, d) for c, d in (("steel_name", "brand"), ("steel_connection", "connection"), ("steel_medium", "medium"), ("steel_control", "control"))}
@@ -516,6 +541,15 @@ SELECT event_id, o_orderkey AS other_o_orderkey, least(w.until, o.until) AS unti
     "event_frames": f"""WITH {S.EVENTS} SELECT event_id, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n, lag(value) OVER w AS before, lead(value) OVER w AS after, round(sum(value) OVER (w ROWS 9 PRECEDING), 6) AS last_ten,
   round(avg(value) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS around, max(value) OVER (w ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING) AS highest, count(value) OVER (w ROWS 9 PRECEDING) AS rows FROM e WINDOW w AS (PARTITION BY event_type ORDER BY t, event_id)""",
     "event_running": f"""WITH {S.EVENTS} SELECT event_id, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n, round(sum(value) OVER (w ROWS UNBOUNDED PRECEDING), 6) AS total, (ntile(7) OVER w)::INTEGER AS tile FROM e WINDOW w AS (PARTITION BY event_type ORDER BY t, event_id)""",
+    "stream_windows": f"""WITH ev AS (SELECT event_id, user_id::VARCHAR AS who, event_type, epoch_us(ts) AS t, value::DECIMAL(18, 2) AS v FROM events),
+h AS (SELECT 3600000000::BIGINT AS h),
+tu AS (SELECT 'tumbling' AS kind, event_type AS key, t - t % (6 * h) AS since, t - t % (6 * h) + 6 * h AS until, v FROM ev, h),
+sl AS (SELECT 'sliding' AS kind, event_type AS key, t - t % (8 * h) - i * 8 * h AS since, t - t % (8 * h) - i * 8 * h + 24 * h AS until, v FROM ev, h, range(3) r(i)),
+g AS (SELECT who, t, v, CASE WHEN t < lag(t) OVER (PARTITION BY who ORDER BY t, event_id) + 3 * h THEN 0 ELSE 1 END AS fresh, event_id FROM ev, h),
+se AS (SELECT who, t, v, sum(fresh) OVER (PARTITION BY who ORDER BY t, event_id) AS s FROM g),
+ss AS (SELECT 'session' AS kind, who AS key, min(t) AS since, max(t) + 3 * any_value(h) AS until, count(*) AS n, sum(v) AS total FROM se, h GROUP BY who, s HAVING max(t) + 3 * any_value(h) <= (SELECT max(t) - any_value(h) FROM ev, h) // 1000 * 1000)
+SELECT kind, key, since::BIGINT AS since, until::BIGINT AS until, count(*)::BIGINT AS n, sum(v)::DOUBLE AS total FROM (SELECT * FROM tu UNION ALL SELECT * FROM sl) GROUP BY ALL
+UNION ALL SELECT kind, key, since::BIGINT, until::BIGINT, n::BIGINT, total::DOUBLE FROM ss""",
     "order_cube": """WITH t AS (SELECT o_orderstatus, o_orderpriority, year(o_orderdate)::INTEGER AS y, o_totalprice::DECIMAL(18, 2) AS price FROM orders)
 SELECT o_orderstatus, o_orderpriority, y, grouping(o_orderstatus, o_orderpriority, y)::BIGINT AS grouping_id, count(*)::BIGINT AS orders, sum(price)::DOUBLE AS total, min(price)::DOUBLE AS least, max(price)::DOUBLE AS most, sum(price)::DOUBLE / count(*) AS mean
 FROM t GROUP BY CUBE (o_orderstatus, o_orderpriority, y)""",
