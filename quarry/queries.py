@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import sql as S
+from quarry.functions import sql_functions
 from quarry.functions import text as T
 from quarry.operators import catalog, evaluation, grouping, intervals, ordered, profile, ranking, retrieval
 from quarry.operators.query_parse import parse_queries
@@ -101,6 +102,19 @@ def norm_numeric(spark, sf_dir):
     return c.withColumns({"dn_text": T.number_text("dn"), "length_text": T.number_text(F.col("length_mm") / 16)})
 
 
+NORM_SQL = """
+SELECT DISTINCT steel_article, steel_dn, steel_pn_bar, ld_length, steel_connection, steel_medium, quarry_normalize_text(steel_article) AS norm, quarry_compact(steel_article) AS compact, quarry_dn(steel_dn) AS dn, quarry_pn_bar(steel_pn_bar) AS pn_bar,
+  quarry_length_mm(ld_length) AS length_mm, quarry_number_text(quarry_length_mm(ld_length) / 16) AS length_text, quarry_connection(steel_connection) AS connection, quarry_medium(steel_medium) AS medium
+FROM {cat}
+"""
+
+
+def norm_sql(spark, sf_dir):
+    """The normalisers as plain SQL."""
+    sql_functions.register(spark)
+    return spark.sql(NORM_SQL, cat=cat(spark, sf_dir))
+
+
 def number_texts(spark, sf_dir):
     """Numbers of all sizes as text."""
     p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice").cast("double") * F.pow(F.lit(10.0), F.pmod("p_partkey", F.lit(16)) - 8)).alias("v"))
@@ -451,7 +465,7 @@ def order_cube(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        profile_counts, profile_nulls, profile_distribution, profile_conflicts, profile_conflict_count, norm_text, norm_text_exact, norm_compatible, norm_article, norm_numeric, number_texts, title_brand,
+        profile_counts, profile_nulls, profile_distribution, profile_conflicts, profile_conflict_count, norm_text, norm_text_exact, norm_compatible, norm_article, norm_numeric, number_texts, norm_sql, title_brand,
         source_documents, ld_candidates, canonical_value, semantic_text, lexical_text, point_ids, dense_topk, dense_topk_batch, bm25_topk, bm25_topk_batch, rrf_hybrid,
         hybrid_normalise, query_parse, text_exactness, field_score, weighted_source_score, source_reasons, ld_rank, ld_evidence, match_reasons, eval_dataset, eval_metrics,
         eval_category_recall, latency_percentiles, model_leaderboard, search_full, index_build, stream_index, upsert_search, bm25_blockmax, asof_orders, overlap_orders, range_orders, event_frames, event_running, order_cube, stream_windows,
@@ -510,6 +524,9 @@ SELECT count(*)::BIGINT AS rows, {len(COLUMNS)}::INTEGER AS columns, (count(*) -
     "norm_control": _ALIAS("steel_control", "control"),
     "norm_numeric": f"""WITH {S.CAT}, n AS (SELECT DISTINCT steel_dn, steel_pn_bar, ld_length, {S.number(S.norm('steel_dn'))} AS dn, {S.pn(S.norm('steel_pn_bar'))} AS pn_bar, {S.length(S.norm('ld_length'))} AS length_mm FROM cat)
 SELECT *, {S.g('dn')} AS dn_text, {S.g('length_mm / 16')} AS length_text FROM n""",
+    "norm_sql": f"""WITH {S.CAT}, n AS (SELECT DISTINCT steel_article, steel_dn, steel_pn_bar, ld_length, steel_connection, steel_medium FROM cat)
+SELECT *, {_N} AS norm, {S.bare(_N)} AS compact, {S.number(S.norm('steel_dn'))} AS dn, {S.pn(S.norm('steel_pn_bar'))} AS pn_bar, {S.length(S.norm('ld_length'))} AS length_mm, {S.g(S.length(S.norm('ld_length')) + ' / 16')} AS length_text,
+  {S.alias(S.norm('steel_connection'), 'connection')} AS connection, {S.alias(S.norm('steel_medium'), 'medium')} AS medium FROM n""",
     "title_brand": "SELECT p_partkey, upper(p_name[1]) || p_name[2:] AS title, regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g') AS slug, 'passage: ' || p_name AS passage FROM part",
     "source_documents": f"""WITH {S.CAT}, {S.DOCS}, lk AS (SELECT k, count(DISTINCT ld_article_norm) AS c FROM src WHERE ld_article_norm <> '' GROUP BY 1)
 SELECT steel_id, article, article_norm, article_compact, name, array_to_string(name_variants, '|') AS name_variants, brand, dn, pn_bar, connection, medium, control, temperature, length_mm, url, coalesce(lk.c, 0)::INTEGER AS n_candidates FROM docs LEFT JOIN lk USING (k)""",
