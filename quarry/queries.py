@@ -360,6 +360,15 @@ def bm25_blockmax(spark, sf_dir):
     return blockmax.blockmax_topk(index_, retrieval.query_terms(q, "query_id", "query"), k=20, save=stored)[0]
 
 
+def dense_cells(spark, sf_dir):
+    """The same as dense_topk_batch, from vectors stored by cell."""
+    from quarry.operators import cells
+
+    v = table(spark, sf_dir, "embeddings")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return cells.cells_topk(cells.write_cells(v, _shared(spark)), q, k=20)[0]
+
+
 REVISED = " hot gear revised edition"
 
 
@@ -468,7 +477,7 @@ QUERIES: dict[str, Query] = {
         profile_counts, profile_nulls, profile_distribution, profile_conflicts, profile_conflict_count, norm_text, norm_text_exact, norm_compatible, norm_article, norm_numeric, number_texts, norm_sql, title_brand,
         source_documents, ld_candidates, canonical_value, semantic_text, lexical_text, point_ids, dense_topk, dense_topk_batch, bm25_topk, bm25_topk_batch, rrf_hybrid,
         hybrid_normalise, query_parse, text_exactness, field_score, weighted_source_score, source_reasons, ld_rank, ld_evidence, match_reasons, eval_dataset, eval_metrics,
-        eval_category_recall, latency_percentiles, model_leaderboard, search_full, index_build, stream_index, upsert_search, bm25_blockmax, asof_orders, overlap_orders, range_orders, event_frames, event_running, order_cube, stream_windows,
+        eval_category_recall, latency_percentiles, model_leaderboard, search_full, index_build, stream_index, upsert_search, bm25_blockmax, dense_cells, asof_orders, overlap_orders, range_orders, event_frames, event_running, order_cube, stream_windows,
     )
 }
 QUERIES |= {f"norm_{d}": norm_alias(c, d) for c, d in (("steel_name", "brand"), ("steel_connection", "connection"), ("steel_medium", "medium"), ("steel_control", "control"))}
@@ -570,6 +579,7 @@ UNION ALL SELECT kind, key, since::BIGINT, until::BIGINT, n::BIGINT, total::DOUB
     "order_cube": """WITH t AS (SELECT o_orderstatus, o_orderpriority, year(o_orderdate)::INTEGER AS y, o_totalprice::DECIMAL(18, 2) AS price FROM orders)
 SELECT o_orderstatus, o_orderpriority, y, grouping(o_orderstatus, o_orderpriority, y)::BIGINT AS grouping_id, count(*)::BIGINT AS orders, sum(price)::DOUBLE AS total, min(price)::DOUBLE AS least, max(price)::DOUBLE AS most, sum(price)::DOUBLE / count(*) AS mean
 FROM t GROUP BY CUBE (o_orderstatus, o_orderpriority, y)""",
+    "dense_cells": f"WITH vv AS (SELECT vec_id AS doc_id, embedding AS v FROM embeddings), vq AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), {S.dense('vv', 'vq', 20)} SELECT * FROM dn",
     "bm25_blockmax": f"WITH {_BATCH}, {S.bm25('documents', 'doc_id', 'text', 'bq', 'query', 20)} SELECT * FROM bm",
     "upsert_search": f"""WITH {_BATCH}, now AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN max(text) || '{REVISED}' ELSE max(text) END AS text FROM documents WHERE doc_id % 7 <> 0 GROUP BY doc_id),
 {S.bm25('now', 'doc_id', 'text', 'bq', 'query', 20)} SELECT * FROM bm""",
