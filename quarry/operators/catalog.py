@@ -113,6 +113,7 @@ def ld_candidates(src: DataFrame) -> DataFrame:
     return _canonical_all(renamed, by, {f"ld_{n}": (F.col(f"ld_{n}"), n in numbers) for n in names})
 
 
+# The labels of the two search texts below, which encoders and terms see.
 def semantic_text(c: dict[str, Column]) -> Column:
     n = number_text
     return F.array_join(

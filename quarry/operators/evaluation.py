@@ -43,6 +43,7 @@ def eval_dataset(docs: DataFrame, *, documents: int = DOCUMENTS) -> DataFrame:
     prefix = F.substring(bare, F.lit(1), n)
     partial = F.when(F.col("i") % 2 == 0, prefix).otherwise(F.trim(F.concat_ws(" ", prefix, rest(n))))
     dn, pn = number_text("dn"), number_text("pn_bar")
+    # The categories and the words of their queries.
     queries = [
         ("exact_article", a),
         ("modified_article", modified),

@@ -86,6 +86,7 @@ def candidate_field_score(w: Weights = Weights()) -> Column:
     return mean_of_asked([(F.col(f"q_{f}"), pn if f == "pn_bar" else equal(F.col(f"q_{f}"), F.col(f"ld.{f}"))) for f in FIELDS])
 
 
+# The words of the messages below, which answers show.
 def _messages(found: dict[str, Column], *, higher_pn: bool) -> tuple[list[Column], list[Column]]:
     """(reasons, mismatches) for the asked fields."""
     g = number_text
