@@ -67,6 +67,13 @@ def test_catalogue_combines_rows_before_they_travel(spark):
             spark.conf.set(k, v)
 
 
+def test_catalogue_rows_travel_once(spark):
+    """Source rows are stored as they were dealt, so a candidate's values are counted where they lie; copies are counted once."""
+    src = catalog.source_rows(mapping_rows(spark, GROUPED))
+    assert "Exchange" not in catalog.ld_candidates(src)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.copies for r in src.select("copies").collect()) == [1, 1, 1, 2]
+
+
 def test_canonical(spark):
     rows = [("a", 50.0)] * 2 + [("a", 100.0)] * 2 + [("a", 9.0), ("b", None), ("c", 9.0), ("c", None), ("c", None)]
     got = {r.k: r.v for r in catalog.canonical(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", numeric=True).collect()}
