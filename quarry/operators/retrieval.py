@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -35,6 +35,11 @@ def small(df: DataFrame, rows: int = BROADCAST_TERMS) -> bool:
     return df.count() <= rows
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks of an exchange whose partitioning later steps rely on."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 # -- lexical --------------------------------------------------------------------------------------------------
 
 
@@ -76,7 +81,7 @@ def bm25_scores(matches: DataFrame, stats: DataFrame, *, k1: float = K1, b: floa
 def bm25_topk(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query: str = "query", k: int = PREFETCH, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score, rank) without an index: one pass over the documents.
 
-    Tokens that no query has are dropped right after the split; what is left is counted per document. The empty term stands in every
+    Tokens that no query has are dropped right after the split; what is left is dealt by document and counted there. The empty term stands in every
     document for the document itself, so that its number and mean length come from the same exchange. Scores have six places.
     """
     terms = query_terms(queries, query_id, query)
@@ -85,7 +90,9 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", te
     t = docs.select(F.col(doc_id).alias("doc_id"), tokens(normalize_text(text)).alias("tokens")).withColumn("dl", F.coalesce(F.size("tokens"), F.lit(0)).cast("long"))
     asked = terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
     every = F.concat(F.array(F.lit("")), F.coalesce("tokens", F.array().cast("array<string>")))
-    tf = t.select("doc_id", "dl", F.explode(every).alias("term")).join(near(asked), "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    # dealt by document: terms are counted there, and the scores of all queries summed, of which there may be one for every document and query
+    dealt = t.select("doc_id", "dl", F.explode(every).alias("term")).join(near(asked), "term").select("doc_id", "dl", "term").repartition(_tasks(t.sparkSession), "doc_id")
+    tf = dealt.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     itself = F.when(F.col("term") == "", F.col("tf"))  # one for each row of the document's id
     stats = tf.agg(F.sum(itself).alias("n"), (F.sum(F.col("dl") * itself) / F.sum(itself)).alias("avgdl"))
     scores = bm25_scores(tf.join(near(terms.join(document_frequency(tf), "term")), "term"), stats, k1=k1, b=b)
@@ -110,9 +117,7 @@ def bm25_index_topk(postings: DataFrame, stats: DataFrame, terms: DataFrame, *,
     if few:
         # dealt by document before each posting meets all queries that have its term: a term that stands everywhere is every task's
         # work, and the scores of a document are summed where they are
-        spark = postings.sparkSession
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        hit = hit.join(near(terms.select("term").distinct()), "term", "left_semi").repartition(n, "doc_id")
+        hit = hit.join(near(terms.select("term").distinct()), "term", "left_semi").repartition(_tasks(postings.sparkSession), "doc_id")
     matches = hit.join(near(near(terms).join(df, "term")), "term")
     scores = bm25_scores(matches, stats, k1=k1, b=b).withColumn("score", F.round("score", 6))
     return top(scores, ["query_id"], [F.desc("score"), F.col("doc_id")], k)

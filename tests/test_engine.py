@@ -90,6 +90,23 @@ def test_profile(spark):
         profile.profile(rows.drop("ld_name", "price_ld"))
 
 
+def test_profile_rows_travel_as_hashes(spark):
+    plan = profile.counts(mapping_rows(spark, [{}, {}, {"ld_url": ""}]))._jdf.queryExecution().executedPlan().toString()
+    assert not any("steel_control" in line for line in plan.split("\n") if "Exchange" in line or "HashAggregate" in line)
+    rows = [{}, {}, {"ld_url": ""}, {"ld_url": "", "ld_temp": None}, {"ld_url": None, "ld_temp": ""}, {"price_ld": -0.0}, {"price_ld": 0.0}]
+    assert profile.counts(mapping_rows(spark, rows)).first().full_duplicates == 3
+
+
+def test_bm25_scores_are_summed_where_documents_lie(spark):
+    """Of the exchanges above the one by document none holds a row for each query and document."""
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None), (4, "")], "doc_id long, text string")
+    q = spark.createDataFrame([(0, "a c"), (1, "b")], "query_id long, query string")
+    hits = retrieval.bm25_topk(docs, q, k=5)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id#" in plan and not any("hashpartitioning(query_id" in line and "doc_id" in line.split("hashpartitioning(")[1].split(")")[0] for line in plan.split("\n"))
+    assert [(r.query_id, r.doc_id) for r in hits.orderBy("query_id", "rank").collect()] == [(0, 1), (0, 2), (1, 2), (1, 1)]
+
+
 def test_csv(spark, tmp_path):
     import csv
 
