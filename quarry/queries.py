@@ -110,9 +110,10 @@ FROM {cat}
 
 
 def norm_sql(spark, sf_dir):
-    """The normalisers as plain SQL."""
+    """The normalisers as plain SQL, over the distinct texts: they are in the result, so its own DISTINCT finds nothing more and needs no exchange."""
     sql_functions.register(spark)
-    return spark.sql(NORM_SQL, cat=cat(spark, sf_dir))
+    texts = cat(spark, sf_dir).select("steel_article", "steel_dn", "steel_pn_bar", "ld_length", "steel_connection", "steel_medium")
+    return spark.sql(NORM_SQL, cat=texts.distinct())
 
 
 def number_texts(spark, sf_dir):

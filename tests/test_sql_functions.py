@@ -48,3 +48,13 @@ def test_numbers_and_scores(spark, texts):
 def test_no_python(texts):
     plan = texts.selectExpr("quarry_brand(x)", "quarry_length_mm(x)")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_norm_sql_normalises_distinct_texts(spark, sf):
+    """The functions stand above the exchange of the texts, and the statement's own DISTINCT adds none."""
+    from quarry import queries
+
+    plan = queries.norm_sql(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    at = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(" in line and "steel_article" in line]
+    assert len(at) == 1 and any("regexp_replace" in line for line in lines[: at[0]]) and not any("regexp_replace" in line for line in lines[at[0] :])
