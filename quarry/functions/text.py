@@ -123,6 +123,18 @@ PLAIN: dict[str, tuple[pa.DataType, Callable[[str], object]]] = {
 }
 
 
+def coded_texts(texts: pa.Array) -> tuple[pa.Array, list[str | None]]:
+    """Which of its different texts each text is, and those normalised."""
+    d = texts.dictionary_encode()
+    return d.indices, [None if t is None else plain_text(t) for t in d.dictionary.to_pylist()]
+
+
+def typed_texts(coded: tuple[pa.Array, list[str | None]], kind: str) -> pa.Array:
+    """What texts become by a kind of PLAIN."""
+    type_, of = PLAIN[kind]
+    return pa.array([None if t is None else of(t) for t in coded[1]], type_).take(coded[0])
+
+
 def normalised(df: DataFrame, new: dict[str, tuple[str, str]], keep: list[str]) -> DataFrame:
     """The columns ``keep`` and, for each {name: (column, kind of PLAIN)}, what that text becomes.
 
@@ -138,11 +150,8 @@ def normalised(df: DataFrame, new: dict[str, tuple[str, str]], keep: list[str])
             coded, out = {}, [columns[c] for c in keep]
             for c, kind in new.values():
                 if c not in coded:
-                    d = columns[c].dictionary_encode()
-                    coded[c] = d.indices, [None if t is None else plain_text(t) for t in d.dictionary.to_pylist()]
-                indices, norms = coded[c]
-                type_, of = PLAIN[kind]
-                out.append(pa.array([None if t is None else of(t) for t in norms], type_).take(indices))
+                    coded[c] = coded_texts(columns[c])
+                out.append(typed_texts(coded[c], kind))
             yield pa.RecordBatch.from_arrays(out, [*keep, *new])
 
     return df.select(*inputs).mapInArrow(work, schema)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import distinct_parts, from_alias, labelled, normalised, number_text
+from quarry.functions.text import PLAIN, coded_texts, distinct_parts, from_alias, labelled, normalised, number_text, typed_texts
+from quarry.operators.retrieval import small
 from quarry.session import stored_by
 
 KEY = ("article_compact", "name_norm", "dn", "pn_bar", "connection", "control")
@@ -34,6 +39,14 @@ TYPED = {
 }
 #: Columns of a stored row that are a mapping row's own, and of a candidate.
 RAW = {"article": "steel_article", "name": "steel_name", "url": "steel_url", "ld_article": "ld_article", "ld_name": "ld_name", "ld_url": "ld_url", "ld_price": "price"}
+#: The texts that a group's key follows from, and the other fields of a document: (column of a mapping row, kind of its text, if it has one).
+SPELLING = {k: TYPED[k] for k in KEY}
+SPELLED = tuple(c for c, _ in SPELLING.values())
+#: 128 bits of those texts.
+RAW_GROUP = ("g1", "g2")
+VALUES = {"c_url": ("steel_url", None), "c_medium": TYPED["medium"], "c_temperature": TYPED["temperature"], "c_length": TYPED["length_mm"]}
+#: In how many parts a spelling's rows are dealt, whatever their number.
+PARTS = 8
 CANDIDATE_FIELDS = ("article", "name", "url", "dn", "pn_bar", "connection", "medium", "control", "temperature", "length_mm", "price")
 
 
@@ -162,6 +175,85 @@ def source_documents(rows: DataFrame) -> DataFrame:
     return documents_of(source_rows(rows))
 
 
+def raw_group() -> list[Column]:
+    """Which spelling of a group a mapping row has."""
+    return _hashes(list(SPELLED), *RAW_GROUP)
+
+
+def document_heads(rows: DataFrame, *, counted: bool = False) -> DataFrame:
+    """The documents without their candidates, but with their group and the ``spellings`` of its key, and with ``n_candidates`` if they are ``counted``.
+
+    Rows travel once, dealt by spelling and part, with the columns that a document is made of and 128 bits of the whole row, by which copies go. A part's values
+    are counted as they are written and travel as one row; only these are normalised. So a group of any size is PARTS tasks and then a few counts.
+    """
+    return _documents(_heads(rows, counted), *GROUP, "spellings", *(["n_candidates"] if counted else []))
+
+
+def _heads(rows: DataFrame, counted: bool) -> DataFrame:
+    fields = VALUES | ({"candidate": TYPED["ld_article_norm"]} if counted else {})
+    columns = [c for c, _ in fields.values()]
+    marked = rows.select(*raw_group(), *SPELLED, *columns, *_hashes(rows.columns, "r1", "r2")).withColumn("part", F.pmod("r1", F.lit(PARTS)).cast("int"))
+    deal = (*RAW_GROUP, "part")
+    distinct = marked.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *deal).distinct()
+    # the last entry stands for the row itself
+    spelled = F.struct(*SPELLED)
+    entries = [F.struct(F.lit(i).alias("f"), F.col(c).alias("v"), F.lit(None).cast(distinct.select(spelled).schema[0].dataType).alias("k")) for i, c in enumerate(columns)]
+    entries.append(F.struct(F.lit(len(columns)).alias("f"), F.lit("").alias("v"), spelled.alias("k")))
+    long = distinct.select(*deal, F.explode(F.array(*entries)).alias("e")).where("e.v is not null").select(*deal, "e.*")
+    counts = long.groupBy(*deal, "f", "v", "k").agg(F.count("*").alias("n"))
+    own = F.col("f") < len(columns)
+    parts = counts.groupBy(*deal).agg(F.collect_list(F.when(own, F.struct("f", "v", "n"))).alias("es"), F.first("k", True).alias("k"), F.max(F.when(~own, F.col("n"))).alias("n_rows"))
+    typed = _typed_parts(parts.select(*RAW_GROUP, "n_rows", "k.*", "es"), [kind for _, kind in fields.values()])
+    typed = typed.withColumns({k: F.coalesce(k, F.lit("")) for k in ("article_compact", "name_norm")})
+    key = F.struct("dn", "pn_bar", "connection", "control", *RAW_GROUP)
+    grouped = typed.select(*_hashes(list(KEY), *GROUP), key.alias("key"), "n_rows", "steel_article", "steel_name", "es").repartition(*GROUP)
+    # the row's own texts are as frequent as its rows; an entry that is never picked has the key, and keeps groups that have no other
+    names = [*fields, "c_article", "c_name"]
+    none = F.lit(None).cast(grouped.schema["key"].dataType)
+    entry = lambda f, v, d, n, k: F.struct(f.alias("f"), v.alias("v"), d.alias("d"), n.cast("long").alias("n"), k.alias("key"))
+    own_text = lambda name, c: entry(F.lit(names.index(name)), F.col(c), F.lit(None).cast("double"), F.col("n_rows"), none)
+    whole = [own_text("c_article", "steel_article"), own_text("c_name", "steel_name"), entry(F.lit(len(names)), F.lit(""), F.lit(None).cast("double"), F.lit(0), F.col("key"))]
+    each = grouped.select(*GROUP, F.explode(F.concat(F.transform("es", lambda e: entry(e.f, e.v, e.d, e.n, none)), F.array(*whole))).alias("e")).select(*GROUP, "e.*")
+    each = each.withColumn("v", F.when(F.col("f") == names.index("c_length"), python_text(F.col("d"), True)).otherwise(F.col("v"))).where("v is not null")
+    summed = each.groupBy(*GROUP, "f", "v", "d", "key").agg(F.sum("n").alias("n"))
+    best = lambda i, x: F.min_by(x, F.when(F.col("f") == i, F.struct(-F.col("n"), "v"))).alias(names[i])
+    picked = [best(i, "d" if name == "c_length" else "v") for i, name in enumerate(names) if name != "candidate"]
+    if counted:
+        picked.append(F.count_if((F.col("f") == names.index("candidate")) & (F.col("v") != "")).cast("int").alias("n_candidates"))
+    variant = (F.col("f") == names.index("c_name")) & (F.col("v") != "")
+    picked.append(F.array_sort(F.collect_set(F.when(variant, F.col("v")))).alias("variants"))
+    spelling = F.when(F.col("key").isNotNull(), F.struct("key.g1", "key.g2"))
+    head = summed.groupBy(*GROUP).agg(*picked, F.collect_set(spelling).alias("spellings"), F.first("key", True).alias("key"))
+    return head.select(*(c for c in head.columns if c != "key"), "key.dn", "key.pn_bar", "key.connection", "key.control")
+
+
+def _typed_parts(parts: DataFrame, kinds: list[str | None]) -> DataFrame:
+    """Parts of spellings with what their key's texts become, and with the values of their entries (f, v, n) normalised by the kind of the field f."""
+    kept = [c for c in parts.columns if c != "es" and c not in SPELLED] + ["steel_article", "steel_name"]
+    types = dict(parts.dtypes)
+    key = ", ".join(f"{k} {'double' if PLAIN[kind][0] == pa.float64() else 'string'}" for k, (_, kind) in SPELLING.items())
+    schema = ", ".join(f"{c} {types[c]}" for c in kept) + f", {key}, es array<struct<f: int, v: string, d: double, n: bigint>>"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = dict(zip(b.schema.names, b.columns))
+            f, v, n = c["es"].flatten().flatten()
+            coded, d, out = coded_texts(v), pa.nulls(len(v), pa.float64()), v
+            for i, kind in enumerate(kinds):
+                if kind is not None:
+                    own, new = pc.equal(f, i), typed_texts(coded, kind)
+                    if new.type == d.type:
+                        d = pc.if_else(own, new, d)
+                    else:
+                        out = pc.if_else(own, new.cast(v.type), out)
+            ends = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(pc.list_value_length(c["es"]).cast(pa.int64()))]).cast(pa.int32())
+            es = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([f, out, d, n], ["f", "v", "d", "n"]))
+            keys = [typed_texts(coded_texts(c[x]), kind) for x, kind in SPELLING.values()]
+            yield pa.RecordBatch.from_arrays([*(c[k] for k in kept), *keys, es], [*kept, *SPELLING, "es"])
+
+    return parts.mapInArrow(work, schema)
+
+
 def documents_of(src: DataFrame) -> DataFrame:
     """The documents of stored source rows."""
     by = list(GROUP)
@@ -174,12 +266,30 @@ def documents_of(src: DataFrame) -> DataFrame:
         "c_length": (F.col("length_mm"), True),
     }
     head = _canonical_all(src, by, fields, variants_of="c_name", same=["dn", "pn_bar", "connection", "control"])
+    d = head.join(nested_candidates(src), by, "left")
+    return _documents(d.withColumn("ld_candidates", F.coalesce("ld_candidates", F.array().cast(f"array<{CANDIDATE}>"))), "ld_candidates")
+
+
+def with_candidates(heads: DataFrame, rows: DataFrame) -> DataFrame:
+    """Some of the documents of these rows with their candidates: only rows of their spellings are normalised and travel."""
+    wanted = heads.select(F.explode("spellings").alias("s")).select("s.*").distinct()
+    near = F.broadcast(wanted) if small(wanted) else wanted
+    own = rows.select("*", *raw_group()).join(near, list(RAW_GROUP), "left_semi").select(*rows.columns)
+    d = heads.join(nested_candidates(source_rows(own)), list(GROUP), "left")
+    return d.select(*(c for c in heads.columns if c not in (*GROUP, "spellings")), F.coalesce("ld_candidates", F.array().cast(f"array<{CANDIDATE}>")).alias("ld_candidates"))
+
+
+def nested_candidates(src: DataFrame) -> DataFrame:
+    """(group, ld_candidates): the candidates of each document that has any, sorted by article."""
+    entry = F.struct(F.col("ld_article_norm").alias("article_norm"), *(F.col(f"ld_{n}").alias(n) for n in CANDIDATE_FIELDS))
+    return ld_candidates(src).groupBy(*GROUP).agg(F.array_sort(F.collect_list(entry)).alias("ld_candidates"))
+
+
+def _documents(d: DataFrame, *rest: str) -> DataFrame:
+    """Documents from their canonical fields; rest: further columns to keep."""
     # the article and name of a key follow from any spelling of the group
     of_texts = {"article_norm": ("c_article", "text"), "article_compact": ("c_article", "compact"), "name_norm": ("c_name", "text")}
-    head = normalised(head, of_texts, head.columns).withColumns({k: F.coalesce(k, F.lit("")) for k in of_texts})
-    entry = F.struct(F.col("ld_article_norm").alias("article_norm"), *(F.col(f"ld_{n}").alias(n) for n in CANDIDATE_FIELDS))
-    nested = ld_candidates(src).groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("ld_candidates"))
-    d = head.join(nested, by, "left")
+    d = normalised(d, of_texts, d.columns).withColumns({k: F.coalesce(k, F.lit("")) for k in of_texts})
     # names of a group are equal once they are normalised: that text is in its key
     d = d.withColumns({"c_name": F.coalesce("c_name", F.lit("")), "brand": from_alias(F.nullif("name_norm", F.lit("")), "brand")})
     variants = F.when(F.size("variants") > 0, F.col("variants")).otherwise(F.array("c_name"))
@@ -204,7 +314,7 @@ def documents_of(src: DataFrame) -> DataFrame:
         F.col("c_url").alias("url"),
         semantic_text(c).alias("semantic_text"),
         lexical_text(c).alias("lexical_text"),
-        F.coalesce("ld_candidates", F.array().cast(f"array<{CANDIDATE}>")).alias("ld_candidates"),
+        *rest,
     )
 
 

@@ -50,6 +50,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.source_documents(cat(spark, sf_dir))
 
 
+def heads(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    return catalog.document_heads(cat(spark, sf_dir), **how)
+
+
 def inline_queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(S.QUERIES)), "query_id long, query string")
 
@@ -137,8 +141,8 @@ def title_brand(spark, sf_dir):
 
 
 def source_documents(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    return d.select("steel_id", "article", "article_norm", "article_compact", "name", F.array_join("name_variants", "|").alias("name_variants"), "brand", "dn", "pn_bar", "connection", "medium", "control", "temperature", "length_mm", "url", F.size("ld_candidates").alias("n_candidates"))
+    d = heads(spark, sf_dir, counted=True)
+    return d.select("steel_id", "article", "article_norm", "article_compact", "name", F.array_join("name_variants", "|").alias("name_variants"), "brand", "dn", "pn_bar", "connection", "medium", "control", "temperature", "length_mm", "url", "n_candidates")
 
 
 def ld_candidates(spark, sf_dir):
@@ -152,15 +156,15 @@ def canonical_value(spark, sf_dir):
 
 
 def semantic_text(spark, sf_dir):
-    return documents(spark, sf_dir).select("steel_id", "semantic_text")
+    return heads(spark, sf_dir).select("steel_id", "semantic_text")
 
 
 def lexical_text(spark, sf_dir):
-    return documents(spark, sf_dir).select("steel_id", "lexical_text")
+    return heads(spark, sf_dir).select("steel_id", "lexical_text")
 
 
 def point_ids(spark, sf_dir):
-    return documents(spark, sf_dir).select("steel_id", catalog.point_id(F.col("steel_id")).alias("point_id"))
+    return heads(spark, sf_dir).select("steel_id", catalog.point_id(F.col("steel_id")).alias("point_id"))
 
 
 # -- retrieval ------------------------------------------------------------------------------------------------
@@ -220,15 +224,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _hits(spark, sf_dir) -> DataFrame:
-    docs = stored(documents(spark, sf_dir))
+def _hits(spark, sf_dir, *, candidates: bool = False) -> DataFrame:
+    """The documents that the inline queries find; only those need their candidates."""
+    rows = cat(spark, sf_dir)
+    docs = stored(catalog.document_heads(rows))
     parsed = stored(parse_queries(inline_queries(spark)))
     hits = retrieval.bm25_topk(docs.select("steel_id", "lexical_text"), parsed.select("query_id", "lexical_text"), doc_id="steel_id", text="lexical_text", query="lexical_text")
+    if candidates:
+        hits = stored(hits)
+        found = hits.select(F.col("doc_id").alias("steel_id")).distinct()
+        docs = stored(catalog.with_candidates(stored(docs.join(F.broadcast(found) if retrieval.small(found) else found, "steel_id", "left_semi")), rows))
     return engine.attach(hits, parsed, docs, doc_id="steel_id")
 
 
-def _sources(spark, sf_dir) -> DataFrame:
-    return ranking.rank_sources(_hits(spark, sf_dir))
+def _sources(spark, sf_dir, **how) -> DataFrame:
+    return ranking.rank_sources(_hits(spark, sf_dir, **how))
 
 
 def text_exactness(spark, sf_dir):
@@ -249,17 +259,17 @@ def source_reasons(spark, sf_dir):
 
 
 def ld_rank(spark, sf_dir):
-    out = ranking.rank_candidates(_sources(spark, sf_dir), limit=20)
+    out = ranking.rank_candidates(_sources(spark, sf_dir, candidates=True), limit=20)
     return out.select("query_id", "rank", F.col("id").alias("ld_key"), "score", F.element_at("score_breakdown", "source_score").alias("source_score"))
 
 
 def ld_evidence(spark, sf_dir):
-    ev = ranking.evidence(ranking.expand_candidates(_sources(spark, sf_dir))).select("query_id", "ld_key", F.explode("source_evidence").alias("e"))
+    ev = ranking.evidence(ranking.expand_candidates(_sources(spark, sf_dir, candidates=True))).select("query_id", "ld_key", F.explode("source_evidence").alias("e"))
     return ev.select("query_id", "ld_key", "e.source_rank", "e.source_article", "e.source_score")
 
 
 def match_reasons(spark, sf_dir):
-    out = ranking.rank_candidates(_sources(spark, sf_dir))
+    out = ranking.rank_candidates(_sources(spark, sf_dir, candidates=True))
     return out.select("query_id", F.col("id").alias("ld_key"), F.array_join("match_reasons", "; ").alias("reasons"), F.array_join("mismatches", "; ").alias("mismatches"))
 
 

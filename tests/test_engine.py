@@ -74,6 +74,22 @@ def test_catalogue_rows_travel_once(spark):
     assert sorted(r.copies for r in src.select("copies").collect()) == [1, 1, 1, 2]
 
 
+def test_document_heads(spark):
+    """Documents without their candidates are the same, and rows are counted before Python sees them; candidates are added to some of them."""
+    odd = [{"steel_article": None, "steel_name": None, "steel_url": "u", "ld_article": None}, {"steel_name": "  TEMPER Ду80 Ру16", "steel_url": "v", "ld_article": "11100800162mULD000003000", "steel_length": "30 cm"}, {"steel_temp": None, "price_ld": None}]
+    rows = mapping_rows(spark, [*GROUPED, *odd])
+    whole = {r.steel_id: r for r in catalog.source_documents(rows).collect()}
+    heads = catalog.document_heads(rows, counted=True)
+    got = {r.steel_id: r for r in heads.collect()}
+    shared = [c for c in heads.columns if c not in (*catalog.GROUP, "spellings", "n_candidates")]
+    assert {k: [r[c] for c in shared] for k, r in got.items()} == {k: [r[c] for c in shared] for k, r in whole.items()}
+    assert {k: r.n_candidates for k, r in got.items()} == {k: len(r.ld_candidates) for k, r in whole.items()} and max(r.n_candidates for r in got.values()) == 2
+    plan = catalog.document_heads(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.rindex("Exchange hashpartitioning") > plan.rindex("MapInArrow")
+    some = catalog.document_heads(rows).where("size(name_variants) > 1")
+    assert {r.steel_id: r.ld_candidates for r in catalog.with_candidates(some, rows).collect()} == {k: r.ld_candidates for k, r in whole.items() if len(r.name_variants) > 1}
+
+
 def test_canonical(spark):
     rows = [("a", 50.0)] * 2 + [("a", 100.0)] * 2 + [("a", 9.0), ("b", None), ("c", 9.0), ("c", None), ("c", None)]
     got = {r.k: r.v for r in catalog.canonical(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", numeric=True).collect()}
