@@ -23,6 +23,9 @@ TERM_BUCKETS = 64
 #: Rows of query terms or query vectors that are broadcast at most; above that the plan joins, or takes blocks.
 BROADCAST_TERMS = 500_000
 BROADCAST_FLOATS = 4_000_000
+#: Floats of a block of query vectors that meets blocks of vectors, and scores that a worker holds at once.
+BLOCK_FLOATS = 500_000
+SCORES = 2_000_000
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -150,7 +153,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id"
             names, matrix = sent.value
             for b in batches:
                 if b.num_rows and len(names):
-                    yield best_of(names, matrix, b.column(0), unit(rows_of(b.column(1))), k)
+                    yield from best_of(names, matrix, b.column(0), unit(rows_of(b.column(1))), k)
 
         found = v.mapInArrow(score, out)
     else:
@@ -160,7 +163,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id"
 
 def _dense_blocks(v: DataFrame, q: DataFrame, floats: int, out: StructType, k: int) -> DataFrame:
     """The k best rows of each pair of a query block and a vector block. A vector block is one Arrow batch, packed where it lies."""
-    blocks, slots = -(-floats // BROADCAST_FLOATS), v.sparkSession.sparkContext.defaultParallelism * 4
+    blocks, slots = -(-floats // min(BLOCK_FLOATS, BROADCAST_FLOATS)), v.sparkSession.sparkContext.defaultParallelism * 4
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,7 +181,7 @@ def _dense_blocks(v: DataFrame, q: DataFrame, floats: int, out: StructType, k: i
             for ids, rows, qs in zip(b.column("ids"), b.column("packed"), b.column("qs")):
                 names, matrix = qs.values.flatten()
                 x = np.frombuffer(rows.as_py(), np.float64).reshape(len(ids.values), -1)
-                yield best_of(names, unit(rows_of(matrix)), ids.values, unit(x), k)
+                yield from best_of(names, unit(rows_of(matrix)), ids.values, unit(x), k)
 
     return pairs.mapInArrow(score, out)
 
@@ -189,14 +192,16 @@ def rows_of(lists: pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
 
 
-def best_of(names: pa.Array, matrix: np.ndarray, ids: pa.Array, x: np.ndarray, k: int) -> pa.RecordBatch:
-    """For each query all rows that reach its k-th best score here: ties are settled later."""
-    s = np.round(matrix @ x.T, 6)
-    if s.shape[1] > k:
-        q, d = np.nonzero(s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None])
-    else:
-        q, d = (i.ravel() for i in np.indices(s.shape))
-    return pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(d)), pa.array(s[q, d])], ["query_id", "doc_id", "score"])
+def best_of(names: pa.Array, matrix: np.ndarray, ids: pa.Array, x: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """For each query all rows that reach its k-th best score here: ties are settled later. Queries are taken by so many that SCORES bounds what is held."""
+    step = max(1, SCORES // max(1, len(x)))
+    for at in range(0, len(matrix), step):
+        s = np.round(matrix[at : at + step] @ x.T, 6)
+        if s.shape[1] > k:
+            q, d = np.nonzero(s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None])
+        else:
+            q, d = (i.ravel() for i in np.indices(s.shape))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(q + at)), ids.take(pa.array(d)), pa.array(s[q, d])], ["query_id", "doc_id", "score"])
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -90,6 +90,25 @@ def test_document_heads(spark):
     assert {r.steel_id: r.ld_candidates for r in catalog.with_candidates(some, rows).collect()} == {k: r.ld_candidates for k, r in whole.items() if len(r.name_variants) > 1}
 
 
+def test_dense_scores_are_bounded():
+    """What a worker holds doesn't grow with the number of queries; the results are those of one product."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    q, x = (retrieval.unit(rng.normal(size=(n, 4))) for n in (12_000, 3_000))
+    tracemalloc.start()
+    got = [b for b in retrieval.best_of(pa.array(range(len(q))), q, pa.array(range(len(x))), x, 2)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6  # one product of all is 288 MB, and its copies as much again
+    table = pa.Table.from_batches(got).to_pylist()
+    for i in (0, 700, 11_999):
+        s = np.round(q[i] @ x.T, 6)
+        assert {r["doc_id"] for r in table if r["query_id"] == i} == set(np.nonzero(s >= np.sort(s)[-2])[0])
+
+
 def test_canonical(spark):
     rows = [("a", 50.0)] * 2 + [("a", 100.0)] * 2 + [("a", 9.0), ("b", None), ("c", 9.0), ("c", None), ("c", None)]
     got = {r.k: r.v for r in catalog.canonical(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", numeric=True).collect()}
