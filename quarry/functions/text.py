@@ -40,10 +40,17 @@ def collapse(c: Column) -> Column:
     return blank_to_null(F.trim(F.regexp_replace(c, SPACE, " ")))
 
 
+def fold_case(c: Column | str) -> Column:
+    """Lower case, ё to е, and what else ``normalize_text`` does but for white space."""
+    c = F.lower(col(c))
+    for old, new in (("ß", "ss"), ("ё", "е"), ("ς", "σ"), ("\xa0", " ")):  # each a search of bytes; translate looks at every character
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
 def normalize_text(c: Column | str) -> Column:
     """Lower case, ё to е, white space collapsed; empty: null."""
-    c = F.lower(col(c))
-    return collapse(F.translate(F.replace(c, F.lit("ß"), F.lit("ss")), "ёς\xa0", "еσ "))
+    return collapse(fold_case(c))
 
 
 def fold_text(text: str) -> str:
@@ -275,6 +282,11 @@ def tokens(norm: Column | str) -> Column:
     return F.regexp_extract_all(col(norm), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def words(c: Column | str) -> Column:
+    """The tokens of a text's normalised form; of a text without words and of null: none. White space is in no token, so it isn't collapsed."""
+    return F.coalesce(tokens(fold_case(c)), F.array().cast("array<string>"))
+
+
 def forms(texts: Column) -> Column:
     """Distinct normalised texts of an array, each with its separator-free form: array of struct(t, b)."""
     given = F.filter(F.array_distinct(F.transform(texts, normalize_text)), lambda x: x.isNotNull())

@@ -63,6 +63,19 @@ def build_postings(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame,
     return postings.select(term_bucket("term").alias("bucket"), "term", "doc_id", "tf", "dl"), t.select("doc_id", "dl")
 
 
+def term_counts(df: DataFrame) -> DataFrame:
+    """df with the terms of each row's tokens as ``terms``, an array of (term, tf), in place of ``tokens``; of null: null.
+
+    They are counted inside the row, where sorted tokens make a run of each term: no exchange, and no map of every document's terms. Whoever
+    explodes them writes them first: Spark puts a filter on what it explodes, which would split the texts again.
+    """
+    last = F.size("__words")
+    t = df.withColumn("__words", F.sort_array("tokens")).drop("tokens")
+    t = t.withColumn("__starts", F.array_compact(F.transform("__words", lambda x, i: F.when((i == 0) | (x != F.get(F.col("__words"), i - 1)), i))))
+    run = lambda i, at: F.struct(F.get(F.col("__words"), i).alias("term"), (F.coalesce(F.get(F.col("__starts"), at + 1), last) - i).cast("long").alias("tf"))
+    return t.withColumn("terms", F.transform("__starts", run)).drop("__words", "__starts")
+
+
 def corpus_stats(lengths: DataFrame) -> DataFrame:
     """One row (n, avgdl): documents, and their mean length."""
     return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))

@@ -9,14 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.retrieval import build_postings
+from quarry.functions.text import words
+from quarry.operators.retrieval import term_bucket, term_counts
 from quarry.plans import segments
 
 
 def add_batch(docs: DataFrame, root: str, batch: int, *, doc_id: str = "doc_id", text: str = "text") -> None:
-    postings, lengths = build_postings(docs, doc_id, text)
-    postings.write.mode("overwrite").parquet(f"{root}/postings/batch={batch}")
-    lengths.write.mode("overwrite").parquet(f"{root}/lengths/batch={batch}")
+    """A batch's texts are split once, into forward (doc_id, dl, terms); its postings and lengths are read from there."""
+    t = docs.select(F.col(doc_id).alias("doc_id"), words(text).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
+    forward = term_counts(t)
+    at = lambda name: f"{root}/{name}/batch={batch}"
+    forward.write.mode("overwrite").parquet(at("forward"))
+    stored = docs.sparkSession.read.schema(forward.schema).parquet(at("forward"))
+    postings = stored.select("doc_id", "dl", F.explode("terms").alias("t")).select(term_bucket("t.term").alias("bucket"), "t.term", "doc_id", "t.tf", "dl")
+    if not stored.groupBy("doc_id", "dl").count().where("count > 1").isEmpty():
+        # rows of one id and length are one document's: only then are postings dealt and added
+        postings = postings.groupBy("bucket", "term", "doc_id", "dl").agg(F.sum("tf").alias("tf")).select(*postings.columns)
+    postings.write.mode("overwrite").parquet(at("postings"))
+    stored.select("doc_id", "dl").write.mode("overwrite").parquet(at("lengths"))
 
 
 def ingest(spark: SparkSession, source: DataFrame, root: str, **columns):
