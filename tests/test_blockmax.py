@@ -53,3 +53,23 @@ def test_empty(spark, tmp_path):
     index = write_blocks(docs, f"{tmp_path}/none")
     terms = retrieval.query_terms(spark.createDataFrame([(0, "a b")], "query_id long, query string"), "query_id", "query")
     assert blockmax_topk(index, terms, k=5)[0].collect() == []
+
+
+def test_what_leaves_a_task_are_documents(spark, tmp_path):
+    """Postings are dealt by block and their scores are summed there: no exchange has a row of each term of each document and query."""
+    docs = spark.createDataFrame([(i, f"a b c d{i % 7}") for i in range(400)], SCHEMA)
+    queries = spark.createDataFrame([(q, "a b c d1 d2") for q in range(20)], "query_id long, query string")
+    index = write_blocks(docs, f"{tmp_path}/blocks", block_docs=16)
+    out, _ = blockmax_topk(index, retrieval.query_terms(queries, "query_id", "query"), k=5, save=stored)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block" in plan and "Generate explode" not in plan
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, retrieval.bm25_topk(docs, queries, k=5).collect()))
+
+
+def test_several_passes(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame(topical(200, 2), SCHEMA)
+    queries = spark.createDataFrame([(q, f"t{q}w1 t{q}w2 c0") for q in range(9)], "query_id long, query string")
+    index = write_blocks(docs, f"{tmp_path}/blocks", block_docs=8)
+    want = sorted(map(tuple, retrieval.bm25_topk(docs, queries, k=4).collect()))
+    monkeypatch.setattr("quarry.operators.blockmax.ASKED", 10)
+    assert sorted(map(tuple, blockmax_topk(index, retrieval.query_terms(queries, "query_id", "query"), k=4, save=stored)[0].collect())) == want
