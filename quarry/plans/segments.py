@@ -1,13 +1,14 @@
 """A live lexical index: documents are upserted by id and deleted, in segments that are never changed.
 
-    root/forward/segment=S    (doc_id, dl, terms): a segment's documents, sorted by id
-    root/postings/segment=S   (bucket, term, doc_id, tf, dl), sorted
-    root/df/segment=S         (bucket, term, df) of the segment, sorted
+    root/forward/segment=S    (doc_id, dl, terms): a segment's documents, in runs sorted by id; an id that the batch deletes has null dl and terms
+    root/postings/segment=S   (bucket, term, doc_id, tf, dl) of some documents a file, each file sorted
+    root/df/segment=S         (bucket, term, df) of the segment, each file sorted
     root/dead/by=S            (segment, doc_id): documents of older segments that segment S has replaced or deleted
     root/dead_df/by=S         (segment, bucket, term, df): what those take from the older segments' counts
     root/_live/000000000012   the manifest: live segments with their totals; the greatest number counts
 
-An upsert writes a segment with the batch's documents, finds the ids in the older segments (their forward tables, sorted by id, are
+An upsert deals the batch's texts by ranges of ids, the only time that they travel, and splits them where they then lie. Postings stay with their documents
+and are sorted there. It writes a segment with the batch's documents, finds the ids in the older segments (their forward tables, sorted by id, are
 pruned by the batch's range of ids), and writes what those lose. So documents, mean length and document frequencies are sums over
 segments at any time, and nothing is rewritten. Segments of one tier are merged when there are enough of them, so that a search reads
 a number of segments that grows with the logarithm of the index. A manifest is renamed into place after all tables are
@@ -23,8 +24,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import normalize_text, tokens
-from quarry.operators.retrieval import PREFETCH, bm25_scores, small, term_bucket, top
+from quarry.functions.text import words
+from quarry.operators.retrieval import PREFETCH, _tasks, bm25_scores, small, term_bucket, term_counts, top
 from quarry.plans.index import _fs, exists, read_text
 
 LIVE = "_live"
@@ -33,7 +34,11 @@ FAN = 4
 #: Documents of the lowest tier.
 TIER = 1000
 #: Ids of a batch, and dead documents, that are broadcast at most.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 2_000_000
+#: Live documents that a task of a search scores, about: its sums for all queries fit in memory.
+TASK_DOCS = 20_000
+#: The segments' files are read and merged more often than they are written anew.
+CODEC = "zstd"
 
 SCHEMAS = {
     "forward": "doc_id {id}, dl long, terms array<struct<term: string, tf: long>>, segment string",
@@ -129,22 +134,31 @@ def dead(spark: SparkSession, root: str, of: Live, name: str = "dead", segments:
     return table(spark, root, name, of, [w for w, _ in of.buried]).where(F.col("segment").isin(wanted))
 
 
-def in_order(df: DataFrame, *by: str) -> DataFrame:
-    """Dealt by ranges and sorted: the files' and row groups' least and greatest values let a reader skip most of them."""
-    return df.repartitionByRange(*by).sortWithinPartitions(*by)
+def documents(spark: SparkSession, root: str, of: Live, segments: list[str] | None = None) -> DataFrame:
+    """The forward rows of documents, without those that only say that an id is deleted."""
+    return table(spark, root, "forward", of, segments).where(F.col("dl").isNotNull())
+
+
+def _write(df: DataFrame, where: str) -> None:
+    df.write.option("compression", CODEC).parquet(where)
+
+
+def _frequencies(terms: DataFrame, *by: str) -> DataFrame:
+    """(by..., bucket, term, df) of rows (by..., term); each file sorted, so that row groups and pages are skipped."""
+    df = terms.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    return df.select(*by, term_bucket("term").alias("bucket"), "term", "df").sortWithinPartitions("bucket", "term")
 
 
 def _write_segment(spark: SparkSession, root: str, name: str, forward: DataFrame) -> Segment:
-    """forward (doc_id, dl, terms) as a new segment."""
+    """forward (doc_id, dl, terms) as a new segment; its files are as the rows lie."""
     at = lambda t: f"{root}/{t}/segment={name}"
-    in_order(forward, "doc_id").write.parquet(at("forward"))
-    stored = spark.read.schema(forward.schema).parquet(at("forward"))
+    _write(forward, at("forward"))
+    stored = spark.read.schema(forward.schema).parquet(at("forward")).where(F.col("dl").isNotNull())
     n, size = stored.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     p = stored.select("doc_id", "dl", F.explode("terms").alias("t")).select(term_bucket("t.term").alias("bucket"), "t.term", "doc_id", "t.tf", "dl")
-    # ranges of buckets and terms, each a file: as many as the postings need, and a term that stands everywhere is many of them
-    in_order(p, "bucket", "term", "doc_id").write.parquet(at("postings"))
-    df = stored.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    in_order(df.select(term_bucket("term").alias("bucket"), "term", "df"), "bucket", "term").write.parquet(at("df"))
+    # each file has the postings of some documents: no exchange, and a term that stands everywhere is in all of them
+    _write(p.sortWithinPartitions("bucket", "term", "doc_id"), at("postings"))
+    _write(_frequencies(stored.select(F.explode("terms.term").alias("term"))), at("df"))
     return Segment(name, n, size)
 
 
@@ -152,11 +166,11 @@ def _new_name(batch: int) -> str:
     return f"s{max(batch, 0):09d}-{uuid.uuid4().hex[:12]}"
 
 
-def forward_of(rows: DataFrame) -> DataFrame:
-    """(doc_id, dl, terms) of rows (doc_id, text) that a grouping by id has dealt: no further exchange."""
-    t = rows.select("doc_id", F.coalesce(tokens(normalize_text("text")), F.array().cast("array<string>")).alias("tokens"))
-    counted = t.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    return counted.groupBy("doc_id", "dl").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms"))
+def forward_of(latest: DataFrame) -> DataFrame:
+    """(doc_id, dl, terms) of rows (doc_id, text, gone), one of each id; null dl and terms where gone."""
+    t = latest.select("doc_id", F.when(~F.col("gone"), words("text")).alias("tokens"))
+    t = t.withColumn("dl", F.when(F.col("tokens").isNotNull(), F.size("tokens")).cast("long"))
+    return term_counts(t)
 
 
 def upsert(spark: SparkSession, root: str, rows: DataFrame, *, batch: int | None = None, doc_id: str = "doc_id", text: str = "text", version: str | None = None, deleted: str | None = None) -> Live:
@@ -175,11 +189,12 @@ def upsert(spark: SparkSession, root: str, rows: DataFrame, *, batch: int | None
     name = _new_name(number)
     gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
     last = F.struct(*([F.col(version)] if version else []), F.coalesce(F.col(text), F.lit("")))
-    latest = rows.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max_by(F.struct(F.col(text).alias("text"), gone.alias("gone")), last).alias("d"))
-    ids_at = f"{root}/batch/{name}"
-    latest.select("doc_id", "d.*").write.parquet(ids_at)  # the batch is read once, and its ids are what the older segments lose
-    stored = spark.read.schema(latest.select("doc_id", "d.*").schema).parquet(ids_at)
-    segment = _write_segment(spark, root, name, forward_of(stored.where(~F.col("gone")).repartition("doc_id")))
+    given = rows.where(F.col(doc_id).isNotNull()).withColumns({"__id": F.col(doc_id), "__text": F.col(text), "__gone": gone, "__last": last})
+    given = given.select(F.col("__id").alias("doc_id"), "__text", "__gone", "__last").repartitionByRange("doc_id")  # the grouping needs no other exchange
+    latest = given.groupBy("doc_id").agg(F.max_by(F.struct(F.col("__text").alias("text"), F.col("__gone").alias("gone")), "__last").alias("d"))
+    forward = forward_of(latest.select("doc_id", "d.*").sortWithinPartitions("doc_id"))
+    segment = _write_segment(spark, root, name, forward)
+    stored = spark.read.schema(forward.schema).parquet(f"{root}/forward/segment={name}")  # its ids, deleted ones too, are what the older segments lose
     segments, buried = _bury(spark, root, old, name, stored.select("doc_id")) if old else ([], [])
     return _commit(spark, root, old, number, id_type, [s for s in [*segments, segment] if s.live], buried)
 
@@ -188,15 +203,14 @@ def _bury(spark: SparkSession, root: str, old: Live, name: str, ids: DataFrame)
     """Write what the older segments lose to these ids; the segments with their new totals, and all burials."""
     lo, hi, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     near = F.broadcast if n <= BROADCAST_IDS else lambda df: df
-    found = table(spark, root, "forward", old).where(F.col("doc_id").between(lo, hi)).join(near(ids), "doc_id", "left_semi")
+    found = documents(spark, root, old).where(F.col("doc_id").between(lo, hi)).join(near(ids), "doc_id", "left_semi")
     known = dead(spark, root, old).select("segment", "doc_id")
     found = found.join(known, ["segment", "doc_id"], "left_anti").select("segment", "doc_id", "dl", "terms")
     at = f"{root}/lost/by={name}"
-    found.write.parquet(at)
+    _write(found, at)
     lost = spark.read.schema(found.schema).parquet(at)
     lost.select("segment", "doc_id").write.parquet(f"{root}/dead/by={name}")
-    df = lost.select("segment", F.explode("terms.term").alias("term")).groupBy("segment", "term").agg(F.count("*").alias("df"))
-    in_order(df.select("segment", term_bucket("term").alias("bucket"), "term", "df"), "bucket", "term").write.parquet(f"{root}/dead_df/by={name}")
+    _write(_frequencies(lost.select("segment", F.explode("terms.term").alias("term")), "segment"), f"{root}/dead_df/by={name}")
     taken = {r.segment: (r.n, r.size) for r in lost.groupBy("segment").agg(F.count("*").alias("n"), F.sum("dl").alias("size")).collect()}  # a row for each segment
     left = [Segment(s.name, s.docs, s.tokens, s.dead_docs + taken.get(s.name, (0, 0))[0], s.dead_tokens + taken.get(s.name, (0, 0))[1]) for s in old.segments]
     return left, [*old.buried, (name, tuple(sorted(taken)))]
@@ -221,7 +235,7 @@ def merge(spark: SparkSession, root: str, *, fan: int = FAN) -> Live | None:
         if not full:
             return now
         names = [s.name for s in by[full[0]]]
-        rows = table(spark, root, "forward", now, names).join(dead(spark, root, now, segments=names).select("segment", "doc_id"), ["segment", "doc_id"], "left_anti")
+        rows = documents(spark, root, now, names).join(dead(spark, root, now, segments=names).select("segment", "doc_id"), ["segment", "doc_id"], "left_anti")
         # an id lives in one segment only, so the order of segments doesn't matter to a search
         merged = _write_segment(spark, root, _new_name(now.batch), rows.select("doc_id", "dl", "terms"))
         first = next(i for i, s in enumerate(now.segments) if s.name in names)
@@ -232,13 +246,17 @@ def merge(spark: SparkSession, root: str, *, fan: int = FAN) -> Live | None:
 def search(spark: SparkSession, root: str, terms: DataFrame, *, k: int = PREFETCH, live: Live | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) of the live documents, as an index built anew of them would give."""
     of = live or manifest(spark, root)
-    near = F.broadcast if small(terms) else lambda df: df
+    few = small(terms)
+    near = F.broadcast if few else lambda df: df
     wanted = sorted(r.b for r in terms.select(term_bucket("term").alias("b")).distinct().collect())  # TERM_BUCKETS numbers at most
     asked = near(terms.select("term").distinct())
     own = lambda df: df.where(F.col("bucket").isin(wanted)).join(asked, "term", "left_semi")
     buried = dead(spark, root, of).select("segment", "doc_id")
     buried = F.broadcast(buried) if sum(s.dead_docs for s in of.segments) <= BROADCAST_IDS else buried
     hit = own(table(spark, root, "postings", of)).join(buried, ["segment", "doc_id"], "left_anti")
+    if few:
+        # each posting travels once, before it meets all queries that have its term, and a document's scores are summed where it is
+        hit = hit.select("term", "doc_id", "tf", "dl").repartition(max(_tasks(spark), of.docs // TASK_DOCS), "doc_id")
     counts = own(table(spark, root, "df", of)).select("term", "df").unionByName(own(dead(spark, root, of, "dead_df")).select("term", (-F.col("df")).alias("df")))
     df = counts.groupBy("term").agg(F.sum("df").alias("df"))
     stats = spark.createDataFrame([(of.docs, of.tokens / of.docs if of.docs else 0.0)], "n long, avgdl double")
@@ -259,7 +277,7 @@ def vacuum(spark: SparkSession, root: str, *, keep: int = 2) -> list[str]:
             if (name := s.getPath().getName().removeprefix("segment=")) not in named:
                 fs.delete(s.getPath(), True)
                 gone.add(name)
-    for t in ("batch", "lost"):
+    for t in ("batch", "lost"):  # batch: of indexes that were written before
         fs, p = _fs(spark, f"{root}/{t}")
         if fs.exists(p):
             fs.delete(p, True)

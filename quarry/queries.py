@@ -396,7 +396,7 @@ def upsert_search(spark, sf_dir):
         docs.where("doc_id % 7 = 0").select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(2).alias("version"), F.lit(True).alias("deleted")),
     )
     for rows in steps:
-        rows.write.mode("append").parquet(f"{root}/in")
+        rows.write.mode("append").option("compression", segments.CODEC).parquet(f"{root}/in")
         arrived = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
         upsert_stream(spark, arrived, f"{root}/live", fan=2, version="version", deleted="deleted").awaitTermination()
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
