@@ -69,6 +69,20 @@ def test_sessions_close_with_the_watermark(spark, tmp_path):
     assert got == [(at(0), at(35), "a", 2), (at(70), at(95), "a", 2), (at(80), at(100), "b", 1), (at(200), at(220), "a", 1)]
 
 
+def test_closed_sessions_are_read_as_they_lie(spark, tmp_path):
+    """No exchange, and no session twice, although a restart closes some and a batch runs again."""
+    w = Windows("ts", ("k",), gap="20 minutes")
+    for rows in ([row(0, 0), row(1, 5), row(2, 100, None)], [row(3, 200), row(4, 85, None)], [row(5, 400, "b")]):
+        feed(spark, tmp_path, rows, w)
+        commits = sorted((tmp_path / "out" / "_checkpoint" / "commits").glob("[0-9]*"))
+        for f in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+            f.unlink(missing_ok=True)
+    out = windows.result(spark, f"{tmp_path}/out", w)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    at = lambda m: START + dt.timedelta(minutes=m)
+    assert table(out) == sorted([(at(0), at(25), "a", 2, 2), (at(85), at(120), None, 2, 2), (at(200), at(220), "a", 1, 1)], key=str)
+
+
 def test_sizes():
     for bad in ({}, {"size": "1 hour", "gap": "1 hour"}):
         with pytest.raises(ValueError):
