@@ -1,6 +1,7 @@
 """The live index: after upserts, deletes, replays and merges a search answers as an index built anew of the live documents."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +112,14 @@ def test_a_batch_reads_its_own_range_of_ids(spark, tmp_path):
     of = segments.manifest(spark, root)
     plan = segments.table(spark, root, "forward", of).where(F.col("doc_id").between(3, 5))._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,3), LessThanOrEqual(doc_id,5)]" in plan
+
+
+def test_texts_and_postings_travel_once(spark, terms, tmp_path):
+    """A segment's terms are counted and sorted where its documents lie; a search deals each posting by document before it meets the queries."""
+    latest = spark.createDataFrame([(1, "w1 w1 w2", False), (2, "w3", True), (3, None, False)], "doc_id long, text string, gone boolean")
+    forward = segments.forward_of(latest)
+    assert "Exchange" not in forward._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.dl, None if r.terms is None else sorted(map(tuple, r.terms))) for r in forward.collect()) == [(1, 3, [("w1", 2), ("w2", 1)]), (2, None, None), (3, 0, [])]
+    segments.upsert(spark, str(tmp_path), latest.select("doc_id", "text"))
+    plan = segments.search(spark, str(tmp_path), terms)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", plan)
