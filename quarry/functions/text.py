@@ -87,11 +87,15 @@ def folded(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def plain_text(text: str) -> str | None:
     """What ``normalize_text`` makes of a folded text."""
+    if text.isascii():  # folding is lower case there
+        return " ".join(text.lower().split()) or None
     return " ".join(fold_text(text).replace("ё", "е").split()) or None
 
 
 def _plain_compact(norm: str) -> str | None:
-    return re.sub(r"[\s./\\_-]+", "", norm) or None
+    for separator in " ./\\_-":  # a normalised text has no other white space
+        norm = norm.replace(separator, "")
+    return norm or None
 
 
 def _plain_number(norm: str) -> float | None:

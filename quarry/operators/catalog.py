@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import PLAIN, coded_texts, distinct_parts, from_alias, labelled, normalised, number_text, typed_texts
@@ -110,14 +110,36 @@ def _picks(fields: dict[str, tuple[Column, bool]]) -> list[Column]:
     return [F.min_by("d" if numeric else "v", F.when(F.col("f") == i, F.struct(-F.col("n"), "v"))).alias(name) for i, (name, (_, numeric)) in enumerate(fields.items())]
 
 
-def ld_candidates(src: DataFrame) -> DataFrame:
-    """(group, ld_article_norm, canonical fields): the candidates of each document; those without an article are left out."""
-    by = [*DEAL, "ld_article_norm"]
+def ld_candidates(src: DataFrame, *also: str) -> DataFrame:
+    """(group, also..., ld_article_norm, canonical fields): the candidates of each document; those without an article are left out. also: what is the same in all of a group."""
+    by = [*DEAL, *also, "ld_article_norm"]
     numbers = {"dn", "pn_bar", "length_mm", "price"}
     fields = {f"ld_{n}": (F.col(f"ld_{n}"), n in numbers) for n in CANDIDATE_FIELDS}
     return _counts(src.where(F.col("ld_article_norm") != ""), by, fields).groupBy(*by).agg(*_picks(fields)).drop("part")
 
 
+def candidates(rows: DataFrame) -> DataFrame:
+    """(group, steel_id, ld_article_norm, canonical fields): the candidates of all documents, straight from the mapping rows.
+
+    A document's id follows from its key, so its candidates need nothing else of it. Rows travel once, dealt by group and part, with what a candidate is made of and
+    128 bits of the whole row, by which copies go. Where they then lie, a candidate of one row is that row; values are counted for the others alone.
+    """
+    typed = {k: v for k, v in TYPED.items() if k in KEY or k.startswith("typed_") or k == "ld_article_norm"}
+    raw = {new: old for new, old in RAW.items() if new.startswith("ld_")}
+    marked = rows.select(*rows.columns, F.col("price_ld").cast("double").alias("price"), *_hashes(rows.columns, "r1", "r2"))
+    t = normalised(marked, typed, [*raw.values(), "r1", "r2"]).withColumns({k: F.coalesce(k, F.lit("")) for k in ("article_compact", "name_norm")})
+    t = t.where(F.col("ld_article_norm") != "")
+    own = [*(F.col(old).alias(new) for new, old in raw.items()), *(F.col(k).alias(f"ld_{k.removeprefix('typed_')}") for k in typed if k.startswith("typed_"))]
+    part = F.pmod(F.xxhash64("ld_article_norm"), F.lit(CANDIDATE_PARTS)).cast("int").alias("part")
+    t = t.select(*_hashes(list(KEY), *GROUP), part, F.unhex(steel_id(*map(F.col, KEY))).alias("id"), "ld_article_norm", *own, "r1", "r2")
+    dealt = t.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *DEAL)
+    counted = dealt.withColumn("n_rows", F.count("*").over(Window.partitionBy(*DEAL, "ld_article_norm")))
+    several = ld_candidates(counted.where("n_rows > 1").drop("n_rows").distinct(), "id")  # the same exchange, read again
+    single = counted.where("n_rows = 1 AND r1 IS NOT NULL AND r2 IS NOT NULL")  # always true: with other columns it would be another exchange
+    both = single.select(several.columns).unionAll(several)
+    return both.withColumn("steel_id", F.lower(F.hex("id"))).drop("id")
+
+
 # The labels of the two search texts below, which encoders and terms see.
 def semantic_text(c: dict[str, Column]) -> Column:
     n = number_text

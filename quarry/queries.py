@@ -146,8 +146,8 @@ def source_documents(spark, sf_dir):
 
 
 def ld_candidates(spark, sf_dir):
-    d = documents(spark, sf_dir).select("steel_id", F.explode("ld_candidates").alias("c"))
-    return d.select("steel_id", "c.*")
+    own = (F.col(f"ld_{n}").alias(n) for n in catalog.CANDIDATE_FIELDS)
+    return catalog.candidates(cat(spark, sf_dir)).select("steel_id", F.col("ld_article_norm").alias("article_norm"), *own)
 
 
 def canonical_value(spark, sf_dir):

@@ -90,6 +90,23 @@ def test_document_heads(spark):
     assert {r.steel_id: r.ld_candidates for r in catalog.with_candidates(some, rows).collect()} == {k: r.ld_candidates for k, r in whole.items() if len(r.name_variants) > 1}
 
 
+def test_candidates_need_no_documents(spark, tmp_path):
+    """Candidates straight from the rows are those of the documents, and their rows travel once and are stored nowhere."""
+    odd = [{"steel_article": None, "steel_name": None, "ld_article": "Q"}, {"ld_article": None}, {"ld_article": " "}, {"ld_article": "q 1", "price_ld": None}, {"ld_article": "Q  1", "ld_dn": None}, {"ld_article": "Ｑ 1", "ld_name": "z"}]
+    rows = mapping_rows(spark, [*GROUPED, *GROUPED, *odd, *({"ld_article": "T", "price_ld": p} for p in (9.0, 10.0, 10.5, 9.0)), {"ld_article": "N", "ld_name": None, "ld_url": None}])
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    whole = {(r.steel_id, c.article_norm): tuple(c)[1:] for r in catalog.source_documents(rows).collect() for c in r.ld_candidates}
+    found = catalog.candidates(rows)
+    own = [f"ld_{n}" for n in catalog.CANDIDATE_FIELDS]
+    got = found.select("steel_id", "ld_article_norm", *own).collect()
+    assert len(got) == len(whole) >= 7 and {(r[0], r[1]): tuple(r)[2:] for r in got} == whole
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")]
+    assert "ReusedExchange" in final and final.count("+- Exchange hashpartitioning") == 1 and "stored" not in final
+
+
 def test_dense_scores_are_bounded():
     """What a worker holds doesn't grow with the number of queries; the results are those of one product."""
     import tracemalloc
