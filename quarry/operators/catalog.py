@@ -129,7 +129,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     marked = rows.select(*rows.columns, F.col("price_ld").cast("double").alias("price"), *_hashes(rows.columns, "r1", "r2"))
     t = normalised(marked, typed, [*raw.values(), "r1", "r2"]).withColumns({k: F.coalesce(k, F.lit("")) for k in ("article_compact", "name_norm")})
     t = t.where(F.col("ld_article_norm") != "")
-    own = [*(F.col(old).alias(new) for new, old in raw.items()), *(F.col(k).alias(f"ld_{k.removeprefix('typed_')}") for k in typed if k.startswith("typed_"))]
+    own = [*(F.col(old) if old == new else F.col(old).alias(new) for new, old in raw.items()), *(F.col(k).alias(f"ld_{k.removeprefix('typed_')}") for k in typed if k.startswith("typed_"))]
     part = F.pmod(F.xxhash64("ld_article_norm"), F.lit(CANDIDATE_PARTS)).cast("int").alias("part")
     t = t.select(*_hashes(list(KEY), *GROUP), part, F.unhex(steel_id(*map(F.col, KEY))).alias("id"), "ld_article_norm", *own, "r1", "r2")
     dealt = t.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *DEAL)
