@@ -67,7 +67,7 @@ def main(argv: list[str] | None = None) -> int:
             mapping.write_report(asdict(meta), a.report)
         print(meta.collection_name)
     elif a.command == "eval-set":
-        mapping.write_queries(evaluation.eval_dataset(source_documents(rows), documents=a.documents), a.output)
+        mapping.write_queries(evaluation.eval_rows(rows, documents=a.documents), a.output)
     else:
         gold = evaluate.gold_of(mapping.read_queries(spark, a.queries)).cache()
         results = evaluate.compare({f"hashing-{d}": lambda d=d: HashingEncoder(d) for d in a.dimension}, rows, gold, a.root, limit=a.limit, timed=a.timed)

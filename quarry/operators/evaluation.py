@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import compact, normalize_text, number_text
+from quarry.operators.catalog import document_heads, with_candidates
+from quarry.session import stored
 
 DOCUMENTS = 70
 LIMIT = 20
@@ -20,13 +22,19 @@ def _given(prefix: str, v: Column) -> Column:
 
 
 def eligible(docs: DataFrame) -> DataFrame:
-    """Documents with candidates and every trait."""
-    ok = F.size("ld_candidates") > 0
+    """Documents with candidates and every trait. Candidates are nested, or only counted."""
+    ok = (F.size("ld_candidates") if "ld_candidates" in docs.columns else F.col("n_candidates")) > 0
     for c in ("brand", "connection", "medium", "control"):
         ok = ok & (F.col(c) != "")
     return docs.where(ok & F.col("dn").isNotNull() & F.col("pn_bar").isNotNull())
 
 
+def eval_rows(rows: DataFrame, *, documents: int = DOCUMENTS) -> DataFrame:
+    """``eval_dataset`` of mapping rows: documents are chosen without their candidates, which only the chosen ones get."""
+    chosen = stored(eligible(document_heads(rows, counted=True)).orderBy("steel_id").limit(documents))
+    return eval_dataset(with_candidates(chosen, rows), documents=documents)
+
+
 def eval_dataset(docs: DataFrame, *, documents: int = DOCUMENTS) -> DataFrame:
     """(query, category, expected_ld_articles): eight queries for each of the first documents by id."""
     chosen = eligible(docs).orderBy("steel_id").limit(documents)

@@ -104,7 +104,16 @@ def test_candidates_need_no_documents(spark, tmp_path):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
     final = plan[: plan.index("== Initial Plan ==")]
-    assert "ReusedExchange" in final and final.count("+- Exchange hashpartitioning") == 1 and "stored" not in final
+    assert final.count("ReusedExchange") == 1 and final.count("MapInArrow") == 1 and "stored" not in final
+
+
+def test_evaluation_nests_candidates_of_chosen_documents(spark, monkeypatch):
+    """The query set is the same, and only rows of the documents that it is made of are normalised as candidates."""
+    rows = mapping_rows(spark, [{**x, "steel_medium": "water", "steel_name": f"Temper Ду{i}"} for i in range(6) for x in ({}, {"ld_article": f"L{i}"})])
+    want = evaluation.eval_dataset(catalog.source_documents(rows), documents=2).collect()
+    seen, whole = [], catalog.source_rows
+    monkeypatch.setattr(catalog, "source_rows", lambda r: seen.append(r.count()) or whole(r))
+    assert sorted(evaluation.eval_rows(rows, documents=2).collect()) == sorted(want) and len(want) == 16 and seen == [4]
 
 
 def test_dense_scores_are_bounded():
