@@ -116,6 +116,17 @@ def test_evaluation_nests_candidates_of_chosen_documents(spark, monkeypatch):
     assert sorted(evaluation.eval_rows(rows, documents=2).collect()) == sorted(want) and len(want) == 16 and seen == [4]
 
 
+def test_index_keeps_no_source_rows(spark, tmp_path, monkeypatch):
+    """Documents of an index are those of stored rows, with the same counts, and its build stores no rows."""
+    odd = [{"steel_article": None, "steel_name": None, "ld_article": None}, {"ld_article": " "}, {"price_ld": None}]
+    rows = mapping_rows(spark, [*GROUPED, *GROUPED, *odd])
+    want = {r.steel_id: r for r in catalog.source_documents(rows).collect()}
+    monkeypatch.setattr(catalog, "stored_by", None)
+    meta = index.build_index(rows, str(tmp_path), HashingEncoder(32), model="hashing-32", smoke=(), recreate=True)
+    got = {r.steel_id: r for r in index.open_index(spark, str(tmp_path)).docs.drop("doc_id").collect()}
+    assert got == want and len(got) == 4 and (meta.document_count, meta.source_row_count, meta.deduplicated_row_count) == (4, 13, 7)
+
+
 def test_dense_scores_are_bounded():
     """What a worker holds doesn't grow with the number of queries; the results are those of one product."""
     import tracemalloc
